@@ -84,10 +84,10 @@ def cac(sales: DataFrame, as_of: Column, weekly_spend: float, guard: bool = True
     out = n.select("new_clients",
                    F.when(F.col("new_clients") > 0, spend / F.col("new_clients")).otherwise(spend).alias("cac"))
     if guard:
-        g = legacy_guard(sales)
-        out = out.crossJoin(g).select(  # both sides are single-row aggregates
-            F.when(F.col("enabled"), F.col("new_clients")).otherwise(F.lit(0).cast("bigint")).alias("new_clients"),
-            F.when(F.col("enabled"), F.col("cac")).otherwise(F.lit(0.0)).alias("cac"))
+        enabled = legacy_guard(sales).scalar()  # one-row aggregate as a scalar subquery
+        out = out.select(
+            F.when(enabled, F.col("new_clients")).otherwise(F.lit(0).cast("bigint")).alias("new_clients"),
+            F.when(enabled, F.col("cac")).otherwise(F.lit(0.0)).alias("cac"))
     return out.select("new_clients", "cac", spend.alias("weekly_spend"))
 
 
@@ -113,9 +113,9 @@ def mom_growth(sales: DataFrame, guard: bool = True) -> DataFrame:
         F.when(F.col("m.prev") == 0, F.lit(None).cast("double")).otherwise((pct - 1.0) * 100.0))
     out = last.select(growth.alias("mom_growth_pct"), F.col("n").alias("months"))
     if guard:
-        out = out.crossJoin(legacy_guard(sales)).select(
-            F.when(F.col("enabled"), F.col("mom_growth_pct")).otherwise(F.lit(0.0)).alias("mom_growth_pct"),
-            "months")
+        enabled = legacy_guard(sales).scalar()
+        out = out.select(F.when(enabled, F.col("mom_growth_pct")).otherwise(F.lit(0.0)).alias("mom_growth_pct"),
+                         "months")
     return out
 
 
@@ -130,23 +130,23 @@ def daily_trend(sales: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
 def category_mix(paid_lines: DataFrame) -> DataFrame:
     """Quantity per display category (all time) and its share.
 
-    The share divides by a single-row total joined back (broadcast of one
-    row), not by an unpartitioned window that would pull every group into
-    one task."""
+    The share divides by the grand total as a scalar subquery, not by an
+    unpartitioned window that would pull every group into one task."""
     per = (paid_lines.select(display_category().alias("display_category"), "quantity")
            .groupBy("display_category").agg(F.sum("quantity").alias("quantity")))
-    total = per.agg(F.sum("quantity").alias("total"))
-    return (per.crossJoin(F.broadcast(total))
-            .select("display_category", "quantity",
-                    (F.col("quantity") / F.col("total")).alias("share")))
+    total = per.agg(F.sum("quantity")).scalar()
+    return per.select("display_category", "quantity", (F.col("quantity") / total).alias("share"))
 
 
 def weekly_summary(kpi: DataFrame, top: DataFrame, dead: DataFrame, cac_row: DataFrame,
                    mom: DataFrame, weekly_spend: float) -> DataFrame:
     """Every KPI in one row plus the rendered summary text.
 
-    All inputs are single-row aggregates, so the cross joins are 1x1."""
-    one = kpi.crossJoin(top).crossJoin(dead).crossJoin(cac_row.drop("weekly_spend")).crossJoin(mom)
+    All inputs are single-row aggregates; the others enter the KPI row as
+    scalar subqueries."""
+    extra = {c: df.select(c).scalar() for df in (top, dead, cac_row, mom) for c in df.columns
+             if c != "weekly_spend"}
+    one = kpi.withColumns(extra)
     spend = F.lit(float(weekly_spend))
     cac_label = (F.when(spend > 0, F.concat(F.lit("₹"), format_money(F.col("cac"), 2)))
                  .otherwise(F.lit("₹0 ")))

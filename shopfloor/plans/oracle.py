@@ -240,6 +240,182 @@ Q["weekly_summary"] = f"""SELECT k.realised_revenue, k.true_profit, t.top_catego
   FROM fx_kpi k, fx_top t, fx_dead d, fx_cac c, fx_mom m"""
 
 
+def stock(x: str) -> str:
+    return f"(CASE WHEN {x} IS NULL OR trim({x}) = '' THEN CAST(0 AS BIGINT) ELSE TRY_CAST(trim({x}) AS BIGINT) END)"
+
+
+def tokens(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(replace({x}, ',', ' ')), '\\s+'), lambda t: t <> '')"
+
+
+def describe(cat_: str, custom: str) -> str:
+    name = (f"(CASE WHEN lower({cat_}) = 'other' AND {custom} <> '' THEN {custom} "
+            f"WHEN {custom} <> '' THEN {cat_} || ' (' || {custom} || ')' ELSE {cat_} END)")
+    return f"(CASE WHEN length({name}) > 35 THEN substr({name}, 1, 32) || '..' ELSE {name} END)"
+
+
+_CHOICE = " ".join(f"WHEN contains(cp, '{c.lower()}') THEN '{c}'" for c in CATEGORIES)
+
+FIXTURES.update({
+    "fx_all_lines": """
+  SELECT l.* FROM fx_lines l JOIN fx_sales s ON l.row_pos = s.row_pos WHERE s.items_state = 'ok'""",
+    "fx_sellable": f"""
+  SELECT row_pos, line_no, sku, quantity, {strip('sku')} AS sku_key, TRY_CAST(trunc(quantity) AS BIGINT) AS qty
+  FROM fx_all_lines
+  WHERE {strip('sku')} <> '' AND upper({strip('sku')}) <> 'N/A' AND TRY_CAST(trunc(quantity) AS BIGINT) > 0""",
+    "fx_movements": """
+  SELECT 'JK-' || CAST(l_partkey AS VARCHAR) AS sku, o_orderdate AS ts, l_orderkey, l_linenumber, l_suppkey,
+    l_extendedprice, CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END AS BIGINT) AS delta,
+    CAST(p_size AS BIGINT) AS s0
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
+    "fx_queries": """
+  SELECT p_partkey AS query_id,
+    CASE WHEN p_partkey % 70 = 0 THEN ''
+         WHEN p_partkey % 50 = 0 THEN p_name || ', ' || p_type || ' ' || split_part(p_name, ' ', 1)
+         ELSE p_name || ', ' || p_type END AS query
+  FROM part WHERE p_partkey % 10 = 0""",
+    "fx_responses": f"""
+  SELECT p_partkey AS response_id,
+    'Category: ' || CASE WHEN p_partkey % 7 = 0 THEN 'Kundan Choker Set' ELSE {cat('p_partkey')} END ||
+    CASE WHEN p_partkey % 5 = 0 THEN ' ' ELSE ' | ' END || 'Tags: ' || p_name AS response
+  FROM part""",
+    "fx_restock": """
+  SELECT 'JK-' || CAST(p_partkey AS VARCHAR) AS sku, CAST(p_size - 10 AS BIGINT) AS qty FROM part
+  WHERE p_partkey % 9 = 0
+  UNION ALL SELECT * FROM (VALUES ('JK-MISSING-1', CAST(5 AS BIGINT)), ('JK-MISSING-2', CAST(5 AS BIGINT)),
+                                 ('JK-MISSING-3', CAST(5 AS BIGINT))) t(sku, qty)""",
+    "fx_deletes": """
+  SELECT sku FROM fx_vault WHERE row_pos % 50 = 0 UNION ALL SELECT 'JK-UNKNOWN'""",
+    "fx_match": f"""
+  SELECT query_id, row_pos, sku, score FROM (
+    SELECT qt.query_id, v.row_pos, v.sku, sum(qt.weight) AS score,
+      row_number() OVER (PARTITION BY qt.query_id ORDER BY sum(qt.weight) DESC, v.row_pos) AS rn
+    FROM (SELECT query_id, token, count(*) AS weight
+          FROM (SELECT query_id, unnest({tokens('query')}) AS token FROM fx_queries) GROUP BY ALL) qt
+    JOIN fx_vault v ON contains(lower(COALESCE(v.tags, '')), qt.token)
+    GROUP BY qt.query_id, v.row_pos, v.sku) WHERE rn = 1""",
+    "fx_quotes": f"""
+  SELECT row_pos, sku, {num('sourcing_price_text')} AS cost,
+    COALESCE({num('standard_price_text')}, {num('sourcing_price_text')} * CAST(1.8 AS DOUBLE)) AS standard_quote,
+    COALESCE({num('vip_price_text')}, {num('sourcing_price_text')} * CAST(1.5 AS DOUBLE)) AS vip_quote,
+    COALESCE({num('clearance_price_text')}, {num('sourcing_price_text')} * CAST(1.2 AS DOUBLE)) AS clearance_quote
+  FROM fx_vault""",
+})
+
+Q["vault_add"] = f"""
+  SELECT row_pos, sku, {num('sourcing_price_text')} AS sourcing_price, tags, image_url,
+    {num('standard_price_text')} AS standard_price, {num('vip_price_text')} AS vip_price,
+    {num('clearance_price_text')} AS clearance_price, {stock('stock_text')} AS stock_qty
+  FROM fx_vault
+  UNION ALL
+  SELECT (SELECT max(row_pos) FROM fx_vault) + p_partkey AS row_pos, sku, p_retailprice AS sourcing_price,
+    CASE WHEN p_partkey % 3 = 0 THEN {cat('p_partkey')} ELSE {cat('p_partkey')} || ', ' || p_name END AS tags,
+    'https://img.example/' || sku AS image_url,
+    CASE WHEN ovr > 0 THEN ovr ELSE p_retailprice * CAST(1.8 AS DOUBLE) END AS standard_price,
+    CASE WHEN ovr * CAST(0.75 AS DOUBLE) > 0 THEN ovr * CAST(0.75 AS DOUBLE)
+         ELSE p_retailprice * CAST(1.5 AS DOUBLE) END AS vip_price,
+    p_retailprice * CAST(1.2 AS DOUBLE) AS clearance_price,
+    CAST(p_size AS BIGINT) AS stock_qty
+  FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN p_retailprice * 2 ELSE CAST(0.0 AS DOUBLE) END AS ovr,
+          'JK-' || CAST(date_diff('second', TIMESTAMP '1970-01-01 00:00:00', {AS_OF} + to_seconds(p_partkey)) AS VARCHAR)
+          || '-' || upper(substr(md5(CAST(p_partkey AS VARCHAR)), 1, 4)) AS sku
+        FROM part)"""
+Q["vault_delete"] = f"""SELECT * FROM fx_vault WHERE {strip('sku')} NOT IN (SELECT {strip('sku')} FROM fx_deletes)"""
+Q["stock_deduct"] = f"""
+  SELECT row_pos, sku, stock_text AS old_stock_text, COALESCE(sold_qty, 0) AS sold_qty,
+    CASE WHEN sold_qty IS NOT NULL AND {stock('stock_text')} IS NOT NULL
+         THEN CAST(greatest(0, {stock('stock_text')} - sold_qty) AS VARCHAR) ELSE stock_text END AS new_stock_text
+  FROM fx_vault v LEFT JOIN (SELECT sku_key, sum(qty) AS sold_qty FROM fx_sellable GROUP BY sku_key) s
+    ON {strip('v.sku')} = s.sku_key"""
+Q["stock_restock"] = f"""
+  SELECT row_pos, sku, stock_text AS old_stock_text, COALESCE(added_qty, 0) AS added_qty,
+    CASE WHEN added_qty IS NOT NULL THEN CAST(COALESCE({stock('stock_text')}, 0) + added_qty AS VARCHAR)
+         ELSE stock_text END AS new_stock_text
+  FROM fx_vault v LEFT JOIN (SELECT {strip('sku')} AS sku_key, sum(qty) AS added_qty FROM fx_restock
+                             WHERE qty > 0 GROUP BY 1) r ON {strip('v.sku')} = r.sku_key"""
+Q["restock_rejects"] = f"""
+  SELECT sku, qty FROM fx_restock r WHERE qty > 0
+    AND NOT EXISTS (SELECT 1 FROM fx_vault v WHERE {strip('v.sku')} = {strip('r.sku')})"""
+Q["unmatched_lines"] = f"""
+  SELECT row_pos, line_no, sku, quantity FROM fx_sellable l
+  WHERE NOT EXISTS (SELECT 1 FROM fx_vault v WHERE {strip('v.sku')} = l.sku_key)"""
+Q["stock_ledger"] = """
+  SELECT sku, ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta, s0,
+    x + greatest(0, max(-x) OVER w) AS stock
+  FROM (SELECT *, greatest(s0, 0) + sum(delta) OVER w AS x FROM fx_movements
+        WINDOW w AS (PARTITION BY sku ORDER BY ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  WINDOW w AS (PARTITION BY sku ORDER BY ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+Q["gallery"] = f"""
+  SELECT row_pos, sku, CAST(trunc(st) AS BIGINT) AS stock,
+    CASE WHEN trunc(st) >= 3 THEN 'In Stock' WHEN trunc(st) > 0 THEN 'Low Stock' ELSE 'SOLD OUT' END AS stock_badge,
+    'Cost: ₹' || {fmt(num('sourcing_price_text'), 0)} AS cost_text, tags
+  FROM (SELECT *, COALESCE({num('stock_text')}, 0.0) AS st FROM fx_vault)
+  WHERE st > 0 AND COALESCE(contains(lower(tags), 'ring'), false)
+  ORDER BY row_pos DESC LIMIT 6"""
+Q["default_price"] = f"""
+  SELECT sku, COALESCE(CAST(TRY_CAST(trunc({num('standard_price_text')}) AS BIGINT) AS VARCHAR), '') AS default_price
+  FROM fx_vault ORDER BY row_pos DESC LIMIT 1"""
+Q["price_quotes"] = f"""
+  SELECT *, '₹' || {fmt('standard_quote', 0)} AS standard_quote_text, '₹' || {fmt('vip_quote', 0)} AS vip_quote_text,
+    '₹' || {fmt('clearance_quote', 0)} AS clearance_quote_text FROM fx_quotes"""
+Q["catalog_match"] = "SELECT * FROM fx_match"
+Q["match_quotes"] = """
+  SELECT m.query_id, m.row_pos, m.sku, m.score, q.cost, q.standard_quote, q.vip_quote, q.clearance_quote
+  FROM fx_match m JOIN fx_quotes q ON m.row_pos = q.row_pos"""
+Q["tag_responses"] = f"""
+  SELECT response_id,
+    CASE WHEN contains(t, '|') THEN CASE {_CHOICE} ELSE 'Other' END ELSE 'Other' END AS category,
+    CASE WHEN contains(t, '|') THEN {strip("replace(split_part(t, '|', 2), 'Tags:', '')")} ELSE '' END AS tags
+  FROM (SELECT response_id, t, lower({strip("replace(split_part(t, '|', 1), 'Category:', '')")}) AS cp
+        FROM (SELECT response_id, {strip('response')} AS t FROM fx_responses))"""
+Q["invoice_headers"] = f"""
+  SELECT row_pos,
+    'INV-' || right(regexp_replace(COALESCE(sale_ts_text, 'N/A'), '[/: ]', '', 'g'), 6) AS invoice_id,
+    COALESCE(client_name, '') AS billed_to, COALESCE(sale_date_text, 'N/A') AS invoice_date,
+    {num('paid_text')} AS grand_total, 'INR ' || {fmt(num('paid_text'), 2)} AS grand_total_text,
+    {num('paid_text')} IS NOT NULL AS ok,
+    'Invoice_' || replace(COALESCE(client_name, ''), ' ', '_') || '.pdf' AS file_name
+  FROM fx_sales"""
+Q["invoice_lines"] = f"""
+  SELECT row_pos, line_no, description, qty, unit_price, qty * unit_price AS line_total,
+    'INR ' || {fmt('unit_price', 2)} AS unit_price_text, 'INR ' || {fmt('qty * unit_price', 2)} AS amount_text
+  FROM (
+    SELECT l.row_pos, l.line_no,
+      {describe("COALESCE(category, 'Item')", strip("COALESCE(details, '')"))} AS description,
+      COALESCE(TRY_CAST(trunc(quantity) AS BIGINT), 1) AS qty, COALESCE(selling_price, 0.0) AS unit_price
+    FROM fx_lines l JOIN fx_sales s ON l.row_pos = s.row_pos
+    WHERE s.items_state = 'ok' AND {num('s.paid_text')} IS NOT NULL
+    UNION ALL
+    SELECT row_pos, 1, 'Item', CAST(1 AS BIGINT), {num('paid_text')} FROM fx_sales
+    WHERE items_state <> 'ok' AND {num('paid_text')} IS NOT NULL)"""
+Q["recent_transactions"] = f"""
+  SELECT row_pos, COALESCE(sale_date_text, '') || ' - ' || COALESCE(client_name, '') || ' (₹' ||
+    COALESCE(paid_text, '') || ')' AS label
+  FROM fx_sales WHERE NOT COALESCE({strip('client_name')} = '', true) ORDER BY row_pos DESC LIMIT 10"""
+_IST = "(order_ts + to_seconds(s.row_pos % 86400) + INTERVAL 330 MINUTE)"
+Q["log_sales"] = f"""
+  SELECT s.row_pos, strftime({_IST}, '%d/%m/%Y %H:%M:%S') AS sale_ts_text, strftime({_IST}, '%B %d, %Y') AS sale_date_text,
+    client_name, handle, CAST(sum(quantity) AS BIGINT) AS total_pieces,
+    CAST(sum(CAST(quantity AS DECIMAL(18,2)) * CAST(source_price AS DECIMAL(18,2))) AS DOUBLE) AS total_cost,
+    CAST({money('courier_text')} AS DOUBLE) AS courier,
+    CAST(sum(CAST(quantity AS DECIMAL(18,2)) * CAST(selling_price AS DECIMAL(18,2))) AS DOUBLE) AS amount_paid,
+    payment_status, count(*) AS n_items, sum(quantity) AS json_qty
+  FROM fx_sales s JOIN fx_lines l ON s.row_pos = l.row_pos
+  GROUP BY s.row_pos, order_ts, client_name, handle, courier_text, payment_status"""
+Q["pii_roundtrip"] = """
+  SELECT row_pos, handle, client_name, handle AS handle_plain_read, COALESCE(handle <> '', false) AS handle_protected
+  FROM fx_sales"""
+Q["sessions"] = """
+  SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 900 SECOND AS session_end, count(*) AS events
+  FROM (SELECT user_id, ts,
+          sum(CASE WHEN prev IS NULL OR ts > prev + INTERVAL 900 SECOND THEN 1 ELSE 0 END)
+            OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
+        FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events))
+  GROUP BY user_id, sid"""
+
+
 def _deps(body: str) -> list[str]:
     """Fixture CTEs a body needs, dependencies first."""
     order: list[str] = []

@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.functions.text import clean_number, clean_text, is_blank
-from shopfloor.operators import clients, finance, items
-from shopfloor.operators.cleaning import is_paid, normalize_purchases, normalize_sales
+from shopfloor.functions.pii import pii_key, protect, unprotect
+from shopfloor.functions.text import clean_number, clean_text, is_blank, money
+from shopfloor.operators import catalog, clients, finance, inventory, invoices, items, sales_log, sessions
+from shopfloor.operators.cleaning import is_paid, normalize_purchases, normalize_sales, normalize_vault
 from shopfloor.plans import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -201,3 +202,139 @@ def q_weekly_summary(spark, d):
         finance.mom_growth(s).drop("months"),
         fx.WEEKLY_SPEND,
     )
+
+
+# ---------------------------------------------------------------- catalogue / inventory
+def vault(spark: SparkSession, d: str) -> DataFrame:
+    return fx.fx_vault(spark, d)
+
+
+def all_lines(spark: SparkSession, d: str) -> DataFrame:
+    return items.line_items(sales(spark, d, with_items=True))
+
+
+@query("vault_add")
+def q_vault_add(spark, d):
+    v = vault(spark, d)
+    existing = normalize_vault(v).drop("stock_text")
+    return existing.unionByName(catalog.new_items(fx.fx_new_items(spark, d), v))
+
+
+@query("vault_delete")
+def q_vault_delete(spark, d):
+    return inventory.delete_items(vault(spark, d), fx.fx_deletes(spark, d))
+
+
+@query("stock_deduct")
+def q_stock_deduct(spark, d):
+    return inventory.stock_deduct(vault(spark, d), all_lines(spark, d))
+
+
+@query("stock_restock")
+def q_stock_restock(spark, d):
+    return inventory.restock(vault(spark, d), fx.fx_restock(spark, d))
+
+
+@query("restock_rejects")
+def q_restock_rejects(spark, d):
+    return inventory.restock_rejects(vault(spark, d), fx.fx_restock(spark, d))
+
+
+@query("unmatched_lines")
+def q_unmatched_lines(spark, d):
+    return inventory.unmatched_lines(vault(spark, d), all_lines(spark, d))
+
+
+@query("stock_ledger")
+def q_stock_ledger(spark, d):
+    moves = fx.fx_movements(spark, d)
+    return inventory.floor_ledger(moves, "sku", fx.MOVEMENT_ORDER, [F.col("ts")])
+
+
+@query("gallery")
+def q_gallery(spark, d):
+    return catalog.gallery(vault(spark, d), category="Ring", hide_sold_out=True)
+
+
+@query("default_price")
+def q_default_price(spark, d):
+    return catalog.default_price(vault(spark, d))
+
+
+@query("price_quotes")
+def q_price_quotes(spark, d):
+    return catalog.price_quotes(vault(spark, d))
+
+
+@query("catalog_match")
+def q_catalog_match(spark, d):
+    return catalog.catalog_match(fx.fx_queries(spark, d), vault(spark, d))
+
+
+@query("match_quotes")
+def q_match_quotes(spark, d):
+    v = vault(spark, d)
+    best = catalog.catalog_match(fx.fx_queries(spark, d), v)
+    quotes = catalog.price_quotes(v).select("row_pos", "cost", "standard_quote", "vip_quote", "clearance_quote")
+    return best.join(quotes, "row_pos")
+
+
+@query("tag_responses")
+def q_tag_responses(spark, d):
+    r = fx.fx_responses(spark, d)
+    cat, tags = catalog.parse_tag_response(F.col("response"))
+    return r.select("response_id", cat.alias("category"), tags.alias("tags"))
+
+
+# ---------------------------------------------------------------- invoices / sales log / PII
+@query("invoice_headers")
+def q_invoice_headers(spark, d):
+    return invoices.invoice_headers(fx.fx_sales(spark, d))
+
+
+@query("invoice_lines")
+def q_invoice_lines(spark, d):
+    return invoices.invoice_lines(fx.fx_sales(spark, d, with_items=True))
+
+
+@query("recent_transactions")
+def q_recent_transactions(spark, d):
+    return invoices.recent_transactions(fx.fx_sales(spark, d))
+
+
+def sale_headers(raw: DataFrame) -> DataFrame:
+    """Header fields of a logged sale; the event instant is the order date
+    plus the order's second-of-day offset, in UTC."""
+    offset = F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0),
+                             (F.col("row_pos") % 86400).cast("int"))
+    return raw.select("row_pos", (F.col("order_ts") + offset).cast("timestamp").alias("event_ts"),
+                      "client_name", "handle", "payment_status",
+                      money("courier_text").alias("courier"))
+
+
+@query("log_sales")
+def q_log_sales(spark, d):
+    built = sales_log.build_sales(fx.fx_lines(spark, d), sale_headers(fx.fx_sales(spark, d)))
+    parsed = items.parse_items()
+    return built.select(
+        "*", F.size(parsed).alias("n_items"),
+        F.aggregate(parsed, F.lit(0.0), lambda acc, x: acc + x["Quantity"]).alias("json_qty"),
+    ).drop("line_items_json")
+
+
+@query("pii_roundtrip")
+def q_pii_roundtrip(spark, d):
+    key = pii_key(spark)
+    raw = fx.fx_sales(spark, d)
+    enc = raw.select("row_pos", "handle", protect("handle", key).alias("h"),
+                     protect("client_name", key).alias("n"))
+    return enc.select("row_pos", unprotect("h", key).alias("handle"), unprotect("n", key).alias("client_name"),
+                      unprotect("handle", key).alias("handle_plain_read"),
+                      F.coalesce(F.col("h") != F.col("handle"), F.lit(False)).alias("handle_protected"))
+
+
+# ---------------------------------------------------------------- sessions (batch)
+@query("sessions")
+def q_sessions(spark, d):
+    ev = fx.table(spark, d, "events").select("user_id", "ts")
+    return sessions.sessionize(ev, "user_id", "ts")
