@@ -73,10 +73,14 @@ def lines_json(lines: DataFrame) -> DataFrame:
             .agg(F.to_json(F.transform(ordered, lambda x: x["item"])).alias("items_json")))
 
 
-def fx_sales(spark: SparkSession, sf_dir: str, with_items: bool = False) -> DataFrame:
-    """Raw (text) sales: orders joined to customers, injected blanks/junk."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
-                                              "o_orderdate")
+def fx_sales(spark: SparkSession, sf_dir: str, with_items: bool = False,
+             orders: DataFrame | None = None) -> DataFrame:
+    """Raw (text) sales: orders joined to customers, injected blanks/junk.
+
+    ``orders`` may be a streaming read of the orders table; the customer
+    side and the line-item JSON are then static (stream-static joins)."""
+    o = (orders if orders is not None else table(spark, sf_dir, "orders")).select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     k, ck = F.col("o_orderkey"), F.col("c_custkey")
     n = F.round(F.col("o_totalprice")).cast("bigint")
@@ -152,10 +156,11 @@ def fx_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_movements(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Stock movements: every lineitem is a sale (or a return when flagged
-    ``R``) of its part on the order date; opening stock is the part size."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+    ``R``) of its part on the order date; opening stock is the part size.
+    ``lineitem`` may be a streaming read (orders and part stay static)."""
+    li = (lineitem if lineitem is not None else table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                                                  "l_quantity", "l_extendedprice", "l_returnflag")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")

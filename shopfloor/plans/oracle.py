@@ -416,6 +416,23 @@ Q["sessions"] = """
   GROUP BY user_id, sid"""
 
 
+Q["stream_ingest"] = Q["normalize_sales"]
+Q["stream_daily_trend"] = f"""SELECT CAST(sale_date AS DATE) AS sale_day, CAST(sum(paid) AS DOUBLE) AS gross_revenue,
+  CAST(sum(paid - cost - courier) AS DOUBLE) AS true_profit FROM fx_sales_t
+  WHERE {paid()} AND sale_date IS NOT NULL GROUP BY 1"""
+Q["stream_sessions"] = Q["sessions"]
+Q["stream_stock"] = f"""
+  SELECT sku, arg_max(stock, rn) AS closing_stock, count(*) AS movements FROM (
+    SELECT sku, x + greatest(0, max(-x) OVER w) AS stock, row_number() OVER w AS rn
+    FROM (SELECT *, greatest(s0, 0) + sum(delta) OVER w AS x FROM fx_movements
+          WINDOW w AS (PARTITION BY sku ORDER BY ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    WINDOW w AS (PARTITION BY sku ORDER BY ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  GROUP BY sku"""
+Q["stream_upsert"] = f"SELECT row_pos, sku, new_stock_text FROM ({Q['stock_deduct']})"
+
+
 def _deps(body: str) -> list[str]:
     """Fixture CTEs a body needs, dependencies first."""
     order: list[str] = []

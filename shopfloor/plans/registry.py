@@ -17,6 +17,8 @@ from shopfloor.functions.text import clean_number, clean_text, is_blank, money
 from shopfloor.operators import catalog, clients, finance, inventory, invoices, items, sales_log, sessions
 from shopfloor.operators.cleaning import is_paid, normalize_purchases, normalize_sales, normalize_vault
 from shopfloor.plans import fixtures as fx
+from shopfloor.streaming import queries as stream_q
+from shopfloor.streaming import runner, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -338,3 +340,45 @@ def q_pii_roundtrip(spark, d):
 def q_sessions(spark, d):
     ev = fx.table(spark, d, "events").select("user_id", "ts")
     return sessions.sessionize(ev, "user_id", "ts")
+
+
+# ---------------------------------------------------------------- streaming (run with availableNow)
+def _run(spark: SparkSession, built, name: str) -> DataFrame:
+    df, mode, keys = built
+    out = runner.run_stream(spark, df, name, mode, keys)
+    return runner.read_output(spark, out, mode, keys=keys)
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, d):
+    s = _run(spark, stream_q.ingest(spark, d), "stream_ingest")
+    return s.select("row_pos", ntz("sale_ts").alias("sale_ts"), ntz("sale_date").alias("sale_date"),
+                    "client_name", "handle", F.col("cost").cast("double").alias("cost"),
+                    F.col("courier").cast("double").alias("courier"), F.col("paid").cast("double").alias("paid"),
+                    "payment_status")
+
+
+@query("stream_daily_trend")
+def q_stream_daily_trend(spark, d):
+    return _run(spark, stream_q.daily_trend(spark, d), "stream_daily_trend")
+
+
+@query("stream_weekly_clients")
+def q_stream_weekly_clients(spark, d):
+    return _run(spark, stream_q.weekly_clients(spark, d), "stream_weekly_clients")
+
+
+@query("stream_sessions")
+def q_stream_sessions(spark, d):
+    return _run(spark, stream_q.sessions(spark, d), "stream_sessions")
+
+
+@query("stream_stock")
+def q_stream_stock(spark, d):
+    return _run(spark, stream_q.stock_state(spark, d), "stream_stock")
+
+
+@query("stream_upsert")
+def q_stream_upsert(spark, d):
+    snap = upsert.run_upsert(spark, vault(spark, d), stream_q.sold_lines_stream(spark, d))
+    return snap.select("row_pos", "sku", F.col("stock_text").alias("new_stock_text"))
