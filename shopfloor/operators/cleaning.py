@@ -53,10 +53,16 @@ def normalize_sales(raw: DataFrame) -> DataFrame:
 
 
 def is_paid(status="payment_status"):
-    """P1f: status contains ``Paid`` (case-sensitive), null -> false.  Pushes
-    to Parquet as ``StringContains``."""
+    """P1f filter: status contains ``Paid`` (case-sensitive).  A null status
+    gives null, which a filter drops (= not paid).  Kept bare so it pushes
+    to Parquet as ``StringContains``; use ``paid_flag`` for a value."""
     c = F.col(status) if isinstance(status, str) else status
-    return F.coalesce(c.contains(PAID_MARK), F.lit(False))
+    return c.contains(PAID_MARK)
+
+
+def paid_flag(status="payment_status"):
+    """P1f as a non-null boolean value (null status -> false)."""
+    return F.coalesce(is_paid(status), F.lit(False))
 
 
 def paid_sales(sales: DataFrame) -> DataFrame:
