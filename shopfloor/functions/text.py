@@ -19,8 +19,16 @@ CATEGORIES = ["Choker Set", "Earrings", "Bangles", "Polki", "Kundan", "Ring", "O
 # Everything else (``1,200``, ``₹5``, ``0x10``, ``inf``, ``1f``) is not a number.
 NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
-# Accepted date spellings, tried in this order (D2: slashes are day-first).
-DATE_FORMATS = ["MMMM d, yyyy", "yyyy-M-d", "d/M/yyyy", "d/M/yyyy H:m:s"]
+# Accepted date spellings (D2: slashes are day-first), each with the text
+# shape that can possibly parse under it.  The shapes are disjoint, so
+# trying only the matching format equals trying all of them in order -- and
+# skips the costly failed parse attempts.
+DATE_FORMATS = [
+    ("MMMM d, yyyy", r"^\s*\p{L}"),
+    ("yyyy-M-d", r"^\d{4}-"),
+    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
+    ("d/M/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} "),
+]
 
 MONEY = "decimal(18,2)"
 
@@ -57,7 +65,11 @@ def money(c, fill_zero: bool = True) -> Column:
 def parse_date(c) -> Column:
     """Per-row mixed-format date parse; unparsable -> null (timestamp)."""
     s = _c(c)
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(fmt)) for fmt in DATE_FORMATS])
+    out = None
+    for fmt, shape in DATE_FORMATS:
+        out = (F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) if out is None
+               else out.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))))
+    return out
 
 
 def python_title(c) -> Column:

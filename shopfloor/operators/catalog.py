@@ -30,14 +30,18 @@ def catalog_match(queries: DataFrame, vault: DataFrame, query_id: str = "query_i
 
     Score = number of query tokens (repeats count) that are substrings of the
     item's lower-cased tags; keep score > 0; best score wins, ties go to the
-    earliest catalogue row (Q18).  Exact, with no theta join:
+    earliest catalogue row (Q18).  Exact, with no theta join and no pair per
+    (query row, item row):
 
     * substring tests run between *distinct* tag runs (bounded by the
       vocabulary, not the catalogue) and distinct query tokens, as an
       equi-join on every substring of a run up to the longest token length;
-    * (item, token) hits then join the per-query token weights on the token,
-      are summed per (query, item), and the winner per query is a hash
-      aggregate (``min_by``) -- no per-query sort.
+    * items are collapsed into classes with the same matched-token set
+      (keeping the earliest row), queries into classes with the same token
+      multiset -- the score depends on nothing else;
+    * only class pairs that share a token are scored (join on the token), the
+      winner per query class is a hash aggregate (``min_by``), and the query
+      rows pick up their class's winner by an equi-join.
     """
     q_tok = (queries.select(F.col(query_id).alias("query_id"), F.explode(search_tokens(F.col(query))).alias("token"))
              .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("weight")))
@@ -54,12 +58,21 @@ def catalog_match(queries: DataFrame, vault: DataFrame, query_id: str = "query_i
         .alias("j"), "i").select("run", F.expr("substring(run, i, j - i + 1)").alias("token")).distinct()
     hits = subs.join(tokens, "token").select("run", "token")
     item_tokens = item_runs.join(hits, "run").select("item_pos", "token").distinct()
-    scores = (q_tok.join(item_tokens, "token")
-              .groupBy("query_id", "item_pos").agg(F.sum("weight").alias("score")))
-    best = scores.groupBy("query_id").agg(
-        F.min_by("item_pos", F.struct(-F.col("score"), F.col("item_pos"))).alias("item_pos"),
+    # item classes: same matched-token set -> same score against every query
+    item_sig = item_tokens.groupBy("item_pos").agg(F.sort_array(F.collect_list("token")).alias("isig"))
+    item_cls = item_sig.groupBy("isig").agg(F.min("item_pos").alias("first_pos"))
+    item_cls_tok = item_cls.select("isig", "first_pos", F.explode("isig").alias("token"))
+    # query classes: same (token, weight) multiset
+    q_sig = q_tok.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("qsig"))
+    q_cls_tok = (q_sig.select("qsig").distinct()
+                 .select("qsig", F.inline(F.col("qsig"))))
+    scores = (q_cls_tok.join(item_cls_tok, "token")
+              .groupBy("qsig", "isig", "first_pos").agg(F.sum("weight").alias("score")))
+    best = scores.groupBy("qsig").agg(
+        F.min_by("first_pos", F.struct(-F.col("score"), F.col("first_pos"))).alias("item_pos"),
         F.max("score").alias("score"))
-    return best.join(vault.select(F.col("row_pos").alias("item_pos"), "sku"), "item_pos").select(
+    per_query = q_sig.join(best, "qsig").select("query_id", "item_pos", "score")
+    return per_query.join(vault.select(F.col("row_pos").alias("item_pos"), "sku"), "item_pos").select(
         "query_id", F.col("item_pos").alias("row_pos"), "sku", "score")
 
 

@@ -69,26 +69,42 @@ def legacy_guard(sales: DataFrame) -> DataFrame:
                                 F.lit(False)).alias("enabled"))
 
 
-def cac(sales: DataFrame, as_of: Column, weekly_spend: float, guard: bool = True,
-        approximate: bool = False) -> DataFrame:
-    """Distinct clients in the last 7 days and spend per client.
+def sales_kpis(sales: DataFrame, as_of: Column, weekly_spend: float, guard: bool = True,
+               approximate: bool = False) -> DataFrame:
+    """A1/A2/A5/A6/P2f in ONE aggregate pass over sales: realised revenue,
+    true profit, distinct recent clients, CAC and the legacy-status guard.
 
     Blank handles count as a client, null handles do not (Q4).  With
-    ``guard`` (parity, Q1) everything is 0 unless the legacy status occurs.
-    ``approximate`` swaps the exact distinct (two aggregation levels) for a
-    HyperLogLog sketch."""
-    recent = recent_sales(sales, as_of, 7)
-    distinct = (F.approx_count_distinct("handle") if approximate else F.count_distinct("handle"))
-    n = recent.agg(distinct.alias("new_clients"))
+    ``guard`` (parity, Q1) clients and CAC are 0 unless the legacy status
+    occurs somewhere.  ``approximate`` swaps the exact distinct (Spark
+    expands rows for it) for a HyperLogLog sketch."""
+    paid = is_paid()
+    recent = sales.where(paid & (F.col("sale_date") >= _days_before(as_of, 7)) & F.col("handle").isNotNull())
+    if approximate:
+        n_clients = recent.agg(F.approx_count_distinct("handle")).scalar()
+    else:
+        # exact distinct of the (filtered) recent rows as a grouped count: a
+        # count_distinct next to the other sums would expand every sales row
+        n_clients = recent.select("handle").distinct().agg(F.count(F.lit(1))).scalar()
+    agg = sales.agg(
+        F.sum(F.when(paid, F.col("paid"))).alias("_rev"),
+        F.sum(F.when(paid, F.col("paid") - F.col("cost") - F.col("courier"))).alias("_profit"),
+        F.coalesce(F.bool_or(F.col("payment_status") == LEGACY_PAID_STATUS), F.lit(False)).alias("enabled"),
+    ).withColumn("_n", n_clients)
     spend = F.lit(float(weekly_spend))
-    out = n.select("new_clients",
-                   F.when(F.col("new_clients") > 0, spend / F.col("new_clients")).otherwise(spend).alias("cac"))
-    if guard:
-        enabled = legacy_guard(sales).scalar()  # one-row aggregate as a scalar subquery
-        out = out.select(
-            F.when(enabled, F.col("new_clients")).otherwise(F.lit(0).cast("bigint")).alias("new_clients"),
-            F.when(enabled, F.col("cac")).otherwise(F.lit(0.0)).alias("cac"))
-    return out.select("new_clients", "cac", spend.alias("weekly_spend"))
+    on = F.col("enabled") if guard else F.lit(True)
+    n = F.when(on, F.col("_n")).otherwise(F.lit(0).cast("bigint"))
+    cac_v = F.when(~on, F.lit(0.0)).when(F.col("_n") > 0, spend / F.col("_n")).otherwise(spend)
+    return agg.select(F.coalesce(F.col("_rev"), F.lit(0)).cast("double").alias("realised_revenue"),
+                      F.coalesce(F.col("_profit"), F.lit(0)).cast("double").alias("true_profit"),
+                      n.alias("new_clients"), cac_v.alias("cac"), "enabled")
+
+
+def cac(sales: DataFrame, as_of: Column, weekly_spend: float, guard: bool = True,
+        approximate: bool = False) -> DataFrame:
+    """Distinct paid clients in the last 7 days and spend per client."""
+    k = sales_kpis(sales, as_of, weekly_spend, guard, approximate)
+    return k.select("new_clients", "cac", F.lit(float(weekly_spend)).alias("weekly_spend"))
 
 
 def monthly_revenue(sales: DataFrame) -> DataFrame:
@@ -102,21 +118,30 @@ def mom_growth(sales: DataFrame, guard: bool = True) -> DataFrame:
     """Growth of the last present month over the previous present month,
     in percent.  Fewer than two months -> 0; previous month 0 -> null (Q3).
 
-    The window runs over the monthly aggregate (one row per month), never
-    over sales rows."""
-    months = monthly_revenue(sales)
-    w = Window.orderBy("month")
-    with_prev = months.select("month", "revenue", F.lag("revenue").over(w).alias("prev"))
-    last = with_prev.agg(F.max_by(F.struct("revenue", "prev"), "month").alias("m"), F.count(F.lit(1)).alias("n"))
+    One pass: months are aggregated over *all* rows (the guard needs every
+    status), a month is present when it has a paid sale.  The window then
+    runs over the monthly aggregate (one row per month), never sales rows."""
+    paid = is_paid() & F.col("sale_date").isNotNull()
+    months = (sales.groupBy(F.trunc(F.col("sale_date").cast("date"), "month").alias("month"))
+              .agg(F.sum(F.when(paid, F.col("paid"))).cast("double").alias("revenue"),
+                   F.count(F.when(paid, F.lit(1))).alias("sales"),
+                   F.bool_or(F.col("payment_status") == LEGACY_PAID_STATUS).alias("legacy")))
+    # the monthly table has one row per calendar month (bounded by the date
+    # range), so a single-partition window over it is cheap at any scale
+    w = Window.partitionBy(F.lit(1)).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
+    present = F.col("sales") > 0
+    prev = F.last(F.when(present, F.col("revenue")), ignorenulls=True).over(w)
+    with_prev = months.select("month", "revenue", "legacy", present.alias("present"), prev.alias("prev"))
+    last = with_prev.agg(
+        F.max_by(F.struct("revenue", "prev"), F.when(F.col("present"), F.col("month"))).alias("m"),
+        F.count(F.when(F.col("present"), F.lit(1))).alias("n"),
+        F.coalesce(F.bool_or("legacy"), F.lit(False)).alias("enabled"))
     pct = F.try_divide(F.col("m.revenue"), F.col("m.prev"))
     growth = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(
         F.when(F.col("m.prev") == 0, F.lit(None).cast("double")).otherwise((pct - 1.0) * 100.0))
-    out = last.select(growth.alias("mom_growth_pct"), F.col("n").alias("months"))
     if guard:
-        enabled = legacy_guard(sales).scalar()
-        out = out.select(F.when(enabled, F.col("mom_growth_pct")).otherwise(F.lit(0.0)).alias("mom_growth_pct"),
-                         "months")
-    return out
+        growth = F.when(F.col("enabled"), growth).otherwise(F.lit(0.0))
+    return last.select(growth.alias("mom_growth_pct"), F.col("n").alias("months"))
 
 
 def daily_trend(sales: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
@@ -130,23 +155,30 @@ def daily_trend(sales: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
 def category_mix(paid_lines: DataFrame) -> DataFrame:
     """Quantity per display category (all time) and its share.
 
-    The share divides by the grand total as a scalar subquery, not by an
-    unpartitioned window that would pull every group into one task."""
+    The grand total is a window over the *aggregated* table (one row per
+    display category), so the line-item pipeline runs once; a scalar
+    subquery would re-run it (no exchange reuse across subqueries)."""
     per = (paid_lines.select(display_category().alias("display_category"), "quantity")
            .groupBy("display_category").agg(F.sum("quantity").alias("quantity")))
-    total = per.agg(F.sum("quantity")).scalar()
+    total = F.sum("quantity").over(Window.partitionBy(F.lit(1)))
     return per.select("display_category", "quantity", (F.col("quantity") / total).alias("share"))
 
 
-def weekly_summary(kpi: DataFrame, top: DataFrame, dead: DataFrame, cac_row: DataFrame,
-                   mom: DataFrame, weekly_spend: float) -> DataFrame:
+def weekly_summary(sales: DataFrame, paid_lines: DataFrame, purchases: DataFrame, as_of: Column,
+                   weekly_spend: float) -> DataFrame:
     """Every KPI in one row plus the rendered summary text.
 
-    All inputs are single-row aggregates; the others enter the KPI row as
-    scalar subqueries."""
-    extra = {c: df.select(c).scalar() for df in (top, dead, cac_row, mom) for c in df.columns
-             if c != "weekly_spend"}
-    one = kpi.withColumns(extra)
+    Four passes in total: the fused sales KPIs (revenue, profit, clients,
+    CAC, guard), the monthly aggregate, the top category over line items and
+    the dead stock over purchases; the last three are one-row scalar
+    subqueries of the KPI row."""
+    base = sales_kpis(sales, as_of, weekly_spend)
+    mom = mom_growth(sales, guard=False).select("mom_growth_pct").scalar()
+    top = top_category(paid_lines).scalar()
+    dead = dead_stock(purchases, as_of).select("dead_stock_capital").scalar()
+    one = base.select("realised_revenue", "true_profit", "new_clients", "cac",
+                      F.when(F.col("enabled"), mom).otherwise(F.lit(0.0)).alias("mom_growth_pct"),
+                      top.alias("top_category"), dead.alias("dead_stock_capital"))
     spend = F.lit(float(weekly_spend))
     cac_label = (F.when(spend > 0, F.concat(F.lit("₹"), format_money(F.col("cac"), 2)))
                  .otherwise(F.lit("₹0 ")))

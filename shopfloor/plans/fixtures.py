@@ -42,13 +42,16 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     s = F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("bigint")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
-                                                 "l_extendedprice")
+    # partition the line numbering by the output key, so the per-sale
+    # aggregates downstream reuse this shuffle instead of adding another
+    w = Window.partitionBy("row_pos").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+                                              "l_extendedprice")
     k = F.col("l_partkey")
     cat = category_of(k)
     return (li.join(part, li.l_partkey == part.p_partkey)
+            .withColumnRenamed("l_orderkey", "row_pos")
             .select(
-                F.col("l_orderkey").alias("row_pos"),
+                "row_pos",
                 F.row_number().over(w).alias("line_no"),
                 F.when(k % 11 == 0, F.lit("")).when(k % 11 == 1, F.lit("N/A"))
                  .otherwise(F.concat(F.lit("JK-"), k.cast("string"))).alias("sku"),

@@ -194,16 +194,8 @@ def q_category_mix(spark, d):
 
 @query("weekly_summary")
 def q_weekly_summary(spark, d):
-    s = sales(spark, d)
-    as_of = fx.as_of_col()
-    return finance.weekly_summary(
-        finance.kpi_financial(s).drop("paid_sales"),
-        finance.top_category(paid_lines(spark, d)),
-        finance.dead_stock(purchases(spark, d), as_of).drop("old_purchases"),
-        finance.cac(s, as_of, fx.WEEKLY_SPEND),
-        finance.mom_growth(s).drop("months"),
-        fx.WEEKLY_SPEND,
-    )
+    return finance.weekly_summary(sales(spark, d), paid_lines(spark, d), purchases(spark, d), fx.as_of_col(),
+                                  fx.WEEKLY_SPEND)
 
 
 # ---------------------------------------------------------------- catalogue / inventory
