@@ -45,7 +45,7 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # partition the line numbering by the output key, so the per-sale
     # aggregates downstream reuse this shuffle instead of adding another
     w = Window.partitionBy("row_pos").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
-                                              "l_extendedprice")
+                                              "l_extendedprice", "l_quantity")
     k = F.col("l_partkey")
     cat = category_of(k)
     return (li.join(part, li.l_partkey == part.p_partkey)

@@ -86,7 +86,7 @@ FIXTURES: dict[str, str] = {
     "fx_lines": f"""
   SELECT l_orderkey AS row_pos,
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate,
-                       l_extendedprice) AS line_no,
+                       l_extendedprice, l_quantity) AS line_no,
     CASE l_partkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'N/A' ELSE 'JK-' || CAST(l_partkey AS VARCHAR) END AS sku,
     CASE WHEN l_linenumber = 7 THEN NULL WHEN l_linenumber = 2 THEN lower({cat('l_partkey')})
          ELSE {cat('l_partkey')} END AS category,

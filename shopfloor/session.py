@@ -23,6 +23,18 @@ SESSION_CONF = {
 }
 
 
+# Starting values for a large cluster (100 TB inputs): many initial shuffle
+# partitions that AQE coalesces towards the advisory size, large scan splits,
+# and skew splitting for partitions well above the median.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+}
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "shopfloor", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above.
