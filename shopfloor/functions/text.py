@@ -24,7 +24,7 @@ NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 # trying only the matching format equals trying all of them in order -- and
 # skips the costly failed parse attempts.
 DATE_FORMATS = [
-    ("MMMM d, yyyy", r"^\s*\p{L}"),
+    ("MMMM d, yyyy", r"^\p{L}"),
     ("yyyy-M-d", r"^\d{4}-"),
     ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
     ("d/M/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} "),
@@ -63,8 +63,9 @@ def money(c, fill_zero: bool = True) -> Column:
 
 
 def parse_date(c) -> Column:
-    """Per-row mixed-format date parse; unparsable -> null (timestamp)."""
-    s = _c(c)
+    """Per-row mixed-format date parse of the stripped text; unparsable ->
+    null (timestamp)."""
+    s = clean_text(c)
     out = None
     for fmt, shape in DATE_FORMATS:
         out = (F.when(s.rlike(shape), F.try_to_timestamp(s, F.lit(fmt))) if out is None

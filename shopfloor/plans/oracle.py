@@ -37,15 +37,15 @@ def money(x: str) -> str:
     return f"COALESCE(TRY_CAST({num(x)} AS DECIMAL(18,2)), CAST(0 AS DECIMAL(18,2)))"
 
 
-def pdate(x: str) -> str:
-    fmts = ["%B %d, %Y", "%Y-%m-%d", "%d/%m/%Y", "%d/%m/%Y %H:%M:%S"]
-    return "COALESCE(" + ", ".join(f"try_strptime({x}, '{f}')" for f in fmts) + ")"
-
-
 def strip(x: str) -> str:
     return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
 
 
+def pdate(x: str) -> str:
+    fmts = ["%B %d, %Y", "%Y-%m-%d", "%d/%m/%Y", "%d/%m/%Y %H:%M:%S"]
+    return "COALESCE(" + ", ".join(f"try_strptime({strip(x)}, '{f}')" for f in fmts) + ")"
+
+
 def title(x: str) -> str:
     return (f"list_aggr(list_transform(regexp_extract_all(lower({x}), '(\\p{{L}}+|\\P{{L}}+)'), "
             f"lambda t: upper(t[1]) || t[2:]), 'string_agg', '')")

@@ -4,7 +4,9 @@ import tempfile
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, ROOT)
+sys.path.insert(0, os.path.join(ROOT, "scripts"))
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -24,5 +26,5 @@ def spark():
 
 @pytest.fixture(scope="session")
 def duck():
-    from shopfloor.plans.compare import duck_connect
+    from oracle_compare import duck_connect
     return duck_connect(SMALL)

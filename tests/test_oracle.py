@@ -4,7 +4,7 @@ runs the same check on sf0.01)."""
 import pytest
 
 import __spark_entry__ as entry
-from shopfloor.plans.compare import compare
+from oracle_compare import compare
 
 from conftest import SMALL
 
