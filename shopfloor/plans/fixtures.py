@@ -180,12 +180,12 @@ MOVEMENT_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedpr
 
 
 def fx_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search requests: every tenth part describes an item in its own words."""
+    """Search requests: every part is described in its own words (some
+    descriptions repeat a word, some are blank)."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     k = F.col("p_partkey")
     q = F.concat_ws(", ", "p_name", "p_type")
-    return (p.where(k % 10 == 0)
-            .select(k.alias("query_id"),
+    return (p.select(k.alias("query_id"),
                     F.when(k % 70 == 0, F.lit(""))
                      .when(k % 50 == 0, F.concat(q, F.lit(" "), F.split("p_name", " ")[0]))
                      .otherwise(q).alias("query")))
@@ -201,8 +201,10 @@ def fx_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_restock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restock requests: one per part (``p_size - 10``; zero or negative
+    quantities are no-ops), plus SKUs that are not in the catalogue."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    req = p.where(F.col("p_partkey") % 9 == 0).select(
+    req = p.select(
         F.concat(F.lit("JK-"), F.col("p_partkey").cast("string")).alias("sku"),
         (F.col("p_size") - 10).cast("bigint").alias("qty"))
     missing = spark.createDataFrame([(f"JK-MISSING-{i}", 5) for i in (1, 2, 3)], "sku string, qty bigint")
@@ -210,9 +212,11 @@ def fx_restock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete requests: every sold-out item (stock text ``0``), plus one SKU
+    that is not in the catalogue."""
     v = fx_vault(spark, sf_dir)
     unknown = spark.createDataFrame([("JK-UNKNOWN",)], "sku string")
-    return v.where(F.col("row_pos") % 50 == 0).select("sku").unionByName(unknown)
+    return v.where(F.col("stock_text") == "0").select("sku").unionByName(unknown)
 
 
 def fx_new_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -273,7 +273,7 @@ FIXTURES.update({
     CASE WHEN p_partkey % 70 = 0 THEN ''
          WHEN p_partkey % 50 = 0 THEN p_name || ', ' || p_type || ' ' || split_part(p_name, ' ', 1)
          ELSE p_name || ', ' || p_type END AS query
-  FROM part WHERE p_partkey % 10 = 0""",
+  FROM part""",
     "fx_responses": f"""
   SELECT p_partkey AS response_id,
     'Category: ' || CASE WHEN p_partkey % 7 = 0 THEN 'Kundan Choker Set' ELSE {cat('p_partkey')} END ||
@@ -281,11 +281,10 @@ FIXTURES.update({
   FROM part""",
     "fx_restock": """
   SELECT 'JK-' || CAST(p_partkey AS VARCHAR) AS sku, CAST(p_size - 10 AS BIGINT) AS qty FROM part
-  WHERE p_partkey % 9 = 0
   UNION ALL SELECT * FROM (VALUES ('JK-MISSING-1', CAST(5 AS BIGINT)), ('JK-MISSING-2', CAST(5 AS BIGINT)),
                                  ('JK-MISSING-3', CAST(5 AS BIGINT))) t(sku, qty)""",
     "fx_deletes": """
-  SELECT sku FROM fx_vault WHERE row_pos % 50 = 0 UNION ALL SELECT 'JK-UNKNOWN'""",
+  SELECT sku FROM fx_vault WHERE stock_text = '0' UNION ALL SELECT 'JK-UNKNOWN'""",
     "fx_match": f"""
   SELECT query_id, row_pos, sku, score FROM (
     SELECT qt.query_id, v.row_pos, v.sku, sum(qt.weight) AS score,
