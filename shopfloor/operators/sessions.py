@@ -18,14 +18,16 @@ def sessionize(events: DataFrame, key: str, ts: str, gap_seconds: int = GAP_SECO
     """One row per session: key, session_start, session_end (= last event +
     gap, as ``session_window``), events.
 
-    Skew-safe two-level form: rows are cut into (key, bucket) chunks (the
-    event day by default) and each chunk finds its own session starts; the
+    Skew-safe two-level form: events with the same (key, time) are first
+    counted together (map-side), then cut into (key, bucket) chunks -- the
+    event hour by default -- and each chunk finds its own session starts; the
     previous event before each chunk comes from a scan over one summary row
-    per chunk, so a hot key is spread over its days instead of one task.
+    per chunk, so a hot key is spread over its hours instead of one task.
     The final per-session aggregate is a hash aggregate with map-side
     combining."""
-    b = bucket if bucket is not None else F.date_trunc("day", F.col(ts))
-    x = events.select(F.col(key).alias("_k"), F.col(ts).alias("_ts"), b.alias("_b"))
+    b = bucket if bucket is not None else F.date_trunc("hour", F.col(ts))
+    x = (events.groupBy(F.col(key).alias("_k"), F.col(ts).alias("_ts"), b.alias("_b"))
+         .agg(F.count(F.lit(1)).alias("_n")))
     w1 = Window.partitionBy("_k", "_b").orderBy("_ts")
     local = x.withColumn("_prev", F.lag("_ts").over(w1))
     chunks = local.groupBy("_k", "_b").agg(F.max("_ts").alias("_last"))
@@ -43,8 +45,8 @@ def sessionize(events: DataFrame, key: str, ts: str, gap_seconds: int = GAP_SECO
     carry = chunk_max.select("_k", "_b", F.max("_cmax").over(
         w2.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
     sid = F.coalesce(F.col("_sid"), F.col("_carry"))
-    tagged = s_local.join(carry, ["_k", "_b"]).select("_k", "_ts", sid.alias("_sid"))
+    tagged = s_local.join(carry, ["_k", "_b"]).select("_k", "_ts", "_n", sid.alias("_sid"))
     return (tagged.groupBy("_k", "_sid")
-            .agg(F.max("_ts").alias("_end"), F.count(F.lit(1)).alias("events"))
+            .agg(F.max("_ts").alias("_end"), F.sum("_n").alias("events"))
             .select(F.col("_k").alias(key), F.col("_sid").alias("session_start"),
                     (F.col("_end") + gap).alias("session_end"), "events"))

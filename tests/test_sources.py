@@ -57,3 +57,28 @@ def test_append_and_snapshots(spark):
 def test_shared_dir_uses_session_checkpoint_dir(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark, "x").startswith(base.rstrip("/") + "/")
+
+
+def test_logged_sales_are_written_protected(spark):
+    import datetime as dt
+    from shopfloor.functions.pii import pii_key, unprotect
+    from shopfloor.operators.items import line_items
+    from shopfloor.operators.sales_log import build_sales
+    key = pii_key(spark)
+    lines = spark.createDataFrame([(1, 2, "JK-2", "Ring", "", 2.0, 10.0, 25.5), (1, 1, "JK-1", "Other", "x", 1.0, 5.0, 9.99)],
+                                  "row_pos bigint, line_no int, sku string, category string, details string, "
+                                  "quantity double, source_price double, selling_price double")
+    headers = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 20, 0, 0), "Ann Lee", "@ann", "Paid Online", 0.0)],
+                                    "row_pos bigint, event_ts timestamp, client_name string, handle string, "
+                                    "payment_status string, courier double")
+    built = build_sales(lines, headers, pii_key=key)
+    path = shared_dir(spark, "test", "sales_log")
+    append(built, path)
+    back = read_table(spark, path)
+    r = back.select("*", unprotect("client_name", key).alias("name"), unprotect("handle", key).alias("h")).first()
+    assert r["client_name"] != "Ann Lee" and r["name"] == "Ann Lee" and r["h"] == "@ann"
+    # 20:00 UTC is 01:30 next day in IST; totals are exact; the JSON keeps line order
+    assert r["sale_ts_text"] == "02/01/2024 01:30:00" and r["sale_date_text"] == "January 02, 2024"
+    assert (r["total_pieces"], r["total_cost"], r["amount_paid"]) == (3, 25.0, 60.99)
+    items = line_items(back).orderBy("line_no").select("sku").collect()
+    assert [i["sku"] for i in items] == ["JK-1", "JK-2"]
