@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopfloor.functions.text import CATEGORIES
+from shopfloor.session import fits_broadcast
 
 # Replaces "now" in every rolling window (the newest order date in the data).
 AS_OF = "2001-08-01 00:00:00"
@@ -48,11 +49,21 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                               "l_extendedprice", "l_quantity")
     k = F.col("l_partkey")
     cat = category_of(k)
-    return (li.join(part, li.l_partkey == part.p_partkey)
-            .withColumnRenamed("l_orderkey", "row_pos")
+    renamed = li.withColumnRenamed("l_orderkey", "row_pos")
+    if fits_broadcast(part):
+        # small catalogue (size checked): number the lines first so the order
+        # shuffle carries only narrow lineitem columns, then broadcast-join
+        # the part names, which keeps the row_pos partitioning
+        joined = renamed.withColumn("line_no", F.row_number().over(w)).join(
+            F.broadcast(part), F.col("l_partkey") == F.col("p_partkey"))
+    else:
+        # large catalogue: shuffle join on the part key first, then one
+        # shuffle by order for the numbering that the per-sale steps reuse
+        joined = renamed.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn(
+            "line_no", F.row_number().over(w))
+    return (joined
             .select(
-                "row_pos",
-                F.row_number().over(w).alias("line_no"),
+                "row_pos", "line_no",
                 F.when(k % 11 == 0, F.lit("")).when(k % 11 == 1, F.lit("N/A"))
                  .otherwise(F.concat(F.lit("JK-"), k.cast("string"))).alias("sku"),
                 F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))

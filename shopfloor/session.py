@@ -80,3 +80,19 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     if "://" not in path:
         os.makedirs(path, exist_ok=True)
     return path
+
+
+def fits_broadcast(df) -> bool:
+    """Size check before choosing a broadcast plan: the optimizer's size
+    estimate of ``df`` (file sizes for a scan) against the session's
+    ``spark.sql.autoBroadcastJoinThreshold``.  Callers keep a shuffle-join
+    plan for the other case."""
+    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    try:
+        limit_bytes = int(limit)
+    except ValueError:  # e.g. "10MB"
+        limit_bytes = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
+    if limit_bytes <= 0:
+        return False
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= limit_bytes  # BigInt arrives as a Python int or a JVM object

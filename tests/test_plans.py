@@ -46,3 +46,19 @@ def test_stock_deduct_preaggregates_before_join(spark):
     p = plan(QUERIES["stock_deduct"](spark, SMALL))
     # sold quantities are summed per SKU (partial + final aggregate) before joining the catalogue
     assert "partial_sum" in p
+
+
+def test_line_numbering_plans_agree(spark):
+    """Both line-numbering plans (small catalogue: window then broadcast join;
+    large catalogue: shuffle join then window) give the same rows."""
+    from shopfloor.plans import fixtures as fx
+    small = sorted(tuple(r) for r in fx.fx_lines(spark, SMALL).collect())
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large_df = fx.fx_lines(spark, SMALL)
+        assert "BroadcastHashJoin" not in plan(large_df)
+        large = sorted(tuple(r) for r in large_df.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert small == large and len(small) > 0
