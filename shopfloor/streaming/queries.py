@@ -8,6 +8,7 @@ Event time is cast to TIMESTAMP (``withWatermark`` rejects TIMESTAMP_NTZ).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,38 +74,63 @@ def sessions(spark: SparkSession, sf_dir: str, watermark: str = "1 hour"):
 
 # ------------------------------------------------------------------ T4
 STOCK_OUT = "sku string, closing_stock long, movements long"
-STOCK_STATE = "stock long, movements long"
+STOCK_STATE = "stock long, movements long, pending string"
+_ORDER = ["ts_ms", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "delta"]
 
 
-def _fold_stock(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Apply this batch's movements of one SKU in event order.
+def _floored(start: int, deltas: np.ndarray) -> int:
+    """Floored running stock in closed form: from start ``s`` with prefix
+    sums ``p_j`` the final stock is ``s + p_n - min(0, s + min_j p_j)``."""
+    if len(deltas) == 0:
+        return start
+    p = np.cumsum(deltas)
+    return int(start + p[-1] - min(0, start + int(p.min())))
+
 
-    Floored running stock in closed form: from start ``s`` with prefix sums
-    ``p_j`` the final stock is ``s + p_n - min(0, s + min_j p_j)``."""
+def _fold_stock(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Apply one SKU's movements in event order across micro-batches.
+
+    Rows older than the watermark are final (anything earlier would be late
+    and dropped), so they are committed to the stock in order; newer rows
+    wait in the state (a JSON list, bounded by rate x watermark delay).  The
+    emitted closing stock applies the waiting rows provisionally, so it is
+    always the in-order result of everything seen so far.  An event-time
+    timeout wakes the key up to commit them once the watermark passes."""
     (sku,) = key
-    pdf = pd.concat(list(chunks), ignore_index=True)
-    pdf = pdf.sort_values(fx.MOVEMENT_ORDER, kind="mergesort")
+    frames = [c for c in chunks if len(c)]
     if state.exists:
-        start, n = state.get
+        stock, n, pending = state.get
     else:
-        start, n = max(int(pdf["s0"].iloc[0]), 0), 0
-    p = np.cumsum(pdf["delta"].to_numpy(dtype=np.int64))
-    final = int(start + p[-1] - min(0, start + int(p.min())))
-    n += len(p)
-    state.update((final, n))
-    yield pd.DataFrame({"sku": [sku], "closing_stock": [final], "movements": [n]})
-
-
-def stock_state(spark: SparkSession, sf_dir: str):
-    """T4: keyed stock per SKU, floor at 0; equals the last ledger row.
-
-    Movements inside a micro-batch are applied in event order; batches are
-    assumed to arrive in event order (rows of one SKU are not reordered
-    across batches)."""
+        stock, n, pending = None, 0, "[]"
+    rows = pd.DataFrame(json.loads(pending), columns=_ORDER + ["s0"])
+    if frames:
+        new = pd.concat(frames, ignore_index=True)
+        new["ts_ms"] = new["event_ts"].values.astype("datetime64[ms]").astype(np.int64)
+        rows = pd.concat([rows, new[_ORDER + ["s0"]]], ignore_index=True)
+    if stock is None:
+        stock = max(int(rows["s0"].iloc[0]), 0) if len(rows) else 0
+    rows = rows.sort_values(_ORDER, kind="mergesort")
+    wm = state.getCurrentWatermarkMs()
+    final = rows["ts_ms"].to_numpy(dtype=np.int64) < wm
+    stock = _floored(stock, rows.loc[final, "delta"].to_numpy(dtype=np.int64))
+    n += int(final.sum())
+    wait = rows.loc[~final]
+    closing = _floored(stock, wait["delta"].to_numpy(dtype=np.int64))
+    state.update((stock, n, json.dumps(wait.astype(object).values.tolist())))
+    if len(wait):
+        state.setTimeoutTimestamp(int(wait["ts_ms"].max()) + 1)
+    yield pd.DataFrame({"sku": [sku], "closing_stock": [closing], "movements": [n + len(wait)]})
+
+
+def stock_state(spark: SparkSession, sf_dir: str, watermark: str = "1 day"):
+    """T4: keyed stock per SKU, floor at 0, movements applied in event order
+    even when files arrive out of order (within the watermark delay); equals
+    the last ledger row (W3)."""
     li = read_stream_table(spark, sf_dir, "lineitem")
-    moves = fx.fx_movements(spark, sf_dir, lineitem=li)
+    moves = (fx.fx_movements(spark, sf_dir, lineitem=li)
+             .withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", watermark))
     out = moves.groupBy("sku").applyInPandasWithState(
-        _fold_stock, STOCK_OUT, STOCK_STATE, "update", GroupStateTimeout.NoTimeout)
+        _fold_stock, STOCK_OUT, STOCK_STATE, "update", GroupStateTimeout.EventTimeTimeout)
     return out, "update", ["sku"]
 
 

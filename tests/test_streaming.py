@@ -43,24 +43,39 @@ def test_append_mode_holds_windows_until_watermark(spark, tmp_path):
     assert 14 not in got and 15 not in got
 
 
-def test_stock_state_across_batches_matches_fold(spark, tmp_path):
-    from shopfloor.streaming.queries import STOCK_OUT, STOCK_STATE, _fold_stock
+def _stock_stream(spark, tmp_path, batches, watermark="10 days"):
     from pyspark.sql.streaming.state import GroupStateTimeout
+    from shopfloor.streaming.queries import STOCK_OUT, STOCK_STATE, _fold_stock
     src = str(tmp_path / "moves")
-    os.makedirs(src)
-    schema = ("sku string, ts timestamp, l_orderkey bigint, l_linenumber int, l_suppkey bigint, "
+    os.makedirs(src, exist_ok=True)
+    schema = ("sku string, event_ts timestamp, l_orderkey bigint, l_linenumber int, l_suppkey bigint, "
               "l_extendedprice double, delta bigint, s0 bigint")
-    t = dt.datetime(2024, 1, 1)
-    batches = [[("A", t, 1, 1, 1, 1.0, -5, 3), ("A", t, 2, 1, 1, 1.0, 4, 3)],
-               [("A", t + dt.timedelta(days=1), 3, 1, 1, 1.0, -10, 3), ("B", t, 1, 1, 1, 1.0, 2, 0)],
-               [("A", t + dt.timedelta(days=2), 4, 1, 1, 1.0, 7, 3)]]
-    for b in batches:
+    for b in batches:  # one file per micro-batch, in arrival order
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
-    moves = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    moves = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+             .withWatermark("event_ts", watermark))
     out_df = moves.groupBy("sku").applyInPandasWithState(_fold_stock, STOCK_OUT, STOCK_STATE, "update",
-                                                         GroupStateTimeout.NoTimeout)
+                                                         GroupStateTimeout.EventTimeTimeout)
     out = runner.run_stream(spark, out_df, "stock_batches", "update", ["sku"])
-    got = {r["sku"]: (r["closing_stock"], r["movements"])
-           for r in runner.read_output(spark, out, "update", keys=["sku"]).collect()}
+    return {r["sku"]: (r["closing_stock"], r["movements"])
+            for r in runner.read_output(spark, out, "update", keys=["sku"]).collect()}
+
+
+def test_stock_state_across_batches_matches_fold(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    got = _stock_stream(spark, tmp_path, [
+        [("A", t, 1, 1, 1, 1.0, -5, 3), ("A", t, 2, 1, 1, 1.0, 4, 3)],
+        [("A", t + dt.timedelta(days=1), 3, 1, 1, 1.0, -10, 3), ("B", t, 1, 1, 1, 1.0, 2, 0)],
+        [("A", t + dt.timedelta(days=2), 4, 1, 1, 1.0, 7, 3)]])
     # A: 3 -> max(0,-2)=0 -> 4 -> max(0,-6)=0 -> 7 ; B: 0 -> 2
     assert got == {"A": (7, 4), "B": (2, 1)}
+
+
+def test_stock_state_applies_out_of_order_files_in_event_order(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    got = _stock_stream(spark, tmp_path, [
+        [("A", t + dt.timedelta(days=5), 2, 1, 1, 1.0, -10, 3)],   # arrives first
+        [("A", t + dt.timedelta(days=1), 1, 1, 1, 1.0, 4, 3)],     # earlier event, within the delay
+        [("A", t + dt.timedelta(days=7), 3, 1, 1, 1.0, 7, 3)]])
+    # event order: 3 + 4 = 7, 7 - 10 = 0, 0 + 7 = 7 (arrival order would give 3-10->0, +4 = 4, +7 = 11)
+    assert got == {"A": (7, 3)}
