@@ -37,10 +37,19 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters Python's ``str.strip()`` removes (``str.isspace``), as a
+# public property of Python's string model: ASCII tab, line feed, vertical
+# tab, form feed, carriage return, the file/group/record/unit separators,
+# space, next line, no-break space, and the Unicode space separators.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000")
+
+
 def clean_text(c) -> Column:
-    """``str(x).strip()`` for non-null text: trims Unicode whitespace at both
-    ends (Spark ``trim`` only removes spaces)."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    """``str(x).strip()`` for non-null text: removes Python's whitespace set
+    at both ends with a plain character-set trim (no regex; Spark ``trim``
+    alone only removes spaces)."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def is_blank(c) -> Column:

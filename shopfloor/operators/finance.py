@@ -69,23 +69,29 @@ def legacy_guard(sales: DataFrame) -> DataFrame:
                                 F.lit(False)).alias("enabled"))
 
 
+def recent_clients(sales: DataFrame, as_of: Column, approximate: bool = False, days: int = 7) -> DataFrame:
+    """A5: one row, distinct handles of paid sales in the last ``days``.
+
+    Exact: a grouped distinct of the *filtered* rows, counted (a
+    ``count_distinct`` next to other sums would expand every sales row);
+    ``approximate`` uses a HyperLogLog sketch."""
+    recent = sales.where(is_paid() & (F.col("sale_date") >= _days_before(as_of, days)) & F.col("handle").isNotNull())
+    if approximate:
+        return recent.agg(F.approx_count_distinct("handle").alias("new_clients"))
+    return recent.select("handle").distinct().agg(F.count(F.lit(1)).alias("new_clients"))
+
+
 def sales_kpis(sales: DataFrame, as_of: Column, weekly_spend: float, guard: bool = True,
                approximate: bool = False) -> DataFrame:
-    """A1/A2/A5/A6/P2f in ONE aggregate pass over sales: realised revenue,
-    true profit, distinct recent clients, CAC and the legacy-status guard.
+    """A1/A2/A5/A6/P2f: realised revenue, true profit, distinct recent
+    clients, CAC and the legacy-status guard -- one aggregate pass plus the
+    filtered distinct of ``recent_clients`` as a scalar subquery.
 
     Blank handles count as a client, null handles do not (Q4).  With
     ``guard`` (parity, Q1) clients and CAC are 0 unless the legacy status
-    occurs somewhere.  ``approximate`` swaps the exact distinct (Spark
-    expands rows for it) for a HyperLogLog sketch."""
+    occurs somewhere."""
     paid = is_paid()
-    recent = sales.where(paid & (F.col("sale_date") >= _days_before(as_of, 7)) & F.col("handle").isNotNull())
-    if approximate:
-        n_clients = recent.agg(F.approx_count_distinct("handle")).scalar()
-    else:
-        # exact distinct of the (filtered) recent rows as a grouped count: a
-        # count_distinct next to the other sums would expand every sales row
-        n_clients = recent.select("handle").distinct().agg(F.count(F.lit(1))).scalar()
+    n_clients = recent_clients(sales, as_of, approximate).scalar()
     agg = sales.agg(
         F.sum(F.when(paid, F.col("paid"))).alias("_rev"),
         F.sum(F.when(paid, F.col("paid") - F.col("cost") - F.col("courier"))).alias("_profit"),
@@ -114,34 +120,50 @@ def monthly_revenue(sales: DataFrame) -> DataFrame:
             .agg(F.sum("paid").cast("double").alias("revenue"), F.count(F.lit(1)).alias("sales")))
 
 
-def mom_growth(sales: DataFrame, guard: bool = True) -> DataFrame:
-    """Growth of the last present month over the previous present month,
-    in percent.  Fewer than two months -> 0; previous month 0 -> null (Q3).
+def month_rollup(sales: DataFrame) -> DataFrame:
+    """One row from ONE aggregate pass over sales: month-over-month growth
+    (unguarded), number of present months, the legacy-status guard, and the
+    realised revenue and true profit over all paid sales.
 
-    One pass: months are aggregated over *all* rows (the guard needs every
-    status), a month is present when it has a paid sale.  The window then
-    runs over the monthly aggregate (one row per month), never sales rows."""
-    paid = is_paid() & F.col("sale_date").isNotNull()
+    Months are aggregated over *all* rows (the guard needs every status); a
+    month is present when it has a dated paid sale; undated paid sales land
+    in the null-month group, so the totals still include them.  The window
+    runs over the monthly table (one row per calendar month, bounded by the
+    date range), never over sales rows."""
+    paid = is_paid()
+    dated = paid & F.col("sale_date").isNotNull()
     months = (sales.groupBy(F.trunc(F.col("sale_date").cast("date"), "month").alias("month"))
-              .agg(F.sum(F.when(paid, F.col("paid"))).cast("double").alias("revenue"),
-                   F.count(F.when(paid, F.lit(1))).alias("sales"),
+              .agg(F.sum(F.when(dated, F.col("paid"))).cast("double").alias("revenue"),
+                   F.count(F.when(dated, F.lit(1))).alias("sales"),
+                   F.sum(F.when(paid, F.col("paid"))).alias("all_rev"),
+                   F.sum(F.when(paid, F.col("paid") - F.col("cost") - F.col("courier"))).alias("all_profit"),
                    F.bool_or(F.col("payment_status") == LEGACY_PAID_STATUS).alias("legacy")))
-    # the monthly table has one row per calendar month (bounded by the date
-    # range), so a single-partition window over it is cheap at any scale
     w = Window.partitionBy(F.lit(1)).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
     present = F.col("sales") > 0
     prev = F.last(F.when(present, F.col("revenue")), ignorenulls=True).over(w)
-    with_prev = months.select("month", "revenue", "legacy", present.alias("present"), prev.alias("prev"))
+    with_prev = months.select("*", present.alias("present"), prev.alias("prev"))
     last = with_prev.agg(
         F.max_by(F.struct("revenue", "prev"), F.when(F.col("present"), F.col("month"))).alias("m"),
         F.count(F.when(F.col("present"), F.lit(1))).alias("n"),
-        F.coalesce(F.bool_or("legacy"), F.lit(False)).alias("enabled"))
+        F.coalesce(F.bool_or("legacy"), F.lit(False)).alias("enabled"),
+        F.coalesce(F.sum("all_rev"), F.lit(0)).cast("double").alias("realised_revenue"),
+        F.coalesce(F.sum("all_profit"), F.lit(0)).cast("double").alias("true_profit"))
     pct = F.try_divide(F.col("m.revenue"), F.col("m.prev"))
     growth = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(
         F.when(F.col("m.prev") == 0, F.lit(None).cast("double")).otherwise((pct - 1.0) * 100.0))
+    return last.select(growth.alias("mom_growth_pct"), F.col("n").alias("months"), "enabled",
+                       "realised_revenue", "true_profit")
+
+
+def mom_growth(sales: DataFrame, guard: bool = True) -> DataFrame:
+    """Growth of the last present month over the previous present month,
+    in percent.  Fewer than two months -> 0; previous month 0 -> null (Q3);
+    with ``guard`` 0 unless the legacy status occurs (Q1).  One pass."""
+    r = month_rollup(sales)
+    growth = F.col("mom_growth_pct")
     if guard:
         growth = F.when(F.col("enabled"), growth).otherwise(F.lit(0.0))
-    return last.select(growth.alias("mom_growth_pct"), F.col("n").alias("months"))
+    return r.select(growth.alias("mom_growth_pct"), "months")
 
 
 def daily_trend(sales: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
@@ -168,17 +190,22 @@ def weekly_summary(sales: DataFrame, paid_lines: DataFrame, purchases: DataFrame
                    weekly_spend: float) -> DataFrame:
     """Every KPI in one row plus the rendered summary text.
 
-    Four passes in total: the fused sales KPIs (revenue, profit, clients,
-    CAC, guard), the monthly aggregate, the top category over line items and
-    the dead stock over purchases; the last three are one-row scalar
-    subqueries of the KPI row."""
-    base = sales_kpis(sales, as_of, weekly_spend)
-    mom = mom_growth(sales, guard=False).select("mom_growth_pct").scalar()
+    Four passes in total: the monthly rollup (revenue, profit, guard, MoM),
+    the distinct recent clients, the top category over line items and the
+    dead stock over purchases; the last three are one-row scalar subqueries
+    of the rollup row."""
+    base = month_rollup(sales)
+    n_clients = recent_clients(sales, as_of).scalar()
     top = top_category(paid_lines).scalar()
     dead = dead_stock(purchases, as_of).select("dead_stock_capital").scalar()
-    one = base.select("realised_revenue", "true_profit", "new_clients", "cac",
-                      F.when(F.col("enabled"), mom).otherwise(F.lit(0.0)).alias("mom_growth_pct"),
-                      top.alias("top_category"), dead.alias("dead_stock_capital"))
+    spend = F.lit(float(weekly_spend))
+    on = F.col("enabled")
+    one = base.select(
+        "realised_revenue", "true_profit",
+        F.when(on, n_clients).otherwise(F.lit(0).cast("bigint")).alias("new_clients"),
+        F.when(~on, F.lit(0.0)).when(n_clients > 0, spend / n_clients).otherwise(spend).alias("cac"),
+        F.when(on, F.col("mom_growth_pct")).otherwise(F.lit(0.0)).alias("mom_growth_pct"),
+        top.alias("top_category"), dead.alias("dead_stock_capital"))
     spend = F.lit(float(weekly_spend))
     cac_label = (F.when(spend > 0, F.concat(F.lit("₹"), format_money(F.col("cac"), 2)))
                  .otherwise(F.lit("₹0 ")))
