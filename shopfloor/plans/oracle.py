@@ -337,7 +337,8 @@ Q["restock_rejects"] = f"""
     AND NOT EXISTS (SELECT 1 FROM fx_vault v WHERE {strip('v.sku')} = {strip('r.sku')})"""
 Q["unmatched_lines"] = f"""
   SELECT row_pos, line_no, sku, quantity FROM fx_sellable l
-  WHERE NOT EXISTS (SELECT 1 FROM fx_vault v WHERE {strip('v.sku')} = l.sku_key)"""
+  WHERE NOT EXISTS (SELECT 1 FROM fx_vault v WHERE {strip('v.sku')} = l.sku_key
+                      AND {strip('v.sku')} NOT IN (SELECT {strip('sku')} FROM fx_deletes))"""
 Q["stock_ledger"] = """
   SELECT sku, ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta, s0,
     x + greatest(0, max(-x) OVER w) AS stock

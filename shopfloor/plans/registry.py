@@ -236,7 +236,10 @@ def q_restock_rejects(spark, d):
 
 @query("unmatched_lines")
 def q_unmatched_lines(spark, d):
-    return inventory.unmatched_lines(vault(spark, d), all_lines(spark, d))
+    """Sold lines whose SKU is no longer in the catalogue after the
+    sold-out items were deleted (they are skipped by the deduction)."""
+    current = inventory.delete_items(vault(spark, d), fx.fx_deletes(spark, d))
+    return inventory.unmatched_lines(current, all_lines(spark, d))
 
 
 @query("stock_ledger")

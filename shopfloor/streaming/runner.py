@@ -22,6 +22,14 @@ from shopfloor.session import shared_dir
 from shopfloor.sources.tables import latest_snapshot, write_snapshot
 
 
+# Refresh policy of the reference's caches, as production triggers (S7):
+# dashboard tables every 600 s, the sales list every 60 s.
+REFRESH_TRIGGERS = {
+    "dashboard": {"processingTime": "600 seconds"},
+    "sales": {"processingTime": "60 seconds"},
+}
+
+
 def read_stream_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None,
                       max_files: int | None = None) -> DataFrame:
     """Stream one table of a directory of Parquet tables (file-glob filter,
