@@ -64,7 +64,7 @@ def invoice_lines(raw_sales: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("Source Price (₹)"), F.lit(None).cast("double").alias("Selling Price (₹)"),
         total.alias("Unit Price (₹)")))
     arr = F.coalesce(parsed, fallback)
-    numbered = F.transform(arr, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("it")))
+    numbered = F.transform(arr, lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("it")))
     rows = (raw_sales.where(total.isNotNull())
             .select("row_pos", F.inline_outer(numbered)).where(F.col("it").isNotNull()))
     it = F.col("it")

@@ -26,7 +26,7 @@ def line_items(sales: DataFrame, keep: list[str] | None = None) -> DataFrame:
     parse the text three times."""
     keep = keep or []
     arr = parse_items()
-    numbered = F.transform(arr, lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("it")))
+    numbered = F.transform(arr, lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("it")))
     exploded = (sales.select("row_pos", *keep, F.inline_outer(numbered))
                 .where(F.col("it").isNotNull()))
     it = F.col("it")

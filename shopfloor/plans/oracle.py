@@ -14,7 +14,7 @@ import re
 from shopfloor.functions.text import CATEGORIES, NUMBER_RE
 
 AS_OF = "TIMESTAMP '2001-08-01 00:00:00'"
-WEEKLY_SPEND = "12000.0"
+WEEKLY_SPEND = "CAST(12000.0 AS DOUBLE)"
 
 # ------------------------------------------------------------ SQL helpers
 
@@ -287,7 +287,7 @@ FIXTURES.update({
   SELECT sku FROM fx_vault WHERE stock_text = '0' UNION ALL SELECT 'JK-UNKNOWN'""",
     "fx_match": f"""
   SELECT query_id, row_pos, sku, score FROM (
-    SELECT qt.query_id, v.row_pos, v.sku, sum(qt.weight) AS score,
+    SELECT qt.query_id, v.row_pos, v.sku, CAST(sum(qt.weight) AS BIGINT) AS score,
       row_number() OVER (PARTITION BY qt.query_id ORDER BY sum(qt.weight) DESC, v.row_pos) AS rn
     FROM (SELECT query_id, token, count(*) AS weight
           FROM (SELECT query_id, unnest({tokens('query')}) AS token FROM fx_queries) GROUP BY ALL) qt
@@ -324,13 +324,13 @@ Q["stock_deduct"] = f"""
   SELECT row_pos, sku, stock_text AS old_stock_text, COALESCE(sold_qty, 0) AS sold_qty,
     CASE WHEN sold_qty IS NOT NULL AND {stock('stock_text')} IS NOT NULL
          THEN CAST(greatest(0, {stock('stock_text')} - sold_qty) AS VARCHAR) ELSE stock_text END AS new_stock_text
-  FROM fx_vault v LEFT JOIN (SELECT sku_key, sum(qty) AS sold_qty FROM fx_sellable GROUP BY sku_key) s
+  FROM fx_vault v LEFT JOIN (SELECT sku_key, CAST(sum(qty) AS BIGINT) AS sold_qty FROM fx_sellable GROUP BY sku_key) s
     ON {strip('v.sku')} = s.sku_key"""
 Q["stock_restock"] = f"""
   SELECT row_pos, sku, stock_text AS old_stock_text, COALESCE(added_qty, 0) AS added_qty,
     CASE WHEN added_qty IS NOT NULL THEN CAST(COALESCE({stock('stock_text')}, 0) + added_qty AS VARCHAR)
          ELSE stock_text END AS new_stock_text
-  FROM fx_vault v LEFT JOIN (SELECT {strip('sku')} AS sku_key, sum(qty) AS added_qty FROM fx_restock
+  FROM fx_vault v LEFT JOIN (SELECT {strip('sku')} AS sku_key, CAST(sum(qty) AS BIGINT) AS added_qty FROM fx_restock
                              WHERE qty > 0 GROUP BY 1) r ON {strip('v.sku')} = r.sku_key"""
 Q["restock_rejects"] = f"""
   SELECT sku, qty FROM fx_restock r WHERE qty > 0
@@ -341,7 +341,7 @@ Q["unmatched_lines"] = f"""
                       AND {strip('v.sku')} NOT IN (SELECT {strip('sku')} FROM fx_deletes))"""
 Q["stock_ledger"] = """
   SELECT sku, ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta, s0,
-    x + greatest(0, max(-x) OVER w) AS stock
+    CAST(x + greatest(0, max(-x) OVER w) AS BIGINT) AS stock
   FROM (SELECT *, greatest(s0, 0) + sum(delta) OVER w AS x FROM fx_movements
         WINDOW w AS (PARTITION BY sku ORDER BY ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta
                      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
@@ -422,7 +422,7 @@ Q["stream_daily_trend"] = f"""SELECT CAST(sale_date AS DATE) AS sale_day, CAST(s
   WHERE {paid()} AND sale_date IS NOT NULL GROUP BY 1"""
 Q["stream_sessions"] = Q["sessions"]
 Q["stream_stock"] = f"""
-  SELECT sku, arg_max(stock, rn) AS closing_stock, count(*) AS movements FROM (
+  SELECT sku, CAST(arg_max(stock, rn) AS BIGINT) AS closing_stock, count(*) AS movements FROM (
     SELECT sku, x + greatest(0, max(-x) OVER w) AS stock, row_number() OVER w AS rn
     FROM (SELECT *, greatest(s0, 0) + sum(delta) OVER w AS x FROM fx_movements
           WINDOW w AS (PARTITION BY sku ORDER BY ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta

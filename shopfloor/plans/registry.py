@@ -314,7 +314,7 @@ def q_log_sales(spark, d):
     built = sales_log.build_sales(fx.fx_lines(spark, d), sale_headers(fx.fx_sales(spark, d)))
     parsed = items.parse_items()
     return built.select(
-        "*", F.size(parsed).alias("n_items"),
+        "*", F.size(parsed).cast("bigint").alias("n_items"),
         F.aggregate(parsed, F.lit(0.0), lambda acc, x: acc + x["Quantity"]).alias("json_qty"),
     ).drop("line_items_json")
 

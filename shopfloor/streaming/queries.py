@@ -102,11 +102,12 @@ def _fold_stock(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Itera
         stock, n, pending = state.get
     else:
         stock, n, pending = None, 0, "[]"
-    rows = pd.DataFrame(json.loads(pending), columns=_ORDER + ["s0"])
+    parts = [pd.DataFrame(json.loads(pending), columns=_ORDER + ["s0"])] if pending != "[]" else []
     if frames:
         new = pd.concat(frames, ignore_index=True)
         new["ts_ms"] = new["event_ts"].values.astype("datetime64[ms]").astype(np.int64)
-        rows = pd.concat([rows, new[_ORDER + ["s0"]]], ignore_index=True)
+        parts.append(new[_ORDER + ["s0"]])
+    rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=_ORDER + ["s0"])
     if stock is None:
         stock = max(int(rows["s0"].iloc[0]), 0) if len(rows) else 0
     rows = rows.sort_values(_ORDER, kind="mergesort")

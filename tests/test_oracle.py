@@ -44,3 +44,15 @@ def test_weekly_clients_within_sketch_error(spark):
     assert len(j) == approx.count() > 0
     for r in j:
         assert abs(r["approx_clients"] - r["n"]) <= max(2, 0.1 * r["n"])
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("key", sorted(k for k in SQL if not k.startswith("stream_")))
+def test_types_match_oracle(spark, duck, key):
+    """Same column types on both sides, not only equal values."""
+    spark_types = {c: SPARK_TO_DUCK.get(t, t) for c, t in QUERIES[key](spark, SMALL).dtypes}
+    duck_types = {r[0]: r[1] for r in duck.execute(f"DESCRIBE {SQL[key]}").fetchall()}
+    assert spark_types == duck_types
