@@ -106,3 +106,28 @@ def materialize(df):
     if not spark.sparkContext.getCheckpointDir():
         shared_dir(spark)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``shopfloor`` importable in Python workers (state functions are
+    pickled by reference to their module).  The package is zipped once per
+    SparkContext and added with ``addPyFile``; Spark copies it to every
+    executor, so no worker reads the driver's disk."""
+    import shutil
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    base = shared_dir(spark, "pyfiles")
+    # the zip is written by the driver; on a non-local shared folder it is
+    # staged on the driver and Spark's file server hands it to executors
+    stage = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in stage:
+        stage = tempfile.mkdtemp(prefix="shopfloor-pyfiles-")
+    archive = shutil.make_archive(os.path.join(stage, "shopfloor"), "zip", os.path.dirname(pkg_dir), "shopfloor")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)

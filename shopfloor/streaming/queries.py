@@ -22,6 +22,7 @@ from shopfloor.operators.inventory import sellable_lines
 from shopfloor.operators.items import line_items
 from shopfloor.operators.sessions import GAP_SECONDS
 from shopfloor.plans import fixtures as fx
+from shopfloor.session import ship_package
 from shopfloor.streaming.runner import read_stream_table
 
 
@@ -127,6 +128,7 @@ def stock_state(spark: SparkSession, sf_dir: str, watermark: str = "1 day"):
     """T4: keyed stock per SKU, floor at 0, movements applied in event order
     even when files arrive out of order (within the watermark delay); equals
     the last ledger row (W3)."""
+    ship_package(spark)  # the state function runs in Python workers
     li = read_stream_table(spark, sf_dir, "lineitem")
     moves = (fx.fx_movements(spark, sf_dir, lineitem=li)
              .withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", watermark))
