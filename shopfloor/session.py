@@ -58,6 +58,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                 spark.conf.set(k, v)
             except Exception:  # static conf of an already running session
                 pass
+    ship_package(spark)
     return spark
 
 
