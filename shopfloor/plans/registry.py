@@ -11,12 +11,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopfloor.functions.pii import pii_key, protect, unprotect
 from shopfloor.functions.text import clean_number, clean_text, is_blank, money
 from shopfloor.operators import catalog, clients, finance, inventory, invoices, items, sales_log, sessions
-from shopfloor.operators.cleaning import is_paid, normalize_purchases, normalize_sales, normalize_vault
+from shopfloor.operators.cleaning import (is_paid, normalize_purchases, normalize_sales, normalize_vault,
+                                         standard_names)
 from shopfloor.plans import fixtures as fx
+from shopfloor.schemas import PURCHASE_HEADERS, SALES_HEADERS, VAULT_HEADERS
+from shopfloor.session import shared_dir
+from shopfloor.sources import read_table
 from shopfloor.streaming import queries as stream_q
 from shopfloor.streaming import runner, upsert
 
@@ -50,19 +55,57 @@ def purchases(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sources
+# CSV keeps null, '' and '  ' apart only with an explicit null token and
+# whitespace preserved on both the write and the read side.
+CSV_OPTIONS = {"nullValue": "\\N", "ignoreLeadingWhiteSpace": "false",
+               "ignoreTrailingWhiteSpace": "false"}
+
+
+def _sheet_export(spark: SparkSession, df: DataFrame, headers: dict[str, str], fmt: str, name: str) -> str:
+    """Write a derived table the way a sheet export looks (sheet header
+    names, padded with a stray space as exports often are) into the shared
+    folder; the scan keys then read it back through the source layer."""
+    inverse = {v: k for k, v in headers.items()}
+    out = shared_dir(spark, "export", name)
+    cols = [F.col(c).alias(f" {inverse[c]} " if c in inverse else c) for c in df.columns]
+    w = df.select(*cols).write.mode("overwrite").format(fmt).option("header", "true")
+    if fmt == "csv":
+        w = w.options(**CSV_OPTIONS)
+    w.save(out)
+    return out
+
+
+def _sheet_schema(df: DataFrame, headers: dict[str, str]):
+    inverse = {v: k for k, v in headers.items()}
+    return T.StructType([T.StructField(f" {inverse[f.name]} " if f.name in inverse else f.name, f.dataType)
+                         for f in df.schema.fields])
+
+
 @query("scan_sales")
 def scan_sales(spark, d):
-    return fx.fx_sales(spark, d).drop("order_ts")
+    """CSV sheet export -> declared schema -> trimmed, mapped names."""
+    fx_df = fx.fx_sales(spark, d).drop("order_ts")
+    path = _sheet_export(spark, fx_df, SALES_HEADERS, "csv", "sales")
+    raw = read_table(spark, path, _sheet_schema(fx_df, SALES_HEADERS), fmt="csv", **CSV_OPTIONS)
+    return standard_names(raw, SALES_HEADERS)
 
 
 @query("scan_purchases")
 def scan_purchases(spark, d):
-    return fx.fx_purchases(spark, d)
+    """JSON-lines export of the purchases sheet."""
+    fx_df = fx.fx_purchases(spark, d)
+    path = _sheet_export(spark, fx_df, PURCHASE_HEADERS, "json", "purchases")
+    raw = read_table(spark, path, _sheet_schema(fx_df, PURCHASE_HEADERS), fmt="json")
+    return standard_names(raw, PURCHASE_HEADERS)
 
 
 @query("scan_vault")
 def scan_vault(spark, d):
-    return fx.fx_vault(spark, d)
+    """S3: Parquet catalogue; a missing catalogue would read as empty."""
+    fx_df = fx.fx_vault(spark, d)
+    path = _sheet_export(spark, fx_df, VAULT_HEADERS, "parquet", "vault")
+    raw = read_table(spark, path, _sheet_schema(fx_df, VAULT_HEADERS), missing_ok=True)
+    return standard_names(raw, VAULT_HEADERS)
 
 
 # ---------------------------------------------------------------- cleaning
