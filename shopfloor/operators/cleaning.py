@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.functions.text import clean_number, money, parse_date
+from shopfloor.functions.text import clean_number, clean_text, money, parse_date
 from shopfloor.schemas import PURCHASE_HEADERS, SALES_HEADERS, VAULT_HEADERS
 
 PAID_MARK = "Paid"
@@ -80,7 +80,7 @@ def stock_value(c, bad_as_zero: bool) -> F.Column:
     """Integer stock.  Blank -> 0; other text that is not an integer ->
     null (the row is skipped by a deduction) or 0 (restock)."""
     s = F.col(c) if isinstance(c, str) else c
-    t = F.trim(s.cast("string"))
+    t = clean_text(s.cast("string"))  # int() strips any whitespace
     v = F.when(s.isNull() | (t == ""), F.lit(0).cast("bigint")).otherwise(t.try_cast("bigint"))
     return F.coalesce(v, F.lit(0).cast("bigint")) if bad_as_zero else v
 

@@ -241,7 +241,8 @@ Q["weekly_summary"] = f"""SELECT k.realised_revenue, k.true_profit, t.top_catego
 
 
 def stock(x: str) -> str:
-    return f"(CASE WHEN {x} IS NULL OR trim({x}) = '' THEN CAST(0 AS BIGINT) ELSE TRY_CAST(trim({x}) AS BIGINT) END)"
+    return (f"(CASE WHEN {x} IS NULL OR {strip(x)} = '' THEN CAST(0 AS BIGINT) "
+            f"ELSE TRY_CAST({strip(x)} AS BIGINT) END)")
 
 
 def tokens(x: str) -> str:
