@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from shopfloor.functions.text import format_money
 from shopfloor.operators.cleaning import is_paid
 from shopfloor.operators.items import display_category
-from shopfloor.session import materialize
 
 # Fixed value that must equal the reference: the legacy status whose
 # presence enables the CAC / month-over-month engine (quirk Q1).
@@ -178,12 +177,12 @@ def daily_trend(sales: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
 def category_mix(paid_lines: DataFrame) -> DataFrame:
     """Quantity per display category (all time) and its share.
 
-    The per-category aggregate is checkpointed into the shared checkpoint
-    folder and the grand total is a scalar subquery over it: the line-item
-    pipeline runs once, and no single task has to hold every category (a
-    global window would)."""
-    per = materialize(paid_lines.select(display_category().alias("display_category"), "quantity")
-                      .groupBy("display_category").agg(F.sum("quantity").alias("quantity")))
+    The grand total is a scalar subquery over the per-category aggregate;
+    at run time AQE reuses the aggregate's shuffle for it (``ReusedExchange``
+    in the final plan), so the line-item pipeline runs once and no single
+    task has to hold every category (a global window would)."""
+    per = (paid_lines.select(display_category().alias("display_category"), "quantity")
+           .groupBy("display_category").agg(F.sum("quantity").alias("quantity")))
     total = per.agg(F.sum("quantity")).scalar()
     return per.select("display_category", "quantity", (F.col("quantity") / total).alias("share"))
 

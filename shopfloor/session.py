@@ -99,16 +99,6 @@ def fits_broadcast(df) -> bool:
     return int(str(size)) <= limit_bytes  # BigInt arrives as a Python int or a JVM object
 
 
-def materialize(df):
-    """Reliable checkpoint of ``df`` into the shared checkpoint folder (cuts
-    lineage; survives executor loss).  Used where a derived table feeds two
-    branches of a plan and AQE would otherwise compute it twice."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        shared_dir(spark)
-    return df.checkpoint(eager=True)
-
-
 _SHIPPED: set[str] = set()
 
 
