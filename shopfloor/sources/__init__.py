@@ -5,5 +5,6 @@ from shopfloor.sources.tables import (  # noqa: F401
     empty,
     latest_snapshot,
     read_table,
+    versions,
     write_snapshot,
 )

@@ -41,7 +41,8 @@ def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[st
     w.save(path)
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
+def versions(spark: SparkSession, base: str) -> list[int]:
+    """Complete snapshot versions under ``base``, ascending."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(base)
@@ -70,7 +71,7 @@ def write_snapshot(df: DataFrame, base: str, version: int, fmt: str = "parquet")
 
 def latest_snapshot(spark: SparkSession, base: str, schema: T.StructType | None = None,
                     fmt: str = "parquet") -> DataFrame | None:
-    vs = _versions(spark, base)
+    vs = versions(spark, base)
     if not vs:
         return None
     return read_table(spark, f"{base.rstrip('/')}/v={vs[-1]:012d}", schema, fmt)

@@ -82,3 +82,35 @@ def test_logged_sales_are_written_protected(spark):
     assert (r["total_pieces"], r["total_cost"], r["amount_paid"]) == (3, 25.0, 60.99)
     items = line_items(back).orderBy("line_no").select("sku").collect()
     assert [i["sku"] for i in items] == ["JK-1", "JK-2"]
+
+
+def test_checkout_appends_sales_and_writes_next_catalogue(spark):
+    import datetime as dt
+    from shopfloor.operators.flows import checkout
+    base = shared_dir(spark, "test", "checkout")
+    vault = spark.createDataFrame([(1, "JK-1", "5"), (2, "JK-2", "1"), (3, "JK-3", "x")],
+                                  "row_pos bigint, sku string, stock_text string")
+    write_snapshot(vault, f"{base}/vault", 0)
+    lines = spark.createDataFrame([(10, 1, "JK-1", "Ring", "", 2.0, 1.0, 3.0), (10, 2, "JK-2", "Ring", "", 4.0, 1.0, 3.0),
+                                   (11, 1, "JK-3", "Ring", "", 1.0, 1.0, 3.0), (11, 2, "N/A", "Other", "x", 1.0, 1.0, 3.0)],
+                                  "row_pos bigint, line_no int, sku string, category string, details string, "
+                                  "quantity double, source_price double, selling_price double")
+    headers = spark.createDataFrame([(10, dt.datetime(2024, 1, 1), "A", "@a", "Paid Online", 0.0),
+                                     (11, dt.datetime(2024, 1, 2), "B", "@b", "Pending", 0.0)],
+                                    "row_pos bigint, event_ts timestamp, client_name string, handle string, "
+                                    "payment_status string, courier double")
+    rows, new_vault = checkout(spark, lines, headers, f"{base}/sales", f"{base}/vault")
+    assert read_table(spark, f"{base}/sales").count() == 2
+    assert {r["sku"]: r["stock_text"] for r in new_vault.collect()} == {"JK-1": "3", "JK-2": "0", "JK-3": "x"}
+    assert latest_snapshot(spark, f"{base}/vault").count() == 3
+
+
+def test_dashboard_datasets(spark):
+    from conftest import SMALL
+    from shopfloor.operators.flows import dashboard
+    from shopfloor.plans import fixtures as fx
+    out = dashboard(fx.fx_sales(spark, SMALL, with_items=True), fx.fx_purchases(spark, SMALL), fx.as_of_col(),
+                    fx.WEEKLY_SPEND)
+    assert set(out) == {"summary", "daily_trend", "category_mix", "client_value", "top_clients", "repeat_rate"}
+    assert out["summary"].count() == 1 and out["top_clients"].count() == 5
+    assert abs(sum(r["share"] for r in out["category_mix"].collect()) - 1.0) < 1e-9
