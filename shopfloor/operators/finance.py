@@ -191,22 +191,32 @@ def weekly_summary(sales: DataFrame, paid_lines: DataFrame, purchases: DataFrame
                    weekly_spend: float) -> DataFrame:
     """Every KPI in one row plus the rendered summary text.
 
-    Four passes in total: the monthly rollup (revenue, profit, guard, MoM),
-    the distinct recent clients, the top category over line items and the
-    dead stock over purchases; the last three are one-row scalar subqueries
-    of the rollup row."""
-    base = month_rollup(sales)
-    n_clients = recent_clients(sales, as_of).scalar()
-    top = top_category(paid_lines).scalar()
-    dead = dead_stock(purchases, as_of).select("dead_stock_capital").scalar()
+    The four one-row aggregates -- the monthly rollup (revenue, profit,
+    guard, MoM), the distinct recent clients, the top category over line
+    items and the dead stock over purchases -- are stacked as a union of
+    one-row frames and collapsed by one final aggregate, so they run as
+    concurrent stages of a single job."""
+    parts = [
+        (month_rollup(sales), ("realised_revenue", "true_profit", "mom_growth_pct", "enabled")),
+        (recent_clients(sales, as_of), ("new_clients",)),
+        (top_category(paid_lines), ("top_category",)),
+        (dead_stock(purchases, as_of), ("dead_stock_capital",)),
+    ]
+    types = {c: t for df, have in parts for c, t in df.dtypes if c in have}
+    stacked = None
+    for df, have in parts:
+        row = df.select(*[F.col(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in types.items()])
+        stacked = row if stacked is None else stacked.unionByName(row)
+    base = stacked.agg(*[F.max(c).alias(c) for c in types])  # one non-null value per column
     spend = F.lit(float(weekly_spend))
     on = F.col("enabled")
+    n_clients = F.col("new_clients")
     one = base.select(
         "realised_revenue", "true_profit",
         F.when(on, n_clients).otherwise(F.lit(0).cast("bigint")).alias("new_clients"),
         F.when(~on, F.lit(0.0)).when(n_clients > 0, spend / n_clients).otherwise(spend).alias("cac"),
         F.when(on, F.col("mom_growth_pct")).otherwise(F.lit(0.0)).alias("mom_growth_pct"),
-        top.alias("top_category"), dead.alias("dead_stock_capital"))
+        "top_category", "dead_stock_capital")
     spend = F.lit(float(weekly_spend))
     cac_label = (F.when(spend > 0, F.concat(F.lit("₹"), format_money(F.col("cac"), 2)))
                  .otherwise(F.lit("₹0 ")))
