@@ -422,6 +422,12 @@ Q["stream_daily_trend"] = f"""SELECT CAST(sale_date AS DATE) AS sale_day, CAST(s
   CAST(sum(paid - cost - courier) AS DOUBLE) AS true_profit FROM fx_sales_t
   WHERE {paid()} AND sale_date IS NOT NULL GROUP BY 1"""
 Q["stream_sessions"] = Q["sessions"]
+Q["stream_weekly_clients"] = f"""
+  SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(DISTINCT handle) AS clients
+  FROM (SELECT handle, date_trunc('day', sale_date) - to_days(CAST(k AS INTEGER)) AS window_start
+        FROM fx_sales_t, range(0, 7) r(k)
+        WHERE {paid()} AND sale_date IS NOT NULL AND handle IS NOT NULL)
+  GROUP BY window_start"""
 Q["stream_stock"] = f"""
   SELECT sku, CAST(arg_max(stock, rn) AS BIGINT) AS closing_stock, count(*) AS movements FROM (
     SELECT sku, x + greatest(0, max(-x) OVER w) AS stock, row_number() OVER w AS rn

@@ -403,7 +403,7 @@ def q_stream_daily_trend(spark, d):
 
 @query("stream_weekly_clients")
 def q_stream_weekly_clients(spark, d):
-    return _run(spark, stream_q.weekly_clients(spark, d), "stream_weekly_clients")
+    return stream_q.distinct_per_window(_run(spark, stream_q.weekly_clients(spark, d), "stream_weekly_clients"))
 
 
 @query("stream_sessions")
