@@ -8,6 +8,7 @@ Event time is cast to TIMESTAMP (``withWatermark`` rejects TIMESTAMP_NTZ).
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -90,7 +91,7 @@ def sessions(spark: SparkSession, sf_dir: str, watermark: str = "1 hour"):
 
 # ------------------------------------------------------------------ T4
 STOCK_OUT = "sku string, closing_stock long, movements long"
-STOCK_STATE = "stock long, movements long, pending string"
+STOCK_STATE = "stock long, movements long, pending string, max_ts long"
 _ORDER = ["ts_ms", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "delta"]
 
 
@@ -103,21 +104,25 @@ def _floored(start: int, deltas: np.ndarray) -> int:
     return int(start + p[-1] - min(0, start + int(p.min())))
 
 
-def _fold_stock(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _fold_stock(key, chunks: Iterator[pd.DataFrame], state: GroupState,
+                delay_ms: int = 86_400_000) -> Iterator[pd.DataFrame]:
     """Apply one SKU's movements in event order across micro-batches.
 
-    Rows older than the watermark are final (anything earlier would be late
-    and dropped), so they are committed to the stock in order; newer rows
-    wait in the state (a JSON list, bounded by rate x watermark delay).  The
+    A row is final once it is older than the watermark *or* older than this
+    key's newest event minus the watermark delay (the next global watermark
+    is at least that, so anything earlier arriving later is late and
+    dropped).  Final rows are committed to the stock in order; newer rows
+    wait in the state (a JSON list, bounded by rate x delay -- also on a
+    backfill's first batch, when the watermark is not set yet).  The
     emitted closing stock applies the waiting rows provisionally, so it is
     always the in-order result of everything seen so far.  An event-time
     timeout wakes the key up to commit them once the watermark passes."""
     (sku,) = key
     frames = [c for c in chunks if len(c)]
     if state.exists:
-        stock, n, pending = state.get
+        stock, n, pending, max_ts = state.get
     else:
-        stock, n, pending = None, 0, "[]"
+        stock, n, pending, max_ts = None, 0, "[]", None
     parts = [pd.DataFrame(json.loads(pending), columns=_ORDER + ["s0"])] if pending != "[]" else []
     if frames:
         new = pd.concat(frames, ignore_index=True)
@@ -127,28 +132,35 @@ def _fold_stock(key, chunks: Iterator[pd.DataFrame], state: GroupState) -> Itera
     if stock is None:
         stock = max(int(rows["s0"].iloc[0]), 0) if len(rows) else 0
     rows = rows.sort_values(_ORDER, kind="mergesort")
-    wm = state.getCurrentWatermarkMs()
-    final = rows["ts_ms"].to_numpy(dtype=np.int64) < wm
+    ts = rows["ts_ms"].to_numpy(dtype=np.int64)
+    if len(ts):
+        max_ts = int(ts.max()) if max_ts is None else max(max_ts, int(ts.max()))
+    bound = state.getCurrentWatermarkMs()
+    if max_ts is not None:
+        bound = max(bound, max_ts - delay_ms)
+    final = ts < bound
     stock = _floored(stock, rows.loc[final, "delta"].to_numpy(dtype=np.int64))
     n += int(final.sum())
     wait = rows.loc[~final]
     closing = _floored(stock, wait["delta"].to_numpy(dtype=np.int64))
-    state.update((stock, n, json.dumps(wait.astype(object).values.tolist())))
+    state.update((stock, n, json.dumps(wait.astype(object).values.tolist()), max_ts))
     if len(wait):
         state.setTimeoutTimestamp(int(wait["ts_ms"].max()) + 1)
     yield pd.DataFrame({"sku": [sku], "closing_stock": [closing], "movements": [n + len(wait)]})
 
 
-def stock_state(spark: SparkSession, sf_dir: str, watermark: str = "1 day"):
+def stock_state(spark: SparkSession, sf_dir: str, watermark_days: int = 1):
     """T4: keyed stock per SKU, floor at 0, movements applied in event order
     even when files arrive out of order (within the watermark delay); equals
     the last ledger row (W3)."""
     ship_package(spark)  # the state function runs in Python workers
     li = read_stream_table(spark, sf_dir, "lineitem")
     moves = (fx.fx_movements(spark, sf_dir, lineitem=li)
-             .withColumn("event_ts", F.col("ts").cast("timestamp")).withWatermark("event_ts", watermark))
+             .withColumn("event_ts", F.col("ts").cast("timestamp"))
+             .withWatermark("event_ts", f"{watermark_days} days"))
+    fold = functools.partial(_fold_stock, delay_ms=watermark_days * 86_400_000)
     out = moves.groupBy("sku").applyInPandasWithState(
-        _fold_stock, STOCK_OUT, STOCK_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+        fold, STOCK_OUT, STOCK_STATE, "update", GroupStateTimeout.EventTimeTimeout)
     return out, "update", ["sku"]
 
 

@@ -54,7 +54,9 @@ def _stock_stream(spark, tmp_path, batches, watermark="10 days"):
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
     moves = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
              .withWatermark("event_ts", watermark))
-    out_df = moves.groupBy("sku").applyInPandasWithState(_fold_stock, STOCK_OUT, STOCK_STATE, "update",
+    import functools
+    fold = functools.partial(_fold_stock, delay_ms=int(watermark.split()[0]) * 86_400_000)
+    out_df = moves.groupBy("sku").applyInPandasWithState(fold, STOCK_OUT, STOCK_STATE, "update",
                                                          GroupStateTimeout.EventTimeTimeout)
     out = runner.run_stream(spark, out_df, "stock_batches", "update", ["sku"])
     return {r["sku"]: (r["closing_stock"], r["movements"])
