@@ -1,9 +1,10 @@
 """Apply each micro-batch's sold lines to the catalogue snapshot.
 
-Plain Parquet has no MERGE, so every batch writes the next catalogue
-version ``v = batch_id + 1`` computed from version ``batch_id``.  A retried
-batch recomputes the same version from the same input (idempotent); readers
-take the newest version with a ``_SUCCESS`` marker.  Successive floored
+Plain Parquet has no MERGE, so a batch with sold lines writes catalogue
+version ``v = batch_id + 1`` computed from the newest version at or below
+``batch_id``; an empty batch writes nothing.  A retried batch recomputes the
+same version from the same input (idempotent); readers take the newest
+version with a ``_SUCCESS`` marker.  Successive floored
 deductions equal one floored deduction of the summed quantity, so the final
 snapshot equals the batch ``stock_deduct`` over all lines.
 """
@@ -15,14 +16,17 @@ from pyspark.sql import functions as F
 
 from shopfloor.operators.inventory import stock_deduct
 from shopfloor.session import shared_dir
-from shopfloor.sources.tables import latest_snapshot, read_table, write_snapshot
+from shopfloor.sources.tables import latest_snapshot, read_table, versions, write_snapshot
 
 VAULT_COLS = ["row_pos", "sku", "sourcing_price_text", "tags", "image_url", "standard_price_text",
               "vip_price_text", "clearance_price_text", "stock_text"]
 
 
 def apply_batch(spark: SparkSession, base: str, lines: DataFrame, batch_id: int) -> None:
-    current = read_table(spark, f"{base}/v={batch_id:012d}")
+    if lines.isEmpty():
+        return
+    below = [v for v in versions(spark, base) if v <= batch_id]
+    current = read_table(spark, f"{base}/v={below[-1]:012d}")
     changed = stock_deduct(current, lines).select("row_pos", "new_stock_text")
     nxt = (current.join(changed, "row_pos", "left")
            .withColumn("stock_text", F.coalesce(F.col("new_stock_text"), F.col("stock_text")))

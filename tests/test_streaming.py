@@ -81,3 +81,21 @@ def test_stock_state_applies_out_of_order_files_in_event_order(spark, tmp_path):
         [("A", t + dt.timedelta(days=7), 3, 1, 1, 1.0, 7, 3)]])
     # event order: 3 + 4 = 7, 7 - 10 = 0, 0 + 7 = 7 (arrival order would give 3-10->0, +4 = 4, +7 = 11)
     assert got == {"A": (7, 3)}
+
+
+def test_upsert_over_several_batches_equals_one_deduction(spark, tmp_path):
+    from shopfloor.operators.inventory import stock_deduct
+    from shopfloor.streaming.upsert import VAULT_COLS, run_upsert
+    vault = spark.createDataFrame([(1, "A", "5"), (2, "B", "3"), (3, "C", "")], "row_pos bigint, sku string, stock_text string")
+    for c in VAULT_COLS:
+        if c not in vault.columns:
+            vault = vault.withColumn(c, F.lit(None).cast("string"))
+    src = str(tmp_path / "lines")
+    schema = "row_pos bigint, line_no int, sku string, quantity double"
+    for b in [[(1, 1, "A", 2.0)], [(2, 1, "A", 2.0), (2, 2, "B", 5.0)], [(3, 1, "A", 4.0), (3, 2, "C", 1.0)]]:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    final = {r["sku"]: r["stock_text"] for r in run_upsert(spark, vault, stream, "upsert_test").collect()}
+    all_lines = spark.read.parquet(src)
+    once = {r["sku"]: r["new_stock_text"] for r in stock_deduct(vault, all_lines).collect()}
+    assert final == once == {"A": "0", "B": "0", "C": "0"}
