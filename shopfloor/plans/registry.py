@@ -121,11 +121,10 @@ def q_normalize_sales(spark, d):
 @query("clean_amounts")
 def q_clean_amounts(spark, d):
     raw = fx.fx_sales(spark, d)
-    s = normalize_sales(raw)
-    return (raw.select("row_pos", "paid_text", clean_number("paid_text").alias("paid_num"))
-            .join(s.select("row_pos", F.col("paid").cast("double").alias("paid"),
-                           F.col("cost").cast("double").alias("cost"),
-                           F.col("courier").cast("double").alias("courier")), "row_pos"))
+    return raw.select("row_pos", "paid_text", clean_number("paid_text").alias("paid_num"),
+                      money("paid_text").cast("double").alias("paid"),
+                      money("cost_text").cast("double").alias("cost"),
+                      money("courier_text").cast("double").alias("courier"))
 
 
 @query("clean_dates")
