@@ -63,12 +63,6 @@ def recent_sales(sales: DataFrame, as_of: Column, days: int) -> DataFrame:
     return sales.where(is_paid() & (F.col("sale_date") >= _days_before(as_of, days)))
 
 
-def legacy_guard(sales: DataFrame) -> DataFrame:
-    """P2f: one row, ``enabled`` = some row has the exact legacy status."""
-    return sales.agg(F.coalesce(F.bool_or(F.col("payment_status") == LEGACY_PAID_STATUS),
-                                F.lit(False)).alias("enabled"))
-
-
 def recent_clients(sales: DataFrame, as_of: Column, approximate: bool = False, days: int = 7) -> DataFrame:
     """A5: one row, distinct handles of paid sales in the last ``days``.
 
