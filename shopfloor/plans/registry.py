@@ -380,15 +380,15 @@ def q_sessions(spark, d):
 
 
 # ---------------------------------------------------------------- streaming (run with availableNow)
-def _run(spark: SparkSession, built, name: str) -> DataFrame:
+def _run(spark: SparkSession, built, name: str, partition_by: list[str] | None = None) -> DataFrame:
     df, mode, keys = built
-    out = runner.run_stream(spark, df, name, mode, keys)
+    out = runner.run_stream(spark, df, name, mode, keys, partition_by=partition_by)
     return runner.read_output(spark, out, mode, keys=keys)
 
 
 @query("stream_ingest")
 def q_stream_ingest(spark, d):
-    s = _run(spark, stream_q.ingest(spark, d), "stream_ingest")
+    s = _run(spark, stream_q.ingest(spark, d), "stream_ingest", partition_by=["sale_month"])
     return s.select("row_pos", ntz("sale_ts").alias("sale_ts"), ntz("sale_date").alias("sale_date"),
                     "client_name", "handle", F.col("cost").cast("double").alias("cost"),
                     F.col("courier").cast("double").alias("courier"), F.col("paid").cast("double").alias("paid"),

@@ -44,14 +44,19 @@ def read_stream_table(spark: SparkSession, sf_dir: str, name: str, schema: T.Str
 
 def run_stream(spark: SparkSession, df: DataFrame, name: str, mode: str = "append",
                keys: list[str] | None = None, trigger: dict | None = None,
-               wait: bool = True) -> str:
-    """Start ``df`` with output ``mode`` and return the output folder."""
+               wait: bool = True, partition_by: list[str] | None = None) -> str:
+    """Start ``df`` with output ``mode`` and return the output folder.
+    ``partition_by`` (append mode) lays the file sink out by those columns,
+    so later date filters prune whole folders."""
     ckpt = shared_dir(spark, "ckpt", name)
     out = shared_dir(spark, "out", name)
     w = df.writeStream.queryName(f"{name}_{out.rsplit('-', 1)[-1]}").option("checkpointLocation", ckpt)
     w = w.trigger(**(trigger or {"availableNow": True}))
     if mode == "append":
-        q = w.outputMode("append").format("parquet").option("path", out).start()
+        w = w.outputMode("append").format("parquet").option("path", out)
+        if partition_by:
+            w = w.partitionBy(*partition_by)
+        q = w.start()
     elif mode == "complete":
         q = w.outputMode("complete").foreachBatch(lambda b, bid: write_snapshot(b, out, bid)).start()
     elif mode == "update":

@@ -99,3 +99,14 @@ def test_upsert_over_several_batches_equals_one_deduction(spark, tmp_path):
     all_lines = spark.read.parquet(src)
     once = {r["sku"]: r["new_stock_text"] for r in stock_deduct(vault, all_lines).collect()}
     assert final == once == {"A": "0", "B": "0", "C": "0"}
+
+
+def test_ingest_sink_is_partitioned_by_month(spark):
+    from conftest import SMALL
+    from shopfloor.streaming import queries as stream_q
+    df, mode, _ = stream_q.ingest(spark, SMALL)
+    out = runner.run_stream(spark, df, "ingest_part", mode, partition_by=["sale_month"])
+    q = spark.read.parquet(out).where(F.col("sale_month") >= F.lit("2001-01-01").cast("date"))
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sale_month" in plan
+    assert q.count() == spark.read.parquet(out).where("sale_date >= '2001-01-01'").count() > 0
