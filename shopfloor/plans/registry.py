@@ -286,8 +286,12 @@ def q_unmatched_lines(spark, d):
 
 @query("stock_ledger")
 def q_stock_ledger(spark, d):
+    """Chunks are (SKU, day, block of 2^24 order keys): an order-preserving
+    coarsening of the movement order (day, order key, ...), so even one
+    SKU-day holding a third of all rows is split across tasks."""
     moves = fx.fx_movements(spark, d)
-    return inventory.floor_ledger(moves, "sku", fx.MOVEMENT_ORDER, [F.col("ts")])
+    return inventory.floor_ledger(moves, "sku", fx.MOVEMENT_ORDER,
+                                  [F.col("ts"), F.floor(F.col("l_orderkey") / (1 << 24))])
 
 
 @query("gallery")
