@@ -83,6 +83,8 @@ def safe_quote(price_text: Column, cost: Column, multiplier: float) -> Column:
 
 
 def price_quotes(vault: DataFrame) -> DataFrame:
+    """Cost and the standard / VIP / clearance quotes of every item,
+    with their ``₹1,234`` texts (whole rupees, half-even like Python)."""
     cost = clean_number(F.col("sourcing_price_text"))
     q = vault.select("row_pos", "sku", cost.alias("cost"),
                      safe_quote(F.col("standard_price_text"), cost, STANDARD_X).alias("standard_quote"),

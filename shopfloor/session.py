@@ -78,8 +78,10 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
         spark.sparkContext.setCheckpointDir(base)
     name = "-".join(parts + (uuid.uuid4().hex[:12],)) if parts else uuid.uuid4().hex
     path = base.rstrip("/") + "/" + name
-    if "://" not in path:
-        os.makedirs(path, exist_ok=True)
+    local = path[len("file://"):] if path.startswith("file://") else (
+        path[len("file:"):] if path.startswith("file:") else path)
+    if "://" not in local:  # a local folder (tests, local runs); remote stores create paths on write
+        os.makedirs(local, exist_ok=True)
     return path
 
 
@@ -116,7 +118,8 @@ def ship_package(spark: SparkSession) -> None:
     base = shared_dir(spark, "pyfiles")
     # the zip is written by the driver; on a non-local shared folder it is
     # staged on the driver and Spark's file server hands it to executors
-    stage = base[len("file:"):] if base.startswith("file:") else base
+    stage = base[len("file://"):] if base.startswith("file://") else (
+        base[len("file:"):] if base.startswith("file:") else base)
     if "://" in stage:
         stage = tempfile.mkdtemp(prefix="shopfloor-pyfiles-")
     archive = shutil.make_archive(os.path.join(stage, "shopfloor"), "zip", os.path.dirname(pkg_dir), "shopfloor")
