@@ -85,9 +85,10 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return path
 
 
-def fits_broadcast(df) -> bool:
+def fits_broadcast(df, expansion: float = 4.0) -> bool:
     """Size check before choosing a broadcast plan: the optimizer's size
-    estimate of ``df`` (file sizes for a scan) against the session's
+    estimate of ``df`` (compressed file sizes for a scan), times an
+    in-memory ``expansion`` factor, against the session's
     ``spark.sql.autoBroadcastJoinThreshold``.  Callers keep a shuffle-join
     plan for the other case."""
     limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
@@ -98,7 +99,7 @@ def fits_broadcast(df) -> bool:
     if limit_bytes <= 0:
         return False
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit_bytes  # BigInt arrives as a Python int or a JVM object
+    return int(str(size)) * expansion <= limit_bytes  # BigInt arrives as a Python int or a JVM object
 
 
 _SHIPPED: set[str] = set()
