@@ -66,22 +66,27 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     """A fresh folder under the cluster's shared checkpoint directory.
 
     The location comes from ``spark.checkpoint.dir`` on the session (the
-    folder every executor can reach).  Only when it is unset -- local runs and
-    tests -- a scratch folder is created and registered as the checkpoint dir.
+    folder every executor can reach).  Only a local session (``local[*]``,
+    tests) may leave it unset and gets a scratch folder; any other master
+    raises, because a machine-local folder would be a different one on every
+    node.  The folder is deleted when the session's JVM ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is not set (master {master}); "
+                               "intermediate tables need a folder that every executor shares")
         base = tempfile.mkdtemp(prefix="shopfloor-ckpt-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     name = "-".join(parts + (uuid.uuid4().hex[:12],)) if parts else uuid.uuid4().hex
     path = base.rstrip("/") + "/" + name
-    local = path[len("file://"):] if path.startswith("file://") else (
-        path[len("file:"):] if path.startswith("file:") else path)
-    if "://" not in local:  # a local folder (tests, local runs); remote stores create paths on write
-        os.makedirs(local, exist_ok=True)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
     return path
 
 
