@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .langid import op10_langid
 from .mixing import op1_mix
 from .sharding import op9_shards
+from .substring import op2_substring
+from .urls import OP3_SQL, op3_urls
+from .warc import OP6_SQL, op6_warc
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
+    "op2_substring": op2_substring,
+    "op3_urls": op3_urls,
+    "op6_warc": op6_warc,
     "op9_shards": op9_shards,
     "op10_langid": op10_langid,
 }
 
-LLM_SQL: dict[str, str] = {}
+LLM_SQL: dict[str, str] = {"op3_urls": OP3_SQL, "op6_warc": OP6_SQL}
