@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op7_decontaminate
 from .langid import op10_langid
+from .lines import op5_lines
 from .mixing import op1_mix
 from .sharding import op9_shards
 from .substring import op2_substring
+from .syncmers import op8_syncmers
 from .urls import OP3_SQL, op3_urls
 from .warc import OP6_SQL, op6_warc
 
@@ -17,7 +20,10 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_substring": op2_substring,
     "op3_urls": op3_urls,
+    "op5_lines": op5_lines,
     "op6_warc": op6_warc,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_syncmers": op8_syncmers,
     "op9_shards": op9_shards,
     "op10_langid": op10_langid,
 }
