@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op7_decontaminate
+from .jaccard import op4_jaccard
 from .langid import op10_langid
 from .lines import op5_lines
 from .mixing import op1_mix
@@ -16,16 +17,26 @@ from .syncmers import op8_syncmers
 from .urls import OP3_SQL, op3_urls
 from .warc import OP6_SQL, op6_warc
 
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over the documents."""
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_substring": op2_substring,
     "op3_urls": op3_urls,
+    "op4_jaccard": op4_jaccard,
     "op5_lines": op5_lines,
     "op6_warc": op6_warc,
     "op7_decontaminate": op7_decontaminate,
     "op8_syncmers": op8_syncmers,
     "op9_shards": op9_shards,
     "op10_langid": op10_langid,
+    "pipeline": pipeline,
 }
 
 LLM_SQL: dict[str, str] = {"op3_urls": OP3_SQL, "op6_warc": OP6_SQL}
