@@ -30,7 +30,9 @@ DATE_FORMATS = [
     ("d/M/yyyy H:m:s", r"^\d{1,2}/\d{1,2}/\d{4} "),
 ]
 
-MONEY = "decimal(18,2)"
+# Amounts: 28 integer digits and 8 decimals leave room for two subtractions
+# and for sums without rounding; anything larger is an overflow error.
+MONEY = "decimal(36,8)"
 
 
 def _c(c) -> Column:
@@ -64,10 +66,13 @@ def clean_number(c) -> Column:
 
 
 def money(c, fill_zero: bool = True) -> Column:
-    """Coerced money amount as decimal(18,2); unparsable -> 0 (or null).
+    """Money amount as a wide decimal, cast straight from the text so that the
+    written digits are kept; text that is not a number -> 0 (or null), a
+    number too large for the type is an error.
 
     Sums stay exact in decimal, so totals do not depend on partition order."""
-    num = clean_number(c).try_cast(MONEY)
+    s = _c(c).cast("string")
+    num = F.when(s.rlike(NUMBER_RE), clean_text(s).cast(MONEY))
     return F.coalesce(num, F.lit(0).cast(MONEY)) if fill_zero else num
 
 
@@ -104,7 +109,13 @@ def format_money(c, decimals: int) -> Column:
 
 
 def search_tokens(c) -> Column:
-    """Search tokeniser: commas become spaces, split on whitespace, lower
-    case, drop empties.  Repeated tokens are kept (each one scores)."""
-    parts = F.split(F.lower(F.regexp_replace(_c(c), ",", " ")), r"\s+")
+    """Search tokeniser: commas become spaces, then ``text_runs``.  Repeated
+    tokens are kept (each one scores)."""
+    return text_runs(F.regexp_replace(_c(c), ",", " "))
+
+
+def text_runs(c) -> Column:
+    """Python's ``str.lower().split()``: lower-cased runs between whitespace
+    (the same set as ``clean_text``); empties dropped."""
+    parts = F.split(F.lower(_c(c)), f"[{PY_WHITESPACE}]+")
     return F.filter(parts, lambda x: x != F.lit(""))

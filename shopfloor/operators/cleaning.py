@@ -30,7 +30,7 @@ def require(df: DataFrame, required: list[str], optional: dict[str, object]) ->
 
 
 def normalize_sales(raw: DataFrame) -> DataFrame:
-    """Typed sales.  Money is decimal(18,2) with unparsable -> 0; dates are
+    """Typed sales.  Money is a wide decimal with unparsable -> 0; dates are
     timestamps with unparsable -> null; text columns are kept as written."""
     df = standard_names(raw, SALES_HEADERS)
     df = require(df, ["sale_date_text"], {
@@ -65,10 +65,6 @@ def paid_flag(status="payment_status"):
     return F.coalesce(is_paid(status), F.lit(False))
 
 
-def paid_sales(sales: DataFrame) -> DataFrame:
-    return sales.where(is_paid())
-
-
 def normalize_purchases(raw: DataFrame) -> DataFrame:
     df = standard_names(raw, PURCHASE_HEADERS)
     df = require(df, [], {"purchase_date_text": None, "amount_text": None})

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.functions.text import format_money
 from shopfloor.operators.cleaning import is_paid
-from shopfloor.operators.items import display_category
+from shopfloor.operators.items import display_category, quantity
 
 # Fixed value that must equal the reference: the legacy status whose
 # presence enables the CAC / month-over-month engine (quirk Q1).
@@ -37,8 +37,9 @@ def sale_profit(sales: DataFrame) -> DataFrame:
 def kpi_financial(sales: DataFrame) -> DataFrame:
     """A1/A2: realised revenue and true net profit over paid sales."""
     return (sales.where(is_paid())
-            .agg(F.sum("paid").cast("double").alias("realised_revenue"),
-                 F.sum(F.col("paid") - F.col("cost") - F.col("courier")).cast("double").alias("true_profit"),
+            .agg(F.coalesce(F.sum("paid"), F.lit(0)).cast("double").alias("realised_revenue"),
+                 F.coalesce(F.sum(F.col("paid") - F.col("cost") - F.col("courier")), F.lit(0)).cast("double")
+                 .alias("true_profit"),
                  F.count(F.lit(1)).alias("paid_sales")))
 
 
@@ -46,7 +47,7 @@ def top_category(paid_lines: DataFrame) -> DataFrame:
     """A3: raw category with the largest total quantity; ties go to the
     alphabetically first; null categories are dropped; none -> ``N/A``."""
     per_cat = (paid_lines.where(F.col("category").isNotNull())
-               .groupBy("category").agg(F.sum("quantity").alias("qty")))
+               .groupBy("category").agg(F.sum(quantity()).alias("qty")))
     best = per_cat.agg(F.min_by("category", F.struct(-F.col("qty"), F.col("category"))).alias("top"))
     return best.select(F.coalesce("top", F.lit("N/A")).alias("top_category"))
 
@@ -114,24 +115,35 @@ def monthly_revenue(sales: DataFrame) -> DataFrame:
             .agg(F.sum("paid").cast("double").alias("revenue"), F.count(F.lit(1)).alias("sales")))
 
 
-def month_rollup(sales: DataFrame) -> DataFrame:
-    """One row from ONE aggregate pass over sales: month-over-month growth
-    (unguarded), number of present months, the legacy-status guard, and the
-    realised revenue and true profit over all paid sales.
+def sales_rollup(sales: DataFrame, as_of: Column | None = None, days: int = 7) -> DataFrame:
+    """One aggregate pass over sales, by month and -- with ``as_of`` -- by the
+    handle of paid sales of the last ``days`` (null for all other rows, so
+    the result has few rows): sums for the KPIs, the months and the clients."""
+    paid = is_paid()
+    dated = paid & F.col("sale_date").isNotNull()
+    recent = F.lit(None).cast("string") if as_of is None else F.when(
+        paid & (F.col("sale_date") >= _days_before(as_of, days)), F.col("handle"))
+    return (sales.groupBy(F.trunc(F.col("sale_date").cast("date"), "month").alias("month"), recent.alias("recent_handle"))
+            .agg(F.sum(F.when(dated, F.col("paid"))).alias("revenue"),
+                 F.count(F.when(dated, F.lit(1))).alias("sales"),
+                 F.sum(F.when(paid, F.col("paid"))).alias("all_rev"),
+                 F.sum(F.when(paid, F.col("paid") - F.col("cost") - F.col("courier"))).alias("all_profit"),
+                 F.bool_or(F.col("payment_status") == LEGACY_PAID_STATUS).alias("legacy")))
+
+
+def month_rollup(rollup: DataFrame) -> DataFrame:
+    """One row from ``sales_rollup``: month-over-month growth (unguarded),
+    number of present months, the legacy-status guard, and the realised
+    revenue and true profit over all paid sales.
 
     Months are aggregated over *all* rows (the guard needs every status); a
     month is present when it has a dated paid sale; undated paid sales land
     in the null-month group, so the totals still include them.  The window
     runs over the monthly table (one row per calendar month, bounded by the
     date range), never over sales rows."""
-    paid = is_paid()
-    dated = paid & F.col("sale_date").isNotNull()
-    months = (sales.groupBy(F.trunc(F.col("sale_date").cast("date"), "month").alias("month"))
-              .agg(F.sum(F.when(dated, F.col("paid"))).cast("double").alias("revenue"),
-                   F.count(F.when(dated, F.lit(1))).alias("sales"),
-                   F.sum(F.when(paid, F.col("paid"))).alias("all_rev"),
-                   F.sum(F.when(paid, F.col("paid") - F.col("cost") - F.col("courier"))).alias("all_profit"),
-                   F.bool_or(F.col("payment_status") == LEGACY_PAID_STATUS).alias("legacy")))
+    months = rollup.groupBy("month").agg(
+        F.sum("revenue").cast("double").alias("revenue"), F.sum("sales").alias("sales"), F.sum("all_rev").alias("all_rev"),
+        F.sum("all_profit").alias("all_profit"), F.bool_or("legacy").alias("legacy"))
     w = Window.partitionBy(F.lit(1)).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
     present = F.col("sales") > 0
     prev = F.last(F.when(present, F.col("revenue")), ignorenulls=True).over(w)
@@ -153,7 +165,7 @@ def mom_growth(sales: DataFrame, guard: bool = True) -> DataFrame:
     """Growth of the last present month over the previous present month,
     in percent.  Fewer than two months -> 0; previous month 0 -> null (Q3);
     with ``guard`` 0 unless the legacy status occurs (Q1).  One pass."""
-    r = month_rollup(sales)
+    r = month_rollup(sales_rollup(sales))
     growth = F.col("mom_growth_pct")
     if guard:
         growth = F.when(F.col("enabled"), growth).otherwise(F.lit(0.0))
@@ -176,7 +188,7 @@ def category_mix(paid_lines: DataFrame) -> DataFrame:
     in the final plan), so the line-item pipeline runs once and no single
     task has to hold every category (a global window would)."""
     per = (paid_lines.select(display_category().alias("display_category"), "quantity")
-           .groupBy("display_category").agg(F.sum("quantity").alias("quantity")))
+           .groupBy("display_category").agg(F.sum(quantity()).alias("quantity")))
     total = per.agg(F.sum("quantity")).scalar()
     return per.select("display_category", "quantity", (F.col("quantity") / total).alias("share"))
 
@@ -186,13 +198,15 @@ def weekly_summary(sales: DataFrame, paid_lines: DataFrame, purchases: DataFrame
     """Every KPI in one row plus the rendered summary text.
 
     The four one-row aggregates -- the monthly rollup (revenue, profit,
-    guard, MoM), the distinct recent clients, the top category over line
-    items and the dead stock over purchases -- are stacked as a union of
-    one-row frames and collapsed by one final aggregate, so they run as
-    concurrent stages of a single job."""
+    guard, MoM) and the distinct recent clients, both out of one pass over
+    sales, the top category over line items and the dead stock over purchases
+    -- are stacked as a union of one-row frames and collapsed by one final
+    aggregate, so they run as concurrent stages of a single job."""
+    rollup = sales_rollup(sales, as_of)
+    recent = rollup.where(F.col("recent_handle").isNotNull()).select("recent_handle").distinct()
     parts = [
-        (month_rollup(sales), ("realised_revenue", "true_profit", "mom_growth_pct", "enabled")),
-        (recent_clients(sales, as_of), ("new_clients",)),
+        (month_rollup(rollup), ("realised_revenue", "true_profit", "mom_growth_pct", "enabled")),
+        (recent.agg(F.count(F.lit(1)).alias("new_clients")), ("new_clients",)),
         (top_category(paid_lines), ("top_category",)),
         (dead_stock(purchases, as_of), ("dead_stock_capital",)),
     ]

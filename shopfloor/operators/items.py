@@ -4,42 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from shopfloor.functions.text import clean_text, python_title, truncate
+from shopfloor.functions.text import MONEY, clean_text, python_title, truncate
 from shopfloor.schemas import LINE_ITEMS
 
-MONEY = "decimal(18,2)"
 
+# Column names of the JSON fields.
+FIELDS = {"sku": "Item_SKU", "category": "Category", "details": "Custom Details", "quantity": "Quantity",
+          "source_price": "Source Price (₹)", "selling_price": "Selling Price (₹)", "unit_price": "Unit Price (₹)"}
 
-def parse_items(json_col="line_items_json"):
+
+def parse_items(json_col="line_items_json", columns: list[str] | None = None):
     """Malformed, blank or null text -> null array; a lone object is a
-    one-element array (D3)."""
+    one-element array (D3).  Only the fields of ``columns`` are parsed."""
     c = F.col(json_col) if isinstance(json_col, str) else json_col
-    return F.from_json(c, LINE_ITEMS)
+    wanted = {FIELDS[x] for x in columns or FIELDS}
+    return F.from_json(c, T.ArrayType(T.StructType([f for f in LINE_ITEMS.elementType.fields if f.name in wanted])))
 
 
-def line_items(sales: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """J1/P8f: one row per JSON line item of every sale.
+def line_items(sales: DataFrame, keep: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """J1/P8f: one row per JSON line item of every sale, with ``columns``
+    (all by default).
 
     ``inline_outer`` of ``posexplode``-style structs evaluates ``from_json``
     once; the non-outer form makes Catalyst add ``size() > 0`` guards that
     parse the text three times."""
-    keep = keep or []
-    arr = parse_items()
+    keep, columns = keep or [], columns or list(FIELDS)
+    arr = parse_items(columns=columns)
     numbered = F.transform(arr, lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("it")))
     exploded = (sales.select("row_pos", *keep, F.inline_outer(numbered))
                 .where(F.col("it").isNotNull()))
     it = F.col("it")
-    return exploded.select(
-        "row_pos", *keep, "line_no",
-        it["Item_SKU"].alias("sku"),
-        it["Category"].alias("category"),
-        it["Custom Details"].alias("details"),
-        it["Quantity"].alias("quantity"),
-        it["Source Price (₹)"].alias("source_price"),
-        it["Selling Price (₹)"].alias("selling_price"),
-        it["Unit Price (₹)"].alias("unit_price"),
-    )
+    return exploded.select("row_pos", *keep, "line_no", *[it[FIELDS[x]].alias(x) for x in columns])
 
 
 def display_category(category="category", details="details"):
@@ -56,10 +53,21 @@ def display_category(category="category", details="details"):
 
 
 def cart_totals(lines: DataFrame) -> DataFrame:
-    """Pieces, cost and revenue per sale, exact in decimal."""
-    q = F.col("quantity").try_cast(MONEY)
+    """Pieces, cost and revenue per sale, exact in decimal; a missing
+    quantity counts 0 pieces."""
     return (lines.groupBy("row_pos")
-            .agg(F.sum("quantity").alias("total_pieces"),
-                 F.sum(q * F.col("source_price").try_cast(MONEY)).cast("double").alias("total_cost"),
-                 F.sum(q * F.col("selling_price").try_cast(MONEY)).cast("double").alias("total_revenue"),
+            .agg(F.sum(quantity()).alias("total_pieces"),
+                 F.sum(line_amount("source_price")).cast("double").alias("total_cost"),
+                 F.sum(line_amount("selling_price")).cast("double").alias("total_revenue"),
                  F.count(F.lit(1)).alias("n_lines")))
+
+
+def quantity(c="quantity"):
+    """Quantity of a line; missing -> 0."""
+    return F.coalesce(F.col(c), F.lit(0.0))
+
+
+def line_amount(price: str):
+    """Quantity times price, exact; a missing one makes 0, an overflow is an error."""
+    amount = quantity().cast("decimal(18,6)") * F.col(price).cast("decimal(20,8)")
+    return F.coalesce(amount, F.lit(0).cast("decimal(38,14)"))

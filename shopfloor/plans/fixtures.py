@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopfloor.functions.text import CATEGORIES
-from shopfloor.session import fits_broadcast
 
 # Replaces "now" in every rolling window (the newest order date in the data).
 AS_OF = "2001-08-01 00:00:00"
@@ -50,29 +49,33 @@ def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_partkey")
     cat = category_of(k)
     renamed = li.withColumnRenamed("l_orderkey", "row_pos")
-    if fits_broadcast(part):
-        # small catalogue (size checked): number the lines first so the order
-        # shuffle carries only narrow lineitem columns, then broadcast-join
-        # the part names, which keeps the row_pos partitioning
-        joined = renamed.withColumn("line_no", F.row_number().over(w)).join(
-            F.broadcast(part), F.col("l_partkey") == F.col("p_partkey"))
-    else:
-        # large catalogue: shuffle join on the part key first, then one
-        # shuffle by order for the numbering that the per-sale steps reuse
-        joined = renamed.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn(
-            "line_no", F.row_number().over(w))
-    return (joined
-            .select(
-                "row_pos", "line_no",
-                F.when(k % 11 == 0, F.lit("")).when(k % 11 == 1, F.lit("N/A"))
-                 .otherwise(F.concat(F.lit("JK-"), k.cast("string"))).alias("sku"),
-                F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
-                 .when(F.col("l_linenumber") == 2, F.lower(cat)).otherwise(cat).alias("category"),
-                F.when(k % 3 == 0, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.lit("")).alias("details"),
-                F.col("l_quantity").alias("quantity"),
-                (F.floor(s * 6 / 10).cast("bigint") / F.lit(100).cast("double")).alias("source_price"),
-                (s / F.lit(100).cast("double")).alias("selling_price"),
-            ))
+    joined = renamed.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn(
+        "line_no", F.row_number().over(w))
+    return joined.select("row_pos", "line_no", sku_text(k),
+                         F.when(F.col("l_linenumber") == 7, F.lit(None).cast("string"))
+                         .when(F.col("l_linenumber") == 2, F.lower(cat)).otherwise(cat).alias("category"),
+                         F.when(k % 3 == 0, F.concat_ws(" ", "p_name", "p_brand")).otherwise(F.lit("")).alias("details"),
+                         F.col("l_quantity").alias("quantity"),
+                         (F.floor(s * 6 / 10).cast("bigint") / F.lit(100).cast("double")).alias("source_price"),
+                         (s / F.lit(100).cast("double")).alias("selling_price"))
+
+
+def sku_text(k: Column) -> Column:
+    """SKU of a cart line: some are blank or not known."""
+    return (F.when(k % 11 == 0, F.lit("")).when(k % 11 == 1, F.lit("N/A"))
+            .otherwise(F.concat(F.lit("JK-"), k.cast("string"))).alias("sku"))
+
+
+def fx_sold_lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame) -> DataFrame:
+    """SKU and quantity of the cart lines in sales whose items can be read
+    (``fx_sales``), from a stream of lineitem; the other tables are static."""
+    li = lineitem.select("l_orderkey", "l_partkey", "l_quantity").where(~(F.col("l_orderkey") % 30).isin(0, 1))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    sales = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
+    return (li.join(sales, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+            .select(sku_text(F.col("l_partkey")), F.col("l_quantity").alias("quantity")))
 
 
 def lines_json(lines: DataFrame) -> DataFrame:
@@ -187,6 +190,12 @@ def fx_movements(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None =
                     F.col("p_size").cast("bigint").alias("s0")))
 
 
+def order_block() -> Column:
+    """Blocks of 2^24 order keys: a coarsening of the movement order inside a
+    day, so that even one SKU-day with a third of all rows is several chunks."""
+    return F.floor(F.col("l_orderkey") / (1 << 24))
+
+
 MOVEMENT_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "delta"]
 
 

@@ -23,18 +23,6 @@ SESSION_CONF = {
 }
 
 
-# Starting values for a large cluster (100 TB inputs): many initial shuffle
-# partitions that AQE coalesces towards the advisory size, large scan splits,
-# and skew splitting for partitions well above the median.
-CLUSTER_CONF = {
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.files.maxPartitionBytes": "512m",
-    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
-}
-
-
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "shopfloor", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with the settings above.
@@ -90,23 +78,6 @@ def shared_dir(spark: SparkSession, *parts: str) -> str:
     return path
 
 
-def fits_broadcast(df, expansion: float = 4.0) -> bool:
-    """Size check before choosing a broadcast plan: the optimizer's size
-    estimate of ``df`` (compressed file sizes for a scan), times an
-    in-memory ``expansion`` factor, against the session's
-    ``spark.sql.autoBroadcastJoinThreshold``.  Callers keep a shuffle-join
-    plan for the other case."""
-    limit = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    try:
-        limit_bytes = int(limit)
-    except ValueError:  # e.g. "10MB"
-        limit_bytes = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit))
-    if limit_bytes <= 0:
-        return False
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) * expansion <= limit_bytes  # BigInt arrives as a Python int or a JVM object
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -16,21 +16,27 @@ def empty(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path in its terms."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None,
                fmt: str = "parquet", missing_ok: bool = False, **options) -> DataFrame:
-    """Scan a table.  ``missing_ok`` gives the reference's vault behaviour
-    (any failure -> empty frame) as an explicit opt-in; the default raises."""
+    """Scan a table.  With ``missing_ok`` and a schema a path that doesn't
+    exist reads as empty, like the reference's catalogue; any other failure
+    and a missing path by default are errors."""
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
         reader = reader.option("header", "true")
     if schema is not None:
         reader = reader.schema(schema)
-    try:
-        return reader.load(path)
-    except Exception:
-        if missing_ok and schema is not None:
+    if missing_ok and schema is not None:
+        fs, p = file_system(spark, path)
+        if not fs.exists(p):
             return empty(spark, schema)
-        raise
+    return reader.load(path)
 
 
 def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
@@ -44,9 +50,7 @@ def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[st
 def versions(spark: SparkSession, base: str) -> list[int]:
     """Complete snapshot versions under ``base``, ascending."""
     jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(base)
-    fs = p.getFileSystem(conf)
+    fs, p = file_system(spark, base)
     if not fs.exists(p):
         return []
     out = []

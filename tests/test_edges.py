@@ -5,7 +5,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from shopfloor.functions.text import clean_number, format_money, parse_date, python_title, search_tokens
+from shopfloor.functions.text import clean_number, format_money, money, parse_date, python_title, search_tokens
 from shopfloor.operators import catalog, clients, finance, inventory, invoices, items
 from shopfloor.operators.cleaning import normalize_sales, paid_flag
 
@@ -131,7 +131,8 @@ def test_floor_ledger_matches_sequential_fold(spark):
             rows.append((sku, dt.datetime(2001, 1, 1) + dt.timedelta(hours=rnd.randint(0, 2000)), i,
                          rnd.choice([-7, -3, -1, 2, 5]), -4 if sku == "B" else 6))
     moves = spark.createDataFrame(rows, "sku string, ts timestamp, seq int, delta bigint, s0 bigint")
-    out = inventory.floor_ledger(moves, "sku", ["ts", "seq"], [F.date_trunc("day", F.col("ts"))]).collect()
+    out = inventory.floor_ledger(moves, "sku", ["ts", "seq"], [F.date_trunc("day", F.col("ts"))],
+                                 F.date_trunc("month", F.col("ts"))).collect()
     got = {(r["sku"], r["ts"], r["seq"]): r["stock"] for r in out}
     for sku in ("A", "B"):
         mine = sorted((r for r in rows if r[0] == sku), key=lambda r: (r[1], r[2]))
@@ -216,3 +217,53 @@ def test_pii_round_trip(spark):
         assert r["d"] == r["v"] and r["p"] == r["v"]
         if r["v"]:
             assert r["e"] != r["v"]
+
+
+def test_money_keeps_written_digits_and_fails_on_overflow(spark):
+    import pytest
+    from decimal import Decimal
+    got = [r[0] for r in one_col(spark, ["1e17", "10.005", " 7\t", "12345678901234567.89", "x", None]).select(money("v")).collect()]
+    assert got == [Decimal("1e17"), Decimal("10.005"), 7, Decimal("12345678901234567.89"), 0, 0]
+    with pytest.raises(Exception):
+        one_col(spark, ["1e40"]).select(money("v")).collect()
+
+
+def test_missing_quantities_count_zero(spark):
+    lines = spark.createDataFrame([(1, "Ring", "", 5.0), (2, "Polki", "", None)],
+                                  "row_pos long, category string, details string, quantity double")
+    assert finance.top_category(lines).first()[0] == "Ring"
+    mix = {r["display_category"]: (r["quantity"], r["share"]) for r in finance.category_mix(lines).collect()}
+    assert mix == {"Ring": (5.0, 1.0), "Polki": (0.0, 0.0)}
+    priced = lines.withColumns({"source_price": F.lit(2.0), "selling_price": F.lit(None).cast("double")})
+    totals = {r["row_pos"]: (r["total_pieces"], r["total_cost"], r["total_revenue"]) for r in items.cart_totals(priced).collect()}
+    assert totals == {1: (5.0, 10.0, 0.0), 2: (0.0, 0.0, 0.0)}
+
+
+def test_no_paid_sale_makes_zero(spark):
+    raw = spark.createDataFrame([(1, "2024-01-01", "5", "Pending")], "row_pos long, sale_date_text string, paid_text string, payment_status string")
+    r = finance.kpi_financial(normalize_sales(raw)).first()
+    assert (r["realised_revenue"], r["true_profit"], r["paid_sales"]) == (0.0, 0.0, 0)
+
+
+def test_match_splits_on_unicode_blanks(spark):
+    vault = spark.createDataFrame([(1, "gold ring", "S")], "row_pos long, tags string, sku string")
+    queries = spark.createDataFrame([(1, "gold\u00a0ring"), (2, "\u2003ring\u3000")], "query_id long, query string")
+    got = {r["query_id"]: r["score"] for r in catalog.catalog_match(queries, vault).collect()}
+    assert got == {1: 2, 2: 1}
+
+
+def test_match_of_many_random_items_equals_brute_force(spark):
+    import random
+    rnd = random.Random(5)
+    vocab = [f"w{i}x" for i in range(60)]
+    tags = [" ".join(rnd.choices(vocab, k=5)) for _ in range(400)]
+    queries = [" ".join(rnd.choices(vocab, k=rnd.randint(1, 6))) for _ in range(300)]
+    vault = spark.createDataFrame(list(enumerate(tags)), "row_pos long, tags string").withColumn("sku", F.col("row_pos").cast("string"))
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    got = {r["query_id"]: (r["row_pos"], r["score"]) for r in catalog.catalog_match(q, vault).collect()}
+    want = {}
+    for i, text in enumerate(queries):
+        scores = [sum(t in tag for t in text.split()) for tag in tags]
+        if max(scores):
+            want[i] = (scores.index(max(scores)), max(scores))
+    assert got == want
