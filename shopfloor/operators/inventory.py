@@ -26,23 +26,37 @@ def _new_text(changed: Column, new_value: Column, old_text: Column) -> Column:
     return F.when(changed, new_value.cast("string")).otherwise(old_text)
 
 
-def stock_deduct(vault: DataFrame, lines: DataFrame) -> DataFrame:
-    """K1: ``new = max(0, stock - sold)`` per SKU.
+def sold_per_sku(lines: DataFrame) -> DataFrame:
+    """Sold quantity per SKU (fixes Q7/Q8: one deduction of the total equals
+    successive floored deductions): one row per SKU whatever the skew."""
+    return sellable_lines(lines).groupBy("sku_key").agg(F.sum("qty").alias("sold_qty"))
 
-    Sold quantities are summed per SKU first (fixes Q7/Q8: one deduction of
-    the total equals successive floored deductions), so the join input is one
-    row per SKU whatever the skew of the sales; every catalogue row with that
-    SKU is updated; junk stock text is left alone; unknown SKUs are ignored."""
-    sold = (sellable_lines(lines).groupBy(F.col("sku_key").alias("sku_key"))
-            .agg(F.sum("qty").alias("sold_qty")))
-    v = vault.select("row_pos", "sku", "stock_text", clean_text(F.col("sku")).alias("sku_key"))
-    j = v.join(sold, "sku_key", "left")
+
+def _deducted(vault: DataFrame, sold: DataFrame) -> tuple[DataFrame, Column]:
+    """The catalogue joined to the sold quantities, and the new stock text."""
+    j = vault.withColumn("sku_key", clean_text(F.col("sku"))).join(sold, "sku_key", "left")
     cur = stock_value("stock_text", bad_as_zero=False)
     changed = F.col("sold_qty").isNotNull() & cur.isNotNull()
     new = F.greatest(F.lit(0).cast("bigint"), cur - F.col("sold_qty"))
+    return j, _new_text(changed, new, F.col("stock_text"))
+
+
+def stock_deduct(vault: DataFrame, lines: DataFrame) -> DataFrame:
+    """K1: ``new = max(0, stock - sold)`` per SKU.
+
+    Every catalogue row with a sold SKU is updated; junk stock text is left
+    alone; unknown SKUs are ignored."""
+    j, new_text = _deducted(vault.select("row_pos", "sku", "stock_text"), sold_per_sku(lines))
     return j.select("row_pos", "sku", F.col("stock_text").alias("old_stock_text"),
                     F.coalesce("sold_qty", F.lit(0).cast("bigint")).alias("sold_qty"),
-                    _new_text(changed, new, F.col("stock_text")).alias("new_stock_text"))
+                    new_text.alias("new_stock_text"))
+
+
+def next_catalogue(vault: DataFrame, sold: DataFrame) -> DataFrame:
+    """K1 as the next catalogue: all columns, stock text replaced, one join.
+    ``sold``: ``sold_per_sku``."""
+    j, new_text = _deducted(vault, sold)
+    return j.select(*[new_text.alias(c) if c == "stock_text" else F.col(c) for c in vault.columns])
 
 
 def restock(vault: DataFrame, requests: DataFrame) -> DataFrame:
@@ -79,36 +93,67 @@ def unmatched_lines(vault: DataFrame, lines: DataFrame) -> DataFrame:
             .select("row_pos", "line_no", "sku", "quantity"))
 
 
-def floor_ledger(moves: DataFrame, key: str, order: list[str], buckets: list[Column],
+def floor_ledger(moves: DataFrame, key: str, order: list[str], buckets: list[Column], coarse: Column,
                  delta: str = "delta", opening: str = "s0") -> DataFrame:
     """Stock after every movement, never below 0.
 
     ``s_n = max(0, s_{n-1} + d_n)`` equals ``x_n - min(0, min_{j<=n} x_j)``
     with ``x`` the unfloored running total from a non-negative opening stock
     (Q19 clamps it).  Running sums and minima compose across chunks, so the
-    scan runs in two levels and no single key has to sit in one task:
+    scan runs in three levels and no single key has to sit in one task:
 
     1. rows are cut into buckets -- ``buckets`` must be a coarsening of a
        prefix of ``order`` (e.g. the day, a block of order keys) -- and each
        (key, bucket) computes its local running total and running minimum;
-    2. one summary row per (key, bucket) (total, minimum) is scanned per key
-       to get each bucket's offset and the minimum carried in from earlier
-       buckets; the summaries are joined back by (key, bucket).
+    2. one summary row per (key, bucket) (total, minimum) is scanned per
+       (key, ``coarse``), a coarsening of the buckets (e.g. the month);
+    3. one row per (key, coarse) is scanned per key, and offsets and minima
+       are joined back, by (key, coarse) and then by (key, bucket).
     """
-    b = moves.withColumn("_bucket", F.struct(*buckets))
+    b = moves.withColumns({"_bucket": F.struct(*buckets), "_coarse": coarse})
     w1 = (Window.partitionBy(key, "_bucket").orderBy(*order)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = (b.withColumn("_loc", F.sum(delta).over(w1))
              .withColumn("_locmin", F.min("_loc").over(w1)))
-    summary = local.groupBy(key, "_bucket").agg(F.sum(delta).alias("_tot"), F.min("_loc").alias("_bmin"),
-                                                F.max(opening).alias("_s0"))
-    w2 = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    s0 = F.greatest(F.col("_s0"), F.lit(0).cast("bigint"))
-    carried = (summary.withColumn("_off", s0 + F.coalesce(F.sum("_tot").over(w2), F.lit(0).cast("bigint")))
-               .withColumn("_carry", F.min(F.col("_off") + F.col("_bmin")).over(w2))
-               .select(key, "_bucket", "_off", "_carry"))
-    j = local.join(carried, [key, "_bucket"])
+    summary = local.groupBy(key, "_bucket").agg(F.first("_coarse").alias("_coarse"), F.sum(delta).alias("_tot"),
+                                                F.min("_loc").alias("_low"), F.max(opening).alias("_s0"))
+    carried = chunk_carry(summary, key, "_bucket", "_coarse").select(key, "_bucket", "_off", "_carry")
+    j = local.drop("_coarse").join(carried, [key, "_bucket"])
     x = F.col("_off") + F.col("_loc")
-    run_min = F.least(F.coalesce(F.col("_carry"), F.col("_off") + F.col("_locmin")), F.col("_off") + F.col("_locmin"))
+    run_min = F.least("_carry", F.col("_off") + F.col("_locmin"))
     stock = x - F.least(F.lit(0).cast("bigint"), run_min)
     return j.select(*[c for c in moves.columns], stock.alias("stock"))
+
+
+def chunk_carry(summary: DataFrame, key: str, bucket: str, coarse: str) -> DataFrame:
+    """Running total (``_off``, from the opening stock) and running minimum
+    (``_carry``, null at first) before every chunk.
+
+    ``summary``: one row per (key, bucket) with ``_tot`` (total of the
+    chunk), ``_low`` (its least running total), ``_s0`` (opening stock) and
+    ``coarse``.  Scanned per (key, coarse) and then per key."""
+    zero = F.lit(0).cast("bigint")
+    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    w2 = before(key, coarse, bucket)
+    inner = (summary.withColumn("_in", F.coalesce(F.sum("_tot").over(w2), zero))
+             .withColumn("_inlow", F.min(F.col("_in") + F.col("_low")).over(w2)))
+    outer = inner.groupBy(key, coarse).agg(F.sum("_tot").alias("_ctot"), F.min(F.col("_in") + F.col("_low")).alias("_clow"),
+                                           F.max("_s0").alias("_cs0"))
+    w3 = before(key, coarse)
+    start = F.greatest(F.max("_cs0").over(Window.partitionBy(key)), zero)
+    outer = (outer.withColumn("_coff", start + F.coalesce(F.sum("_ctot").over(w3), zero))
+             .withColumn("_ccarry", F.min(F.col("_coff") + F.col("_clow")).over(w3))
+             .select(key, coarse, "_coff", "_ccarry"))
+    return (inner.join(outer, [key, coarse])
+            .withColumn("_off", F.col("_coff") + F.col("_in"))
+            .withColumn("_carry", F.least("_ccarry", F.col("_coff") + F.col("_inlow"))))
+
+
+def closing_stock(summary: DataFrame, key: str) -> DataFrame:
+    """Last stock of every key from its chunks (as ``chunk_carry``, with
+    ``_n``, the number of movements)."""
+    c = chunk_carry(summary, key, "_bucket", "_coarse")
+    low = F.least("_carry", F.col("_off") + F.col("_low"))
+    return (c.groupBy(key)
+            .agg(F.max_by(F.col("_off") + F.col("_tot"), "_bucket").alias("_end"), F.min(low).alias("_min"), F.sum("_n").alias("movements"))
+            .select(key, (F.col("_end") - F.least(F.lit(0).cast("bigint"), "_min")).alias("closing_stock"), "movements"))

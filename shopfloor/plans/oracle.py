@@ -168,8 +168,8 @@ FIXTURES: dict[str, str] = {
   FROM (SELECT count(DISTINCT handle) AS n FROM fx_sales_t
         WHERE {paid()} AND sale_date >= {days_before(7)}) c, fx_guard g""",
     "fx_kpi": f"""
-  SELECT CAST(sum(paid) AS DOUBLE) AS realised_revenue, CAST(sum(paid - cost - courier) AS DOUBLE) AS true_profit,
-    count(*) AS paid_sales
+  SELECT CAST(COALESCE(sum(paid), 0) AS DOUBLE) AS realised_revenue,
+    CAST(COALESCE(sum(paid - cost - courier), 0) AS DOUBLE) AS true_profit, count(*) AS paid_sales
   FROM fx_sales_t WHERE {paid()}""",
     "fx_top": """
   SELECT COALESCE((SELECT category FROM fx_paid_lines WHERE category IS NOT NULL GROUP BY category
@@ -245,8 +245,13 @@ def stock(x: str) -> str:
             f"ELSE TRY_CAST({strip(x)} AS BIGINT) END)")
 
 
+# Python's whitespace set
+_BLANKS = ("[\\x09-\\x0D\\x1C-\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
+           "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+")
+
+
 def tokens(x: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower(replace({x}, ',', ' ')), '\\s+'), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array(lower(replace({x}, ',', ' ')), '{_BLANKS}'), lambda t: t <> '')"
 
 
 def describe(cat_: str, custom: str) -> str:
@@ -371,6 +376,7 @@ Q["tag_responses"] = f"""
     CASE WHEN contains(t, '|') THEN {strip("replace(split_part(t, '|', 2), 'Tags:', '')")} ELSE '' END AS tags
   FROM (SELECT response_id, t, lower({strip("replace(split_part(t, '|', 1), 'Category:', '')")}) AS cp
         FROM (SELECT response_id, {strip('response')} AS t FROM fx_responses))"""
+Q["tag_categories"] = f"SELECT category, count(*) AS responses FROM ({Q['tag_responses']}) GROUP BY category"
 Q["invoice_headers"] = f"""
   SELECT row_pos,
     'INV-' || right(regexp_replace(COALESCE(sale_ts_text, 'N/A'), '[/: ]', '', 'g'), 6) AS invoice_id,
@@ -421,7 +427,9 @@ Q["stream_ingest"] = Q["normalize_sales"]
 Q["stream_daily_trend"] = f"""SELECT CAST(sale_date AS DATE) AS sale_day, CAST(sum(paid) AS DOUBLE) AS gross_revenue,
   CAST(sum(paid - cost - courier) AS DOUBLE) AS true_profit FROM fx_sales_t
   WHERE {paid()} AND sale_date IS NOT NULL GROUP BY 1"""
-Q["stream_sessions"] = Q["sessions"]
+# sessions that the watermark (newest event, in milliseconds, less one hour) has passed
+Q["stream_sessions"] = f"""SELECT * FROM ({Q["sessions"]})
+  WHERE session_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"""
 Q["stream_weekly_clients"] = f"""
   SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(DISTINCT handle) AS clients
   FROM (SELECT handle, date_trunc('day', sale_date) - to_days(CAST(k AS INTEGER)) AS window_start

@@ -11,9 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from shopfloor.functions.pii import pii_key, protect, unprotect
+from shopfloor.functions.pii import key_column, protect, unprotect
 from shopfloor.functions.text import clean_number, clean_text, is_blank, money
 from shopfloor.operators import catalog, clients, finance, inventory, invoices, items, sales_log, sessions
 from shopfloor.operators.cleaning import (is_paid, normalize_purchases, normalize_sales, normalize_vault,
@@ -21,7 +20,7 @@ from shopfloor.operators.cleaning import (is_paid, normalize_purchases, normaliz
 from shopfloor.plans import fixtures as fx
 from shopfloor.schemas import PURCHASE_HEADERS, SALES_HEADERS, VAULT_HEADERS
 from shopfloor.session import shared_dir
-from shopfloor.sources import read_table
+from shopfloor.sources import append, latest_snapshot, read_table, write_snapshot
 from shopfloor.streaming import queries as stream_q
 from shopfloor.streaming import runner, upsert
 
@@ -45,9 +44,9 @@ def sales(spark: SparkSession, d: str, with_items: bool = False) -> DataFrame:
     return normalize_sales(fx.fx_sales(spark, d, with_items=with_items))
 
 
-def paid_lines(spark: SparkSession, d: str) -> DataFrame:
+def paid_lines(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
     """Line items of paid sales (what the KPI and chart engines explode)."""
-    return items.line_items(sales(spark, d, with_items=True).where(is_paid()))
+    return items.line_items(sales(spark, d, with_items=True).where(is_paid()), columns=columns)
 
 
 def purchases(spark: SparkSession, d: str) -> DataFrame:
@@ -55,57 +54,28 @@ def purchases(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- sources
-# CSV keeps null, '' and '  ' apart only with an explicit null token and
-# whitespace preserved on both the write and the read side.
-CSV_OPTIONS = {"nullValue": "\\N", "ignoreLeadingWhiteSpace": "false",
-               "ignoreTrailingWhiteSpace": "false"}
-
-
-def _sheet_export(spark: SparkSession, df: DataFrame, headers: dict[str, str], fmt: str, name: str) -> str:
-    """Write a derived table the way a sheet export looks (sheet header
-    names, padded with a stray space as exports often are) into the shared
-    folder; the scan keys then read it back through the source layer."""
-    inverse = {v: k for k, v in headers.items()}
-    out = shared_dir(spark, "export", name)
-    cols = [F.col(c).alias(f" {inverse[c]} " if c in inverse else c) for c in df.columns]
-    w = df.select(*cols).write.mode("overwrite").format(fmt).option("header", "true")
-    if fmt == "csv":
-        w = w.options(**CSV_OPTIONS)
-    w.save(out)
-    return out
-
-
-def _sheet_schema(df: DataFrame, headers: dict[str, str]):
-    inverse = {v: k for k, v in headers.items()}
-    return T.StructType([T.StructField(f" {inverse[f.name]} " if f.name in inverse else f.name, f.dataType)
-                         for f in df.schema.fields])
+def sheet(df: DataFrame, headers: dict[str, str]) -> DataFrame:
+    """A derived table under the sheet's own header names, padded with a
+    stray space as exports often are."""
+    return df.withColumnsRenamed({c: f" {h} " for h, c in headers.items() if c in df.columns})
 
 
 @query("scan_sales")
 def scan_sales(spark, d):
-    """CSV sheet export -> declared schema -> trimmed, mapped names."""
-    fx_df = fx.fx_sales(spark, d).drop("order_ts")
-    path = _sheet_export(spark, fx_df, SALES_HEADERS, "csv", "sales")
-    raw = read_table(spark, path, _sheet_schema(fx_df, SALES_HEADERS), fmt="csv", **CSV_OPTIONS)
-    return standard_names(raw, SALES_HEADERS)
+    """The sales sheet with trimmed, mapped names."""
+    return standard_names(sheet(fx.fx_sales(spark, d).drop("order_ts"), SALES_HEADERS), SALES_HEADERS)
 
 
 @query("scan_purchases")
 def scan_purchases(spark, d):
-    """JSON-lines export of the purchases sheet."""
-    fx_df = fx.fx_purchases(spark, d)
-    path = _sheet_export(spark, fx_df, PURCHASE_HEADERS, "json", "purchases")
-    raw = read_table(spark, path, _sheet_schema(fx_df, PURCHASE_HEADERS), fmt="json")
-    return standard_names(raw, PURCHASE_HEADERS)
+    """The purchases sheet."""
+    return standard_names(sheet(fx.fx_purchases(spark, d), PURCHASE_HEADERS), PURCHASE_HEADERS)
 
 
 @query("scan_vault")
 def scan_vault(spark, d):
-    """S3: Parquet catalogue; a missing catalogue would read as empty."""
-    fx_df = fx.fx_vault(spark, d)
-    path = _sheet_export(spark, fx_df, VAULT_HEADERS, "parquet", "vault")
-    raw = read_table(spark, path, _sheet_schema(fx_df, VAULT_HEADERS), missing_ok=True)
-    return standard_names(raw, VAULT_HEADERS)
+    """S3: the catalogue."""
+    return standard_names(sheet(fx.fx_vault(spark, d), VAULT_HEADERS), VAULT_HEADERS)
 
 
 # ---------------------------------------------------------------- cleaning
@@ -168,7 +138,7 @@ def q_kpi_financial(spark, d):
 
 @query("top_category")
 def q_top_category(spark, d):
-    return finance.top_category(paid_lines(spark, d))
+    return finance.top_category(paid_lines(spark, d, ["category", "quantity"]))
 
 
 @query("dead_stock")
@@ -219,25 +189,25 @@ def q_line_items(spark, d):
 
 @query("cart_totals")
 def q_cart_totals(spark, d):
-    return items.cart_totals(items.line_items(sales(spark, d, with_items=True)))
+    return items.cart_totals(all_lines(spark, d, ["quantity", "source_price", "selling_price"]))
 
 
 @query("display_category")
 def q_display_category(spark, d):
-    li = items.line_items(sales(spark, d, with_items=True))
+    li = all_lines(spark, d, ["category", "details"])
     return li.select("row_pos", "line_no", "category", "details",
                      items.display_category().alias("display_category"))
 
 
 @query("category_mix")
 def q_category_mix(spark, d):
-    return finance.category_mix(paid_lines(spark, d))
+    return finance.category_mix(paid_lines(spark, d, ["category", "details", "quantity"]))
 
 
 @query("weekly_summary")
 def q_weekly_summary(spark, d):
-    return finance.weekly_summary(sales(spark, d), paid_lines(spark, d), purchases(spark, d), fx.as_of_col(),
-                                  fx.WEEKLY_SPEND)
+    return finance.weekly_summary(sales(spark, d), paid_lines(spark, d, ["category", "quantity"]), purchases(spark, d),
+                                  fx.as_of_col(), fx.WEEKLY_SPEND)
 
 
 # ---------------------------------------------------------------- catalogue / inventory
@@ -245,25 +215,33 @@ def vault(spark: SparkSession, d: str) -> DataFrame:
     return fx.fx_vault(spark, d)
 
 
-def all_lines(spark: SparkSession, d: str) -> DataFrame:
-    return items.line_items(sales(spark, d, with_items=True))
+def all_lines(spark: SparkSession, d: str, columns: list[str]) -> DataFrame:
+    return items.line_items(sales(spark, d, with_items=True), columns=columns)
 
 
 @query("vault_add")
 def q_vault_add(spark, d):
+    """New items appended to the stored catalogue, which is read back."""
     v = vault(spark, d)
+    path = shared_dir(spark, "vault_add") + "/data"
     existing = normalize_vault(v).drop("stock_text")
-    return existing.unionByName(catalog.new_items(fx.fx_new_items(spark, d), v))
+    append(existing, path)
+    append(catalog.new_items(fx.fx_new_items(spark, d), v).select(*existing.columns), path)
+    return read_table(spark, path, existing.schema)
 
 
 @query("vault_delete")
 def q_vault_delete(spark, d):
-    return inventory.delete_items(vault(spark, d), fx.fx_deletes(spark, d))
+    """The catalogue without the deleted items as its next version."""
+    base = shared_dir(spark, "vault_delete")
+    write_snapshot(vault(spark, d), base, 0)
+    write_snapshot(inventory.delete_items(latest_snapshot(spark, base), fx.fx_deletes(spark, d)), base, 1)
+    return latest_snapshot(spark, base)
 
 
 @query("stock_deduct")
 def q_stock_deduct(spark, d):
-    return inventory.stock_deduct(vault(spark, d), all_lines(spark, d))
+    return inventory.stock_deduct(vault(spark, d), all_lines(spark, d, ["sku", "quantity"]))
 
 
 @query("stock_restock")
@@ -281,17 +259,17 @@ def q_unmatched_lines(spark, d):
     """Sold lines whose SKU is no longer in the catalogue after the
     sold-out items were deleted (they are skipped by the deduction)."""
     current = inventory.delete_items(vault(spark, d), fx.fx_deletes(spark, d))
-    return inventory.unmatched_lines(current, all_lines(spark, d))
+    return inventory.unmatched_lines(current, all_lines(spark, d, ["sku", "quantity"]))
 
 
 @query("stock_ledger")
 def q_stock_ledger(spark, d):
-    """Chunks are (SKU, day, block of 2^24 order keys): an order-preserving
-    coarsening of the movement order (day, order key, ...), so even one
-    SKU-day holding a third of all rows is split across tasks."""
+    """Chunks are (SKU, day, block of order keys), an order-preserving
+    coarsening of the movement order (day, order key, ...); their summaries
+    are scanned by month and then by SKU."""
     moves = fx.fx_movements(spark, d)
-    return inventory.floor_ledger(moves, "sku", fx.MOVEMENT_ORDER,
-                                  [F.col("ts"), F.floor(F.col("l_orderkey") / (1 << 24))])
+    return inventory.floor_ledger(moves, "sku", fx.MOVEMENT_ORDER, [F.col("ts"), fx.order_block()],
+                                  F.date_trunc("month", F.col("ts")))
 
 
 @query("gallery")
@@ -329,6 +307,12 @@ def q_tag_responses(spark, d):
     return r.select("response_id", cat.alias("category"), tags.alias("tags"))
 
 
+@query("tag_categories")
+def q_tag_categories(spark, d):
+    """how many parsed responses name each category."""
+    return q_tag_responses(spark, d).groupBy("category").agg(F.count(F.lit(1)).alias("responses"))
+
+
 # ---------------------------------------------------------------- invoices / sales log / PII
 @query("invoice_headers")
 def q_invoice_headers(spark, d):
@@ -355,11 +339,20 @@ def sale_headers(raw: DataFrame) -> DataFrame:
                       money("courier_text").alias("courier"))
 
 
+#: Protects the fixture's made-up people; real data takes ``pii_key(spark)``.
+FIXTURE_KEY = "key-of-the-test-fixture-32-bytes"
+
+
 @query("log_sales")
 def q_log_sales(spark, d):
-    built = sales_log.build_sales(fx.fx_lines(spark, d), sale_headers(fx.fx_sales(spark, d)))
+    """Sale rows, name and handle protected, appended by sale month and read back."""
+    key = key_column(spark, FIXTURE_KEY)
+    built = sales_log.build_sales(fx.fx_lines(spark, d), sale_headers(fx.fx_sales(spark, d)), pii_key=key)
+    path = shared_dir(spark, "sales_log") + "/data"
+    append(built, path)
+    logged = read_table(spark, path, built.schema)
     parsed = items.parse_items()
-    return built.select(
+    return logged.withColumns({"client_name": unprotect("client_name", key), "handle": unprotect("handle", key)}).select(
         "*", F.size(parsed).cast("bigint").alias("n_items"),
         F.aggregate(parsed, F.lit(0.0), lambda acc, x: acc + x["Quantity"]).alias("json_qty"),
     ).drop("line_items_json")
@@ -367,7 +360,7 @@ def q_log_sales(spark, d):
 
 @query("pii_roundtrip")
 def q_pii_roundtrip(spark, d):
-    key = pii_key(spark)
+    key = key_column(spark, FIXTURE_KEY)
     raw = fx.fx_sales(spark, d)
     enc = raw.select("row_pos", "handle", protect("handle", key).alias("h"),
                      protect("client_name", key).alias("n"))
@@ -387,7 +380,7 @@ def q_sessions(spark, d):
 def _run(spark: SparkSession, built, name: str, partition_by: list[str] | None = None) -> DataFrame:
     df, mode, keys = built
     out = runner.run_stream(spark, df, name, mode, keys, partition_by=partition_by)
-    return runner.read_output(spark, out, mode, keys=keys)
+    return runner.read_output(spark, out, mode, df.schema, keys)
 
 
 @query("stream_ingest")
@@ -416,7 +409,7 @@ def q_stream_sessions(spark, d):
 
 @query("stream_stock")
 def q_stream_stock(spark, d):
-    return _run(spark, stream_q.stock_state(spark, d), "stream_stock")
+    return stream_q.stock_now(_run(spark, stream_q.stock_state(spark, d), "stream_stock"))
 
 
 @query("stream_upsert")

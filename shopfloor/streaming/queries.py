@@ -2,28 +2,21 @@
 
 Each builder returns ``(streaming DataFrame, output mode, key columns)``;
 ``plans.registry`` runs it to completion with ``availableNow`` and reads the
-sink back, so every stream result is checked against the batch operator.
-Event time is cast to TIMESTAMP (``withWatermark`` rejects TIMESTAMP_NTZ).
+sink back.  All of them let go of old state: windows, chunks and sessions that
+the watermark has passed are dropped, and rows that come later than that are
+not counted (T7).  Event time is cast to TIMESTAMP (``withWatermark`` rejects
+TIMESTAMP_NTZ).
 """
 
 from __future__ import annotations
 
-import functools
-import json
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shopfloor.operators.cleaning import is_paid, normalize_sales
-from shopfloor.operators.inventory import sellable_lines
-from shopfloor.operators.items import line_items
+from shopfloor.operators.inventory import closing_stock
 from shopfloor.operators.sessions import GAP_SECONDS
 from shopfloor.plans import fixtures as fx
-from shopfloor.session import ship_package
 from shopfloor.streaming.runner import read_stream_table
 
 
@@ -40,12 +33,12 @@ def ingest(spark: SparkSession, sf_dir: str):
     return s.withColumn("sale_month", F.trunc(F.col("sale_date").cast("date"), "month")), "append", None
 
 
-def daily_trend(spark: SparkSession, sf_dir: str, watermark: str = "3 days"):
+def daily_trend(spark: SparkSession, sf_dir: str, watermark: str = "3 days", mode: str = "update"):
     """Tumbling one-day event-time windows of paid revenue and profit.
 
-    With ``complete`` all windows are kept; a production sink uses
-    ``append``, which emits a day once the watermark passes its end and drops
-    rows later than the watermark (T7)."""
+    ``update`` upserts the days that a batch changed; ``append`` writes a day
+    once the watermark has passed its end; ``complete`` keeps every day as
+    state and rewrites them all (a parity form for tests)."""
     s = sales_stream(spark, sf_dir).where(is_paid() & F.col("sale_date").isNotNull())
     s = s.withColumn("event_time", F.col("sale_date").cast("timestamp")).withWatermark("event_time", watermark)
     agg = (s.groupBy(F.window("event_time", "1 day").alias("w"))
@@ -53,121 +46,94 @@ def daily_trend(spark: SparkSession, sf_dir: str, watermark: str = "3 days"):
                 F.sum(F.col("paid") - F.col("cost") - F.col("courier")).alias("true_profit")))
     return agg.select(F.col("w.start").cast("date").alias("sale_day"),
                       F.col("gross_revenue").cast("double").alias("gross_revenue"),
-                      F.col("true_profit").cast("double").alias("true_profit")), "complete", None
+                      F.col("true_profit").cast("double").alias("true_profit")), mode, ["sale_day"]
 
 
-def weekly_clients(spark: SparkSession, sf_dir: str, watermark: str = "7 days", approximate: bool = False):
+def weekly_clients(spark: SparkSession, sf_dir: str, watermark: str = "7 days", approximate: bool = False,
+                   mode: str = "update"):
     """Distinct paid clients per sliding 7-day window (1-day step).
 
     Exact distinct aggregates are not allowed on streams, so the stream keeps
-    the distinct (window, handle) pairs as its state (a grouped count) and
-    ``distinct_per_window`` counts them when the sink is read.  With
-    ``approximate`` the stream keeps one HyperLogLog sketch per window
-    instead (much less state, small error)."""
+    the distinct (day, handle) pairs until the watermark passes the day, and
+    ``distinct_per_window`` spreads them over their windows when the sink is
+    read.  With ``approximate`` the stream keeps one HyperLogLog sketch per
+    window instead (much less state, small error)."""
     s = sales_stream(spark, sf_dir).where(is_paid() & F.col("sale_date").isNotNull() & F.col("handle").isNotNull())
     s = s.withColumn("event_time", F.col("sale_date").cast("timestamp")).withWatermark("event_time", watermark)
-    w = F.window("event_time", "7 days", "1 day").alias("w")
     if approximate:
-        agg = s.groupBy(w).agg(F.approx_count_distinct("handle").alias("clients"))
-        cols = ["clients"]
-    else:
-        agg = s.groupBy(w, "handle").agg(F.count(F.lit(1)).alias("sales"))
-        cols = ["handle"]
-    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                      F.col("w.end").cast("timestamp_ntz").alias("window_end"), *cols), "complete", None
-
-
-def distinct_per_window(pairs: DataFrame) -> DataFrame:
-    """Exact distinct clients per window from the (window, handle) sink."""
-    return pairs.groupBy("window_start", "window_end").agg(F.count(F.lit(1)).alias("clients"))
-
-
-def sessions(spark: SparkSession, sf_dir: str, watermark: str = "1 hour"):
-    """T5: per-user sessions closed by 900 s of inactivity."""
+        agg = s.groupBy(F.window("event_time", "7 days", "1 day").alias("w")).agg(
+            F.approx_count_distinct("handle").alias("clients"))
+        return agg.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                          F.col("w.end").cast("timestamp_ntz").alias("window_end"), "clients"), mode, [
+            "window_start", "window_end"]
+    agg = s.groupBy(F.window("event_time", "1 day").alias("w"), "handle").agg(F.count(F.lit(1)).alias("sales"))
+    return agg.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "handle", "sales"), mode, ["day", "handle"]
+
+
+def distinct_per_window(pairs: DataFrame, days: int = 7) -> DataFrame:
+    """Exact distinct clients per window of ``days`` from (day, handle) pairs."""
+    step = lambda k: F.make_interval(F.lit(0), F.lit(0), F.lit(0), k.cast("int"))
+    return (pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(days - 1))))
+            .select((F.col("day") - step(F.col("k"))).alias("window_start"), "handle").distinct()
+            .groupBy("window_start").agg(F.count(F.lit(1)).alias("clients"))
+            .select("window_start", (F.col("window_start") + step(F.lit(days))).alias("window_end"), "clients"))
+
+
+def sessions(spark: SparkSession, sf_dir: str, watermark: str = "1 hour", mode: str = "append"):
+    """T5: per-user sessions closed by 900 s of inactivity.
+
+    ``append`` writes a session once the watermark (newest event minus the
+    delay) has passed its end; sessions that are still open are not in the
+    sink yet.  ``complete`` keeps every session as state (a parity form)."""
     ev = read_stream_table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     agg = (ev.withWatermark("ts", watermark)
            .groupBy("user_id", F.session_window("ts", f"{GAP_SECONDS} seconds").alias("s"))
            .agg(F.count(F.lit(1)).alias("events")))
     return agg.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"),
-                      F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events"), "complete", None
+                      F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events"), mode, None
 
 
 # ------------------------------------------------------------------ T4
-STOCK_OUT = "sku string, closing_stock long, movements long"
-STOCK_STATE = "stock long, movements long, pending string, max_ts long"
-_ORDER = ["ts_ms", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "delta"]
-
-
-def _floored(start: int, deltas: np.ndarray) -> int:
-    """Floored running stock in closed form: from start ``s`` with prefix
-    sums ``p_j`` the final stock is ``s + p_n - min(0, s + min_j p_j)``."""
-    if len(deltas) == 0:
-        return start
-    p = np.cumsum(deltas)
-    return int(start + p[-1] - min(0, start + int(p.min())))
-
-
-def _fold_stock(key, chunks: Iterator[pd.DataFrame], state: GroupState,
-                delay_ms: int = 86_400_000) -> Iterator[pd.DataFrame]:
-    """Apply one SKU's movements in event order across micro-batches.
-
-    A row is final once it is older than the watermark *or* older than this
-    key's newest event minus the watermark delay (the next global watermark
-    is at least that, so anything earlier arriving later is late and
-    dropped).  Final rows are committed to the stock in order; newer rows
-    wait in the state (a JSON list, bounded by rate x delay -- also on a
-    backfill's first batch, when the watermark is not set yet).  The
-    emitted closing stock applies the waiting rows provisionally, so it is
-    always the in-order result of everything seen so far.  An event-time
-    timeout wakes the key up to commit them once the watermark passes."""
-    (sku,) = key
-    frames = [c for c in chunks if len(c)]
-    if state.exists:
-        stock, n, pending, max_ts = state.get
-    else:
-        stock, n, pending, max_ts = None, 0, "[]", None
-    parts = [pd.DataFrame(json.loads(pending), columns=_ORDER + ["s0"])] if pending != "[]" else []
-    if frames:
-        new = pd.concat(frames, ignore_index=True)
-        new["ts_ms"] = new["event_ts"].values.astype("datetime64[ms]").astype(np.int64)
-        parts.append(new[_ORDER + ["s0"]])
-    rows = pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=_ORDER + ["s0"])
-    if stock is None:
-        stock = max(int(rows["s0"].iloc[0]), 0) if len(rows) else 0
-    rows = rows.sort_values(_ORDER, kind="mergesort")
-    ts = rows["ts_ms"].to_numpy(dtype=np.int64)
-    if len(ts):
-        max_ts = int(ts.max()) if max_ts is None else max(max_ts, int(ts.max()))
-    bound = state.getCurrentWatermarkMs()
-    if max_ts is not None:
-        bound = max(bound, max_ts - delay_ms)
-    final = ts < bound
-    stock = _floored(stock, rows.loc[final, "delta"].to_numpy(dtype=np.int64))
-    n += int(final.sum())
-    wait = rows.loc[~final]
-    closing = _floored(stock, wait["delta"].to_numpy(dtype=np.int64))
-    state.update((stock, n, json.dumps(wait.astype(object).values.tolist()), max_ts))
-    if len(wait):
-        state.setTimeoutTimestamp(int(wait["ts_ms"].max()) + 1)
-    yield pd.DataFrame({"sku": [sku], "closing_stock": [closing], "movements": [n + len(wait)]})
-
-
-def stock_state(spark: SparkSession, sf_dir: str, watermark_days: int = 1):
-    """T4: keyed stock per SKU, floor at 0, movements applied in event order
-    even when files arrive out of order (within the watermark delay); equals
-    the last ledger row (W3)."""
-    ship_package(spark)  # the state function runs in Python workers
+STOCK_KEYS = ["sku", "_bucket"]
+
+
+def stock_chunks(moves: DataFrame, watermark: str, block: Column | None = None, width: str = "1 day") -> DataFrame:
+    """Movements as chunk summaries, per SKU, window of ``width`` and, if the
+    event times of a window are all equal (dates), ``block``, a coarsening of
+    the rest of the movement order.
+
+    A chunk's movements are put in event order when they are summed up, so
+    files may arrive in any order within the watermark delay; once the
+    watermark has passed a window its chunks leave the state.  A hot SKU is
+    as many groups as it has chunks."""
+    row = F.struct("event_ts", *fx.MOVEMENT_ORDER[1:])
+    chunks = (moves.withWatermark("event_ts", watermark)
+              .groupBy("sku", F.window("event_ts", width).alias("w"), (F.lit(0) if block is None else block).alias("block"))
+              .agg(F.sort_array(F.collect_list(row)).alias("rows"), F.max("s0").alias("_s0")))
+    zero = F.lit(0).cast("bigint")
+    low = F.lit(1 << 62).cast("bigint")
+    scan = F.aggregate("rows", F.struct(zero.alias("tot"), low.alias("low")), lambda a, x: F.struct(
+        (a["tot"] + x["delta"]).alias("tot"), F.least(a["low"], a["tot"] + x["delta"]).alias("low")))
+    return (chunks.select("sku", F.struct(F.col("w.start").alias("day"), "block").alias("_bucket"), scan.alias("x"),
+                          F.size("rows").cast("bigint").alias("_n"), "_s0")
+            .select("sku", "_bucket", F.col("x.tot").alias("_tot"), F.col("x.low").alias("_low"), "_n", "_s0"))
+
+
+def stock_state(spark: SparkSession, sf_dir: str, watermark: str = "1 day"):
+    """T4: stock per SKU, never below 0, movements in event order; equals the
+    last ledger row (W3).  The sink holds one row per chunk; ``stock_now``
+    composes them."""
     li = read_stream_table(spark, sf_dir, "lineitem")
-    moves = (fx.fx_movements(spark, sf_dir, lineitem=li)
-             .withColumn("event_ts", F.col("ts").cast("timestamp"))
-             .withWatermark("event_ts", f"{watermark_days} days"))
-    fold = functools.partial(_fold_stock, delay_ms=watermark_days * 86_400_000)
-    out = moves.groupBy("sku").applyInPandasWithState(
-        fold, STOCK_OUT, STOCK_STATE, "update", GroupStateTimeout.EventTimeTimeout)
-    return out, "update", ["sku"]
+    moves = fx.fx_movements(spark, sf_dir, lineitem=li).withColumn("event_ts", F.col("ts").cast("timestamp"))
+    return stock_chunks(moves, watermark, fx.order_block(), "1 day"), "update", STOCK_KEYS
+
+
+def stock_now(chunks: DataFrame) -> DataFrame:
+    """Closing stock and number of movements of every SKU."""
+    return closing_stock(chunks.withColumn("_coarse", F.date_trunc("month", F.col("_bucket.day"))), "sku")
 
 
 # ------------------------------------------------------------------ T6
 def sold_lines_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sellable cart lines of sales as they arrive (JSON exploded in-stream)."""
-    return sellable_lines(line_items(sales_stream(spark, sf_dir, with_items=True)))
+    """Cart lines of sales with readable items, as new lineitem files arrive."""
+    return fx.fx_sold_lines(spark, sf_dir, read_stream_table(spark, sf_dir, "lineitem"))

@@ -7,41 +7,51 @@ same version from the same input (idempotent); readers take the newest
 version with a ``_SUCCESS`` marker.  Successive floored
 deductions equal one floored deduction of the summed quantity, so the final
 snapshot equals the batch ``stock_deduct`` over all lines.
+
+Given its catalogue and checkpoint folders the stream resumes from them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shopfloor.operators.inventory import stock_deduct
+from shopfloor.operators.inventory import next_catalogue, sold_per_sku
 from shopfloor.session import shared_dir
 from shopfloor.sources.tables import latest_snapshot, read_table, versions, write_snapshot
+from shopfloor.streaming.runner import REFRESH_TRIGGERS
 
 VAULT_COLS = ["row_pos", "sku", "sourcing_price_text", "tags", "image_url", "standard_price_text",
               "vip_price_text", "clearance_price_text", "stock_text"]
 
 
 def apply_batch(spark: SparkSession, base: str, lines: DataFrame, batch_id: int) -> None:
-    if lines.isEmpty():
-        return
-    below = [v for v in versions(spark, base) if v <= batch_id]
-    current = read_table(spark, f"{base}/v={below[-1]:012d}")
-    changed = stock_deduct(current, lines).select("row_pos", "new_stock_text")
-    nxt = (current.join(changed, "row_pos", "left")
-           .withColumn("stock_text", F.coalesce(F.col("new_stock_text"), F.col("stock_text")))
-           .select(*VAULT_COLS))
-    write_snapshot(nxt, base, batch_id + 1)
+    """The batch is read once: its sold quantities per SKU are kept for the
+    test for rows and for the join."""
+    sold = sold_per_sku(lines).persist()
+    try:
+        if sold.isEmpty():
+            return
+        below = [v for v in versions(spark, base) if v <= batch_id]
+        current = read_table(spark, f"{base}/v={below[-1]:012d}")
+        write_snapshot(next_catalogue(current, sold), base, batch_id + 1)
+    finally:
+        sold.unpersist()
 
 
 def run_upsert(spark: SparkSession, vault: DataFrame, lines_stream: DataFrame, name: str = "stock_upsert",
-               trigger: dict | None = None) -> DataFrame:
-    base = shared_dir(spark, "vault", name)
-    write_snapshot(vault.select(*VAULT_COLS), base, 0)
-    ckpt = shared_dir(spark, "ckpt", name)
-    cols = ["row_pos", "line_no", "sku", "quantity"]
-    q = (lines_stream.select(*cols).writeStream.queryName(f"{name}_{base.rsplit('-', 1)[-1]}")
-         .option("checkpointLocation", ckpt)
+               trigger: dict | str | None = None, base: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run to the end of the input (or until stopped) and return the newest
+    catalogue.  ``vault`` is the catalogue to start from; a ``base`` that
+    already has versions goes on from them."""
+    if (base is None) != (checkpoint is None):
+        raise ValueError("base and checkpoint must be given together")
+    base = base or shared_dir(spark, "vault", name)
+    if not versions(spark, base):
+        write_snapshot(vault.select(*VAULT_COLS), base, 0)
+    if isinstance(trigger, str):
+        trigger = REFRESH_TRIGGERS[trigger]
+    q = (lines_stream.select("sku", "quantity").writeStream.queryName(f"{name}_{base.rstrip('/').rsplit('/', 1)[-1]}")
+         .option("checkpointLocation", checkpoint or shared_dir(spark, "ckpt", name))
          .trigger(**(trigger or {"availableNow": True}))
          .foreachBatch(lambda b, bid: apply_batch(spark, base, b, bid)).start())
     q.awaitTermination()

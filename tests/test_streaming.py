@@ -4,6 +4,7 @@ incremental batches (T4/T6 state across micro-batches)."""
 import datetime as dt
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from shopfloor.streaming import runner
@@ -23,11 +24,16 @@ def _late_source(spark, tmp_path):
     return s.select(F.col("w.start").alias("day"), "a")
 
 
+def _late_source_schema():
+    from pyspark.sql import types as T
+    return T.StructType([T.StructField("day", T.TimestampType()), T.StructField("a", T.DoubleType())])
+
+
 def test_late_rows_complete_mode_equals_batch_recompute(spark, tmp_path):
-    """The oracle keys run in complete mode, which keeps every window --
-    a back-dated row is included, as when the reference recomputes all."""
+    """Complete mode keeps every window -- a back-dated row is included,
+    as when the reference recomputes all."""
     out = runner.run_stream(spark, _late_source(spark, tmp_path), "late_complete", "complete")
-    got = {r["day"].day: r["a"] for r in runner.read_output(spark, out, "complete").collect()}
+    got = {r["day"].day: r["a"] for r in runner.read_output(spark, out, "complete", _late_source_schema()).collect()}
     assert got == {10: 1.0, 15: 2.0, 5: 4.0, 14: 8.0}
 
 
@@ -43,24 +49,21 @@ def test_append_mode_holds_windows_until_watermark(spark, tmp_path):
     assert 14 not in got and 15 not in got
 
 
-def _stock_stream(spark, tmp_path, batches, watermark="10 days"):
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    from shopfloor.streaming.queries import STOCK_OUT, STOCK_STATE, _fold_stock
+MOVES = ("sku string, event_ts timestamp, l_orderkey bigint, l_linenumber int, l_suppkey bigint, "
+         "l_extendedprice double, delta bigint, s0 bigint")
+
+
+def _stock_stream(spark, tmp_path, batches, watermark="10 days", width="1 day"):
+    """One file per micro-batch, in arrival order."""
+    from shopfloor.streaming.queries import STOCK_KEYS, stock_chunks, stock_now
     src = str(tmp_path / "moves")
-    os.makedirs(src, exist_ok=True)
-    schema = ("sku string, event_ts timestamp, l_orderkey bigint, l_linenumber int, l_suppkey bigint, "
-              "l_extendedprice double, delta bigint, s0 bigint")
-    for b in batches:  # one file per micro-batch, in arrival order
-        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
-    moves = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-             .withWatermark("event_ts", watermark))
-    import functools
-    fold = functools.partial(_fold_stock, delay_ms=int(watermark.split()[0]) * 86_400_000)
-    out_df = moves.groupBy("sku").applyInPandasWithState(fold, STOCK_OUT, STOCK_STATE, "update",
-                                                         GroupStateTimeout.EventTimeTimeout)
-    out = runner.run_stream(spark, out_df, "stock_batches", "update", ["sku"])
+    for b in batches:
+        spark.createDataFrame(b, MOVES).coalesce(1).write.mode("append").parquet(src)
+    moves = spark.readStream.schema(MOVES).option("maxFilesPerTrigger", 1).parquet(src)
+    df = stock_chunks(moves, watermark, width=width)
+    out = runner.run_stream(spark, df, "stock_batches", "update", STOCK_KEYS)
     return {r["sku"]: (r["closing_stock"], r["movements"])
-            for r in runner.read_output(spark, out, "update", keys=["sku"]).collect()}
+            for r in stock_now(runner.read_output(spark, out, "update", df.schema, STOCK_KEYS)).collect()}
 
 
 def test_stock_state_across_batches_matches_fold(spark, tmp_path):
@@ -83,6 +86,109 @@ def test_stock_state_applies_out_of_order_files_in_event_order(spark, tmp_path):
     assert got == {"A": (7, 3)}
 
 
+def test_stock_state_of_a_hot_sku_over_many_batches(spark, tmp_path):
+    import random
+    rnd = random.Random(3)
+    t = dt.datetime(2024, 1, 1)
+    rows = [("HOT" if rnd.random() < 0.4 else f"K{rnd.randint(1, 5)}", t + dt.timedelta(hours=rnd.randint(0, 60)), i, 1, 1, 1.0,
+             rnd.choice([-9, -4, 3, 6]), 5) for i in range(1200)]
+    got = _stock_stream(spark, tmp_path, [rows[i::20] for i in range(20)], width="3 hours")  # compacts once on the way
+    for sku in {r[0] for r in rows}:
+        s, mine = 5, sorted((r for r in rows if r[0] == sku), key=lambda r: (r[1], r[2]))
+        for r in mine:
+            s = max(0, s + r[6])
+        assert got[sku] == (s, len(mine))
+
+
+STREAMS = ["stream_ingest", "stream_daily_trend", "stream_weekly_clients", "stream_sessions", "stream_stock", "stream_upsert"]
+
+
+@pytest.fixture(scope="module")
+def folder_tables(spark, tmp_path_factory):
+    """The tables as folders of part files."""
+    from conftest import SMALL
+    d = str(tmp_path_factory.mktemp("tables"))
+    for t in ("orders", "customer", "lineitem", "part", "events"):
+        spark.read.parquet(f"{SMALL}/{t}.parquet").repartition(3).write.parquet(f"{d}/{t}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("key", STREAMS)
+def test_streams_read_folders_like_files(spark, folder_tables, key):
+    from conftest import SMALL
+    from shopfloor.plans.registry import REGISTRY
+    rows = lambda d: sorted(map(str, REGISTRY[key](spark, d).collect()))
+    assert rows(folder_tables) == rows(SMALL) != []
+
+
+def test_stream_resumes_without_lost_or_doubled_rows(spark, tmp_path):
+    src, ckpt, out = (str(tmp_path / x) for x in ("src", "ckpt", "out"))
+    schema = "k long, v long"
+
+    def add(a, b):
+        spark.range(a, b).selectExpr("id as k", "id % 3 as v").coalesce(1).write.mode("append").parquet(src)
+
+    def run(mode, name, df, keys=None):
+        runner.run_stream(spark, df, name, mode, keys, checkpoint=f"{ckpt}/{name}", output=f"{out}/{name}")
+        return runner.read_output(spark, f"{out}/{name}", mode, df.schema, keys)
+
+    for upto in (10, 25, 25, 40):  # the third start finds nothing new
+        if upto != 25 or not os.path.exists(f"{src}/second"):
+            add({10: 0, 25: 10, 40: 25}[upto], upto)
+        if upto == 25:
+            os.makedirs(f"{src}/second", exist_ok=True)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+        assert sorted(r["k"] for r in run("append", "rows", stream).collect()) == list(range(upto))
+        counts = run("update", "counts", stream.groupBy("v").agg(F.count(F.lit(1)).alias("n")), ["v"])
+        assert sum(r["n"] for r in counts.collect()) == upto and counts.count() == 3
+
+
+def test_upsert_resumes(spark, tmp_path):
+    from shopfloor.streaming.upsert import VAULT_COLS, run_upsert
+    vault = spark.createDataFrame([(1, "A", "9"), (1, "B", "3")], "row_pos bigint, sku string, stock_text string")
+    for c in VAULT_COLS:
+        if c not in vault.columns:
+            vault = vault.withColumn(c, F.lit(None).cast("string"))
+    src, ckpt, base = (str(tmp_path / x) for x in ("lines", "ckpt", "vault"))
+    for left in ("7", "5", "3"):
+        spark.createDataFrame([("A", 2.0)], "sku string, quantity double").coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("sku string, quantity double").parquet(src)
+        got = {r["sku"]: r["stock_text"] for r in run_upsert(spark, vault, stream, "up", base=base, checkpoint=ckpt).collect()}
+        assert got == {"A": left, "B": "3"}  # equal row_pos doesn't multiply rows
+
+
+def test_empty_stream_gives_an_empty_frame(spark, tmp_path):
+    src = str(tmp_path / "none")
+    os.makedirs(src)
+    df = spark.readStream.schema("k long").parquet(src)
+    for mode, keys in (("append", None), ("update", ["k"])):
+        got = df if mode == "append" else df.groupBy("k").count()
+        back = runner.read_output(spark, runner.run_stream(spark, got, f"empty_{mode}", mode, keys), mode, got.schema, keys)
+        assert back.columns == got.columns and back.count() == 0
+
+
+def test_parity_form_of_the_trend_equals_the_key(spark):
+    from conftest import SMALL
+    from shopfloor.plans.registry import REGISTRY
+    from shopfloor.streaming import queries as stream_q
+    df, mode, keys = stream_q.daily_trend(spark, SMALL, mode="complete")
+    got = runner.read_output(spark, runner.run_stream(spark, df, "trend_complete", mode, keys), mode, df.schema)
+    assert sorted(map(str, got.collect())) == sorted(map(str, REGISTRY["stream_daily_trend"](spark, SMALL).collect()))
+
+
+def test_refresh_policy_triggers_a_stream(spark, tmp_path):
+    src = str(tmp_path / "src")
+    spark.range(5).write.parquet(src)
+    df = spark.readStream.schema("id long").parquet(src)
+    out = runner.run_stream(spark, df, "policy", trigger="sales", wait=False)
+    q = next(x for x in spark.streams.active if x.name.startswith("policy_"))
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert runner.read_output(spark, out, "append", df.schema).count() == 5
+
+
 def test_upsert_over_several_batches_equals_one_deduction(spark, tmp_path):
     from shopfloor.operators.inventory import stock_deduct
     from shopfloor.streaming.upsert import VAULT_COLS, run_upsert
