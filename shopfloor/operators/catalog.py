@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shopfloor.functions.text import CATEGORIES, clean_number, clean_text, format_money, search_tokens
+from shopfloor.functions.text import CATEGORIES, clean_number, clean_text, format_money, search_tokens, text_runs
 
 # Fixed values that must equal the reference: list-price multipliers for
 # standard / VIP / clearance quotes, the default caption price, and the
@@ -21,7 +21,7 @@ def _runs(text: Column) -> Column:
     """Whitespace-free runs of the lower-cased text.  A search token has no
     whitespace, so it is a substring of the text iff it is a substring of
     one run."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda x: x != F.lit(""))
+    return text_runs(F.coalesce(text, F.lit("")))
 
 
 def catalog_match(queries: DataFrame, vault: DataFrame, query_id: str = "query_id",
@@ -35,47 +35,58 @@ def catalog_match(queries: DataFrame, vault: DataFrame, query_id: str = "query_i
 
     * substring tests run between *distinct* tag runs (bounded by the
       vocabulary, not the catalogue) and distinct query tokens, as an
-      equi-join on every substring of a run up to the longest token length;
+      equi-join on the substrings of a run whose lengths occur among tokens;
     * items are collapsed into classes with the same matched-token set
-      (keeping the earliest row), queries into classes with the same token
+      (named by their earliest row), queries into classes with the same token
       multiset -- the score depends on nothing else;
-    * only class pairs that share a token are scored (join on the token), the
-      winner per query class is a hash aggregate (``min_by``), and the query
-      rows pick up their class's winner by an equi-join.
+    * an item that matches one token only is beaten by the earliest item of
+      the query's heaviest token, one lookup per token; items that match
+      several share a *pair* of tokens, so class pairs meet on token pairs,
+      whose lists are short where those of single tokens are long.  With k
+      common tokens a class pair meets k(k-1)/2 times, which gives its score.
     """
     q_tok = (queries.select(F.col(query_id).alias("query_id"), F.explode(search_tokens(F.col(query))).alias("token"))
              .groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("weight")))
     tokens = q_tok.select("token").distinct()
-    max_len = tokens.agg(F.max(F.length("token"))).scalar()
+    lengths = tokens.agg(F.collect_set(F.length("token"))).scalar()
     item_runs = (vault.select(F.col("row_pos").alias("item_pos"), F.explode(F.array_distinct(_runs(F.col("tags"))))
                               .alias("run")))
-    runs = item_runs.select("run").distinct()
-    # every substring of each distinct run, no longer than the longest token
-    starts = runs.select("run", max_len.alias("max_len"),
-                         F.explode(F.sequence(F.lit(1), F.length("run"))).alias("i"))
-    subs = starts.select(
-        "run", F.explode(F.sequence(F.col("i"), F.least(F.length("run"), F.col("i") + F.col("max_len") - 1)))
-        .alias("j"), "i").select("run", F.expr("substring(run, i, j - i + 1)").alias("token")).distinct()
+    subs = (item_runs.select("run").distinct()
+            .select("run", F.explode(lengths).alias("n"))
+            .where(F.col("n") <= F.length("run"))
+            .select("run", "n", F.explode(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1)).alias("i"))
+            .select("run", F.expr("substring(run, i, n)").alias("token")).distinct())
     hits = subs.join(tokens, "token").select("run", "token")
     item_tokens = item_runs.join(hits, "run").select("item_pos", "token").distinct()
+    first_item = item_tokens.groupBy("token").agg(F.min("item_pos").alias("item_pos"))
     # item classes: same matched-token set -> same score against every query
-    item_sig = item_tokens.groupBy("item_pos").agg(F.sort_array(F.collect_list("token")).alias("isig"))
-    item_cls = item_sig.groupBy("isig").agg(F.min("item_pos").alias("first_pos"))
-    item_cls_tok = item_cls.select("isig", "first_pos", F.explode("isig").alias("token"))
+    i_cls = (item_tokens.groupBy("item_pos").agg(F.sort_array(F.collect_list("token")).alias("sig"))
+             .groupBy("sig").agg(F.min("item_pos").alias("item_pos")))
     # query classes: same (token, weight) multiset
     q_sig = q_tok.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("qsig"))
-    q_cls_tok = (q_sig.select("qsig").distinct()
-                 .select("qsig", F.inline(F.col("qsig"))))
-    scores = (q_cls_tok.join(item_cls_tok, "token")
-              .groupBy("qsig", "isig", "first_pos").agg(F.sum("weight").alias("score")))
-    best = scores.groupBy("qsig").agg(
-        F.min_by("first_pos", F.struct(-F.col("score"), F.col("first_pos"))).alias("item_pos"),
-        F.max("score").alias("score"))
-    per_query = q_sig.join(best, "qsig").select("query_id", "item_pos", "score")
+    q_cls = q_sig.groupBy("qsig").agg(F.min("query_id").alias("q_cls"))
+    singles = (q_cls.select("q_cls", F.inline("qsig")).join(first_item, "token")
+               .select("q_cls", "item_pos", F.col("weight").alias("score")))
+    q_pairs = q_cls.select("q_cls", F.inline(_pairs(F.col("qsig"), lambda a, b: F.struct(
+        a["token"].alias("a"), b["token"].alias("b"), (a["weight"] + b["weight"]).alias("weight")))))
+    i_pairs = i_cls.select("item_pos", F.inline(_pairs(F.col("sig"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    common = (1 + F.sqrt(1 + 8 * F.count(F.lit(1)))) / 2  # tokens that make so many pairs
+    several = (q_pairs.join(i_pairs, ["a", "b"]).groupBy("q_cls", "item_pos")
+               .agg((F.sum("weight") / (common - 1)).cast("bigint").alias("score")))
+    best = (singles.unionByName(several).groupBy("q_cls")
+            .agg(F.min_by("item_pos", F.struct(-F.col("score"), F.col("item_pos"))).alias("item_pos"),
+                 F.max("score").alias("score")))
+    per_query = q_sig.join(q_cls, "qsig").join(best, "q_cls").select("query_id", "item_pos", "score")
     return per_query.join(vault.select(F.col("row_pos").alias("item_pos"), "sku"), "item_pos").select(
         "query_id", F.col("item_pos").alias("row_pos"), "sku", "score")
 
 
+def _pairs(items: Column, make) -> Column:
+    """All pairs of an ordered array, earlier element first."""
+    return F.flatten(F.transform(items, lambda x, i: F.transform(
+        F.slice(items, i + 2, F.size(items)), lambda y: make(x, y))))
+
+
 # ------------------------------------------------------------------ quotes
 def safe_quote(price_text: Column, cost: Column, multiplier: float) -> Column:
     """stored price when it parses (a stored 0 stays 0), else cost x m."""

@@ -2,8 +2,8 @@
 
 * ``dashboard`` (E1): one normalisation of the sales and purchases tables
   feeding every KPI and chart dataset of the profitability view.
-* ``checkout`` (E2): a batch of carts becomes appended sale rows and the next
-  catalogue snapshot with the sold quantities deducted.
+* ``checkout`` (E2): a batch of carts becomes sale rows and the next catalogue
+  snapshot with the sold quantities deducted.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from shopfloor.operators import clients, finance, inventory, items
 from shopfloor.operators.cleaning import is_paid, normalize_purchases, normalize_sales
 from shopfloor.operators.sales_log import build_sales
-from shopfloor.sources.tables import append, latest_snapshot, versions, write_snapshot
+from shopfloor.sources.tables import read_table, versions, write_snapshot
 
 
 def dashboard(raw_sales: DataFrame, raw_purchases: DataFrame, as_of: Column,
@@ -25,7 +25,7 @@ def dashboard(raw_sales: DataFrame, raw_purchases: DataFrame, as_of: Column,
     by Spark's exchange reuse inside each plan, not by caching."""
     sales = normalize_sales(raw_sales)
     purchases = normalize_purchases(raw_purchases)
-    paid_lines = items.line_items(sales.where(is_paid()))
+    paid_lines = items.line_items(sales.where(is_paid()), columns=["category", "details", "quantity"])
     values = clients.client_value(sales, sort=False)
     return {
         "summary": finance.weekly_summary(sales, paid_lines, purchases, as_of, weekly_spend),
@@ -38,22 +38,26 @@ def dashboard(raw_sales: DataFrame, raw_purchases: DataFrame, as_of: Column,
 
 
 def checkout(spark: SparkSession, cart_lines: DataFrame, headers: DataFrame, sales_path: str,
-             vault_base: str, pii_key: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Append the carts as sale rows and write the next catalogue version.
-
-    The deduction uses the summed quantity per SKU (one floored deduction
-    equals the reference's successive ones).  The new catalogue version is
-    the newest one plus 1; readers keep using the old version until the new
-    one has its ``_SUCCESS`` marker.  Returns (sale rows, new catalogue)."""
-    rows = build_sales(cart_lines, headers, pii_key=pii_key)
-    append(rows, sales_path)
-    current = latest_snapshot(spark, vault_base)
-    if current is None:
+             vault_base: str, batch_id: int, pii_key: Column) -> tuple[DataFrame, DataFrame]:
+    """Write the carts as sale rows and the next catalogue version, under the
+    caller's ``batch_id``; name and handle are protected with ``pii_key``.
+
+    Sale rows go to the folder of their batch and the catalogue to version
+    ``batch_id + 1``, out of the newest version up to ``batch_id``, so a retry
+    of a batch changes nothing.  Batch ids must grow: a batch older than the
+    newest catalogue that was never applied is an error.  The deduction uses
+    the summed quantity per SKU (one floored deduction equals the reference's
+    successive ones).  Returns (sale rows, new catalogue)."""
+    done = versions(spark, vault_base)
+    if not done:
         raise ValueError(f"no catalogue snapshot under {vault_base}")
-    changed = inventory.stock_deduct(current, cart_lines).select("row_pos", "new_stock_text")
-    nxt = (current.join(changed, "row_pos", "left")
-           .withColumn("stock_text", F.coalesce(F.col("new_stock_text"), F.col("stock_text")))
-           .drop("new_stock_text"))
-    version = (versions(spark, vault_base) or [0])[-1] + 1
-    path = write_snapshot(nxt, vault_base, version)
-    return rows, spark.read.parquet(path)
+    folder = f"{sales_path.rstrip('/')}/batch_id={batch_id}"
+    rows = build_sales(cart_lines, headers, pii_key=pii_key)
+    if batch_id + 1 not in done:
+        if done[-1] > batch_id:
+            raise ValueError(f"batch {batch_id} comes after catalogue version {done[-1]}")
+        rows.write.mode("overwrite").parquet(folder)
+        current = read_table(spark, f"{vault_base.rstrip('/')}/v={done[-1]:012d}")
+        write_snapshot(inventory.next_catalogue(current, inventory.sold_per_sku(cart_lines)), vault_base, batch_id + 1)
+    return (read_table(spark, folder, rows.schema),
+            read_table(spark, f"{vault_base.rstrip('/')}/v={batch_id + 1:012d}"))

@@ -17,7 +17,7 @@ def spark():
 
     ckpt = tempfile.mkdtemp(prefix="shopfloor-test-ckpt-")
     s = build_session("local[*]", 8, extra={"spark.checkpoint.dir": ckpt,
-                                             "spark.shopfloor.pii.key": "0123456789abcdef0123456789abcdef"})
+                                             "spark.shopfloor.pii.secret": "0123456789abcdef0123456789abcdef"})
     s.sparkContext.setLogLevel("ERROR")
     s.sparkContext.setCheckpointDir(ckpt)
     yield s

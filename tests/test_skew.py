@@ -24,7 +24,8 @@ def test_ledger_with_a_hot_sku(spark):
             for i, k in enumerate(keys)]
     moves = spark.createDataFrame(rows, "sku string, ts timestamp, seq int, delta bigint, s0 bigint")
     got = {(r["sku"], r["seq"]): r["stock"] for r in
-           inventory.floor_ledger(moves, "sku", ["ts", "seq"], [F.date_trunc("day", F.col("ts"))]).collect()}
+           inventory.floor_ledger(moves, "sku", ["ts", "seq"], [F.date_trunc("day", F.col("ts"))],
+                                  F.date_trunc("week", F.col("ts"))).collect()}
     for sku in set(keys):
         s = 5
         for r in sorted((r for r in rows if r[0] == sku), key=lambda r: (r[1], r[2])):

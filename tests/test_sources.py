@@ -99,10 +99,18 @@ def test_checkout_appends_sales_and_writes_next_catalogue(spark):
                                      (11, dt.datetime(2024, 1, 2), "B", "@b", "Pending", 0.0)],
                                     "row_pos bigint, event_ts timestamp, client_name string, handle string, "
                                     "payment_status string, courier double")
-    rows, new_vault = checkout(spark, lines, headers, f"{base}/sales", f"{base}/vault")
-    assert read_table(spark, f"{base}/sales").count() == 2
+    from shopfloor.functions.pii import pii_key
+    for _ in range(2):  # a retry changes nothing
+        rows, new_vault = checkout(spark, lines, headers, f"{base}/sales", f"{base}/vault", 0, pii_key(spark))
+    logged = read_table(spark, f"{base}/sales")
+    assert logged.count() == rows.count() == 2
+    assert not {r["client_name"] for r in logged.collect()} & {"A", "B"}
     assert {r["sku"]: r["stock_text"] for r in new_vault.collect()} == {"JK-1": "3", "JK-2": "0", "JK-3": "x"}
     assert latest_snapshot(spark, f"{base}/vault").count() == 3
+    _, later = checkout(spark, lines, headers, f"{base}/sales", f"{base}/vault", 4, pii_key(spark))
+    assert {r["sku"]: r["stock_text"] for r in later.collect()} == {"JK-1": "1", "JK-2": "0", "JK-3": "x"}
+    with pytest.raises(ValueError):
+        checkout(spark, lines, headers, f"{base}/sales", f"{base}/vault", 2, pii_key(spark))
 
 
 def test_dashboard_datasets(spark):
@@ -114,3 +122,55 @@ def test_dashboard_datasets(spark):
     assert set(out) == {"summary", "daily_trend", "category_mix", "client_value", "top_clients", "repeat_rate"}
     assert out["summary"].count() == 1 and out["top_clients"].count() == 5
     assert abs(sum(r["share"] for r in out["category_mix"].collect()) - 1.0) < 1e-9
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json", "parquet"])
+def test_sheet_export_round_trip(spark, fmt):
+    """A sheet export keeps null, '' and blanks apart and maps back to the columns."""
+    from conftest import SMALL
+    from pyspark.sql import types as T
+    from shopfloor.operators.cleaning import standard_names
+    from shopfloor.plans import fixtures as fx
+    from shopfloor.plans.registry import sheet
+    from shopfloor.schemas import SALES_HEADERS
+    options = {"nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"} if fmt == "csv" else {}
+    want = fx.fx_sales(spark, SMALL).drop("order_ts")
+    path = shared_dir(spark, "test", "export") + "/data"
+    out = sheet(want, SALES_HEADERS)
+    out.write.format(fmt).options(header="true", **options).save(path)
+    back = standard_names(read_table(spark, path, T.StructType(out.schema.fields), fmt=fmt, **options), SALES_HEADERS)
+    assert sorted(map(str, back.collect())) == sorted(map(str, want.collect()))
+
+
+def test_shared_dir_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
+def test_missing_ok_hides_no_other_failure(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_text("not parquet")
+    with pytest.raises(Exception):
+        read_table(spark, str(tmp_path / "bad.parquet"), spark.range(1).schema, missing_ok=True).collect()
+
+
+def test_pii_key_is_in_no_plan(spark):
+    from shopfloor.functions.pii import key_column, pii_key, protect, unprotect
+    key = "super-secret-key-of-32-bytes-abc"
+    df = spark.range(3).selectExpr("cast(id as string) as v")
+    out = df.select(protect("v", key_column(spark, key)).alias("e")).select(unprotect("e", key_column(spark, key)).alias("v"))
+    assert sorted(r["v"] for r in out.collect()) == ["0", "1", "2"]
+    assert key not in out._jdf.queryExecution().toString() and key not in out._jdf.queryExecution().stringWithStats()
+    old = spark.conf.get("spark.shopfloor.pii.secret")
+    spark.conf.unset("spark.shopfloor.pii.secret")
+    try:
+        with pytest.raises(RuntimeError):
+            pii_key(spark)
+    finally:
+        spark.conf.set("spark.shopfloor.pii.secret", old)
