@@ -39,7 +39,9 @@ MIN_WORDS = 12
 
 _STOPS = ".!?,;:\n。！？，；："
 _SENTENCE = re.compile(f"[^{_STOPS}]*[{_STOPS}]+[\\s]*|[^{_STOPS}]+")
-_FOLD = str.maketrans(UPPER, LOWER)
+_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_STEP = 0x9E3779B97F4A7C15  # odd, so that its powers can be undone modulo 2 ** 64
+_BACK = pow(_STEP, -1, 2**64)
 
 
 def sentences(text: str | None) -> list[str]:
@@ -61,13 +63,25 @@ def span_ends(words: np.ndarray, min_sentences: int, min_words: int) -> np.ndarr
 
 
 def span_hashes(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS):
-    """(h1, h2, start, length) arrays of a text's spans."""
-    units = sentences(text)
-    folded = [u.strip().translate(_FOLD) for u in units]
-    ends = span_ends(np.fromiter((len(u.split()) for u in folded), np.int64, len(units)), min_sentences, min_words)
-    h = [xxhash.xxh3_128_digest("\x00".join(folded[i:j])) for i, j in enumerate(ends.tolist())]
-    pair = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-    return pair[:, 0], pair[:, 1], np.arange(len(ends)), ends - np.arange(len(ends))
+    """(h1, h2, start, length) arrays of a text's spans.
+
+    Every sentence is hashed once to 128 bits; a span's hash is the polynomial
+    of its sentences' hashes, out of two running sums."""
+    units = [u.strip().encode("utf-8", "replace").translate(_FOLD) for u in sentences(text)]
+    n = len(units)
+    ends = span_ends(np.fromiter((len(u.split()) for u in units), np.int64, n), min_sentences, min_words)
+    starts = np.arange(len(ends))
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, units)), np.uint64).reshape(n, 2)
+    upto = np.zeros((n + 1, 2), np.uint64)
+    np.cumsum(h * _powers(_STEP, n)[:, None], axis=0, out=upto[1:])
+    spans = (upto[ends] - upto[starts]) * _powers(_BACK, n)[starts, None] + (ends - starts).astype(np.uint64)[:, None]
+    return spans[:, 0].view(np.int64), spans[:, 1].view(np.int64), starts, ends - starts
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
 
 
 def _spans(docs: DataFrame, columns: str, min_sentences: int, min_words: int) -> DataFrame:
@@ -92,12 +106,12 @@ def _spans(docs: DataFrame, columns: str, min_sentences: int, min_words: int) ->
 
 def repeated_spans(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
     """The non-first occurrences: doc_id, th (hash of the text), start, length."""
-    often = (_spans(docs, "h1 long", min_sentences, min_words).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
-             .filter("n > 1").select("h1"))
+    often = pin(_spans(docs, "h1 long", min_sentences, min_words).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
+                .filter("n > 1").select("h1"), "often")
     columns = "h1 long, h2 long, start int, length int, th long, doc_id long"
     rows = pin(_spans(docs, columns, min_sentences, min_words).join(often, "h1"), "spans")
     place = F.struct("doc_id", "th", "start")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    firsts = pin(rows.groupBy("h1", "h2").agg(F.min(place).alias("first")), "firsts")
     return (rows.join(firsts, ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
             .select("doc_id", "th", "start", "length"))
 
