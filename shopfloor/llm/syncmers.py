@@ -124,7 +124,10 @@ def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     cut = F.floor(n / 4).cast("int")
     edited = F.when(F.col("next").isNull(), text).otherwise(
         F.concat(F.substring(text, F.lit(1), n - cut), F.substring(F.col("next.head"), F.lit(1), cut)))
-    return (texts.join(heads, F.col("doc_id") == F.col("pred_id"), "left")
+    # every id has a next document; texts are shuffled by id once, for both joins
+    known = texts.join(heads, F.col("doc_id") == F.col("pred_id")).drop("pred_id")
+    unknown = texts.filter(F.col("doc_id").isNull()).withColumn("next", F.lit(None).cast(heads.schema["next"].dataType))
+    return (known.unionByName(unknown)
             .withColumn("n", F.length("text"))
             .withColumn("edited", edited)
             .withColumns({"own": marks(text, k, s), "other": marks(F.col("edited"), k, s)})
