@@ -28,21 +28,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pin, table
+from .syncmers import bind
 
 DEPTH = 3
 FIELD = "<*>"
 
-_VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
 _BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.regexp_replace(line, _VARIABLE, FIELD), _BLANKS), "")
+def raw_tokens(line: Column) -> Column:
+    return F.array_remove(F.split(line, _BLANKS), "")
 
 
-def leaf_of(toks: Column, depth: int = DEPTH) -> Column:
+def masked(toks: Column) -> Column:
+    return F.transform(toks, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+
+
+def leaf_of(line: Column, depth: int = DEPTH) -> Column:
     """The path of a line in the tree, as a hash; null without tokens."""
-    return F.when(F.size(toks) > 0, F.xxhash64(F.size(toks), F.slice(toks, 1, depth)))
+    return bind(raw_tokens(line), lambda t: F.when(F.size(t) > 0, F.xxhash64(F.size(t), masked(F.slice(t, 1, depth)))))
 
 
 def text_lines(text: Column) -> Column:
@@ -57,10 +61,9 @@ def _texts(df: DataFrame, keys: list[str]) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_texts: int = 10, depth: int = DEPTH, constant: float = 0.5) -> DataFrame:
     """doc_id, th (hash of the text) and line of every line to drop."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    paths = (keyed.select("doc_id", "th", F.posexplode_outer(text_lines(F.col("text"))).alias("line", "s"))
-             .select("doc_id", "th", "line", leaf_of(tokens(F.col("s")), depth).alias("leaf"))
-             .filter(F.col("leaf").isNotNull()))
-    leaves = _texts(paths, ["leaf"]).filter(F.col("texts") >= min_texts).select("leaf")
+    paths = pin(keyed.select("doc_id", "th", F.posexplode_outer(text_lines(F.col("text"))).alias("line", "s"))
+                .select("doc_id", "th", "line", leaf_of(F.col("s"), depth).alias("leaf")), "paths").filter("leaf is not null")
+    leaves = pin(_texts(paths, ["leaf"]).filter(F.col("texts") >= min_texts).select("leaf"), "leaves")
     wanted = (paths.join(leaves, "leaf").groupBy("doc_id", "th").agg(F.collect_set("line").alias("wanted"))
               .select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "wanted"))
     # tokens only of lines in leaves that can recur
@@ -68,18 +71,19 @@ def recurring_lines(docs: DataFrame, min_texts: int = 10, depth: int = DEPTH, co
                 .dropDuplicates(["doc_id", "th"])
                 .withColumn("all", text_lines(F.col("text")))
                 .select("doc_id", "th", "all", F.explode("wanted").alias("line"))
-                .select("doc_id", "th", "line", tokens(F.col("all")[F.col("line")]).alias("tokens"))
-                .withColumn("leaf", leaf_of(F.col("tokens"), depth)), "lines")
+                .select("doc_id", "th", "line", F.col("all")[F.col("line")].alias("s"))
+                .select("doc_id", "th", "line", leaf_of(F.col("s"), depth).alias("leaf"),
+                        masked(raw_tokens(F.col("s"))).alias("tokens")), "lines")
     parts = lines.select("doc_id", "th", "line", "leaf", F.posexplode("tokens").alias("place", "token")).select(
         "doc_id", "th", "line", "leaf", F.xxhash64("leaf", "place", "token").alias("part"))
-    fixed = _texts(parts, ["part"]).filter(F.col("texts") >= min_texts).select("part", F.lit(1).alias("fixed"))
+    fixed = pin(_texts(parts, ["part"]).filter(F.col("texts") >= min_texts).select("part", F.lit(1).alias("fixed")), "fixed")
     templates = pin(parts.join(fixed, "part", "left")
                     .groupBy("doc_id", "th", "line", "leaf")
                     .agg(F.bit_xor(F.when(F.col("fixed") == 1, F.col("part")).otherwise(F.lit(0))).alias("parts"),
                          (F.count("fixed") / F.count(F.lit(1))).alias("share"))
                     .filter(F.col("share") >= constant)
                     .select("doc_id", "th", "line", F.xxhash64("leaf", "parts").alias("template")), "templates")
-    recurring = _texts(templates, ["template"]).filter(F.col("texts") >= min_texts).select("template")
+    recurring = pin(_texts(templates, ["template"]).filter(F.col("texts") >= min_texts).select("template"), "recurring")
     return templates.join(recurring, "template").select("doc_id", "th", "line")
 
 
