@@ -16,6 +16,9 @@ training documents of each language, picked by a hash of doc_id.  They are sums
 of integers, so they don't depend on the order of rows.  The model, at most
 ``max_langs`` x ``DIM`` numbers, is the only thing sent to the executors.
 
+Cosines are rounded to nine decimals, so that they don't depend on how texts
+are batched.
+
 Defined results: a null text or one without a letter is ``und`` with score 0;
 if nothing can be learned, every text is ``und``; ties go to the first language
 in code point order; a null lang teaches nothing; repeated rows are predicted
@@ -175,7 +178,7 @@ def predictor(prototypes: dict[str, np.ndarray]):
             for rows in chunks(len(texts)):
                 vectors = unit(encoder.encode(list(texts[rows])))
                 known = vectors.any(axis=1) & bool(names)
-                cosines = vectors @ matrix.T if names else np.zeros((len(vectors), 1))
+                cosines = np.round(vectors @ matrix.T, 9) if names else np.zeros((len(vectors), 1))
                 best = cosines.argmax(axis=1)
                 parts.append(pd.DataFrame({
                     "lang": np.where(known, np.array(names or ["und"], object)[best], "und"),

@@ -6,7 +6,8 @@ line's number of tokens, the next ``DEPTH`` levels are its leading tokens; the
 path is the line's leaf.  In a leaf, a token that stands at its place in the
 lines of at least ``min_texts`` different texts is constant, any other is a
 variable field.  A line's template is its leaf with its constant tokens.  A
-template recurs if it is at least half constant and lines of at least
+template recurs if at least half of its tokens are constant (tokens with a digit
+never are) and lines of at least
 ``min_texts`` different texts have it, and all lines of recurring templates are
 dropped.
 
@@ -75,12 +76,12 @@ def recurring_lines(docs: DataFrame, min_texts: int = 10, depth: int = DEPTH, co
                 .select("doc_id", "th", "line", leaf_of(F.col("s"), depth).alias("leaf"),
                         masked(raw_tokens(F.col("s"))).alias("tokens")), "lines")
     parts = lines.select("doc_id", "th", "line", "leaf", F.posexplode("tokens").alias("place", "token")).select(
-        "doc_id", "th", "line", "leaf", F.xxhash64("leaf", "place", "token").alias("part"))
+        "doc_id", "th", "line", "leaf", F.xxhash64("leaf", "place", "token").alias("part"), (F.col("token") != FIELD).alias("plain"))
     fixed = pin(_texts(parts, ["part"]).filter(F.col("texts") >= min_texts).select("part", F.lit(1).alias("fixed")), "fixed")
     templates = pin(parts.join(fixed, "part", "left")
                     .groupBy("doc_id", "th", "line", "leaf")
                     .agg(F.bit_xor(F.when(F.col("fixed") == 1, F.col("part")).otherwise(F.lit(0))).alias("parts"),
-                         (F.count("fixed") / F.count(F.lit(1))).alias("share"))
+                         (F.count(F.when(F.col("plain"), F.col("fixed"))) / F.count(F.lit(1))).alias("share"))
                     .filter(F.col("share") >= constant)
                     .select("doc_id", "th", "line", F.xxhash64("leaf", "parts").alias("template")), "templates")
     recurring = pin(_texts(templates, ["template"]).filter(F.col("texts") >= min_texts).select("template"), "recurring")

@@ -2,7 +2,7 @@
 
 A text is cut into sentences, here the stretches that end in a full stop,
 question or exclamation mark, comma, colon, semicolon or line break (also their
-CJK forms).  From every sentence a span runs over the fewest sentences that are
+CJK forms) or before a word with a capital.  From every sentence a span runs over the fewest sentences that are
 at least ``MIN_SENTENCES`` and have at least ``MIN_WORDS`` words together.  All
 spans of all documents are hashed and joined globally; the first occurrence, by
 doc_id and place, of a repeated span stays, and every sentence that another
@@ -24,29 +24,70 @@ case, blanks around sentences don't count; other columns pass through.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, pin, table
+from .common import pin, table
 
 MIN_SENTENCES = 3
 MIN_WORDS = 12
 
-_STOPS = ".!?,;:\n。！？，；："
-_SENTENCE = re.compile(f"[^{_STOPS}]*[{_STOPS}]+[\\s]*|[^{_STOPS}]+")
-_FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_STOP, _BLANK, _NEWLINE, _CAPITAL, _SMALL = 1, 2, 3, 4, 5
+_KIND = np.array([_NEWLINE if c == "\n" else _STOP if c in ".!?,;:。！？，；：" else _BLANK if c.isspace()
+                  else _CAPITAL if c.isupper() else _SMALL if c.islower() else 0 for c in map(chr, range(0x10000))], np.uint8)
 _STEP = 0x9E3779B97F4A7C15  # odd, so that its powers can be undone modulo 2 ** 64
 _BACK = pow(_STEP, -1, 2**64)
 
 
+def _last(here: np.ndarray) -> np.ndarray:
+    """For every place, where the last True up to it ends; 0 if there is none."""
+    return np.maximum.accumulate(np.where(here, np.arange(1, len(here) + 1), 0))
+
+
+def _cut(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds of the characters, and where sentences start."""
+    kind = _KIND[np.minimum(codes, 0xFFFF)]
+    between = (kind > 0) & (kind < _CAPITAL)
+    at = np.flatnonzero(~between[1:] & between[:-1]) + 1  # where text begins again
+    stops = np.concatenate(([0], np.cumsum((kind == _STOP) | (kind == _NEWLINE))))
+    capital = (kind[at] == _CAPITAL) & (np.append(kind, 0)[at + 1] == _SMALL)
+    return kind, np.concatenate(([0], at[(stops[at] > stops[_last(~between)[at - 1]]) | capital]))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
 def sentences(text: str | None) -> list[str]:
     """The sentences with what follows them; joined they give the text back."""
-    return _SENTENCE.findall(text or "")
+    if not text:
+        return []
+    starts = _cut(_codes(text))[1].tolist()
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+
+
+def hashed_sentences(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hash and number of words of each sentence, without the blanks
+    around it and ASCII case."""
+    if not text:
+        return np.zeros((0, 2), np.uint64), np.zeros(0, np.int64)
+    codes = _codes(text)
+    kind, starts = _cut(codes)
+    blank = (kind == _BLANK) | (kind == _NEWLINE)
+    bounds = np.append(starts, len(codes))
+    inside = np.concatenate(([0], np.cumsum(~blank & np.concatenate(([True], blank[:-1])))))
+    words = np.diff(inside[bounds])
+    words[1:] += ~blank[starts[1:] - 1]  # a sentence that starts inside a run of characters
+    ends = np.maximum(_last(~blank)[bounds[1:] - 1], starts)
+    if blank[0]:
+        starts = starts.copy()
+        starts[0] = min(int(np.argmin(blank)) if not blank.all() else 0, ends[0])
+    folded = memoryview(np.where(codes - np.uint32(65) < 26, codes + np.uint32(32), codes).tobytes())
+    digests = [xxhash.xxh3_128_digest(folded[4 * a:4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2), words
 
 
 def span_ends(words: np.ndarray, min_sentences: int, min_words: int) -> np.ndarray:
@@ -63,15 +104,12 @@ def span_ends(words: np.ndarray, min_sentences: int, min_words: int) -> np.ndarr
 
 
 def span_hashes(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS):
-    """(h1, h2, start, length) arrays of a text's spans.
-
-    Every sentence is hashed once to 128 bits; a span's hash is the polynomial
-    of its sentences' hashes, out of two running sums."""
-    units = [u.strip().encode("utf-8", "replace").translate(_FOLD) for u in sentences(text)]
-    n = len(units)
-    ends = span_ends(np.fromiter((len(u.split()) for u in units), np.int64, n), min_sentences, min_words)
+    """(h1, h2, start, length) arrays of a text's spans; a span's hash is the
+    polynomial of its sentences' hashes, out of two running sums."""
+    h, words = hashed_sentences(text)
+    n = len(words)
+    ends = span_ends(words, min_sentences, min_words)
     starts = np.arange(len(ends))
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, units)), np.uint64).reshape(n, 2)
     upto = np.zeros((n + 1, 2), np.uint64)
     np.cumsum(h * _powers(_STEP, n)[:, None], axis=0, out=upto[1:])
     spans = (upto[ends] - upto[starts]) * _powers(_BACK, n)[starts, None] + (ends - starts).astype(np.uint64)[:, None]

@@ -128,12 +128,16 @@ def parse_record(head: bytes, block: bytes) -> tuple:
 
 
 def cut_records(segments):
-    """Records out of a stream of text between separators."""
+    """Records out of a stream of text between separators.
+
+    A file whose last payload ends in a line break has its last separator one
+    line earlier, so blank lines before a record don't count."""
     sep, buffer, head, need = END.encode(), bytearray(), None, 0
     for segment in segments:
         buffer += segment.encode("utf-8") + sep
         while True:
             if head is None:
+                del buffer[:len(buffer) - len(buffer.lstrip(b"\r\n"))]
                 at = buffer.find(sep)
                 if at < 0:
                     break
@@ -145,7 +149,7 @@ def cut_records(segments):
             yield parse_record(head, bytes(buffer[:need]))
             del buffer[:need + len(sep)]
             head = None
-    if head is not None or buffer:
+    if head is not None or buffer.strip(b"\r\n"):
         raise ValueError("an archive ends inside a record")
 
 
