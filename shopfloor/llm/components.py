@@ -3,7 +3,7 @@
 Alternates the large-star and small-star steps: every node hands its larger
 neighbours to its smallest one, then its smaller ones, until each component is
 one star around its smallest node.  Each step is an aggregate and a join on the
-node, written to the shared folder; a node with many links is reduced before
+node, both written to the shared folder; a node with many links is reduced before
 the shuffle, and its join is one that Spark splits.
 """
 
@@ -17,13 +17,13 @@ from .common import pin
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    least = pin(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links come as a < b; each b joins its smallest a, and so do its other ones."""
-    least = links.groupBy("b").agg(F.min("a").alias("m"))
+    least = pin(links.groupBy("b").agg(F.min("a").alias("m")), "least")
     others = links.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return least.select(F.col("m").alias("a"), "b").union(others)
 
@@ -41,7 +41,7 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     for _ in range(max_rounds):
         if not state[0]:
             break
-        now = pin(_small_star(_large_star(now).distinct()).distinct(), "links")
+        now = pin(_small_star(pin(_large_star(now).distinct(), "links")).distinct(), "links")
         before, state = state, _state(now)
         if state == before:
             break

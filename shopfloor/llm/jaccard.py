@@ -290,7 +290,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 85, n: int = 4, rows: int =
     """doc_id, th (hash of the text), n_shingles and component_id of every row."""
     signed = pin(signatures(docs, n, rows, bands).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     full = signed.filter("n > 0")
-    classes = full.groupBy("s1", "s2").agg(F.min("uid").alias("c"), F.min("doc_id").alias("least_id"))
+    # small tables that are joined back are written, so that Spark can split a hot side of the join
+    classes = pin(full.groupBy("s1", "s2").agg(F.min("uid").alias("c"), F.min("doc_id").alias("least_id")), "classes")
     members = pin(full.select("uid", "doc_id", "th", "n", "s1", "s2").join(classes, ["s1", "s2"])
                   .select("uid", "doc_id", "th", "n", "c", "least_id"), "members")
     reps = members.filter("uid = c").select("c")
@@ -298,7 +299,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 85, n: int = 4, rows: int =
 
     # each block's members with one hub
     keys = marks.select("c", F.explode("keys").alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    hubs = pin(keys.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+               .select("key", "hub"), "hubs")
     shared = pin(keys.join(hubs, "key"), "blocks")
     stars = shared.filter("hub <> c").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
     size_of = marks.select("c", "n", "bits")
@@ -315,8 +317,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 85, n: int = 4, rows: int =
     roots = components(links)
     labelled = (shared.join(roots, F.col("c") == F.col("node"), "left")
                 .select("key", "c", F.coalesce("root", "c").alias("root")))
-    open_ = (labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
-             .filter("lo <> hi").select("key", F.ceil(F.col("members") / block).cast("int").alias("parts")))
+    open_ = pin(labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members"))
+                .filter("lo <> hi").select("key", F.ceil(F.col("members") / block).cast("int").alias("parts")), "open")
     part = F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")
     split = (labelled.join(open_, "key").withColumn("part", part)
              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -329,7 +331,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 85, n: int = 4, rows: int =
 
     classed = (members.join(root_of, F.col("c") == F.col("node"), "left")
                .select("doc_id", "th", "n", "least_id", F.coalesce("root", "c").alias("root")))
-    names = classed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    names = pin(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
     return (classed.join(names, "root").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
             .union(signed.filter("n = 0").select("doc_id", "th", "n", F.col("doc_id"))))
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.session import shared_dir
 
-from .common import table
+from .common import pin, table
 
 CRLF = "\r\n"
 END = CRLF * 2
@@ -60,8 +60,9 @@ def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
     ``min_bytes`` are always responses, revisits carry no payload."""
     headers = records.select("page_id", "payload_digest", "payload_bytes", "record_type", "refers_to")
     large = F.col("payload_bytes") >= min_bytes
-    holders = (headers.filter((F.col("record_type") == "response") & large)
-               .groupBy("payload_digest").agg(F.max("page_id").alias("holder"), F.lit(True).alias("held")))
+    # written, so that Spark can split a digest of many records in the join
+    holders = pin(headers.filter((F.col("record_type") == "response") & large)
+                  .groupBy("payload_digest").agg(F.max("page_id").alias("holder"), F.lit(True).alias("held")), "holders")
     held = F.coalesce(F.col("held"), F.lit(False)) & large
     first = held & F.col("page_id").eqNullSafe(F.col("holder")) & (F.col("record_type") == "response")
     decided = (headers.join(holders, "payload_digest", "left")
