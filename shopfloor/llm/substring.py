@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import pin, table
 
-MIN_SENTENCES = 3
-MIN_WORDS = 12
+MIN_SENTENCES = 2
+MIN_WORDS = 20  # shorter repeats are set phrases and notices more often than passages
 
 _STOP, _BLANK, _NEWLINE, _CAPITAL, _SMALL = 1, 2, 3, 4, 5
 _KIND = np.array([_NEWLINE if c == "\n" else _STOP if c in ".!?,;:。！？，；：" else _BLANK if c.isspace()

@@ -10,7 +10,7 @@ PASSAGE = ("it was a cold and rainy day in the small town by the sea. nobody had
            "did every day of the year, to look after the light that he had kept for forty years")
 
 
-def brute(rows, k=3, m=12):
+def brute(rows, k=2, m=20):
     """Text after removal, by comparing the spans themselves."""
     seen, cover = set(), {}
     for d, text in sorted(dict(rows).items()):
