@@ -28,23 +28,22 @@ def _small_star(links: DataFrame) -> DataFrame:
     return least.select(F.col("m").alias("a"), "b").union(others)
 
 
-def _state(links: DataFrame) -> tuple:
-    r = links.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-    return r.n, r.x
+def _settled(links: DataFrame) -> bool:
+    """Whether every node is a root or has one link, to a root."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select("b", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return not roles.filter("down > 1 or (up > 0 and down > 0)").limit(1).collect()
 
 
 def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     """``links``: a and b, longs that differ.  Returns node and root (the
     smallest node of its component) of every node that isn't its own root."""
     now = pin(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "links")
-    state = _state(now)
-    for _ in range(max_rounds):
-        if not state[0]:
-            break
+    rounds = 0
+    while not _settled(now):
+        if rounds == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         now = pin(_small_star(pin(_large_star(now).distinct(), "links")).distinct(), "links")
-        before, state = state, _state(now)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        rounds += 1
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))

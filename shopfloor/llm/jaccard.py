@@ -326,11 +326,16 @@ def jaccard_classes(docs: DataFrame, percent: int = 85, n: int = 4, rows: int =
                      (F.col("part") <= F.col("with")).alias("left"), "c", "root")
              .join(size_of, "c"))
     rest = pin(block_candidates(split, percent).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-    all_links = links.union(verified(rest, texts, percent, n))
-    root_of = components(all_links)
-
-    classed = (members.join(root_of, F.col("c") == F.col("node"), "left")
-               .select("doc_id", "th", "n", "least_id", F.coalesce("root", "c").alias("root")))
+    more = verified(rest, texts, percent, n)
+    for s in "ab":  # between classes
+        more = (more.join(roots.withColumnsRenamed({"node": f"node_{s}", "root": f"root_{s}"}), F.col(s) == F.col(f"node_{s}"), "left")
+                .withColumn(s, F.coalesce(f"root_{s}", s)))
+    tops = components(more.select("a", "b")).withColumnsRenamed({"node": "low", "root": "top"})
+
+    classed = (members.join(roots, F.col("c") == F.col("node"), "left")
+               .withColumn("root", F.coalesce("root", "c"))
+               .join(tops, F.col("root") == F.col("low"), "left")
+               .select("doc_id", "th", "n", "least_id", F.coalesce("top", "root").alias("root")))
     names = pin(classed.groupBy("root").agg(F.min("least_id").alias("component_id")), "names")
     return (classed.join(names, "root").select("doc_id", "th", F.col("n").alias("n_shingles"), "component_id")
             .union(signed.filter("n = 0").select("doc_id", "th", "n", F.col("doc_id"))))
