@@ -1,4 +1,6 @@
-"""Small tables for the tests of the corpus operators."""
+"""Small tables and fixtures for the tests of the corpus operators."""
+
+import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside, as extra columns of the input.
@@ -34,3 +36,13 @@ def edge_docs(spark, rows=EDGES):
 def docs_of(spark, texts, **columns):
     rows = [(i, t, columns.get("lang", "en"), columns.get("source", f"s{i % 3}"), len(t or "")) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="session")
+def sf_docs(spark, sf):
+    return [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]

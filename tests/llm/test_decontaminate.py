@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from common_data import docs_of
+from common_data import docs_of, sf, sf_docs  # noqa: F401
 from shopfloor.llm.decontaminate import block_masks, drop_leaking, find_leaks, op7_decontaminate, simhash, weighted_jaccard
 
 

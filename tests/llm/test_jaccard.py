@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from common_data import docs_of
+from common_data import docs_of, sf, sf_docs  # noqa: F401
 from shopfloor.llm import jaccard
 from shopfloor.llm.components import components
 from shopfloor.llm.jaccard import SignatureTree, bitmap, jaccard_classes, keep_one_of_each, op4_jaccard, traverse

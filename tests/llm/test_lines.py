@@ -2,7 +2,7 @@ import random
 import re
 from collections import defaultdict
 
-from common_data import docs_of
+from common_data import docs_of, sf, sf_docs  # noqa: F401
 from shopfloor.llm.lines import dedup_lines, op5_lines
 
 

@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from common_data import docs_of
+from common_data import docs_of, sf, sf_docs  # noqa: F401
 from shopfloor.llm.mixing import cyclic_weights, mix, mixing_plan, op1_mix, share_targets, source_order
 
 

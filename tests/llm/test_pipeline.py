@@ -2,6 +2,7 @@
 
 import pytest
 
+from common_data import sf  # noqa: F401
 import corpus_pipeline
 from shopfloor.llm.langid import identify
 from shopfloor.llm.mixing import mixing_plan

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from common_data import docs_of
+from common_data import docs_of, sf, sf_docs  # noqa: F401
 from shopfloor.llm.sharding import communication_matrix, hypergeometric, op9_shards, shard_sizes, shuffle_to_shards
 
 

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from common_data import docs_of
+from common_data import docs_of, sf, sf_docs  # noqa: F401
 from shopfloor.llm.substring import dedup_substrings, op2_substring, sentences
 
 PASSAGE = ("it was a cold and rainy day in the small town by the sea. nobody had seen the sun for a week, and nobody "

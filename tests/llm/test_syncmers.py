@@ -4,7 +4,7 @@ import re
 
 import xxhash
 
-from common_data import docs_of
+from common_data import docs_of, sf, sf_docs  # noqa: F401
 from shopfloor.llm.syncmers import K, S, fingerprint_documents, op8_syncmers
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+from common_data import sf  # noqa: F401
 from pyspark.sql import functions as F
 
 from oracle_compare import compare, duck_connect

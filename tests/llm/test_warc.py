@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import pytest
+from common_data import sf  # noqa: F401
 from pyspark.sql import functions as F
 
 from oracle_compare import compare, duck_connect
