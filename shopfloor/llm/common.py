@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.session import shared_dir
+from shopfloor.session import shared_dir, ship_package
 
 #: A word: a run of characters other than space and the ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +16,16 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROW_BITS = 33
 
 
+#: Rows of an Arrow batch; a batch of whole texts is held several times over (JVM, Arrow, pandas).
+BATCH_ROWS = 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """Make the package known to Python workers and keep their batches small."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

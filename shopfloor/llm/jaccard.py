@@ -57,7 +57,7 @@ class _Words(dict):
     """Word to hash; emptied when it gets large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -111,8 +111,8 @@ def signatures(docs: DataFrame, n: int = 4, rows: int = ROWS, bands: int = BANDS
         cache = _Words()
         add, times = _hash_constants(rows * bands, seed)
         for b in batches:
-            for k in range(0, len(b), 512):
-                part = b.iloc[k:k + 512]
+            for k in range(0, len(b), 128):
+                part = b.iloc[k:k + 128]
                 out = []
                 for text in part.text:
                     s = shingle_set(text, cache, n)

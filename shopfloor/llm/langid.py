@@ -38,7 +38,7 @@ from .common import table
 
 DIM = 1024
 PIECE = 1 << 16  # symbols of a text that are encoded at once
-BATCH = 1 << 17  # symbols of several texts that are encoded together
+BATCH = 1 << 16  # symbols of several texts that are encoded together
 _SCALE = 1 << 20  # training vectors are rounded to this fraction, so that sums are exact
 
 
@@ -89,10 +89,10 @@ class Encoder:
         first, second = np.roll(book, 2, axis=1), np.roll(book, 1, axis=1)
         out = np.zeros((len(pieces), self.dim), np.float32)
         counts = counts.reshape(len(pieces), len(grams)).astype(np.float32)
-        for k in range(0, len(grams), 4096):
-            g = grams[k:k + 4096]
+        for k in range(0, len(grams), 2048):
+            g = grams[k:k + 2048]
             bound = first[g // (n * n)] * second[g // n % n] * book[g % n]
-            out += counts[:, k:k + 4096] @ bound.astype(np.float32)
+            out += counts[:, k:k + 2048] @ bound.astype(np.float32)
         return out
 
     def encode(self, texts) -> np.ndarray:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import prepare
 from .decontaminate import op7_decontaminate
 from .jaccard import op4_jaccard
 from .langid import op10_langid
@@ -25,7 +26,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def prepared(query):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: prepared(q) for k, q in {
     "op1_mix": op1_mix,
     "op2_substring": op2_substring,
     "op3_urls": op3_urls,
@@ -37,6 +45,6 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_shards": op9_shards,
     "op10_langid": op10_langid,
     "pipeline": pipeline,
-}
+}.items()}
 
 LLM_SQL: dict[str, str] = {"op3_urls": OP3_SQL, "op6_warc": OP6_SQL}
