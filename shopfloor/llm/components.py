@@ -2,9 +2,9 @@
 
 Alternates the large-star and small-star steps: every node hands its larger
 neighbours to its smallest one, then its smaller ones, until each component is
-one star around its smallest node.  Each step is an aggregate and a join on the
-node, both written to the shared folder; a node with many links is reduced before
-the shuffle, and its join is one that Spark splits.
+one star around its smallest node.  A round is aggregates and joins on the node,
+written to the shared folder.  The links of one node meet in one task, as rows
+of two numbers; equal sets are one node before this.
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from .common import pin
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = pin(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return both.filter("b > a").join(least, "a").select(F.col("m").alias("a"), "b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links come as a < b; each b joins its smallest a, and so do its other ones."""
-    least = pin(links.groupBy("b").agg(F.min("a").alias("m")), "least")
+    least = links.groupBy("b").agg(F.min("a").alias("m"))
     others = links.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return least.select(F.col("m").alias("a"), "b").union(others)
 
@@ -44,6 +44,6 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     while not _settled(now):
         if rounds == max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-        now = pin(_small_star(pin(_large_star(now).distinct(), "links")).distinct(), "links")
+        now = pin(_small_star(_large_star(now).distinct()).distinct(), "links")
         rounds += 1
     return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
