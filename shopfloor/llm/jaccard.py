@@ -19,7 +19,7 @@ miss all blocks with a probability of (1 - 0.85 ** ROWS) ** BANDS = 6e-12, and
 more similar ones with less; verification is exact.
 
 *No quadratic work in a group of copies.*  Equal sets are one class from the
-start.  First each block's members are paired with one hub only; verified pairs
+start.  First each block's members are paired with three hubs only; verified pairs
 make classes by connected components.  Only then are the trees of blocks that
 still hold several classes traversed, for pairs of different classes; verifying
 those makes the result complete.  Blocks of more than ``BLOCK`` members are
@@ -297,12 +297,14 @@ def jaccard_classes(docs: DataFrame, percent: int = 85, n: int = 4, rows: int =
     reps = members.filter("uid = c").select("c")
     marks = pin(full.join(reps, F.col("uid") == F.col("c")).select("c", "n", "bits", "keys", "doc_id", "th"), "marks")
 
-    # each block's members with one hub
+    # each block's members with three hubs
     keys = marks.select("c", F.explode("keys").alias("key"))
-    hubs = pin(keys.groupBy("key").agg(F.min("c").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-               .select("key", "hub"), "hubs")
+    some = F.array_distinct(F.array(F.min("c"), F.max("c"), F.min_by("c", F.xxhash64("c"))))
+    hubs = pin(keys.groupBy("key").agg(some.alias("hubs"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+               .select("key", "hubs"), "hubs")
     shared = pin(keys.join(hubs, "key"), "blocks")
-    stars = shared.filter("hub <> c").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
+    stars = (shared.select("c", F.explode("hubs").alias("hub")).filter("hub <> c")
+             .select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b")).distinct())
     size_of = marks.select("c", "n", "bits")
     tried = pin(_bounded(stars, size_of, percent), "stars")
     wanted = shared.select("c").distinct()
