@@ -2,12 +2,17 @@
 
 A text is cut into sentences, here the stretches that end in a full stop,
 question or exclamation mark, comma, colon, semicolon or line break (also their
-CJK forms) or before a word with a capital.  From every sentence a span runs over the fewest sentences that are
-at least ``MIN_SENTENCES`` and have at least ``MIN_WORDS`` words together.  All
-spans of all documents are hashed and joined globally; the first occurrence, by
-doc_id and place, of a repeated span stays, and every sentence that another
-occurrence covers is removed.  A passage that starts and ends inside a sentence
-is thus found by the sentences that lie whole in it.
+CJK forms) or before a word with a capital.  A run is consecutive sentences that
+are at least ``MIN_SENTENCES`` and have at least ``MIN_WORDS`` words together.
+The first occurrence, by doc_id and place, of a repeated run stays, and every
+sentence that another occurrence covers is removed.  A passage that starts and
+ends inside a sentence is thus found by the sentences that lie whole in it.
+
+Not every run is hashed, but for each sentence the shortest run that starts and
+the shortest that ends there, the spans.  They cover what all runs cover: of a
+repeated run, a sentence whose own shortest span doesn't fit into the rest lies
+in the shortest span that ends where the run ends.  All spans of all documents
+are hashed and joined globally.
 
 Three steps keep the shuffles small.  Span hashes are counted (64 bits, reduced
 before the shuffle); only spans with a repeated hash go on; those are grouped by
@@ -90,17 +95,20 @@ def hashed_sentences(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2), words
 
 
-def span_ends(words: np.ndarray, min_sentences: int, min_words: int) -> np.ndarray:
-    """For the sentences where a span starts, in order, where it ends (exclusive)."""
+def span_bounds(words: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the different spans start and end (exclusive)."""
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     upto = np.concatenate(([0], np.cumsum(words)))
-    enough = np.searchsorted(upto, upto[:-1] + min_words)
-    ends = np.maximum(enough, np.arange(n) + min_sentences)
     if n < min_sentences and upto[-1] >= min_words:
-        return np.array([n])
-    return ends[ends <= n]
+        return np.array([0]), np.array([n])
+    ends = np.maximum(np.searchsorted(upto, upto[:-1] + min_words), np.arange(n) + min_sentences)
+    ends = ends[ends <= n]
+    # the last span to end at a place is the shortest there; other places have a shortest span of their own
+    other = np.setdiff1d(np.arange(ends[0], n + 1) if len(ends) else ends, ends)
+    starts = np.minimum(np.searchsorted(upto, upto[other] - min_words, "right") - 1, other - min_sentences)
+    return np.concatenate((np.arange(len(ends)), starts)), np.concatenate((ends, other))
 
 
 def span_hashes(text: str | None, min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS):
@@ -108,8 +116,7 @@ def span_hashes(text: str | None, min_sentences: int = MIN_SENTENCES, min_words:
     polynomial of its sentences' hashes, out of two running sums."""
     h, words = hashed_sentences(text)
     n = len(words)
-    ends = span_ends(words, min_sentences, min_words)
-    starts = np.arange(len(ends))
+    starts, ends = span_bounds(words, min_sentences, min_words)
     upto = np.zeros((n + 1, 2), np.uint64)
     np.cumsum(h * _powers(_STEP, n)[:, None], axis=0, out=upto[1:])
     spans = (upto[ends] - upto[starts]) * _powers(_BACK, n)[starts, None] + (ends - starts).astype(np.uint64)[:, None]

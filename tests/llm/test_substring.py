@@ -64,3 +64,33 @@ def test_a_span_in_a_third_of_the_documents(spark):
     texts = [f"{PASSAGE}. own{i} text{i} here{i}" if i % 3 == 0 else f"just{i}, some{i}, words{i}" for i in range(900)]
     got = dedup_substrings(docs_of(spark, texts)).agg(F.sum((F.col("removed_sentences") > 0).cast("int"))).first()[0]
     assert got == 299
+
+
+def all_runs(rows, k=2, m=20):
+    """Sentences that stay when every run of at least k sentences and m words is compared."""
+    seen, stay = set(), {}
+    for d, text in rows:
+        units = [u.strip() for u in sentences(text)]
+        words = [len(u.split()) for u in units]
+        gone = set()
+        for i in range(len(units)):
+            for j in range(i + k, len(units) + 1):
+                if sum(words[i:j]) >= m:
+                    run = tuple(units[i:j])
+                    if run in seen:
+                        gone.update(range(i, j))
+                    seen.add(run)
+        stay[d] = [u for x, u in enumerate(units) if x not in gone]
+    return stay
+
+
+def test_spans_cover_what_all_runs_cover(spark):
+    rnd = random.Random(3)
+    pool = [" ".join(f"v{i}w{j}" for j in range(rnd.choice((1, 1, 2, 3, 6, 12, 25)))) + "." for i in range(60)]
+    texts = [" ".join(rnd.choice(pool) for _ in range(rnd.randint(2, 6))) for _ in range(60)]
+    for i in range(60):
+        a = rnd.randint(0, 40)
+        texts.append(" ".join([rnd.choice(pool), *pool[a:a + rnd.randint(2, 14)], rnd.choice(pool)]))
+    want = all_runs(list(enumerate(texts)))
+    got = {r.doc_id: [u.strip() for u in sentences(r.text)] for r in dedup_substrings(docs_of(spark, texts)).collect()}
+    assert got == want and sum(map(len, want.values())) < sum(len(sentences(t)) for t in texts)
