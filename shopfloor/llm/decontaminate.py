@@ -8,12 +8,13 @@ windows whose SimHash is within ``radius`` bits of an item of that size: at
 least one block must then be equal.  Candidates are verified exactly by the
 weighted Jaccard similarity of their shingles, at least ``threshold``.
 
-Which windows need a SimHash at all: a window that passes the verification has
-at least 2t / (1 + t) of the item's shingles, so only documents that hold so
-many of some item's shingles can have one, and in them only the windows that
-line a shared shingle up with its place in the item, and those ``shift`` words
-beside them.  That test is exact and leaves few documents; the others are read
-once and never shuffled for it.
+Which windows need a SimHash at all: a window of w shingles that passes the
+verification has at least t / (1 + t) * (m + w) shingles in common with an item
+of m, where w is m or, in a shorter text, all it has.  So only documents that
+hold so many of some item's shingles can have one, and in them only the windows
+with so many places whose shingle is one of the item's.  All of those are
+hashed.  That test is exact and leaves few documents; the others are read once
+and never shuffled for it.
 
 The benchmark's index is broadcast when its counted entries are at most
 ``broadcast_rows`` and joined by a shuffle otherwise; rows are the same.  A
@@ -84,7 +85,7 @@ def _held_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int = 18, min_words: int = 8,
-               shift: int = 2, broadcast_rows: int = 1_000_000) -> DataFrame:
+               broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per document and item: doc_id, th (hash of the text), item_id
     and the best window (start_word, n_words, hamming, similarity)."""
     bench = pin(items.select("item_id", words(F.col("text")).alias("w"))
@@ -100,25 +101,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
     places = (doc_words.select("doc_id", "th", "w", F.explode_outer(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("at"))
               .select("doc_id", "th", F.size("w").alias("doc_n"), "at", shingle_at(F.col("w"), F.col("at")).alias("shingle"))
               .filter(F.col("at").isNotNull()))
-    # a document qualifies by the item places whose shingles it holds
-    need = F.ceil((F.col("n") - SHINGLE + 1) * (2 * threshold / (1 + threshold)) - 1e-9)
+    # a document qualifies by the item places whose shingles it holds, a window by its own places
     lined_up = (places.join(_held_small(seeds, seeds.count(), broadcast_rows), "shingle")
                 .groupBy("doc_id", "th", "item_id", "n")
-                .agg(F.collect_set("item_at").alias("held"), F.max("doc_n").alias("doc_n"),
-                     F.collect_set(F.col("at") - F.col("item_at")).alias("starts"))
-                .filter(F.size("held") >= need))
+                .agg(F.collect_set("item_at").alias("held"), F.max("doc_n").alias("doc_n"), F.collect_set("at").alias("places"))
+                .withColumn("width", F.least("n", "doc_n") - SHINGLE + 1)
+                .withColumn("need", F.ceil((F.col("n") - SHINGLE + 1 + F.col("width")) * (threshold / (1 + threshold)) - 1e-9).cast("int"))
+                .filter((F.size("held") >= F.col("need")) & (F.size("places") >= F.col("need")))
+                .withColumn("places", F.sort_array("places")))
     room = F.greatest(F.col("doc_n") - F.col("n"), F.lit(0))
-    starts = (lined_up.select("doc_id", "th", "n", room.alias("room"), F.explode("starts").alias("start"))
-              .select("doc_id", "th", "n", "room", F.explode(F.array(*[F.col("start") + d for d in range(-shift, shift + 1)])).alias("start"))
-              .groupBy("doc_id", "th")
-              .agg(F.collect_set(F.struct(F.least(F.greatest("start", F.lit(0)), "room").alias("start"), "n")).alias("windows"))
+    # windows that hold a place and the need - 1 places after it
+    low = F.greatest(F.col("places")[F.col("i") + F.col("need") - 1] - F.col("width") + 1, F.lit(0))
+    high = F.least(F.col("places")[F.col("i")], room)
+    starts = (lined_up.withColumn("i", F.explode(F.sequence(F.lit(0), F.size("places") - F.col("need"))))
+              .select("doc_id", "th", "n", low.alias("low"), high.alias("high")).filter("low <= high")
+              .select("doc_id", "th", "n", F.explode(F.sequence("low", "high")).alias("start"))
+              .groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "n")).alias("windows"))
               .select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "windows"))
     windows = (keyed.join(starts, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
                .dropDuplicates(["doc_id", "th"])
-               .select("doc_id", "th", words(F.col("text")).alias("w"), "windows")
-               .select("doc_id", "th", "w", F.explode("windows").alias("x"))
+               .select("doc_id", "th", bind(words(F.col("text")), shingles).alias("all"), "windows")
+               .select("doc_id", "th", "all", F.explode("windows").alias("x"))
                .select("doc_id", "th", F.col("x.start").alias("start_word"), F.col("x.n").alias("n"),
-                       shingles(F.slice("w", F.col("x.start") + 1, F.col("x.n"))).alias("shingles")))
+                       F.slice("all", F.col("x.start") + 1, F.col("x.n") - SHINGLE + 1).alias("shingles")))
     hashed = pin(windows.withColumn("hash", simhash(F.col("shingles"))), "windows")
 
     def index(df: DataFrame, column: str) -> DataFrame:

@@ -114,3 +114,21 @@ def test_simhash_and_similarity(spark):
 def test_blocks_cover_every_bit_once():
     masks = [m % 2**64 for m in block_masks(18)]
     assert len(masks) == 19 and sum(masks) == 2**64 - 1 and all(masks)
+
+
+def test_shorter_texts_and_swapped_halves_equal_brute_force(spark):
+    rnd = random.Random(7)
+    prose = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    items, docs = [], []
+    for i in range(12):
+        item = prose(60)
+        items.append((i, " ".join(item)))
+        docs += [item[:50], item[10:], item[:46],  # similarities 0.82, 0.82 and 0.75
+                 prose(30) + item[30:] + item[:30] + prose(30), prose(9) + item[20:] + item[:20],
+                 prose(20) + item[:25] + prose(1) + item[25:] + prose(20), prose(100)]
+    docs = [(d, " ".join(w)) for d, w in enumerate(docs)]
+    want = brute(docs, items)
+    for options in ({}, {"broadcast_rows": 0}):
+        got = run(spark, docs, items, **options)
+        assert got.keys() == want.keys() and {d % 7 for d, _ in got} == {0, 1, 3, 4, 5}
+        assert all(abs(got[k].similarity - want[k]) < 1e-9 for k in want)
