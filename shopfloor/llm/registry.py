@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .collocations import OP13_SQL, op13_collocations
 from .common import prepare
 from .decontaminate import op7_decontaminate
 from .jaccard import op4_jaccard
 from .langid import op10_langid
 from .lines import op5_lines
 from .mixing import op1_mix
+from .packing import op11_packing
+from .search import OP12_SQL, op12_search
 from .sharding import op9_shards
 from .substring import op2_substring
 from .syncmers import op8_syncmers
@@ -44,7 +47,10 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: prepared(
     "op8_syncmers": op8_syncmers,
     "op9_shards": op9_shards,
     "op10_langid": op10_langid,
+    "op11_packing": op11_packing,
+    "op12_search": op12_search,
+    "op13_collocations": op13_collocations,
     "pipeline": pipeline,
 }.items()}
 
-LLM_SQL: dict[str, str] = {"op3_urls": OP3_SQL, "op6_warc": OP6_SQL}
+LLM_SQL: dict[str, str] = {"op3_urls": OP3_SQL, "op6_warc": OP6_SQL, "op12_search": OP12_SQL, "op13_collocations": OP13_SQL}
