@@ -13,8 +13,13 @@ are the counts.  Nothing longer than ``DEPTH`` words is visited.
 
 The shards' counts meet by phrase and are summed.  A phrase is one row a shard
 however often it occurs, so a very common phrase is as many rows as there are
-shards.  The parts of a candidate occur at least as often as the candidate, so
-everything after the sum works on phrases with ``min_count`` occurrences.
+shards.  The parts of a candidate occur at least as often as the candidate.  So
+words and pairs are summed first, and a second pass extends only intervals of
+pairs that are frequent in the whole corpus, and only to triples whose other pair
+is frequent too.  Which pairs are frequent is sent to the tasks as a Bloom filter
+of at most ``FILTER_BITS`` bits, whatever their number: a false positive is a
+triple that is counted for nothing, none is missed, and with too many pairs for
+the filter it merely saves less.
 
 Defined results: null texts have no words; a null language is ``und``; repeated
 rows count each time; long texts are cut into shards at pieces, never inside;
@@ -25,19 +30,25 @@ read, so their names can't clash.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, pin, table
 
 DEPTH = 3
-#: Words of one shard's index; its arrays take about 100 bytes a word.
-SHARD_WORDS = 1_000_000
+#: Words of one shard's index; its arrays take about 60 bytes a word.
+SHARD_WORDS = 2_000_000
+#: Largest filter of frequent pairs, 64 MB; it has about 12 bits a pair up to there.
+FILTER_BITS = 2**29
+_PROBES, _PAGE = 4, 2**16
 
 _LOWER = str.maketrans(UPPER, LOWER)
 _PIECES = re.compile("[.,;:!?\n\x0b\x0c\r]")
@@ -57,7 +68,7 @@ class WordText:
 
     def __init__(self):
         self.ids: dict[str, int] = {}
-        self.text: list[int] = []
+        self.text = array("i")
         self.n = 0
 
     def add(self, piece: list[str]) -> None:
@@ -80,60 +91,129 @@ def _places_in_order(text: np.ndarray, n_ids: int) -> np.ndarray:
     """All places of the text, sorted by the ``DEPTH`` symbols from there on (circular)."""
     keys = [np.roll(text, -d) for d in range(DEPTH)]
     if n_ids ** DEPTH < 2**62:
-        joined = keys[0]
+        joined = keys[0].astype(np.int64)
         for k in keys[1:]:
             joined = joined * n_ids + k
         return np.argsort(joined, kind="stable")
     return np.lexsort(keys[::-1])
 
 
-def ngrams(text: np.ndarray, n_ids: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Phrases of 1, 2 and 3 words of a text that ends in 0, as arrays of word ids (a row
-    a phrase) with their counts, level by level by interval extension."""
-    places = _places_in_order(text, n_ids)
-    first, second = text[places], np.roll(text, -1)[places]
-    bwt = np.roll(text, 1)[places]
-    to_first = np.argsort(bwt, kind="stable")  # the inverse of the last-to-first mapping
+class Index:
+    """The intervals of phrases of one and two words of a text that ends in 0."""
 
-    def level(starts, ids):
-        counts = np.diff(np.append(starts, len(text)))
-        whole = (ids != 0).all(axis=1)
-        return ids[whole], counts[whole]
+    def __init__(self, text: np.ndarray, n_ids: int):
+        places = _places_in_order(text, n_ids)
+        self.n = len(text)
+        self.first, self.second = text[places], np.roll(text, -1)[places]
+        self.before = np.roll(text, 1)[places]  # the Burrows-Wheeler transform
+        self.pairs, self.pair_at = _runs(self.first, self.second)
 
-    one, _ = _runs(first)  # the words' own intervals
-    yield level(one, first[one][:, None])
-    two, interval = _runs(first, second)  # extended to the right
-    yield level(two, np.column_stack([first[two], second[two]]))
-    inside = interval[to_first]
-    three, _ = _runs(bwt[to_first], inside)  # extended to the left
-    yield level(three, np.column_stack([bwt[to_first][three], first[two][inside[three]], second[two][inside[three]]]))
+    def _level(self, starts: np.ndarray, *columns: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.column_stack(columns)
+        keep = (ids != 0).all(axis=1) & (True if keep is None else keep)
+        return ids[keep], np.diff(np.append(starts, self.n))[keep]
 
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        starts, _ = _runs(self.first)
+        return self._level(starts, self.first[starts])
 
-def _counted(lang: str, shard: WordText) -> Iterator[pa.RecordBatch]:
-    """Counts of the shard's phrases; the phrase of no words counts all words."""
+    def extended_right(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words' intervals, extended by the words that follow."""
+        return self._level(self.pairs, self.first[self.pairs], self.second[self.pairs])
+
+    def extended_left(self, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of ``known`` pairs, extended by the words before them, where those
+        and the pair's first word are a known pair as well."""
+        place = np.argsort(self.before, kind="stable")  # the last-to-first mapping, turned round
+        inside = self.pair_at[place]
+        starts, _ = _runs(self.before[place], inside)
+        inside = inside[starts]
+        return self._level(starts, self.before[place][starts], self.first[self.pairs][inside], self.second[self.pairs][inside],
+                           keep=known[inside] & known[self.pair_at[starts]])
+
+
+def pair_hashes(lang: str, words: list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs words[one[i]], words[two[i]]."""
+    seed = xxhash.xxh3_64_intdigest(lang)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
+    x = h[one] * np.uint64(0x9E3779B97F4A7C15) + h[two]
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _probes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    return np.array([(hashes + np.uint64(i) * step) & np.uint64(bits - 1) for i in range(_PROBES)], np.int64)
+
+
+def pair_filter(pairs: DataFrame, bits: int | None = None) -> bytes:
+    """A Bloom filter of ``pairs`` (lang, phrase).  Pages of the bitmap are put together
+    in the tasks; the driver gets the finished ones."""
+    if bits is None:
+        bits = min(FILTER_BITS, max(8 * _PAGE, 1 << int(12 * pairs.count()).bit_length()))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lang, phrases in b.groupby("lang")["phrase"]:
+                words = [w for p in phrases for w in p.split(" ")]
+                even = np.arange(0, len(words), 2)
+                at = np.unique(_probes(pair_hashes(lang, words, even, even + 1), bits))
+                yield pd.DataFrame({"page": at // (8 * _PAGE), "place": at % (8 * _PAGE)})
+
+    def page(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
+        flags = np.zeros(8 * _PAGE, np.uint8)
+        flags[found["place"].to_numpy()] = 1
+        return pd.DataFrame({"page": [key[0]], "bitmap": [np.packbits(flags, bitorder="little").tobytes()]})
+
+    pages = (pairs.select("lang", "phrase").mapInPandas(places, "page long, place long").distinct()
+             .groupBy("page").applyInPandas(page, "page long, bitmap binary"))
+    out = np.zeros((bits // (8 * _PAGE), _PAGE), np.uint8)
+    for r in pages.collect():  # at most FILTER_BITS bits
+        out[r.page] = np.frombuffer(r.bitmap, np.uint8)
+    return out.tobytes()
+
+
+def _known(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _probes(hashes, 8 * len(bitmap))
+    return ((bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
+def _counted(lang: str, shard: WordText, bitmap: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Counts of the shard's words and pairs or, with the filter of frequent pairs, of its
+    triples; the phrase of no words counts all words."""
     def batch(k, phrases, counts):
         n = len(phrases)
         return pa.RecordBatch.from_arrays(
             [pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([lang])).cast(pa.string()),
              pa.array(np.full(n, k, np.int32)), phrases, pa.array(counts.astype(np.int64))], ["lang", "k", "phrase", "a"])
 
-    words = pa.array(["", *shard.ids], pa.string())
-    yield batch(0, pa.array([""]), np.array([shard.n]))
-    text = np.fromiter(shard.text, np.int64, len(shard.text))
-    shard.text = []
+    names = ["", *shard.ids]
+    words = pa.array(names, pa.string())
+    index = Index(np.frombuffer(shard.text, np.int32).copy(), len(names))
+    if bitmap is None:
+        yield batch(0, pa.array([""]), np.array([shard.n]))
+        levels = [index.words(), index.extended_right()]
+    else:
+        known = _known(bitmap, pair_hashes(lang, names, index.first[index.pairs], index.second[index.pairs]))
+        levels = [index.extended_left(known)]
+    del index
     step = 200_000
-    for ids, counts in ngrams(text, len(words)):
+    for ids, counts in levels:
         for at in range(0, len(ids), step):
             columns = [words.take(pa.array(c)) for c in ids[at:at + step].T]
             phrases = pc.binary_join_element_wise(*columns, " ") if len(columns) > 1 else columns[0]
             yield batch(len(columns), phrases, counts[at:at + step])
 
 
-def shard_counts(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Counts of all phrases up to ``DEPTH`` words, a row a shard and phrase.  A task
-    keeps one open shard a language and closes the largest when they hold
-    ``2 * shard_words`` words together."""
+def shard_counts(docs: DataFrame, shard_words: int = SHARD_WORDS, known_pairs: bytes | None = None) -> DataFrame:
+    """Counts of all words and pairs or, given the filter of frequent pairs, of the triples
+    made of them; a row a shard and phrase.  A task keeps one open shard a language
+    and closes the largest when they hold ``2 * shard_words`` words together."""
+    sent = None if known_pairs is None else docs.sparkSession.sparkContext.broadcast(known_pairs)
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = None if sent is None else np.frombuffer(sent.value, np.uint8)
         open_: dict[str, WordText] = {}
         held = 0
         for b in batches:
@@ -147,24 +227,28 @@ def shard_counts(docs: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
                         full = max(open_, key=lambda x: open_[x].n)
                     if full is not None:
                         held -= open_[full].n
-                        yield from _counted(full, open_.pop(full))
+                        yield from _counted(full, open_.pop(full), bitmap)
         while open_:
-            yield from _counted(*open_.popitem())
+            yield from _counted(*open_.popitem(), bitmap)
 
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(index, COUNTS)
 
 
-def phrase_counts(docs: DataFrame, min_count: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """lang, k, phrase and a (occurrences) of phrases of 1 to ``DEPTH`` words with at
-    least ``min_count`` occurrences, and k = 0: all words of the language.
-
-    Rows are dealt by phrase before anything is summed: a shard has a phrase once,
+def _summed(counts: DataFrame, min_count: int) -> DataFrame:
+    """Rows are dealt by phrase before anything is summed: a shard has a phrase once,
     so summing in the map tasks would hold all phrases for little."""
-    return (shard_counts(docs, shard_words).repartition("lang", "phrase")
-            .groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
+    return (counts.repartition("lang", "phrase").groupBy("lang", "k", "phrase").agg(F.sum("a").alias("a"))
             .filter((F.col("k") == 0) | (F.col("a") >= min_count)))
 
 
+def phrase_counts(docs: DataFrame, min_count: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """lang, k, phrase and a (occurrences) of phrases of 1 to ``DEPTH`` words with at
+    least ``min_count`` occurrences, and k = 0: all words of the language."""
+    short = pin(_summed(shard_counts(docs, shard_words), min_count), "phrases")
+    known = pair_filter(short.filter("k = 2"))
+    return short.unionByName(pin(_summed(shard_counts(docs, shard_words, known), min_count), "triples"))
+
+
 def _part(counts: DataFrame, k: int, name: str) -> DataFrame:
     return counts.filter(F.col("k") == k).select(F.col("lang").alias(f"{name}_lang"), F.col("phrase").alias(f"{name}_phrase"),
                                                  F.col("a").alias(f"{name}_a"))
@@ -174,7 +258,7 @@ def collocations(docs: DataFrame, min_count: int = 10, covered_percent: int = 50
     """Phrases of two and three words that stay candidates: lang, phrase, a, l and r
     (occurrences of the two parts at the lowest-scoring cut), n (words of the language)
     and score, floor(10^6 a^2 / (l r))."""
-    counts = pin(phrase_counts(docs, min_count, shard_words), "phrases")
+    counts = phrase_counts(docs, min_count, shard_words)
     score = lambda l, r: F.expr(
         f"(cast(1000000 as decimal(7,0)) * cast(a as decimal(15,0)) * cast(a as decimal(15,0))) div (cast({l} as decimal(18,0)) * cast({r} as decimal(18,0)))")
 

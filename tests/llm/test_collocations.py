@@ -68,7 +68,7 @@ def test_given_table(spark, sf, sf_docs):
 def test_intervals_equal_counting():
     rng = np.random.default_rng(6)
     for n_ids in (3, 40, 2**22):
-        text = rng.integers(0, min(n_ids, 40), 500)
+        text = rng.integers(0, min(n_ids, 40), 500).astype(np.int32)
         text[-1] = 0
         pieces = [[]]
         for x in text.tolist():
@@ -77,8 +77,33 @@ def test_intervals_equal_counting():
             else:
                 pieces.append([])
         want = Counter(tuple(p[i:i + k]) for p in pieces for k in (1, 2, 3) for i in range(len(p) - k + 1))
-        have = {tuple(row): c for ids, counts in co.ngrams(text, n_ids) for row, c in zip(ids.tolist(), counts.tolist())}
+        index = co.Index(text, n_ids)
+        known = np.ones(len(index.pairs), bool)
+        levels = [index.words(), index.extended_right(), index.extended_left(known)]
+        have = {tuple(row): c for ids, counts in levels for row, c in zip(ids.tolist(), counts.tolist())}
         assert have == want
+        known = rng.random(len(index.pairs)) < 0.5
+        pair = {(a, b) for a, b, k in zip(index.first[index.pairs].tolist(), index.second[index.pairs].tolist(), known) if k}
+        ids, counts = index.extended_left(known)
+        assert dict(zip(map(tuple, ids.tolist()), counts.tolist())) == {p: c for p, c in want.items() if len(p) == 3 and p[:2] in pair and p[1:] in pair}
+
+
+def test_filter_of_pairs(spark):
+    """No pair is missed, few others are taken, and a filter that is too small costs no result."""
+    pairs = [("en" if i % 2 else "de", f"w{i % 50} v{i // 50}") for i in range(2000)]
+    df = spark.createDataFrame(pairs, "lang string, phrase string")
+    bitmap = np.frombuffer(co.pair_filter(df), np.uint8)
+
+    def known(lang, phrases):
+        words = [w for p in phrases for w in p.split()]
+        even = np.arange(0, len(words), 2)
+        return co._known(bitmap, co.pair_hashes(lang, words, even, even + 1))
+    for lang in ("en", "de"):
+        assert known(lang, [p for x, p in pairs if x == lang]).all()
+    assert known("en", [p for x, p in pairs if x == "de"]).mean() < 0.02
+    docs = [("a b c d a b c", "en")] * 12
+    full = co.shard_counts(frame(spark, docs), 50, b"\xff" * co._PAGE)
+    assert got(full.groupBy("phrase").agg(F.sum("a"))) == [("a b c", 24), ("b c d", 12), ("c d a", 12), ("d a b", 12)]
 
 
 def test_products_past_64_bits(spark):
