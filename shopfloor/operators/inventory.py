@@ -125,6 +125,14 @@ def floor_ledger(moves: DataFrame, key: str, order: list[str], buckets: list[Col
     return j.select(*[c for c in moves.columns], stock.alias("stock"))
 
 
+def chunk_summary(moves: DataFrame, keys: list[str], order: list[str], delta: str = "delta", opening: str = "s0") -> DataFrame:
+    """One row per chunk (``keys``): total, least running total, opening stock and number
+    of its movements in ``order``; a window and an aggregate over one shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (moves.withColumn("_loc", F.sum(delta).over(w)).groupBy(*keys)
+            .agg(F.sum(delta).alias("_tot"), F.min("_loc").alias("_low"), F.count(F.lit(1)).alias("_n"), F.max(opening).alias("_s0")))
+
+
 def chunk_carry(summary: DataFrame, key: str, bucket: str, coarse: str) -> DataFrame:
     """Running total (``_off``, from the opening stock) and running minimum
     (``_carry``, null at first) before every chunk.

@@ -23,10 +23,24 @@ def sessionize(events: DataFrame, key: str, ts: str, gap_seconds: int = GAP_SECO
     shuffle, so a key with a third of all rows, even in one hour, is a few rows
     per task.  The stretches of a key (at most 86400 / gap a day) are then
     stitched in one window.  Two shuffles, none of raw events."""
+    return stitch(stretches(events, key, ts, gap_seconds), key, gap_seconds)
+
+
+def stretches(events: DataFrame, key: str, ts: str, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+    """First and last event and number of events of each key and stretch; rows of the
+    same stretch merge by least, greatest and sum (``merge_stretches``)."""
     t = F.col(ts).cast("timestamp")
     stretch = F.floor(F.unix_micros(t) / F.lit(gap_seconds * 1_000_000))
-    parts = (events.groupBy(F.col(key).alias("_k"), stretch.alias("_b"))
-             .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")))
+    return (events.groupBy(F.col(key).alias("_k"), stretch.alias("_b"))
+            .agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count(F.lit(1)).alias("_n")))
+
+
+def merge_stretches(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("_k", "_b").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("_n").alias("_n"))
+
+
+def stitch(parts: DataFrame, key: str, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+    """Sessions out of stretches, one row each."""
     w = Window.partitionBy("_k").orderBy("_b")
     gap = F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(gap_seconds))
     prev = F.lag("_last").over(w)

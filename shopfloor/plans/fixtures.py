@@ -191,9 +191,22 @@ def fx_movements(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None =
 
 
 def order_block() -> Column:
-    """Blocks of 2^24 order keys: a coarsening of the movement order inside a
-    day, so that even one SKU-day with a third of all rows is several chunks."""
-    return F.floor(F.col("l_orderkey") / (1 << 24))
+    """Blocks of 2^14 order keys: a coarsening of the movement order inside a
+    day, so that even one SKU-day with a third of all rows is many chunks."""
+    return F.floor(F.col("l_orderkey") / (1 << 14))
+
+
+def fx_arrivals(spark: SparkSession, sf_dir: str, name: str, key: str, target: str, files: int = 4) -> None:
+    """Table ``name`` as a folder of ``files`` files under ``target``, dealt by a hash of
+    ``key``: every file has rows of all dates, so most rows after the first are late.
+    The other tables a stream joins are written next to it as they are."""
+    part = F.pmod(F.xxhash64(key), F.lit(files)).cast("int")
+    rows = table(spark, sf_dir, name).withColumn("_file", part).persist()
+    try:
+        for i in range(files):
+            rows.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(f"{target}/{name}.parquet")
+    finally:
+        rows.unpersist()
 
 
 MOVEMENT_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "delta"]

@@ -427,9 +427,8 @@ Q["stream_ingest"] = Q["normalize_sales"]
 Q["stream_daily_trend"] = f"""SELECT CAST(sale_date AS DATE) AS sale_day, CAST(sum(paid) AS DOUBLE) AS gross_revenue,
   CAST(sum(paid - cost - courier) AS DOUBLE) AS true_profit FROM fx_sales_t
   WHERE {paid()} AND sale_date IS NOT NULL GROUP BY 1"""
-# sessions that the watermark (newest event, in milliseconds, less one hour) has passed
-Q["stream_sessions"] = f"""SELECT * FROM ({Q["sessions"]})
-  WHERE session_end <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"""
+Q["stream_sessions"] = Q["sessions"]
+Q["stream_late"] = Q["stream_daily_trend"]
 Q["stream_weekly_clients"] = f"""
   SELECT window_start, window_start + INTERVAL 7 DAY AS window_end, count(DISTINCT handle) AS clients
   FROM (SELECT handle, date_trunc('day', sale_date) - to_days(CAST(k AS INTEGER)) AS window_start
@@ -445,6 +444,7 @@ Q["stream_stock"] = f"""
     WINDOW w AS (PARTITION BY sku ORDER BY ts, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, delta
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
   GROUP BY sku"""
+Q["stream_late_stock"] = Q["stream_stock"]
 Q["stream_upsert"] = f"SELECT row_pos, sku, new_stock_text FROM ({Q['stock_deduct']})"
 
 

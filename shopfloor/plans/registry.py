@@ -22,7 +22,7 @@ from shopfloor.schemas import PURCHASE_HEADERS, SALES_HEADERS, VAULT_HEADERS
 from shopfloor.session import shared_dir
 from shopfloor.sources import append, latest_snapshot, read_table, write_snapshot
 from shopfloor.streaming import queries as stream_q
-from shopfloor.streaming import runner, upsert
+from shopfloor.streaming import partials, runner, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -392,24 +392,52 @@ def q_stream_ingest(spark, d):
                     "payment_status")
 
 
+def _merge_stream(spark: SparkSession, stream: DataFrame, name: str, agg: partials.Mergeable) -> DataFrame:
+    return partials.read_mergeable(spark, partials.run_mergeable(spark, stream, name, agg), stream, agg)
+
+
 @query("stream_daily_trend")
 def q_stream_daily_trend(spark, d):
-    return _run(spark, stream_q.daily_trend(spark, d), "stream_daily_trend")
+    return _merge_stream(spark, stream_q.sales_stream(spark, d), "stream_daily_trend", stream_q.TREND)
 
 
 @query("stream_weekly_clients")
 def q_stream_weekly_clients(spark, d):
-    return stream_q.distinct_per_window(_run(spark, stream_q.weekly_clients(spark, d), "stream_weekly_clients"))
+    return _merge_stream(spark, stream_q.sales_stream(spark, d), "stream_weekly_clients", stream_q.CLIENTS)
 
 
 @query("stream_sessions")
 def q_stream_sessions(spark, d):
-    return _run(spark, stream_q.sessions(spark, d), "stream_sessions")
+    """T5: all sessions, those still open included."""
+    return _merge_stream(spark, stream_q.event_stream(spark, d), "stream_sessions", stream_q.SESSIONS)
 
 
 @query("stream_stock")
 def q_stream_stock(spark, d):
-    return stream_q.stock_now(_run(spark, stream_q.stock_state(spark, d), "stream_stock"))
+    moves = stream_q.movement_stream(spark, d)
+    return stream_q.read_stock(spark, stream_q.run_stock(spark, moves, "stream_stock"), moves)
+
+
+@query("stream_late")
+def q_stream_late(spark, d):
+    """The daily trend of orders that arrive in four files, each with orders of all
+    dates; equals the recount of everything."""
+    tables = shared_dir(spark, "late")
+    fx.fx_arrivals(spark, d, "orders", "o_orderkey", tables)
+    orders = runner.read_stream_table(spark, tables, "orders", max_files=1)
+    stream = normalize_sales(fx.fx_sales(spark, d, orders=orders))
+    return _merge_stream(spark, stream, "stream_late", stream_q.TREND)
+
+
+@query("stream_late_stock")
+def q_stream_late_stock(spark, d):
+    """Stock out of movements that arrive in four files, each with movements of all
+    dates; equals the ledger (W3) in event order."""
+    tables = shared_dir(spark, "late_stock")
+    fx.fx_arrivals(spark, d, "lineitem", "l_orderkey", tables)
+    li = runner.read_stream_table(spark, tables, "lineitem", max_files=1)
+    moves = stream_q.chunked(fx.fx_movements(spark, d, lineitem=li), fx.order_block())
+    return stream_q.read_stock(spark, stream_q.run_stock(spark, moves, "stream_late_stock"), moves)
 
 
 @query("stream_upsert")

@@ -1,11 +1,15 @@
 """Streaming queries over the fixture streams.
 
-Each builder returns ``(streaming DataFrame, output mode, key columns)``;
-``plans.registry`` runs it to completion with ``availableNow`` and reads the
-sink back.  All of them let go of old state: windows, chunks and sessions that
-the watermark has passed are dropped, and rows that come later than that are
-not counted (T7).  Event time is cast to TIMESTAMP (``withWatermark`` rejects
-TIMESTAMP_NTZ).
+``TREND``, ``CLIENTS`` and ``SESSIONS`` are mergeable aggregates and
+``run_stock`` rebuilds touched chunks (``streaming.partials``): the result is the
+same for any order and any cut of the input into batches, late rows included
+(T7), and ``plans.registry`` runs these.
+
+The builders ``daily_trend``, ``weekly_clients`` and ``sessions`` are the
+watermark forms, for sinks that need finished rows only; they return
+``(streaming DataFrame, output mode, key columns)``, let go of windows and
+sessions that the watermark has passed, and do not count rows that come later.
+Event time is cast to TIMESTAMP there (``withWatermark`` rejects TIMESTAMP_NTZ).
 """
 
 from __future__ import annotations
@@ -14,15 +18,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopfloor.operators.cleaning import is_paid, normalize_sales
-from shopfloor.operators.inventory import closing_stock
-from shopfloor.operators.sessions import GAP_SECONDS
+from shopfloor.operators.inventory import chunk_summary, closing_stock
+from shopfloor.operators.sessions import GAP_SECONDS, merge_stretches, stitch, stretches
 from shopfloor.plans import fixtures as fx
-from shopfloor.streaming.runner import read_stream_table
+from shopfloor.sources.tables import empty
+from shopfloor.streaming.partials import Mergeable, run_rebuilt
+from shopfloor.streaming.runner import read_output, read_stream_table
 
 
-def sales_stream(spark: SparkSession, sf_dir: str, with_items: bool = False) -> DataFrame:
+def sales_stream(spark: SparkSession, sf_dir: str, with_items: bool = False, max_files: int | None = None) -> DataFrame:
     """Normalised sales arriving as new order files."""
-    orders = read_stream_table(spark, sf_dir, "orders")
+    orders = read_stream_table(spark, sf_dir, "orders", max_files=max_files)
     return normalize_sales(fx.fx_sales(spark, sf_dir, with_items=with_items, orders=orders))
 
 
@@ -93,39 +99,67 @@ def sessions(spark: SparkSession, sf_dir: str, watermark: str = "1 hour", mode:
                       F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events"), mode, None
 
 
+# ------------------------------------------------------------------ T2, T3, T5, whenever rows arrive
+def _trend_rows(sales: DataFrame) -> DataFrame:
+    paid = sales.where(is_paid() & F.col("sale_date").isNotNull())
+    return paid.groupBy(F.col("sale_date").cast("date").alias("sale_day")).agg(
+        F.sum("paid").alias("gross"), F.sum(F.col("paid") - F.col("cost") - F.col("courier")).alias("profit"))
+
+
+TREND = Mergeable(
+    _trend_rows,
+    lambda p: p.groupBy("sale_day").agg(*[F.sum(c).cast(p.schema[c].dataType).alias(c) for c in ("gross", "profit")]),
+    lambda p: p.select("sale_day", F.col("gross").cast("double").alias("gross_revenue"), F.col("profit").cast("double").alias("true_profit")))
+
+
+def _client_days(sales: DataFrame) -> DataFrame:
+    paid = sales.where(is_paid() & F.col("sale_date").isNotNull() & F.col("handle").isNotNull())
+    return paid.select(F.date_trunc("day", "sale_date").cast("timestamp_ntz").alias("day"), "handle").distinct()
+
+
+CLIENTS = Mergeable(_client_days, lambda p: p.distinct(), distinct_per_window)
+
+SESSIONS = Mergeable(lambda e: stretches(e, "user_id", "ts"), merge_stretches, lambda p: stitch(p, "user_id"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    return read_stream_table(spark, sf_dir, "events", max_files=max_files).select("user_id", "ts")
+
+
 # ------------------------------------------------------------------ T4
 STOCK_KEYS = ["sku", "_bucket"]
 
 
-def stock_chunks(moves: DataFrame, watermark: str, block: Column | None = None, width: str = "1 day") -> DataFrame:
-    """Movements as chunk summaries, per SKU, window of ``width`` and, if the
-    event times of a window are all equal (dates), ``block``, a coarsening of
-    the rest of the movement order.
-
-    A chunk's movements are put in event order when they are summed up, so
-    files may arrive in any order within the watermark delay; once the
-    watermark has passed a window its chunks leave the state.  A hot SKU is
-    as many groups as it has chunks."""
-    row = F.struct("event_ts", *fx.MOVEMENT_ORDER[1:])
-    chunks = (moves.withWatermark("event_ts", watermark)
-              .groupBy("sku", F.window("event_ts", width).alias("w"), (F.lit(0) if block is None else block).alias("block"))
-              .agg(F.sort_array(F.collect_list(row)).alias("rows"), F.max("s0").alias("_s0")))
-    zero = F.lit(0).cast("bigint")
-    low = F.lit(1 << 62).cast("bigint")
-    scan = F.aggregate("rows", F.struct(zero.alias("tot"), low.alias("low")), lambda a, x: F.struct(
-        (a["tot"] + x["delta"]).alias("tot"), F.least(a["low"], a["tot"] + x["delta"]).alias("low")))
-    return (chunks.select("sku", F.struct(F.col("w.start").alias("day"), "block").alias("_bucket"), scan.alias("x"),
-                          F.size("rows").cast("bigint").alias("_n"), "_s0")
-            .select("sku", "_bucket", F.col("x.tot").alias("_tot"), F.col("x.low").alias("_low"), "_n", "_s0"))
-
-
-def stock_state(spark: SparkSession, sf_dir: str, watermark: str = "1 day"):
-    """T4: stock per SKU, never below 0, movements in event order; equals the
-    last ledger row (W3).  The sink holds one row per chunk; ``stock_now``
-    composes them."""
-    li = read_stream_table(spark, sf_dir, "lineitem")
-    moves = fx.fx_movements(spark, sf_dir, lineitem=li).withColumn("event_ts", F.col("ts").cast("timestamp"))
-    return stock_chunks(moves, watermark, fx.order_block(), "1 day"), "update", STOCK_KEYS
+def movement_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+    """Stock movements as new lineitem files arrive, with their chunk (day and block of
+    order keys) and its month."""
+    moves = fx.fx_movements(spark, sf_dir, lineitem=read_stream_table(spark, sf_dir, "lineitem", max_files=max_files))
+    return chunked(moves, fx.order_block())
+
+
+def chunked(moves: DataFrame, block: Column) -> DataFrame:
+    """``block``: a coarsening of the movement order within a day, so that a SKU-day with
+    many movements is several chunks."""
+    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    return moves.withColumns({"day": day, "block": block, "month": F.trunc(F.col("ts").cast("date"), "month")})
+
+
+def _chunks(moves: DataFrame) -> DataFrame:
+    rows = moves.withColumn("_bucket", F.struct("day", "block"))
+    return chunk_summary(rows, STOCK_KEYS, fx.MOVEMENT_ORDER)
+
+
+def run_stock(spark: SparkSession, moves: DataFrame, name: str = "stock", **options) -> str:
+    """T4: stock per SKU, never below 0, movements in event order whenever they arrive;
+    equals the last ledger row (W3).  The sink holds one row per chunk (SKU, day,
+    block), rebuilt from the log whenever a batch has movements of it."""
+    return run_rebuilt(spark, moves, name, "month", ["sku", "day", "block"], STOCK_KEYS, _chunks, **options)
+
+
+def read_stock(spark: SparkSession, out: str, moves: DataFrame) -> DataFrame:
+    """Closing stock and number of movements of every SKU so far (``moves``: the stream)."""
+    schema = _chunks(empty(spark, moves.schema)).schema
+    return stock_now(read_output(spark, out, "update", schema, STOCK_KEYS))
 
 
 def stock_now(chunks: DataFrame) -> DataFrame:

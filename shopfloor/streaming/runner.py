@@ -17,6 +17,8 @@ the name of a refresh policy.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,14 +59,7 @@ def run_stream(spark: SparkSession, df: DataFrame, name: str, mode: str = "appen
     ``checkpoint`` and ``output`` belong together: give both to resume.
     ``partition_by`` (append mode) lays the file sink out by those columns,
     so later date filters prune whole folders."""
-    if (checkpoint is None) != (output is None):
-        raise ValueError("checkpoint and output must be given together")
-    ckpt = checkpoint or shared_dir(spark, "ckpt", name)
-    out = output or shared_dir(spark, "out", name)
-    if isinstance(trigger, str):
-        trigger = REFRESH_TRIGGERS[trigger]
-    w = df.writeStream.queryName(f"{name}_{out.rstrip('/').rsplit('/', 1)[-1]}").option("checkpointLocation", ckpt)
-    w = w.trigger(**(trigger or {"availableNow": True}))
+    w, out = _writer(spark, df, name, trigger, checkpoint, output)
     if mode == "append":
         w = w.outputMode("append").format("parquet").option("path", out)
         if partition_by:
@@ -73,30 +68,56 @@ def run_stream(spark: SparkSession, df: DataFrame, name: str, mode: str = "appen
     elif mode == "complete":
         q = w.outputMode("complete").foreachBatch(lambda b, bid: write_snapshot(b, out, bid)).start()
     elif mode == "update":
-        q = w.outputMode("update").foreachBatch(lambda b, bid: _upsert(spark, b, bid, out, keys)).start()
+        q = w.outputMode("update").foreachBatch(lambda b, bid: merge_update(spark, b, bid, out, keys)).start()
     else:
         raise ValueError(mode)
-    if wait:
-        q.awaitTermination()
-        if q.exception() is not None:
-            raise q.exception()
+    return _finish(q, out) if wait else out
+
+
+def _writer(spark: SparkSession, df: DataFrame, name: str, trigger: dict | str | None, checkpoint: str | None, output: str | None):
+    if (checkpoint is None) != (output is None):
+        raise ValueError("checkpoint and output must be given together")
+    ckpt = checkpoint or shared_dir(spark, "ckpt", name)
+    out = output or shared_dir(spark, "out", name)
+    if isinstance(trigger, str):
+        trigger = REFRESH_TRIGGERS[trigger]
+    w = df.writeStream.queryName(f"{name}_{out.rstrip('/').rsplit('/', 1)[-1]}").option("checkpointLocation", ckpt)
+    return w.trigger(**(trigger or {"availableNow": True})), out
+
+
+def _finish(q, out: str) -> str:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise q.exception()
     return out
 
 
-def _upsert(spark: SparkSession, b: DataFrame, bid: int, out: str, keys: list[str]) -> None:
+def run_batches(spark: SparkSession, df: DataFrame, name: str, write: Callable[[DataFrame, int, str], None],
+                trigger: dict | str | None = None, checkpoint: str | None = None, output: str | None = None) -> str:
+    """Run ``df`` with ``write(batch, batch id, output folder)`` for every micro-batch."""
+    w, out = _writer(spark, df, name, trigger, checkpoint, output)
+    return _finish(w.foreachBatch(lambda b, bid: write(b, bid, out)).start(), out)
+
+
+def merge_update(spark: SparkSession, b: DataFrame, bid: int, out: str, keys: list[str]) -> None:
+    """Write the rows of batch ``bid`` as the newest of their keys."""
     write_snapshot(b.withColumn("_batch", F.lit(bid)), f"{out}/batches", bid)
     if bid % COMPACT_EVERY == COMPACT_EVERY - 1:
         write_snapshot(_newest(spark, out, keys, b.schema, bid), f"{out}/merged", bid)
 
 
-def _newest(spark: SparkSession, out: str, keys: list[str], schema: T.StructType, upto: int | None = None) -> DataFrame:
-    """Newest row of each key: the last snapshot and the batches after it."""
+def since_snapshot(spark: SparkSession, out: str, upto: int | None = None) -> list[str]:
+    """Folders of the last merged snapshot and the batches after it, up to batch ``upto``."""
     merged = [v for v in versions(spark, f"{out}/merged") if upto is None or v < upto]
     since = merged[-1] if merged else -1
     folders = [f"{out}/batches/v={v:012d}" for v in versions(spark, f"{out}/batches")
                if v > since and (upto is None or v <= upto)]
-    if merged:
-        folders.append(f"{out}/merged/v={since:012d}")
+    return folders + [f"{out}/merged/v={since:012d}"] if merged else folders
+
+
+def _newest(spark: SparkSession, out: str, keys: list[str], schema: T.StructType, upto: int | None = None) -> DataFrame:
+    """Newest row of each key: the last snapshot and the batches after it."""
+    folders = since_snapshot(spark, out, upto)
     full = T.StructType([f for f in schema.fields if f.name != "_batch"] + [T.StructField("_batch", T.IntegerType())])
     if not folders:
         return empty(spark, full)

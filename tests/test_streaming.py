@@ -53,17 +53,16 @@ MOVES = ("sku string, event_ts timestamp, l_orderkey bigint, l_linenumber int, l
          "l_extendedprice double, delta bigint, s0 bigint")
 
 
-def _stock_stream(spark, tmp_path, batches, watermark="10 days", width="1 day"):
+def _stock_stream(spark, tmp_path, batches):
     """One file per micro-batch, in arrival order."""
-    from shopfloor.streaming.queries import STOCK_KEYS, stock_chunks, stock_now
+    from shopfloor.streaming.queries import chunked, read_stock, run_stock
     src = str(tmp_path / "moves")
     for b in batches:
         spark.createDataFrame(b, MOVES).coalesce(1).write.mode("append").parquet(src)
-    moves = spark.readStream.schema(MOVES).option("maxFilesPerTrigger", 1).parquet(src)
-    df = stock_chunks(moves, watermark, width=width)
-    out = runner.run_stream(spark, df, "stock_batches", "update", STOCK_KEYS)
+    stream = spark.readStream.schema(MOVES).option("maxFilesPerTrigger", 1).parquet(src)
+    moves = chunked(stream.withColumn("ts", F.col("event_ts").cast("timestamp_ntz")).drop("event_ts"), F.floor(F.hour("ts") / 6))
     return {r["sku"]: (r["closing_stock"], r["movements"])
-            for r in stock_now(runner.read_output(spark, out, "update", df.schema, STOCK_KEYS)).collect()}
+            for r in read_stock(spark, run_stock(spark, moves, "stock_batches"), moves).collect()}
 
 
 def test_stock_state_across_batches_matches_fold(spark, tmp_path):
@@ -92,7 +91,7 @@ def test_stock_state_of_a_hot_sku_over_many_batches(spark, tmp_path):
     t = dt.datetime(2024, 1, 1)
     rows = [("HOT" if rnd.random() < 0.4 else f"K{rnd.randint(1, 5)}", t + dt.timedelta(hours=rnd.randint(0, 60)), i, 1, 1, 1.0,
              rnd.choice([-9, -4, 3, 6]), 5) for i in range(1200)]
-    got = _stock_stream(spark, tmp_path, [rows[i::20] for i in range(20)], width="3 hours")  # compacts once on the way
+    got = _stock_stream(spark, tmp_path, [rows[i::20] for i in range(20)])  # compacts once on the way
     for sku in {r[0] for r in rows}:
         s, mine = 5, sorted((r for r in rows if r[0] == sku), key=lambda r: (r[1], r[2]))
         for r in mine:
@@ -100,7 +99,54 @@ def test_stock_state_of_a_hot_sku_over_many_batches(spark, tmp_path):
         assert got[sku] == (s, len(mine))
 
 
-STREAMS = ["stream_ingest", "stream_daily_trend", "stream_weekly_clients", "stream_sessions", "stream_stock", "stream_upsert"]
+STREAMS = ["stream_ingest", "stream_daily_trend", "stream_weekly_clients", "stream_sessions", "stream_stock", "stream_upsert",
+           "stream_late", "stream_late_stock"]
+
+
+@pytest.mark.parametrize("key", ["stream_daily_trend", "stream_weekly_clients", "stream_sessions", "stream_stock"])
+def test_results_do_not_depend_on_batches(spark, tmp_path, key):
+    """One batch, four files in the table's order, five files of shuffled rows: the same rows."""
+    from conftest import SMALL
+    from shopfloor.plans.registry import REGISTRY
+    from shopfloor.streaming import partials, queries as q
+    want = sorted(map(str, REGISTRY[key](spark, SMALL).collect()))
+    for name, files, order in (("in order", 4, None), ("shuffled", 5, F.rand(7))):
+        d = str(tmp_path / name)
+        for t in ("orders", "lineitem", "events"):
+            rows = spark.read.parquet(f"{SMALL}/{t}.parquet")
+            (rows.coalesce(1) if order is None else rows.orderBy(order)).repartition(files).write.parquet(f"{d}/{t}.parquet")
+        for t in ("customer", "part"):
+            spark.read.parquet(f"{SMALL}/{t}.parquet").write.parquet(f"{d}/{t}.parquet")
+        if key == "stream_stock":
+            moves = q.movement_stream(spark, d, max_files=1)
+            got = q.read_stock(spark, q.run_stock(spark, moves, "batches"), moves)
+        else:
+            agg = {"stream_daily_trend": q.TREND, "stream_weekly_clients": q.CLIENTS, "stream_sessions": q.SESSIONS}[key]
+            stream = q.event_stream(spark, d, max_files=1) if key == "stream_sessions" else q.sales_stream(spark, d, max_files=1)
+            out = partials.run_mergeable(spark, stream, "batches", agg)
+            assert len(partials.since_snapshot(spark, out)) == files
+            got = partials.read_mergeable(spark, out, stream, agg)
+        assert sorted(map(str, got.collect())) == want != []
+
+
+def test_corrections_are_noted_and_resumed(spark, tmp_path, monkeypatch):
+    """A late sale corrects its day; a restart goes on without counting twice; compaction changes nothing."""
+    from shopfloor.streaming import partials
+    monkeypatch.setattr(partials, "COMPACT_EVERY", 4)
+    src, ckpt, out = (str(tmp_path / x) for x in ("src", "ckpt", "out"))
+    agg = partials.Mergeable(lambda b: b.groupBy("day").agg(F.sum("v").alias("v")),
+                             lambda p: p.groupBy("day").agg(F.sum("v").alias("v")), lambda p: p)
+    rows = [("d1", 1), ("d2", 2), ("d1", 4), ("d3", 8)] + [("d2", 1)] * 2
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "day string, v long").coalesce(1).write.mode("append").parquet(src)
+        if i in (1, 3, len(rows) - 1):
+            stream = spark.readStream.schema("day string, v long").option("maxFilesPerTrigger", 1).parquet(src)
+            partials.run_mergeable(spark, stream, "fix", agg, keys=["day"], checkpoint=ckpt, output=out)
+    got = {r.day: r.v for r in partials.read_mergeable(spark, out, stream, agg).collect()}
+    assert got == {"d1": 5, "d2": 4, "d3": 8}
+    noted = [(r.batch, r.day, r.old_v, r.v) for r in partials.read_corrections(spark, out).orderBy("batch").collect()]
+    assert noted[0] == (2, "d1", 1, 5) and noted[1:] == [(4, "d2", 2, 3), (5, "d2", 3, 4)]
+    assert len(partials.since_snapshot(spark, out)) == 3  # one snapshot and two batches
 
 
 @pytest.fixture(scope="module")
