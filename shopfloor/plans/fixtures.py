@@ -139,6 +139,21 @@ def fx_sales(spark: SparkSession, sf_dir: str, with_items: bool = False,
             .drop("items_json"))
 
 
+def fx_faulty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales whose JSON is as people and scripts leave it: by sale, elements that are no
+    object, quantities as text, quantities that are NaN or words, lone values."""
+    s = fx_sales(spark, sf_dir, with_items=True).select("row_pos", "line_items_json")
+    k, j = F.col("row_pos") % 17, F.col("line_items_json")
+    quantities = lambda to: F.regexp_replace(j, r'"Quantity":([0-9.]+)', f'"Quantity":{to}')
+    is_list = j.startswith("[")
+    return s.withColumn("line_items_json",
+                        F.when(is_list & (k == 3), F.concat(F.regexp_replace(j, r"\]$", ""), F.lit(',5,"x",null]')))
+                        .when(is_list & (k == 4), quantities('"$1"'))
+                        .when(is_list & (k == 5), quantities("NaN"))
+                        .when(is_list & (k == 6), F.concat(quantities('"many"')))
+                        .when(is_list & (k == 7), F.lit("42")).otherwise(j))
+
+
 def fx_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
     k = F.col("l_orderkey")

@@ -423,6 +423,22 @@ Q["sessions"] = """
   GROUP BY user_id, sid"""
 
 
+# lines of sales with readable items, as fx_faulty_sales spoils them; a sale without lines has no list
+_FAULTY = """(SELECT l.row_pos, l.line_no, l.sku, l.category, l.quantity, l.selling_price, l.row_pos % 17 AS k,
+    count(*) OVER (PARTITION BY l.row_pos) AS n
+  FROM fx_lines l JOIN fx_sales s ON l.row_pos = s.row_pos WHERE l.row_pos % 30 > 1)"""
+Q["checked_lines"] = f"""SELECT row_pos, line_no, sku, category, CASE WHEN k IN (5, 6) THEN 0.0::DOUBLE ELSE quantity END AS quantity,
+  selling_price FROM {_FAULTY} WHERE k <> 7"""
+Q["line_rejects"] = f"""
+  SELECT row_pos, CAST(0 AS BIGINT) AS element_no, 'not JSON' AS reason FROM fx_sales WHERE row_pos % 30 = 1
+  UNION ALL
+  SELECT DISTINCT row_pos, 0, 'not a list' FROM {_FAULTY} WHERE k = 7
+  UNION ALL
+  SELECT row_pos, n + i, 'not an object' FROM (SELECT DISTINCT row_pos, n FROM {_FAULTY} WHERE k = 3), range(1, 4) r(i)
+  UNION ALL
+  SELECT row_pos, line_no, 'quantity is not a number' FROM {_FAULTY} WHERE k IN (5, 6)"""
+
+
 Q["stream_ingest"] = Q["normalize_sales"]
 Q["stream_daily_trend"] = f"""SELECT CAST(sale_date AS DATE) AS sale_day, CAST(sum(paid) AS DOUBLE) AS gross_revenue,
   CAST(sum(paid - cost - courier) AS DOUBLE) AS true_profit FROM fx_sales_t

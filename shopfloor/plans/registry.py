@@ -187,6 +187,19 @@ def q_line_items(spark, d):
     return items.line_items(sales(spark, d, with_items=True)).drop("unit_price")
 
 
+@query("checked_lines")
+def q_checked_lines(spark, d):
+    """J1/P8f on faulty JSON: the lines that can be used, element by element."""
+    return (items.line_items(fx.fx_faulty_sales(spark, d), columns=["sku", "category", "quantity", "selling_price"])
+            .withColumn("quantity", items.quantity()))
+
+
+@query("line_rejects")
+def q_line_rejects(spark, d):
+    """J1/P8f on faulty JSON: what can't be used, and why."""
+    return items.item_rejects(fx.fx_faulty_sales(spark, d))
+
+
 @query("cart_totals")
 def q_cart_totals(spark, d):
     return items.cart_totals(all_lines(spark, d, ["quantity", "source_price", "selling_price"]))

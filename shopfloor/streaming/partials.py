@@ -101,7 +101,8 @@ def run_rebuilt(spark: SparkSession, stream: DataFrame, name: str, month: str, t
 
     def write(b: DataFrame, bid: int, out: str) -> None:
         log = f"{out}/log"
-        b.write.mode("overwrite").partitionBy(month).parquet(f"{log}/v={bid:012d}")
+        # rebalanced: a file a month, more for a month with many rows
+        b.hint("rebalance", month).write.mode("overwrite").partitionBy(month).parquet(f"{log}/v={bid:012d}")
         groups = read_table(spark, f"{log}/v={bid:012d}", schema).select(month, *touched).distinct()
         months = [r[0] for r in groups.select(month).distinct().collect()]  # calendar months, not rows
         # only batches up to this one: a batch that is tried again sees the same log

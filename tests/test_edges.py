@@ -57,8 +57,8 @@ def test_json_line_items(spark):
              '[{"Quantity": 2.0}]', '[{"Quantity": "2"}]', "not json"]
     sales = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "row_pos bigint, line_items_json string")
     got = {r["row_pos"]: r["quantity"] for r in items.line_items(sales).collect()}
-    # '[]', '', null, '[1]' and junk give no line; a lone object is one line (D3); "2" parses to null
-    assert got == {3: 2.0, 5: 2.0, 6: 2.0, 7: None}
+    # '[]', '', null, '[1]' and junk give no line; a lone object is one line (D3); "2" is a number in text
+    assert got == {3: 2.0, 5: 2.0, 6: 2.0, 7: 2.0}
 
 
 def test_top_category_ties_and_empty(spark):
@@ -267,3 +267,34 @@ def test_match_of_many_random_items_equals_brute_force(spark):
         if max(scores):
             want[i] = (scores.index(max(scores)), max(scores))
     assert got == want
+
+
+def test_items_are_read_element_by_element(spark):
+    """One bad element, NaN, numbers as text: the good lines and numbers stay."""
+    texts = ['[{"Item_SKU":"A","Quantity":2,"Selling Price (₹)":3.5},5]', '[{"Quantity":"2"},{"Quantity":" 3.0 "}]',
+             '[{"Category":"Ring","Quantity":NaN},{"Category":"Ring","Quantity":30}]', '{"Quantity":1}', "7", "[1,2]", "[]", "nope", "", None,
+             '[{"Quantity":1e400,"Details":"a: NaN"},null,{"Quantity":"1d"}]', '[{"Quantity":{"x":1}},[{"Quantity":9}]]']
+    df = spark.createDataFrame(list(enumerate(texts)), "row_pos long, line_items_json string")
+    lines = {}
+    for r in items.line_items(df).collect():
+        lines.setdefault(r.row_pos, []).append((r.line_no, r.sku, r.quantity, r.selling_price))
+    assert lines == {0: [(1, "A", 2.0, 3.5)], 1: [(1, None, 2.0, None), (2, None, 3.0, None)],
+                     2: [(1, None, None, None), (2, None, 30.0, None)], 3: [(1, None, 1.0, None)],
+                     10: [(1, None, lines[10][0][2], None), (3, None, None, None)], 11: [(1, None, None, None)]}
+    rejects = sorted(map(tuple, items.item_rejects(df).collect()))
+    assert [x for x in rejects if x[0] < 10] == [
+        (0, 2, items.NOT_AN_OBJECT), (2, 1, items.BAD_QUANTITY), (4, 0, items.NOT_A_LIST), (5, 1, items.NOT_AN_OBJECT),
+        (5, 2, items.NOT_AN_OBJECT), (7, 0, items.NOT_JSON)]
+    assert {x for x in rejects if x[0] == 11} == {(11, 1, items.BAD_QUANTITY), (11, 2, items.NOT_AN_OBJECT)}
+    parsed = df.select("row_pos", items.parse_items(columns=["quantity"]).alias("p")).where("row_pos = 2").first().p
+    assert [x["Quantity"] for x in parsed] == [None, 30.0]
+
+
+def test_nan_quantities_and_prices_count_nothing(spark):
+    rows = [(1, 1, "Ring", "", float("nan"), 1.0, 2.0), (1, 2, "Ring", "", 30.0, float("nan"), 2.0), (2, 1, "Polki", "", 2.0, 1.0, 1.0)]
+    li = spark.createDataFrame(rows, "row_pos long, line_no long, category string, details string, quantity double, source_price double, selling_price double")
+    assert finance.top_category(li).first().top_category == "Ring"
+    mix = {r.display_category: r for r in finance.category_mix(li).collect()}
+    assert abs(sum(r.share for r in mix.values()) - 1) < 1e-12 and mix["Ring"].quantity == 30.0
+    cart = {r.row_pos: (r.total_pieces, r.total_cost, r.total_revenue) for r in items.cart_totals(li).collect()}
+    assert cart == {1: (30.0, 0.0, 60.0), 2: (2.0, 2.0, 2.0)}
