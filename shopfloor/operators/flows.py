@@ -2,8 +2,8 @@
 
 * ``dashboard`` (E1): one normalisation of the sales and purchases tables
   feeding every KPI and chart dataset of the profitability view.
-* ``checkout`` (E2): a batch of carts becomes sale rows and the next catalogue
-  snapshot with the sold quantities deducted.
+* ``checkout`` (E2): a batch of carts becomes sale rows and a change of the
+  catalogue with the sold quantities deducted.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from shopfloor.operators import clients, finance, inventory, items
 from shopfloor.operators.cleaning import is_paid, normalize_purchases, normalize_sales
 from shopfloor.operators.sales_log import build_sales
-from shopfloor.sources.tables import read_table, versions, write_snapshot
+from shopfloor.sources.changelog import ChangeLog
+from shopfloor.sources.tables import file_system, read_table
 
 
 def dashboard(raw_sales: DataFrame, raw_purchases: DataFrame, as_of: Column,
@@ -39,25 +40,23 @@ def dashboard(raw_sales: DataFrame, raw_purchases: DataFrame, as_of: Column,
 
 def checkout(spark: SparkSession, cart_lines: DataFrame, headers: DataFrame, sales_path: str,
              vault_base: str, batch_id: int, pii_key: Column) -> tuple[DataFrame, DataFrame]:
-    """Write the carts as sale rows and the next catalogue version, under the
-    caller's ``batch_id``; name and handle are protected with ``pii_key``.
-
-    Sale rows go to the folder of their batch and the catalogue to version
-    ``batch_id + 1``, out of the newest version up to ``batch_id``, so a retry
-    of a batch changes nothing.  Batch ids must grow: a batch older than the
-    newest catalogue that was never applied is an error.  The deduction uses
-    the summed quantity per SKU (one floored deduction equals the reference's
-    successive ones).  Returns (sale rows, new catalogue)."""
-    done = versions(spark, vault_base)
-    if not done:
-        raise ValueError(f"no catalogue snapshot under {vault_base}")
+    """Write the carts as sale rows and deduct them from the catalogue (a
+    ``ChangeLog`` under ``vault_base``), under the caller's ``batch_id``; name and
+    handle are protected with ``pii_key``.
+
+    Sale rows go to the folder of their batch and the deduction is one transaction
+    of the catalogue, so a retry of a batch changes nothing, batches come in any
+    order, and two at once both count.  The deduction uses the summed quantity per
+    SKU (one floored deduction equals the reference's successive ones).  Returns
+    (sale rows, catalogue)."""
+    log = ChangeLog(spark, vault_base, key=inventory.sku_key)
+    if log.version() < 0:
+        raise ValueError(f"no catalogue under {vault_base}")
     folder = f"{sales_path.rstrip('/')}/batch_id={batch_id}"
     rows = build_sales(cart_lines, headers, pii_key=pii_key)
-    if batch_id + 1 not in done:
-        if done[-1] > batch_id:
-            raise ValueError(f"batch {batch_id} comes after catalogue version {done[-1]}")
+    fs, done = file_system(spark, f"{folder}/_SUCCESS")
+    if not fs.exists(done):
         rows.write.mode("overwrite").parquet(folder)
-        current = read_table(spark, f"{vault_base.rstrip('/')}/v={done[-1]:012d}")
-        write_snapshot(inventory.next_catalogue(current, inventory.sold_per_sku(cart_lines)), vault_base, batch_id + 1)
-    return (read_table(spark, folder, rows.schema),
-            read_table(spark, f"{vault_base.rstrip('/')}/v={batch_id + 1:012d}"))
+    sold = inventory.sold_per_sku(cart_lines)
+    log.commit(f"checkout-{batch_id}", lambda current: inventory.changed_by_sales(current, sold))
+    return read_table(spark, folder, rows.schema), log.read()

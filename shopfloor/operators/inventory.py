@@ -59,6 +59,17 @@ def next_catalogue(vault: DataFrame, sold: DataFrame) -> DataFrame:
     return j.select(*[new_text.alias(c) if c == "stock_text" else F.col(c) for c in vault.columns])
 
 
+def changed_by_sales(vault: DataFrame, sold: DataFrame) -> DataFrame:
+    """K1 as a change: all rows of the sold SKUs with their new stock, and no others."""
+    mine = vault.join(sold.select("sku_key"), clean_text(F.col("sku")) == F.col("sku_key"), "left_semi")
+    return next_catalogue(mine, sold)
+
+
+def sku_key() -> Column:
+    """The key by which the catalogue changes; null for rows without a SKU."""
+    return clean_text(F.col("sku"))
+
+
 def restock(vault: DataFrame, requests: DataFrame) -> DataFrame:
     """K2: add positive quantities per SKU (qty <= 0 is a no-op); blank or
     junk stock counts as 0 when restocking."""
@@ -72,6 +83,15 @@ def restock(vault: DataFrame, requests: DataFrame) -> DataFrame:
                     _new_text(F.col("added_qty").isNotNull(), new, F.col("stock_text")).alias("new_stock_text"))
 
 
+def changed_by_restock(vault: DataFrame, requests: DataFrame) -> DataFrame:
+    """K2 as a change: the rows of the restocked SKUs with their new stock, and no others."""
+    add = (requests.where(F.col("qty") > 0)
+           .groupBy(clean_text(F.col("sku")).alias("sku_key")).agg(F.sum("qty").alias("added_qty")))
+    j = vault.withColumn("sku_key", clean_text(F.col("sku"))).join(add, "sku_key")
+    new = (stock_value("stock_text", bad_as_zero=True) + F.col("added_qty")).cast("string")
+    return j.select(*[new.alias(c) if c == "stock_text" else F.col(c) for c in vault.columns])
+
+
 def restock_rejects(vault: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests (qty > 0) whose SKU is not in the catalogue: reported failures."""
     keys = vault.select(clean_text(F.col("sku")).alias("sku_key")).distinct()
@@ -86,6 +106,12 @@ def delete_items(vault: DataFrame, deletes: DataFrame) -> DataFrame:
             .join(keys, "sku_key", "left_anti").drop("sku_key"))
 
 
+def deleted_items(vault: DataFrame, deletes: DataFrame) -> DataFrame:
+    """K3/S6 as a change: the rows of the listed SKUs, marked as deleted."""
+    keys = deletes.select(clean_text(F.col("sku")).alias("sku_key"))
+    return (vault.join(keys, clean_text(F.col("sku")) == F.col("sku_key"), "left_semi").withColumn("_deleted", F.lit(True)))
+
+
 def unmatched_lines(vault: DataFrame, lines: DataFrame) -> DataFrame:
     """K6: sellable lines whose SKU has no catalogue row (skipped by deduct)."""
     keys = vault.select(clean_text(F.col("sku")).alias("sku_key")).distinct()

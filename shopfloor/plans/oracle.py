@@ -461,6 +461,14 @@ Q["stream_stock"] = f"""
                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
   GROUP BY sku"""
 Q["stream_late_stock"] = Q["stream_stock"]
+# the newer texts of each step feed the next; SKUs that are deleted had the text '0' at first
+Q["vault_changes"] = f"""
+  SELECT row_pos, sku, CASE WHEN sold IS NOT NULL AND n IS NOT NULL THEN CAST(greatest(0, n - sold) AS VARCHAR) ELSE t END AS stock_text
+  FROM (SELECT r.row_pos, r.sku, r.new_stock_text AS t, r.old_stock_text AS first_text,
+          CASE WHEN trim(r.new_stock_text) = '' THEN 0 ELSE TRY_CAST(r.new_stock_text AS BIGINT) END AS n,
+          CASE WHEN d.sold_qty > 0 THEN d.sold_qty END AS sold
+        FROM ({Q["stock_restock"]}) r JOIN ({Q["stock_deduct"]}) d ON r.row_pos = d.row_pos)
+  WHERE first_text <> '0'"""
 Q["stream_upsert"] = f"SELECT row_pos, sku, new_stock_text FROM ({Q['stock_deduct']})"
 
 

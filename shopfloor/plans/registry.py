@@ -20,7 +20,7 @@ from shopfloor.operators.cleaning import (is_paid, normalize_purchases, normaliz
 from shopfloor.plans import fixtures as fx
 from shopfloor.schemas import PURCHASE_HEADERS, SALES_HEADERS, VAULT_HEADERS
 from shopfloor.session import shared_dir
-from shopfloor.sources import append, latest_snapshot, read_table, write_snapshot
+from shopfloor.sources import append, read_table
 from shopfloor.streaming import queries as stream_q
 from shopfloor.streaming import partials, runner, upsert
 
@@ -245,11 +245,24 @@ def q_vault_add(spark, d):
 
 @query("vault_delete")
 def q_vault_delete(spark, d):
-    """The catalogue without the deleted items as its next version."""
-    base = shared_dir(spark, "vault_delete")
-    write_snapshot(vault(spark, d), base, 0)
-    write_snapshot(inventory.delete_items(latest_snapshot(spark, base), fx.fx_deletes(spark, d)), base, 1)
-    return latest_snapshot(spark, base)
+    """The stored catalogue after a commit that deletes the listed items."""
+    log = upsert.catalogue(spark, shared_dir(spark, "vault_delete"))
+    log.create(vault(spark, d))
+    log.commit("deletes", lambda current: inventory.deleted_items(current, fx.fx_deletes(spark, d)))
+    return log.read()
+
+
+@query("vault_changes")
+def q_vault_changes(spark, d):
+    """A stored catalogue after a delivery, a sale of every line and the deletion
+    of sold-out items, each a commit of its own rows."""
+    log = upsert.catalogue(spark, shared_dir(spark, "vault_changes"))
+    log.create(vault(spark, d))
+    log.commit("restock", lambda current: inventory.changed_by_restock(current, fx.fx_restock(spark, d)))
+    sold = inventory.sold_per_sku(all_lines(spark, d, ["sku", "quantity"]))
+    log.commit("sales", lambda current: inventory.changed_by_sales(current, sold))
+    log.commit("deletes", lambda current: inventory.deleted_items(current, fx.fx_deletes(spark, d)))
+    return log.read().select("row_pos", "sku", "stock_text")
 
 
 @query("stock_deduct")

@@ -1,12 +1,11 @@
-"""Apply each micro-batch's sold lines to the catalogue snapshot.
+"""Apply each micro-batch's sold lines to the catalogue.
 
-Plain Parquet has no MERGE, so a batch with sold lines writes catalogue
-version ``v = batch_id + 1`` computed from the newest version at or below
-``batch_id``; an empty batch writes nothing.  A retried batch recomputes the
-same version from the same input (idempotent); readers take the newest
-version with a ``_SUCCESS`` marker.  Successive floored
-deductions equal one floored deduction of the summed quantity, so the final
-snapshot equals the batch ``stock_deduct`` over all lines.
+The catalogue is a base and a log of changes (``sources.changelog``): a batch
+writes the rows of the SKUs it sold, as a transaction named by its batch id, so a
+retried batch is applied once, and checkouts that change the catalogue meanwhile
+are neither lost nor overwritten.  Successive floored deductions equal one floored
+deduction of the summed quantity, so the final catalogue equals the batch
+``stock_deduct`` over all lines.
 
 Given its catalogue and checkpoint folders the stream resumes from them.
 """
@@ -15,25 +14,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shopfloor.operators.inventory import next_catalogue, sold_per_sku
+from shopfloor.operators.inventory import changed_by_sales, sku_key, sold_per_sku
 from shopfloor.session import shared_dir
-from shopfloor.sources.tables import latest_snapshot, read_table, versions, write_snapshot
+from shopfloor.sources.changelog import ChangeLog
 from shopfloor.streaming.runner import REFRESH_TRIGGERS
 
 VAULT_COLS = ["row_pos", "sku", "sourcing_price_text", "tags", "image_url", "standard_price_text",
               "vip_price_text", "clearance_price_text", "stock_text"]
 
 
-def apply_batch(spark: SparkSession, base: str, lines: DataFrame, batch_id: int) -> None:
+def catalogue(spark: SparkSession, base: str) -> ChangeLog:
+    return ChangeLog(spark, base, key=sku_key)
+
+
+def apply_batch(log: ChangeLog, lines: DataFrame, batch_id: int, name: str) -> None:
     """The batch is read once: its sold quantities per SKU are kept for the
     test for rows and for the join."""
     sold = sold_per_sku(lines).persist()
     try:
-        if sold.isEmpty():
-            return
-        below = [v for v in versions(spark, base) if v <= batch_id]
-        current = read_table(spark, f"{base}/v={below[-1]:012d}")
-        write_snapshot(next_catalogue(current, sold), base, batch_id + 1)
+        if not sold.isEmpty():
+            log.commit(f"{name}-{batch_id}", lambda current: changed_by_sales(current, sold))
     finally:
         sold.unpersist()
 
@@ -42,19 +42,20 @@ def run_upsert(spark: SparkSession, vault: DataFrame, lines_stream: DataFrame, n
                trigger: dict | str | None = None, base: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run to the end of the input (or until stopped) and return the newest
     catalogue.  ``vault`` is the catalogue to start from; a ``base`` that
-    already has versions goes on from them."""
+    already has one goes on from it.  ``name`` tells several streams on one
+    catalogue apart."""
     if (base is None) != (checkpoint is None):
         raise ValueError("base and checkpoint must be given together")
     base = base or shared_dir(spark, "vault", name)
-    if not versions(spark, base):
-        write_snapshot(vault.select(*VAULT_COLS), base, 0)
+    log = catalogue(spark, base)
+    log.create(vault.select(*VAULT_COLS))
     if isinstance(trigger, str):
         trigger = REFRESH_TRIGGERS[trigger]
     q = (lines_stream.select("sku", "quantity").writeStream.queryName(f"{name}_{base.rstrip('/').rsplit('/', 1)[-1]}")
          .option("checkpointLocation", checkpoint or shared_dir(spark, "ckpt", name))
          .trigger(**(trigger or {"availableNow": True}))
-         .foreachBatch(lambda b, bid: apply_batch(spark, base, b, bid)).start())
+         .foreachBatch(lambda b, bid: apply_batch(log, b, bid, name)).start())
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    return latest_snapshot(spark, base)
+    return log.read()

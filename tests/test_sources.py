@@ -7,6 +7,7 @@ from shopfloor.operators.cleaning import normalize_sales, normalize_vault
 from shopfloor.schemas import RAW_VAULT
 from shopfloor.session import shared_dir
 from shopfloor.sources import append, latest_snapshot, read_table, write_snapshot
+from shopfloor.sources.changelog import ChangeLog
 
 
 def test_missing_table_raises_unless_asked(spark, tmp_path):
@@ -90,7 +91,8 @@ def test_checkout_appends_sales_and_writes_next_catalogue(spark):
     base = shared_dir(spark, "test", "checkout")
     vault = spark.createDataFrame([(1, "JK-1", "5"), (2, "JK-2", "1"), (3, "JK-3", "x")],
                                   "row_pos bigint, sku string, stock_text string")
-    write_snapshot(vault, f"{base}/vault", 0)
+    log = ChangeLog(spark, f"{base}/vault")
+    log.create(vault)
     lines = spark.createDataFrame([(10, 1, "JK-1", "Ring", "", 2.0, 1.0, 3.0), (10, 2, "JK-2", "Ring", "", 4.0, 1.0, 3.0),
                                    (11, 1, "JK-3", "Ring", "", 1.0, 1.0, 3.0), (11, 2, "N/A", "Other", "x", 1.0, 1.0, 3.0)],
                                   "row_pos bigint, line_no int, sku string, category string, details string, "
@@ -106,11 +108,80 @@ def test_checkout_appends_sales_and_writes_next_catalogue(spark):
     assert logged.count() == rows.count() == 2
     assert not {r["client_name"] for r in logged.collect()} & {"A", "B"}
     assert {r["sku"]: r["stock_text"] for r in new_vault.collect()} == {"JK-1": "3", "JK-2": "0", "JK-3": "x"}
-    assert latest_snapshot(spark, f"{base}/vault").count() == 3
+    assert log.read().count() == 3 and log.version() == 1
+    assert log.read(0).where("sku = 'JK-1'").first().stock_text == "5"
     _, later = checkout(spark, lines, headers, f"{base}/sales", f"{base}/vault", 4, pii_key(spark))
     assert {r["sku"]: r["stock_text"] for r in later.collect()} == {"JK-1": "1", "JK-2": "0", "JK-3": "x"}
+    checkout(spark, lines, headers, f"{base}/sales", f"{base}/vault", 4, pii_key(spark))  # once only
+    _, older = checkout(spark, lines, headers, f"{base}/sales", f"{base}/vault", 2, pii_key(spark))  # any order
+    assert {r["sku"]: r["stock_text"] for r in older.collect()} == {"JK-1": "0", "JK-2": "0", "JK-3": "x"}
     with pytest.raises(ValueError):
-        checkout(spark, lines, headers, f"{base}/sales", f"{base}/vault", 2, pii_key(spark))
+        checkout(spark, lines, headers, f"{base}/sales", f"{base}/none", 2, pii_key(spark))
+
+
+def _catalogue(spark, base, rows, **options):
+    from shopfloor.streaming.upsert import catalogue
+    log = catalogue(spark, base)
+    log.__dict__.update(options)
+    log.create(spark.createDataFrame(rows, "row_pos bigint, sku string, stock_text string"))
+    return log
+
+
+def _stock(log, version=None):
+    return sorted((r.row_pos, r.sku, r.stock_text) for r in log.read(version).collect())
+
+
+def test_a_batch_writes_only_its_skus(spark, tmp_path):
+    from shopfloor.operators import inventory
+    log = _catalogue(spark, str(tmp_path), [(i, f"S{i % 50}", "9") for i in range(100)] + [(200, None, "1"), (201, " S3 ", "4")])
+    sold = inventory.sold_per_sku(spark.createDataFrame([("S3", 2.0), ("S4", 99.0), ("no", 1.0)], "sku string, quantity double"))
+    log.commit("b-0", lambda c: inventory.changed_by_sales(c, sold))
+    entry = log._read_marker(1)
+    delta = spark.read.parquet(f"{tmp_path}/{entry['folder']}")
+    assert sorted(r.row_pos for r in delta.collect()) == [3, 4, 53, 54, 201]
+    now = {r[0]: r[2] for r in _stock(log)}
+    assert len(now) == 102 and (now[3], now[53], now[201], now[4], now[5], now[200]) == ("7", "7", "2", "0", "9", "1")
+    assert _stock(log, 0) == sorted((i, f"S{i % 50}", "9") for i in range(100)) + [(200, None, "1"), (201, " S3 ", "4")]
+
+
+def test_two_checkouts_at_once_lose_nothing(spark, tmp_path):
+    """Both read version 0; the second to commit meets the conflict and deducts from the new state."""
+    import threading
+    from shopfloor.operators import inventory
+    log = _catalogue(spark, str(tmp_path), [(1, "A", "10"), (2, "B", "10")])
+    both, calls = threading.Barrier(2), []
+
+    def run(name, sku, quantity):
+        sold = inventory.sold_per_sku(spark.createDataFrame([("A", 1.0), (sku, quantity)], "sku string, quantity double"))
+
+        def change(current):
+            calls.append(name)
+            if calls.count(name) == 1:
+                both.wait(60)
+            return inventory.changed_by_sales(current, sold)
+        log.commit(name, change)
+
+    threads = [threading.Thread(target=run, args=a) for a in (("x", "B", 3.0), ("y", "A", 4.0))]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert _stock(log) == [(1, "A", "4"), (2, "B", "7")]
+    assert log.version() == 2 and len(calls) == 3
+    assert log.commit("x", lambda c: 1 / 0) in (1, 2)  # committed: not computed again
+
+
+def test_compaction_and_deletes(spark, tmp_path):
+    from shopfloor.operators import inventory
+    log = _catalogue(spark, str(tmp_path), [(1, "A", "10"), (2, "B", "10"), (3, "C", "1")], compact_every=3)
+    for i in range(7):
+        sold = inventory.sold_per_sku(spark.createDataFrame([("A", 1.0)], "sku string, quantity double"))
+        log.commit(f"sale-{i}", lambda c: inventory.changed_by_sales(c, sold))
+    assert _stock(log) == [(1, "A", "3"), (2, "B", "10"), (3, "C", "1")]
+    kinds = [log._read_marker(n)["kind"] for n in log.numbers()]
+    assert kinds == ["base", "delta", "delta", "delta", "base", "delta", "delta", "delta", "base", "delta"]
+    gone = log.commit("gone", lambda c: inventory.deleted_items(c, spark.createDataFrame([("C",), ("none",)], "sku string")))
+    log.commit("back", lambda c: spark.createDataFrame([(4, "C", "8")], "row_pos bigint, sku string, stock_text string"))
+    assert _stock(log, gone) == [(1, "A", "3"), (2, "B", "10")]
+    assert _stock(log)[2:] == [(4, "C", "8")]
 
 
 def test_dashboard_datasets(spark):
