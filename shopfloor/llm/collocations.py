@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, pin, table
+from .common import LOWER, UPPER, own_columns, pin, table
 
 DEPTH = 3
 #: Words of one shard's index; its arrays take about 60 bytes a word.
@@ -241,6 +241,7 @@ def _summed(counts: DataFrame, min_count: int) -> DataFrame:
             .filter((F.col("k") == 0) | (F.col("a") >= min_count)))
 
 
+@own_columns("text", "lang")
 def phrase_counts(docs: DataFrame, min_count: int = 10, shard_words: int = SHARD_WORDS) -> DataFrame:
     """lang, k, phrase and a (occurrences) of phrases of 1 to ``DEPTH`` words with at
     least ``min_count`` occurrences, and k = 0: all words of the language."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,23 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def own_columns(*used: str, new: tuple[str, ...] = ()):
+    """For operators that return the columns of their first argument: while they run, all
+    columns but ``used`` go by numbers, so that no name (another case, a dot, a name that the
+    operator uses inside, one that occurs twice) can clash with theirs.  Columns
+    named like one of the results, ``new``, are replaced."""
+    def wrap(operator):
+        @wraps(operator)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            names = docs.columns
+            hidden = {f"_{i}_": c for i, c in enumerate(names) if c not in used}
+            inside = docs.toDF(*[c if c in used else f"_{i}_" for i, c in enumerate(names)])
+            out = operator(inside.drop(*[h for h, c in hidden.items() if c in new]), *args, **options)
+            return out.toDF(*[hidden.get(c, c) for c in out.columns])
+        return run
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

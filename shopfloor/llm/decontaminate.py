@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pin, table
+from .common import own_columns, pin, table
 from .syncmers import bind
 
 SHINGLE = 5
@@ -84,6 +84,7 @@ def _held_small(df: DataFrame, rows: int, limit: int) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+@own_columns("doc_id", "text")
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int = 18, min_words: int = 8,
                broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row per document and item: doc_id, th (hash of the text), item_id
@@ -145,6 +146,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
                     (-F.col("b.h")).alias("hamming"), F.col("b.similarity").alias("similarity")))
 
 
+@own_columns("doc_id", "text")
 def drop_leaking(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without a benchmark passage; columns unchanged."""
     leaks = find_leaks(docs, items, **options).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, pin, table
+from .common import LOWER, UPPER, own_columns, pin, table
 from .components import components
 
 BITS = 2048
@@ -285,6 +285,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, n: int = 4) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long")
 
 
+@own_columns("doc_id", "text")
 def jaccard_classes(docs: DataFrame, percent: int = 85, n: int = 4, rows: int = ROWS, bands: int = BANDS,
                     block: int = BLOCK) -> DataFrame:
     """doc_id, th (hash of the text), n_shingles and component_id of every row."""
@@ -343,6 +344,7 @@ def jaccard_classes(docs: DataFrame, percent: int = 85, n: int = 4, rows: int =
             .union(signed.filter("n = 0").select("doc_id", "th", "n", F.col("doc_id"))))
 
 
+@own_columns("doc_id", "text")
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, the one with the smallest doc_id; the
     columns of ``docs`` unchanged.  Rows of that document that are repeated, and

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import own_columns, table
 
 DIM = 1024
 PIECE = 1 << 16  # symbols of a text that are encoded at once
@@ -188,6 +188,7 @@ def predictor(prototypes: dict[str, np.ndarray]):
     return predict
 
 
+@own_columns("doc_id", "text", "lang")
 def identify(docs: DataFrame, **options) -> DataFrame:
     """Every document with its predicted language and the cosine behind it."""
     predict = predictor(fit_prototypes(docs, **options))
@@ -195,6 +196,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
             .select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score")))
 
 
+@own_columns("doc_id", "text", "lang")
 def keep_known(docs: DataFrame, min_score: float = 0.0, **options) -> DataFrame:
     """Documents whose language is known with at least ``min_score``; the
     columns of ``docs`` unchanged."""

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pin, table
+from .common import own_columns, pin, table
 from .syncmers import bind
 
 DEPTH = 3
@@ -88,6 +88,7 @@ def recurring_lines(docs: DataFrame, min_texts: int = 10, depth: int = DEPTH, co
     return templates.join(recurring, "template").select("doc_id", "th", "line")
 
 
+@own_columns("doc_id", "text", new=("n_lines", "dropped_lines"))
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without lines of recurring templates, plus n_lines and dropped_lines."""
     drops = (recurring_lines(docs, **options).groupBy("doc_id", "th").agg(F.collect_set("line").alias("__drop"))
@@ -98,8 +99,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(kept, lambda i: F.col("__lines")[i]), "\n"))
-    new = ("n_lines", "dropped_lines")
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns if c not in new],
+    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns],
                          F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).alias("n_lines"),
                          F.coalesce(F.size("__drop"), F.lit(0)).alias("dropped_lines"))
 

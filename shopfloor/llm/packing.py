@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pin, table
+from .common import own_columns, pin, table
 
 CAPACITY = 1024
 END_ID = 2
@@ -231,6 +231,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
     return alone.unionByName(places.select("uid", F.col("bin").alias("sequence_id"), "offset"))
 
 
+@own_columns("doc_id", "text")
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
                    part_rows: int = PART_ROWS) -> DataFrame:
     """Every piece with its ids, its sequence and its place there: doc_id, piece, start,

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.session import shared_dir
 
-from .common import LOWER, UPPER, table
+from .common import LOWER, UPPER, own_columns, table
 
 _LOWER = str.maketrans(UPPER, LOWER)
 _TERMS = re.compile(r"[0-9A-Za-z\x80-\U0010FFFF]+")
@@ -256,6 +256,7 @@ def _search_block(spark: SparkSession, docs: DataFrame, block: list[tuple], id_t
     return ranked.join(names, "query").select("item_id", "rank", "doc_id", "score")
 
 
+@own_columns("doc_id", "text")
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = 50, max_terms: int = 200_000, block_docs: int = 4096) -> DataFrame:
     """The ``k`` documents of highest score above 0 of each item: item_id, rank, doc_id, score."""
     spark = docs.sparkSession

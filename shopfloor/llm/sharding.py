@@ -16,9 +16,13 @@ Only the matrix (one number per partition and shard, checked against
 ``max_cells``) is on the driver.  Sharding looks at no key, so hot keys and
 groups of equal texts spread like any rows.
 
+The draw depends on the seed and on how the input lies in partitions; a rerun on
+the same files gives the same shards.
+
 Defined results: null texts are rows like others; repeated rows are placed one
-by one; an empty table gives an empty result; other columns pass through, and
-clash only with ``shard`` and ``slot``, which are replaced.
+by one, each as likely in any place as any other row; an empty table gives an
+empty result; other columns pass through under any name, only ``shard`` and
+``slot`` are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import random
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partition_of, pin, row_of, table
+from .common import own_columns, partition_of, pin, row_of, table
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -81,13 +85,14 @@ def shard_sizes(total: int, n_shards: int) -> list[int]:
     return [total // n_shards + (j < total % n_shards) for j in range(n_shards)]
 
 
-def shuffle_to_shards(docs: DataFrame, n_shards: int = 8, seed: int = 9, keys: tuple[str, ...] = ("doc_id", "text"),
-                      bucket_rows: int = 4096, max_cells: int = 8_000_000) -> DataFrame:
+@own_columns(new=("shard", "slot"))
+def shuffle_to_shards(docs: DataFrame, n_shards: int = 8, seed: int = 9, bucket_rows: int = 4096,
+                      max_cells: int = 8_000_000) -> DataFrame:
     """``docs`` plus ``shard`` (int) and ``slot`` (long, gapless from 0 in each
-    shard).  ``keys`` feed the random sort keys; they needn't be unique."""
+    shard).  The random sort keys are hashes of row numbers, so equal rows get
+    places of their own."""
     spark = docs.sparkSession
-    docs = docs.drop("shard", "slot")
-    local = pin(docs.withColumn("__r", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
+    local = pin(docs.withColumn("__r", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
                 .sortWithinPartitions("__r")
                 .withColumn("__mid", F.monotonically_increasing_id()), "shard-local")
     counts = {r.part: r.n for r in local.groupBy(partition_of(F.col("__mid")).alias("part"))
@@ -114,7 +119,7 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int = 8, seed: int = 9, keys: t
     place = Window.partitionBy("shard", "__bucket").orderBy(F.xxhash64(F.lit(seed + 2), "__r", "__mid"), "__mid")
     return (sent.withColumn("__at", F.row_number().over(place) - 1)
             .join(starts, ["shard", "__bucket"])
-            .select(*[F.col(f"`{c}`") for c in docs.columns], "shard", (F.col("__start") + F.col("__at")).alias("slot")))
+            .select(*docs.columns, "shard", (F.col("__start") + F.col("__at")).alias("slot")))
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +128,6 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"))
-    return shuffle_to_shards(docs, keys=("doc_id", "text_crc32")).select(
+    return shuffle_to_shards(docs).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pin, table
+from .common import own_columns, pin, table
 
 MIN_SENTENCES = 2
 MIN_WORDS = 20  # shorter repeats are set phrases and notices more often than passages
@@ -175,6 +175,7 @@ def without_spans(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "n_sentences", "removed_sentences", "removed_words"])
 
 
+@own_columns("doc_id", "text", new=("n_sentences", "removed_sentences", "removed_words"))
 def dedup_substrings(docs: DataFrame, **sizes) -> DataFrame:
     """``docs`` with repeated spans cut out of ``text``, plus n_sentences,
     removed_sentences and removed_words."""
@@ -186,7 +187,7 @@ def dedup_substrings(docs: DataFrame, **sizes) -> DataFrame:
     new = ("n_sentences", "removed_sentences", "removed_words")
     without = F.pandas_udf(without_spans, "text string, n_sentences int, removed_sentences int, removed_words int")
     return (joined.withColumn("__w", without("text", "__spans"))
-            .select(*[F.col("__w.text").alias("text") if c == "text" else docs[c] for c in docs.columns if c not in new],
+            .select(*[F.col("__w.text").alias("text") if c == "text" else F.col(c) for c in docs.columns],
                     *[F.col(f"__w.{c}").alias(c) for c in new]))
 
 

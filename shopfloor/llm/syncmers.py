@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import pin, table
+from .common import own_columns, pin, table
 
 K = 8
 S = 3
@@ -112,6 +112,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
                         F.floor(F.col("n") / 4).cast("int").alias("need"))
 
 
+@own_columns("doc_id", "text")
 def fingerprint_documents(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """Fingerprints of every text, of its edited text, and their likeness."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -6,7 +6,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use inside, as extra columns of the input.
 CLASHES = ["size", "copies", "target", "rows", "shard", "slot", "th", "n", "c", "root", "key", "keys", "bits", "line", "lines",
            "h1", "spans", "w", "words", "windows", "start", "hash", "marks", "head", "next", "own", "item_id", "n_lines", "part",
-           "part_a", "uid", "th2", "removed_words", "score", "lang_pred"]
+           "part_a", "uid", "th2", "removed_words", "score", "lang_pred",
+           "__h", "__r", "__th", "__id", "__langid", "__lines", "__part", "__mid", "__mix_n", "__w", "__spans", "__drop", "__ends",
+           "at", "k", "times", "in", "mid", "Doc_ID", "TEXT", "a.b", "a`b", "_0_", "_7_"]
 
 LONG = " ".join(f"word{i % 977} and{i % 13}," if i % 11 else f"stop{i}." for i in range(30_000))
 
@@ -30,7 +32,8 @@ EDGES = [
 def edge_docs(spark, rows=EDGES):
     from pyspark.sql import functions as F
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({c: F.lit(f"extra {c}") for c in CLASHES})
+    plain = df.select("*", *[F.lit(f"extra {c}").alias(f"extra{i}") for i, c in enumerate(CLASHES)])
+    return plain.toDF(*df.columns, *CLASHES)
 
 
 def docs_of(spark, texts, **columns):

@@ -78,3 +78,22 @@ def test_a_source_with_a_third_of_the_rows(spark):
         "source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("doc_id") % 40)))
     got = mixing_plan(docs).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("copies") * F.col("size")).alias("w")).collect()
     assert all(abs(r.t - r.w) <= 17 for r in got)
+
+
+def test_repeated_rows_meet_the_target(spark):
+    """1,000 rows without id and of equal size: each is taken floor or ceil times, and the words meet the target."""
+    rows = [(None, "five words are in here", "en", "a", 1)] * 1000 + [(i, "one two", "en", "b", 1) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(6)
+    plan = mixing_plan(docs).collect()
+    hot = next(r for r in plan if r.source == "a")
+    assert hot.rows == 1000 and abs(hot.copies * 5 - hot.target) <= 5
+    mixed = mix(docs).groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in mixed} == {s: sum(r.copies for r in plan if r.source == s) for s in "ab"}
+
+
+def test_rows_of_a_group_share_its_copies(spark):
+    rows = [(1, "a b", "en", "s", i) for i in range(100)] + [(i, "c d e f", "en", "t", 0) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    total = next(r.copies for r in mixing_plan(docs).collect() if r.source == "s")
+    times = {r.n_chars: r["count"] for r in mix(docs).filter("source = 's'").groupBy("n_chars").count().collect()}
+    assert sum(times.values()) == total and {times.get(i, 0) for i in range(100)} <= {total // 100, total // 100 + 1}

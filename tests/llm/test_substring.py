@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from common_data import docs_of, sf, sf_docs  # noqa: F401
@@ -11,29 +12,33 @@ PASSAGE = ("it was a cold and rainy day in the small town by the sea. nobody had
 
 
 def brute(rows, k=2, m=20):
-    """Text after removal, by comparing the spans themselves."""
-    seen, cover = set(), {}
-    for d, text in sorted(dict(rows).items()):
-        units = sentences(text)
-        folded = ["".join(c.lower() if c.isascii() else c for c in u.strip()) for u in units]
-        words = [len(u.split()) for u in folded]
-        spans = []
-        for i in range(len(units)):
-            j = i + k
-            while j <= len(units) and sum(words[i:j]) < m:
-                j += 1
-            if j <= len(units):
-                spans.append((i, j))
-        if 0 < len(units) < k and sum(words) >= m:
-            spans = [(0, len(units))]
-        gone = set()
-        for i, j in spans:
-            key = tuple(folded[i:j])
-            if key in seen:
-                gone.update(range(i, j))
-            seen.add(key)
-        cover[d] = "".join(u for x, u in enumerate(units) if x not in gone) if gone else text
-    return cover
+    """Text after removal, by comparing every run of at least ``k`` sentences and ``m`` words.
+    Runs of one length get exact numbers; a run of n + 1 sentences repeats only if its first n do."""
+    docs = [(d, sentences(t)) for d, t in sorted(dict(rows).items())]
+    ids, number, words, ends = [], {}, [0], []
+    for _, units in docs:
+        for u in units:
+            folded = "".join(c.lower() if c.isascii() else c for c in u.strip())
+            ids.append(number.setdefault(folded, len(number)))
+            words.append(words[-1] + len(folded.split()))
+        ends += [len(ids)] * len(units)
+    ids, words, ends = np.array(ids), np.array(words), np.array(ends)
+    cover, at, run, n = np.zeros(len(ids) + 1, int), np.arange(len(ids)), ids.copy(), 1
+    while len(at):
+        _, first, group, count = np.unique(run, return_index=True, return_inverse=True, return_counts=True)
+        if n >= k:
+            again = (at != at[first][group]) & (words[at + n] - words[at] >= m)
+            np.add.at(cover, at[again], 1)
+            np.add.at(cover, at[again] + n, -1)
+        keep = (count[group] > 1) & (at + n < ends[at])
+        at, run = at[keep], group[keep] * len(number) + ids[at[keep] + n]
+        n += 1
+    gone, out, i = np.cumsum(cover) > 0, {}, 0
+    for (d, units), (_, text) in zip(docs, sorted(dict(rows).items()), strict=True):
+        mine = gone[i:i + len(units)]
+        out[d] = "".join(u for u, g in zip(units, mine) if not g) if mine.any() else text
+        i += len(units)
+    return out
 
 
 def test_sentences_give_the_text_back():
