@@ -29,7 +29,6 @@ read, so their names can't clash.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -41,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, own_columns, pin, table
+from .common import own_columns, pin, table
 
 DEPTH = 3
 #: Words of one shard's index; its arrays take about 60 bytes a word.
@@ -50,16 +49,17 @@ SHARD_WORDS = 2_000_000
 FILTER_BITS = 2**29
 _PROBES, _PAGE = 4, 2**16
 
-_LOWER = str.maketrans(UPPER, LOWER)
-_PIECES = re.compile("[.,;:!?\n\x0b\x0c\r]")
-_WORDS = re.compile("[^ \t]+")
+#: Everything that ends a piece, as a line break.
+_ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 
 COUNTS = "lang string, k int, phrase string, a long"
 
 
-def pieces(text: str | None) -> list[list[str]]:
-    """The words of each piece of a text; pieces without words are left out."""
-    found = (_WORDS.findall(p) for p in _PIECES.split((text or "").translate(_LOWER)))
+def pieces(text: bytes | None) -> list[list[bytes]]:
+    """The words of each piece of a UTF-8 text, A-Z lower-cased (``bytes.lower`` touches no
+    others); pieces without words are left out.  After the cut only blanks and tabs
+    are left of what ``split`` splits at."""
+    found = (p.split() for p in (text or b"").lower().translate(_ENDS).split(b"\n"))
     return [p for p in found if p]
 
 
@@ -67,11 +67,11 @@ class WordText:
     """A shard's text: word ids from 1, and 0 after every piece."""
 
     def __init__(self):
-        self.ids: dict[str, int] = {}
+        self.ids: dict[bytes, int] = {}
         self.text = array("i")
         self.n = 0
 
-    def add(self, piece: list[str]) -> None:
+    def add(self, piece: list[bytes]) -> None:
         ids = self.ids
         self.text.extend([ids.setdefault(w, len(ids) + 1) for w in piece])
         self.text.append(0)
@@ -132,7 +132,7 @@ class Index:
                            keep=known[inside] & known[self.pair_at[starts]])
 
 
-def pair_hashes(lang: str, words: list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def pair_hashes(lang: str, words: list[bytes] | list[str], one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Hashes of the pairs words[one[i]], words[two[i]]."""
     seed = xxhash.xxh3_64_intdigest(lang)
     h = np.fromiter((xxhash.xxh3_64_intdigest(w, seed=seed) for w in words), np.uint64, len(words))
@@ -188,8 +188,8 @@ def _counted(lang: str, shard: WordText, bitmap: np.ndarray | None) -> Iterator[
             [pa.DictionaryArray.from_arrays(pa.array(np.zeros(n, np.int32)), pa.array([lang])).cast(pa.string()),
              pa.array(np.full(n, k, np.int32)), phrases, pa.array(counts.astype(np.int64))], ["lang", "k", "phrase", "a"])
 
-    names = ["", *shard.ids]
-    words = pa.array(names, pa.string())
+    names = [b"", *shard.ids]
+    words = pa.array(names, pa.binary()).cast(pa.string())
     index = Index(np.frombuffer(shard.text, np.int32).copy(), len(names))
     if bitmap is None:
         yield batch(0, pa.array([""]), np.array([shard.n]))
@@ -217,7 +217,7 @@ def shard_counts(docs: DataFrame, shard_words: int = SHARD_WORDS, known_pairs: b
         open_: dict[str, WordText] = {}
         held = 0
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").cast(pa.binary()), strict=True):
                 for piece in pieces(text.as_py()):
                     shard = open_.setdefault(lang, WordText())
                     shard.add(piece)
