@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.functions.text import clean_text
 from shopfloor.operators.cleaning import stock_value
+from shopfloor.sources.tables import stage
 
 
 def sellable_lines(lines: DataFrame) -> DataFrame:
@@ -135,12 +136,15 @@ def floor_ledger(moves: DataFrame, key: str, order: list[str], buckets: list[Col
        (key, ``coarse``), a coarsening of the buckets (e.g. the month);
     3. one row per (key, coarse) is scanned per key, and offsets and minima
        are joined back, by (key, coarse) and then by (key, bucket).
+
+    The rows with their local totals are written once, so that the input is
+    computed once and the summaries read what they need of it.
     """
     b = moves.withColumns({"_bucket": F.struct(*buckets), "_coarse": coarse})
     w1 = (Window.partitionBy(key, "_bucket").orderBy(*order)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = (b.withColumn("_loc", F.sum(delta).over(w1))
-             .withColumn("_locmin", F.min("_loc").over(w1)))
+    local = stage(b.withColumn("_loc", F.sum(delta).over(w1))
+                  .withColumn("_locmin", F.min("_loc").over(w1)), "ledger")
     summary = local.groupBy(key, "_bucket").agg(F.first("_coarse").alias("_coarse"), F.sum(delta).alias("_tot"),
                                                 F.min("_loc").alias("_low"), F.max(opening).alias("_s0"))
     carried = chunk_carry(summary, key, "_bucket", "_coarse").select(key, "_bucket", "_off", "_carry")

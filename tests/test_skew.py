@@ -74,3 +74,46 @@ def test_match_with_a_hot_signature(spark):
                                     "query_id bigint, query string")
     got = {r["query_id"]: (r["row_pos"], r["score"]) for r in catalog.catalog_match(queries, vault).collect()}
     assert got == {1: (0, 2), 2: (1, 1), 3: (7, 2), 4: (0, 2)}
+
+
+def _brute_match(queries, tags):
+    want = {}
+    for i, text in enumerate(queries):
+        scores = [sum(t in tag for t in text.split()) for tag in tags]
+        if max(scores):
+            want[i] = (scores.index(max(scores)), max(scores))
+    return want
+
+
+def _match(spark, queries, tags):
+    vault = spark.createDataFrame(list(enumerate(tags)), "row_pos long, tags string").withColumn("sku", F.lit("S"))
+    q = spark.createDataFrame(list(enumerate(queries)), "query_id long, query string")
+    return {r["query_id"]: (r["row_pos"], r["score"]) for r in catalog.catalog_match(q, vault).collect()}
+
+
+def test_match_of_wide_and_narrow_sets(spark):
+    """Sets on both sides of the limit of pairs, tokens in tokens, repeats and ties."""
+    rnd = random.Random(8)
+    vocab = [f"{a}{i}" for i in range(70) for a in ("v", "wv", "x")]
+    size = lambda: rnd.choice([1, 2, 5, 20, 60, 120])
+    tags = [" ".join(rnd.choices(vocab, k=size())) for _ in range(120)] + [" ".join(vocab[:90])] * 2
+    queries = [" ".join(rnd.choices(vocab, k=size())) for _ in range(120)] + [" ".join(vocab[:90]), "none such"]
+    assert _match(spark, queries, tags) == _brute_match(queries, tags)
+
+
+def test_match_of_long_runs_and_long_tokens(spark):
+    """Tokens across the borders of pieces, tokens longer than a piece, tokens of one and two characters."""
+    rnd = random.Random(9)
+    run = "".join(rnd.choices("abcdefghij", k=2000))
+    near = run[:900] + "z" + run[901:]
+    tags = [near, run, "ab " + run[300:700]]
+    queries = [run[s:s + n] for n in (1, 2, 3, 40, 64, 65, 127, 128, 129, 800) for s in (0, 61, 500, 890, 1150)]
+    queries += [" ".join(queries[k::7]) for k in range(7)]
+    assert _match(spark, queries, tags) == _brute_match(queries, tags)
+
+
+def test_match_of_twenty_thousand_tokens_in_one_text(spark):
+    words = [f"t{i:05d}" for i in range(20000)]
+    tags = [" ".join(words), " ".join(words[:15000]), "t00001 t00002"]
+    queries = [" ".join(words), " ".join(words[:15000]), "t00002 t00001", "t19999 t00001 q"]
+    assert _match(spark, queries, tags) == {0: (0, 20000), 1: (0, 15000), 2: (0, 2), 3: (0, 2)}
