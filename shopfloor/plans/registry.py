@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shopfloor.functions.pii import key_column, protect, unprotect
+from shopfloor.functions.pii import blind_index, key_column, protect, protect_with, ring_column, rotate, unprotect
 from shopfloor.functions.text import clean_number, clean_text, is_blank, money
 from shopfloor.operators import catalog, clients, finance, inventory, invoices, items, sales_log, sessions
 from shopfloor.operators.cleaning import (is_paid, normalize_purchases, normalize_sales, normalize_vault,
@@ -395,6 +395,38 @@ def q_pii_roundtrip(spark, d):
                       F.coalesce(F.col("h") != F.col("handle"), F.lit(False)).alias("handle_protected"))
 
 
+@query("client_value_protected")
+def q_client_value_protected(spark, d):
+    """Sales logged under two keys in turn, moved to the newer one; client value by the
+    blind index equals that of the plain rows."""
+    older, newer = "key-of-the-fixture-before-1995-x", FIXTURE_KEY
+    index_key = "index-key-of-the-test-fixture"
+    first = ring_column(spark, {"k1": older}, "k1", index_key)
+    both = ring_column(spark, {"k1": older, "k2": newer}, "k2", index_key)
+    raw = fx.fx_sales(spark, d)
+    old = F.col("order_ts") < F.lit("1995-01-01").cast("timestamp_ntz")
+    path = shared_dir(spark, "protected_sales") + "/data"
+    for part, ring in ((raw.where(old), first), (raw.where(~old), both)):
+        append(part.withColumns({"handle_index": blind_index("handle", ring), "handle": protect_with("handle", ring)}), path)
+    logged = read_table(spark, path, spark.read.parquet(path).schema)
+    moved = logged.withColumn("handle", rotate("handle", both))
+    alone = ring_column(spark, {"k2": newer}, "k2", index_key)
+    return clients.protected_client_value(normalize_sales(moved), alone)
+
+
+@query("client_sketches")
+def q_client_sketches(spark, d):
+    """Distinct clients per window, and whether the estimate from the stream's daily
+    sketches is within five standard errors of them."""
+    s = sales(spark, d)
+    sketched = _merge_stream(spark, stream_q.sales_stream(spark, d), "client_sketches", stream_q.CLIENT_SKETCHES)
+    exact = stream_q.CLIENTS.finish(stream_q.CLIENTS.reduce(s))
+    off = F.abs(F.col("estimate") - F.col("clients"))
+    return exact.join(sketched, ["window_start", "window_end"]).select(
+        "window_start", "window_end", "clients",
+        (off <= F.greatest(F.lit(1.0), 5 * clients.SKETCH_ERROR * F.col("clients"))).alias("within_bound"))
+
+
 # ---------------------------------------------------------------- sessions (batch)
 @query("sessions")
 def q_sessions(spark, d):
