@@ -31,7 +31,8 @@ def require(df: DataFrame, required: list[str], optional: dict[str, object]) ->
 
 def normalize_sales(raw: DataFrame) -> DataFrame:
     """Typed sales.  Money is a wide decimal with unparsable -> 0; dates are
-    timestamps with unparsable -> null; text columns are kept as written."""
+    timestamps with unparsable -> null; text columns are kept as written, among
+    them the blind index of a protected handle, if there is one."""
     df = standard_names(raw, SALES_HEADERS)
     df = require(df, ["sale_date_text"], {
         "row_pos": None, "sale_ts_text": None, "client_name": None, "handle": None,
@@ -48,7 +49,7 @@ def normalize_sales(raw: DataFrame) -> DataFrame:
         money("cost_text").alias("cost"),
         money("courier_text").alias("courier"),
         money("paid_text").alias("paid"),
-        "payment_status",
+        "payment_status", *[c for c in ("handle_index",) if c in df.columns],
     )
 
 
