@@ -9,7 +9,9 @@ variable field.  A line's template is its leaf with its constant tokens.  A
 template recurs if at least half of its tokens are constant (tokens with a digit
 never are) and lines of at least
 ``min_texts`` different texts have it, and all lines of recurring templates are
-dropped.
+dropped.  Inside a leaf a line that recurs word for word, digits included, needs no
+template: with at least ``exact_tokens`` tokens it stays only in its first text (that of
+the smallest doc_id) as soon as a second different text has it.
 
 Counting different texts (by hash) rather than documents keeps the lines of a
 text that was copied many times: exact copies are other operators' business.
@@ -45,9 +47,19 @@ def masked(toks: Column) -> Column:
     return F.transform(toks, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
 
 
+def _leaf(tokens: Column, depth: int) -> Column:
+    return F.when(F.size(tokens) > 0, F.xxhash64(F.size(tokens), masked(F.slice(tokens, 1, depth))))
+
+
 def leaf_of(line: Column, depth: int = DEPTH) -> Column:
     """The path of a line in the tree, as a hash; null without tokens."""
-    return bind(raw_tokens(line), lambda t: F.when(F.size(t) > 0, F.xxhash64(F.size(t), masked(F.slice(t, 1, depth)))))
+    return bind(raw_tokens(line), lambda t: _leaf(t, depth))
+
+
+def path_of(line: Column, depth: int, exact_tokens: int) -> Column:
+    """The leaf of a line, and the hash of all its tokens if there are enough."""
+    return bind(raw_tokens(line), lambda t: F.struct(
+        _leaf(t, depth).alias("leaf"), F.when(F.size(t) >= exact_tokens, F.xxhash64(t)).alias("exact")))
 
 
 def text_lines(text: Column) -> Column:
@@ -59,11 +71,27 @@ def _texts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, "th").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("texts"))
 
 
-def recurring_lines(docs: DataFrame, min_texts: int = 10, depth: int = DEPTH, constant: float = 0.5) -> DataFrame:
+def repeated_lines(paths: DataFrame) -> DataFrame:
+    """doc_id, th and line of every exact line that an earlier, different text has; a line
+    of a third of all documents is reduced before the shuffle, and the join is one that Spark splits."""
+    repeated = pin(paths.filter("exact is not null").groupBy("exact")
+                   .agg(F.min("th").alias("low"), F.max("th").alias("high"), F.min_by("th", F.struct("doc_id", "th")).alias("first"))
+                   .filter("low <> high").select("exact", "first"), "repeated")
+    return paths.join(repeated, "exact").filter("th <> first").select("doc_id", "th", "line")
+
+
+def recurring_lines(docs: DataFrame, min_texts: int = 10, depth: int = DEPTH, constant: float = 0.5,
+                    exact_tokens: int = 5) -> DataFrame:
     """doc_id, th (hash of the text) and line of every line to drop."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     paths = pin(keyed.select("doc_id", "th", F.posexplode_outer(text_lines(F.col("text"))).alias("line", "s"))
-                .select("doc_id", "th", "line", leaf_of(F.col("s"), depth).alias("leaf")), "paths").filter("leaf is not null")
+                .select("doc_id", "th", "line", path_of(F.col("s"), depth, exact_tokens).alias("p"))
+                .select("doc_id", "th", "line", "p.leaf", "p.exact"), "paths").filter("leaf is not null")
+    return templated_lines(keyed, paths.drop("exact"), min_texts, depth, constant).unionByName(repeated_lines(paths))
+
+
+def templated_lines(keyed: DataFrame, paths: DataFrame, min_texts: int, depth: int, constant: float) -> DataFrame:
+    """doc_id, th and line of every line whose template recurs."""
     leaves = pin(_texts(paths, ["leaf"]).filter(F.col("texts") >= min_texts).select("leaf"), "leaves")
     wanted = (paths.join(leaves, "leaf").groupBy("doc_id", "th").agg(F.collect_set("line").alias("wanted"))
               .select(F.col("doc_id").alias("w_id"), F.col("th").alias("w_th"), "wanted"))
