@@ -49,13 +49,18 @@ def _client_value(sales: DataFrame, key: str, shown: Callable[[Column], Column],
            .agg(F.count("sale_ts_text").alias("total_orders"),
                 F.sum("paid").alias("spend_dec"),
                 F.sum(F.col("paid") - F.col("cost")).alias("profit_dec"), *some))
-    out = agg.select(shown(F.col("handle")).alias("handle"), "total_orders",
-                     F.col("spend_dec").cast("double").alias("lifetime_spend"),
-                     F.col("profit_dec").cast("double").alias("total_profit"),
-                     client_tier(spend="spend_dec").alias("client_status"))
+    out = valued(agg, shown)
     return out.orderBy(F.col("lifetime_spend").desc(), F.col("handle")) if sort else out
 
 
+def valued(per_client: DataFrame, shown: Callable[[Column], Column] = lambda h: h) -> DataFrame:
+    """The columns of A10 out of one row per client with exact sums."""
+    return per_client.select(shown(F.col("handle")).alias("handle"), "total_orders",
+                             F.col("spend_dec").cast("double").alias("lifetime_spend"),
+                             F.col("profit_dec").cast("double").alias("total_profit"),
+                             client_tier(spend="spend_dec").alias("client_status"))
+
+
 #: log2 of the registers of a client sketch, and its standard error.
 SKETCH_LG = 12
 SKETCH_ERROR = 0.83 / 2 ** (SKETCH_LG / 2)

@@ -21,7 +21,7 @@ LEGACY_PAID_STATUS = "Paid (UPI/Bank)"
 HIGH_SPEND = 100000.0
 
 
-def _days_before(as_of: Column, days: int) -> Column:
+def days_before(as_of: Column, days: int) -> Column:
     return as_of - F.make_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days))
 
 
@@ -54,14 +54,14 @@ def top_category(paid_lines: DataFrame) -> DataFrame:
 
 def dead_stock(purchases: DataFrame, as_of: Column, days: int = 45) -> DataFrame:
     """A4: capital in purchases older than ``days`` (null dates excluded)."""
-    old = purchases.where(F.col("purchase_date") < _days_before(as_of, days))
+    old = purchases.where(F.col("purchase_date") < days_before(as_of, days))
     return old.agg(F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("dead_stock_capital"),
                    F.count(F.lit(1)).alias("old_purchases"))
 
 
 def recent_sales(sales: DataFrame, as_of: Column, days: int) -> DataFrame:
     """P3f: paid sales dated within ``days`` before ``as_of`` (no upper bound)."""
-    return sales.where(is_paid() & (F.col("sale_date") >= _days_before(as_of, days)))
+    return sales.where(is_paid() & (F.col("sale_date") >= days_before(as_of, days)))
 
 
 def recent_clients(sales: DataFrame, as_of: Column, approximate: bool = False, days: int = 7) -> DataFrame:
@@ -70,7 +70,7 @@ def recent_clients(sales: DataFrame, as_of: Column, approximate: bool = False, d
     Exact: a grouped distinct of the *filtered* rows, counted (a
     ``count_distinct`` next to other sums would expand every sales row);
     ``approximate`` uses a HyperLogLog sketch."""
-    recent = sales.where(is_paid() & (F.col("sale_date") >= _days_before(as_of, days)) & F.col("handle").isNotNull())
+    recent = sales.where(is_paid() & (F.col("sale_date") >= days_before(as_of, days)) & F.col("handle").isNotNull())
     if approximate:
         return recent.agg(F.approx_count_distinct("handle").alias("new_clients"))
     return recent.select("handle").distinct().agg(F.count(F.lit(1)).alias("new_clients"))
@@ -122,7 +122,7 @@ def sales_rollup(sales: DataFrame, as_of: Column | None = None, days: int = 7) -
     paid = is_paid()
     dated = paid & F.col("sale_date").isNotNull()
     recent = F.lit(None).cast("string") if as_of is None else F.when(
-        paid & (F.col("sale_date") >= _days_before(as_of, days)), F.col("handle"))
+        paid & (F.col("sale_date") >= days_before(as_of, days)), F.col("handle"))
     return (sales.groupBy(F.trunc(F.col("sale_date").cast("date"), "month").alias("month"), recent.alias("recent_handle"))
             .agg(F.sum(F.when(dated, F.col("paid"))).alias("revenue"),
                  F.count(F.when(dated, F.lit(1))).alias("sales"),
@@ -189,6 +189,11 @@ def category_mix(paid_lines: DataFrame) -> DataFrame:
     task has to hold every category (a global window would)."""
     per = (paid_lines.select(display_category().alias("display_category"), "quantity")
            .groupBy("display_category").agg(F.sum(quantity()).alias("quantity")))
+    return category_shares(per)
+
+
+def category_shares(per: DataFrame) -> DataFrame:
+    """The share of each category in the quantity of all."""
     total = per.agg(F.sum("quantity")).scalar()
     return per.select("display_category", "quantity", (F.col("quantity") / total).alias("share"))
 
@@ -204,11 +209,19 @@ def weekly_summary(sales: DataFrame, paid_lines: DataFrame, purchases: DataFrame
     aggregate, so they run as concurrent stages of a single job."""
     rollup = sales_rollup(sales, as_of)
     recent = rollup.where(F.col("recent_handle").isNotNull()).select("recent_handle").distinct()
+    return summary_row(month_rollup(rollup), recent.agg(F.count(F.lit(1)).alias("new_clients")),
+                       top_category(paid_lines), dead_stock(purchases, as_of), weekly_spend)
+
+
+def summary_row(months: DataFrame, new_clients: DataFrame, top: DataFrame, dead: DataFrame,
+                weekly_spend: float) -> DataFrame:
+    """The summary out of its four one-row parts: ``month_rollup``, recent clients, top
+    category and dead stock."""
     parts = [
-        (month_rollup(rollup), ("realised_revenue", "true_profit", "mom_growth_pct", "enabled")),
-        (recent.agg(F.count(F.lit(1)).alias("new_clients")), ("new_clients",)),
-        (top_category(paid_lines), ("top_category",)),
-        (dead_stock(purchases, as_of), ("dead_stock_capital",)),
+        (months, ("realised_revenue", "true_profit", "mom_growth_pct", "enabled")),
+        (new_clients, ("new_clients",)),
+        (top, ("top_category",)),
+        (dead, ("dead_stock_capital",)),
     ]
     types = {c: t for df, have in parts for c, t in df.dtypes if c in have}
     stacked = None

@@ -1,7 +1,7 @@
 """The reference's two user-level flows, composed from the operators.
 
-* ``dashboard`` (E1): one normalisation of the sales and purchases tables
-  feeding every KPI and chart dataset of the profitability view.
+* ``dashboard`` (E1): one pass over the sales feeding every KPI and chart
+  dataset of the profitability and client views.
 * ``checkout`` (E2): a batch of carts becomes sale rows and a change of the
   catalogue with the sold quantities deducted.
 """
@@ -9,33 +9,22 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from shopfloor.operators import clients, finance, inventory, items
-from shopfloor.operators.cleaning import is_paid, normalize_purchases, normalize_sales
+from shopfloor.operators import facts, inventory
+from shopfloor.operators.cleaning import normalize_purchases, normalize_sales
 from shopfloor.operators.sales_log import build_sales
 from shopfloor.sources.changelog import ChangeLog
-from shopfloor.sources.tables import file_system, read_table
+from shopfloor.sources.tables import file_system, read_table, stage
 
 
 def dashboard(raw_sales: DataFrame, raw_purchases: DataFrame, as_of: Column,
               weekly_spend: float) -> dict[str, DataFrame]:
-    """Every dataset of the profitability and client views, lazily.
-
-    Each value is its own plan; tables that several of them scan are shared
-    by Spark's exchange reuse inside each plan, not by caching."""
-    sales = normalize_sales(raw_sales)
-    purchases = normalize_purchases(raw_purchases)
-    paid_lines = items.line_items(sales.where(is_paid()), columns=["category", "details", "quantity"])
-    values = clients.client_value(sales, sort=False)
-    return {
-        "summary": finance.weekly_summary(sales, paid_lines, purchases, as_of, weekly_spend),
-        "daily_trend": finance.daily_trend(sales, as_of),
-        "category_mix": finance.category_mix(paid_lines),
-        "client_value": values.orderBy(F.col("lifetime_spend").desc(), F.col("handle")),
-        "top_clients": clients.top_clients(values),
-        "repeat_rate": clients.repeat_rate(values),
-    }
+    """Every dataset of the profitability and client views.
+
+    Sales are read once: their facts (``operators.facts``) are written, and every
+    dataset reads that small table."""
+    kept = stage(facts.sale_facts(normalize_sales(raw_sales)), "facts")
+    return facts.frames(kept, normalize_purchases(raw_purchases), as_of, weekly_spend)
 
 
 def checkout(spark: SparkSession, cart_lines: DataFrame, headers: DataFrame, sales_path: str,

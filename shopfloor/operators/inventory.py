@@ -34,8 +34,10 @@ def sold_per_sku(lines: DataFrame) -> DataFrame:
 
 
 def _deducted(vault: DataFrame, sold: DataFrame) -> tuple[DataFrame, Column]:
-    """The catalogue joined to the sold quantities, and the new stock text."""
-    j = vault.withColumn("sku_key", clean_text(F.col("sku"))).join(sold, "sku_key", "left")
+    """The catalogue joined to the sold quantities, and the new stock text.  A key that is
+    stored with the catalogue is used as it is, so that its buckets are."""
+    keyed = vault if "sku_key" in vault.columns else vault.withColumn("sku_key", clean_text(F.col("sku")))
+    j = keyed.join(sold, "sku_key", "left")
     cur = stock_value("stock_text", bad_as_zero=False)
     changed = F.col("sold_qty").isNotNull() & cur.isNotNull()
     new = F.greatest(F.lit(0).cast("bigint"), cur - F.col("sold_qty"))
@@ -47,7 +49,13 @@ def stock_deduct(vault: DataFrame, lines: DataFrame) -> DataFrame:
 
     Every catalogue row with a sold SKU is updated; junk stock text is left
     alone; unknown SKUs are ignored."""
-    j, new_text = _deducted(vault.select("row_pos", "sku", "stock_text"), sold_per_sku(lines))
+    return deduct_sold(vault, sold_per_sku(lines))
+
+
+def deduct_sold(vault: DataFrame, sold: DataFrame) -> DataFrame:
+    """K1 with the sold quantity per SKU given (``sold_per_sku``)."""
+    key = [c for c in vault.columns if c == "sku_key"]
+    j, new_text = _deducted(vault.select("row_pos", "sku", "stock_text", *key), sold)
     return j.select("row_pos", "sku", F.col("stock_text").alias("old_stock_text"),
                     F.coalesce("sold_qty", F.lit(0).cast("bigint")).alias("sold_qty"),
                     new_text.alias("new_stock_text"))

@@ -67,7 +67,8 @@ def parse_items(json_col="line_items_json", columns: list[str] | None = None):
     left out.  Only the fields of ``columns`` are parsed."""
     columns = columns or list(FIELDS)
     typed = lambda it: F.struct(*[(number(it[FIELDS[x]]) if x in NUMBERS else it[FIELDS[x]]).alias(FIELDS[x]) for x in columns])
-    return F.transform(_numbered(_json(json_col), columns), lambda e: typed(e["it"]))
+    objects = F.filter(_numbered(_json(json_col), columns), lambda e: e["it"].isNotNull())
+    return F.transform(objects, lambda e: typed(e["it"]))
 
 
 def line_items(sales: DataFrame, keep: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:

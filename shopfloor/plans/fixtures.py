@@ -154,6 +154,35 @@ def fx_faulty_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
                         .when(is_list & (k == 7), F.lit("42")).otherwise(j))
 
 
+def fx_sheet_lines(spark: SparkSession, sf_dir: str, fmt: str) -> DataFrame:
+    """Lines (``value``) of a sales sheet as text, spoilt by row: 3 of 19 lack their end,
+    4 of 19 have something before or behind them."""
+    s = fx_sales(spark, sf_dir).drop("order_ts")
+    row, k = F.struct(*[F.col(c).cast("string").alias(c) for c in s.columns]), F.col("row_pos") % 19
+    if fmt == "json":
+        line = F.to_json(row)
+        value = (F.when(k == 3, F.regexp_replace(line, r"\}$", "")).when(k == 4, F.concat(F.lit("x"), line)).otherwise(line))
+    else:
+        line = F.to_csv(row, {"nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+        value = (F.when(k == 3, F.regexp_replace(line, r",[^,]*$", "")).when(k == 4, F.concat(line, F.lit(",x"))).otherwise(line))
+    return s.select(value.alias("value"))
+
+
+def fx_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order dates as two offices write them: ``here`` day-first, ``there`` month-first; a
+    few typed the other way round, in words, blank or no date."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    k, d = F.col("o_orderkey"), F.col("o_orderdate")
+
+    def written(usual: str, other: str, by: int) -> Column:
+        return (F.when(k % by == 0, F.lit("")).when(k % by == 1, F.lit("soon")).when(k % by == 2, F.date_format(d, other))
+                .when(k % by == 3, F.date_format(d, "yyyy-MM-dd")).when(k % by == 4, F.date_format(d, "MMMM dd, yyyy"))
+                .otherwise(F.date_format(d, usual)))
+
+    return o.select(k.alias("row_pos"), written("dd/MM/yyyy", "MM/dd/yyyy", 23).alias("here"),
+                    written("MM/dd/yyyy", "dd/MM/yyyy", 29).alias("there"))
+
+
 def fx_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_shipdate")
     k = F.col("l_orderkey")

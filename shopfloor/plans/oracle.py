@@ -439,6 +439,54 @@ Q["line_rejects"] = f"""
   SELECT row_pos, line_no, 'quantity is not a number' FROM {_FAULTY} WHERE k IN (5, 6)"""
 
 
+_CLIENTS = "SELECT '{0}' AS frame, handle AS item, CAST(total_orders AS DOUBLE) AS v1, lifetime_spend AS v2, total_profit AS v3, client_status AS label"
+Q["dashboard"] = f"""
+  SELECT 'summary' AS frame, '' AS item, realised_revenue AS v1, true_profit AS v2, dead_stock_capital AS v3, summary AS label
+  FROM ({Q['weekly_summary']})
+  UNION ALL
+  SELECT 'daily_trend', CAST(sale_day AS VARCHAR), gross_revenue, true_profit, NULL, NULL FROM ({Q['daily_trend']})
+  UNION ALL
+  SELECT 'category_mix', display_category, quantity, share, NULL, NULL FROM ({Q['category_mix']})
+  UNION ALL {_CLIENTS.format('client_value')} FROM fx_client_value
+  UNION ALL {_CLIENTS.format('top_clients')} FROM ({Q['top_clients']})
+  UNION ALL
+  SELECT 'repeat_rate', '', CAST(repeat_buyers AS DOUBLE), CAST(total_clients AS DOUBLE), repeat_rate_pct, NULL FROM ({Q['repeat_rate']})"""
+Q["stream_dashboard"] = Q["dashboard"]
+Q["stock_copartitioned"] = Q["stock_deduct"]
+Q["scan_quarantine"] = """
+  SELECT sheet, row_pos, CASE WHEN outcome = 'kept' THEN paid_text END AS paid_text, outcome
+  FROM (SELECT *, CASE WHEN row_pos % 19 IN (3, 4) THEN 'malformed'
+               WHEN payment_status IS NULL THEN 'missing payment_status' ELSE 'kept' END AS outcome FROM fx_sales),
+       (VALUES ('csv'), ('json')) v(sheet)"""
+
+
+def _written(usual: str, other: str, by: int) -> str:
+    return (f"CASE o_orderkey % {by} WHEN 0 THEN '' WHEN 1 THEN 'soon' WHEN 2 THEN strftime(o_orderdate, '{other}') "
+            f"WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 4 THEN strftime(o_orderdate, '%B %d, %Y') "
+            f"ELSE strftime(o_orderdate, '{usual}') END")
+
+
+FIXTURES["fx_dated"] = f"""
+  SELECT o_orderkey AS row_pos, {_written('%d/%m/%Y', '%m/%d/%Y', 23)} AS here,
+    {_written('%m/%d/%Y', '%d/%m/%Y', 29)} AS there FROM orders"""
+
+
+def _read(c: str, slashes: str) -> str:
+    return "COALESCE(" + ", ".join(f"try_strptime({c}, '{f}')" for f in (slashes, "%Y-%m-%d", "%B %d, %Y")) + ")"
+
+
+def _votes(c: str, slash_order: str) -> str:
+    day, month = f"try_strptime({c}, '%d/%m/%Y') IS NOT NULL", f"try_strptime({c}, '%m/%d/%Y') IS NOT NULL"
+    other = f"COALESCE(try_strptime({c}, '%Y-%m-%d'), try_strptime({c}, '%B %d, %Y')) IS NOT NULL"
+    return f"""SELECT '{c}' AS column_name, count(*) AS n_values, count(*) FILTER ({c} = '') AS blank,
+    count(*) FILTER ({day} AND NOT {month}) AS day_first, count(*) FILTER ({month} AND NOT {day}) AS month_first,
+    count(*) FILTER ({day} AND {month}) AS either, count(*) FILTER ({other}) AS other_formats,
+    count(*) FILTER ({c} = 'soon') AS no_date, '{slash_order}' AS slash_order FROM fx_dated"""
+
+
+Q["column_formats"] = _votes("here", "day first") + " UNION ALL " + _votes("there", "month first")
+Q["voted_dates"] = f"""SELECT row_pos, {_read('here', '%d/%m/%Y')} AS here_ts, {_read('there', '%m/%d/%Y')} AS there_ts
+  FROM fx_dated"""
 Q["stream_ingest"] = Q["normalize_sales"]
 Q["stream_daily_trend"] = f"""SELECT CAST(sale_date AS DATE) AS sale_day, CAST(sum(paid) AS DOUBLE) AS gross_revenue,
   CAST(sum(paid - cost - courier) AS DOUBLE) AS true_profit FROM fx_sales_t

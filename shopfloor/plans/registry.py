@@ -7,20 +7,26 @@ they compare as plain wall-clock values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopfloor.functions.pii import blind_index, key_column, protect, protect_with, ring_column, rotate, unprotect
 from shopfloor.functions.text import clean_number, clean_text, is_blank, money
-from shopfloor.operators import catalog, clients, finance, inventory, invoices, items, sales_log, sessions
+from shopfloor.operators import (catalog, clients, facts, finance, flows, formats, inventory, invoices, items, sales_log,
+                                 sessions)
 from shopfloor.operators.cleaning import (is_paid, normalize_purchases, normalize_sales, normalize_vault,
                                          standard_names)
 from shopfloor.plans import fixtures as fx
 from shopfloor.schemas import PURCHASE_HEADERS, SALES_HEADERS, VAULT_HEADERS
 from shopfloor.session import shared_dir
 from shopfloor.sources import append, read_table
+from shopfloor.sources.bucketed import catalogue_rows, sold_by_month, write_bucketed
+from shopfloor.sources.quarantine import read_checked
+from shopfloor.sources.tables import stage
 from shopfloor.streaming import queries as stream_q
 from shopfloor.streaming import partials, runner, upsert
 
@@ -78,7 +84,39 @@ def scan_vault(spark, d):
     return standard_names(sheet(fx.fx_vault(spark, d), VAULT_HEADERS), VAULT_HEADERS)
 
 
+@query("scan_quarantine")
+def scan_quarantine(spark, d):
+    """S1 on faulty CSV and JSON sheets: every line kept or set aside, and why."""
+    header = [c for c in fx.fx_sales(spark, d).columns if c != "order_ts"]
+    out = None
+    for fmt in ("csv", "json"):
+        path = shared_dir(spark, f"faulty_{fmt}") + "/data"
+        fx.fx_sheet_lines(spark, d, fmt).write.text(path)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        kept, rejects = read_checked(spark, path, schema, fmt, required=["payment_status"],
+                                     **({"header": "false", "nullValue": "\\N"} if fmt == "csv" else {}))
+        rows = kept.select("row_pos", "paid_text", F.lit("kept").alias("outcome")).unionByName(rejects.select(
+            F.regexp_extract("record", r'^x?(?:\{"row_pos":)?"?(\d+)', 1).alias("row_pos"),
+            F.lit(None).cast("string").alias("paid_text"), F.col("reason").alias("outcome")))
+        part = rows.select(F.lit(fmt).alias("sheet"), F.col("row_pos").cast("bigint").alias("row_pos"), "paid_text", "outcome")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # ---------------------------------------------------------------- cleaning
+@query("column_formats")
+def q_column_formats(spark, d):
+    """What each date column is written in, by the votes of all its values."""
+    return formats.format_votes(fx.fx_dated(spark, d), ["here", "there"])
+
+
+@query("voted_dates")
+def q_voted_dates(spark, d):
+    """Both columns read by their own votes."""
+    read = formats.parse_dates(fx.fx_dated(spark, d), {"here": "here_ts", "there": "there_ts"})
+    return read.select("row_pos", ntz("here_ts").alias("here_ts"), ntz("there_ts").alias("there_ts"))
+
+
 @query("normalize_sales")
 def q_normalize_sales(spark, d):
     s = sales(spark, d)
@@ -223,6 +261,13 @@ def q_weekly_summary(spark, d):
                                   fx.as_of_col(), fx.WEEKLY_SPEND)
 
 
+@query("dashboard")
+def q_dashboard(spark, d):
+    """Every dataset of the dashboard out of one pass over sales."""
+    return facts.stacked(flows.dashboard(fx.fx_sales(spark, d, with_items=True), fx.fx_purchases(spark, d),
+                                         fx.as_of_col(), fx.WEEKLY_SPEND))
+
+
 # ---------------------------------------------------------------- catalogue / inventory
 def vault(spark: SparkSession, d: str) -> DataFrame:
     return fx.fx_vault(spark, d)
@@ -270,6 +315,17 @@ def q_stock_deduct(spark, d):
     return inventory.stock_deduct(vault(spark, d), all_lines(spark, d, ["sku", "quantity"]))
 
 
+@query("stock_copartitioned")
+def q_stock_copartitioned(spark, d):
+    """K1 on tables stored in buckets of the SKU: neither side is moved."""
+    name, n = uuid.uuid4().hex[:12], 8
+    lines = items.line_items(sales(spark, d, with_items=True).withColumn("month", F.trunc(F.col("sale_ts").cast("date"), "month")),
+                             keep=["month"], columns=["sku", "quantity"])
+    sold = write_bucketed(sold_by_month(lines, "month"), f"sold_{name}", "sku_key", n)
+    stored = write_bucketed(catalogue_rows(vault(spark, d)), f"vault_{name}", "sku_key", n)
+    return inventory.deduct_sold(stored, sold.groupBy("sku_key").agg(F.sum("sold_qty").alias("sold_qty")))
+
+
 @query("stock_restock")
 def q_stock_restock(spark, d):
     return inventory.restock(vault(spark, d), fx.fx_restock(spark, d))
@@ -487,6 +543,17 @@ def q_stream_late(spark, d):
     return _merge_stream(spark, stream, "stream_late", stream_q.TREND)
 
 
+@query("stream_dashboard")
+def q_stream_dashboard(spark, d):
+    """The dashboard out of facts kept up to date, orders arriving in four files."""
+    tables = shared_dir(spark, "facts")
+    fx.fx_arrivals(spark, d, "orders", "o_orderkey", tables)
+    orders = runner.read_stream_table(spark, tables, "orders", max_files=1)
+    stream = normalize_sales(fx.fx_sales(spark, d, with_items=True, orders=orders))
+    kept = stage(_merge_stream(spark, stream, "stream_dashboard", stream_q.FACTS), "facts")
+    return facts.stacked(facts.frames(kept, purchases(spark, d), fx.as_of_col(), fx.WEEKLY_SPEND))
+
+
 @query("stream_late_stock")
 def q_stream_late_stock(spark, d):
     """Stock out of movements that arrive in four files, each with movements of all

@@ -29,7 +29,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     exist reads as empty, like the reference's catalogue; any other failure
     and a missing path by default are errors."""
     reader = spark.read.format(fmt).options(**options)
-    if fmt == "csv":
+    if fmt == "csv" and "header" not in options:
         reader = reader.option("header", "true")
     if schema is not None:
         reader = reader.schema(schema)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.operators.cleaning import is_paid, normalize_sales
 from shopfloor.operators.clients import client_sketches, merge_sketches, sketched_clients
+from shopfloor.operators.facts import merge_facts, sale_facts
 from shopfloor.operators.inventory import chunk_summary, closing_stock
 from shopfloor.operators.sessions import GAP_SECONDS, merge_stretches, stitch, stretches
 from shopfloor.plans import fixtures as fx
@@ -123,6 +124,9 @@ CLIENTS = Mergeable(_client_days, lambda p: p.distinct(), distinct_per_window)
 #: T3 estimated: a sketch per day and batch instead of (day, handle) pairs.
 CLIENT_SKETCHES = Mergeable(client_sketches, merge_sketches, sketched_clients)
 
+#: The facts that every dashboard figure reads.
+FACTS = Mergeable(sale_facts, merge_facts, lambda f: f)
+
 SESSIONS = Mergeable(lambda e: stretches(e, "user_id", "ts"), merge_stretches, lambda p: stitch(p, "user_id"))
 
 
