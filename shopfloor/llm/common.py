@@ -28,6 +28,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+def _renamed(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df.toDF(*names)``, but columns that keep their name stay the same attributes: ``toDF``
+    gives them an alias, which Spark takes away on one side of a self-join only, and then
+    it shuffles both sides instead of reusing the one exchange."""
+    if len({c.lower() for c in df.columns}) < len(df.columns):
+        return df.toDF(*names)  # can't be told apart by name
+    was = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    return df.select(*[c if a == b else c.alias(b) for c, a, b in zip(was, df.columns, names, strict=True)])
+
+
 def own_columns(*used: str, new: tuple[str, ...] = ()):
     """For operators that return the columns of their first argument: while they run, all
     columns but ``used`` go by numbers, so that no name (another case, a dot, a name that the
@@ -38,7 +48,7 @@ def own_columns(*used: str, new: tuple[str, ...] = ()):
         def run(docs: DataFrame, *args, **options) -> DataFrame:
             names = docs.columns
             hidden = {f"_{i}_": c for i, c in enumerate(names) if c not in used}
-            inside = docs.toDF(*[c if c in used else f"_{i}_" for i, c in enumerate(names)])
+            inside = _renamed(docs, [c if c in used else f"_{i}_" for i, c in enumerate(names)])
             out = operator(inside.drop(*[h for h, c in hidden.items() if c in new]), *args, **options)
             return out.toDF(*[hidden.get(c, c) for c in out.columns])
         return run

@@ -71,3 +71,18 @@ def test_equal_texts_and_one_document(spark):
     assert rows[0].fingerprint == rows[1].fingerprint and rows[0].near_next == 1.0
     alone = fingerprint_documents(docs_of(spark, ["one two three four"])).collect()
     assert alone[0].near_next == 1.0
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """Both joins by doc_id use the one exchange of the texts, also when there are other columns."""
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"some words of text {i} " * 9, "x") for i in range(40)], "doc_id long, text string, lang string").write.parquet(path)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = fingerprint_documents(spark.read.parquet(path))
+        assert len(df.collect()) == 40
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "ReusedExchange [doc_id" in plan
