@@ -33,11 +33,11 @@ def sold_per_sku(lines: DataFrame) -> DataFrame:
     return sellable_lines(lines).groupBy("sku_key").agg(F.sum("qty").alias("sold_qty"))
 
 
-def _deducted(vault: DataFrame, sold: DataFrame) -> tuple[DataFrame, Column]:
+def _deducted(vault: DataFrame, sold: DataFrame, how: str = "left") -> tuple[DataFrame, Column]:
     """The catalogue joined to the sold quantities, and the new stock text.  A key that is
     stored with the catalogue is used as it is, so that its buckets are."""
     keyed = vault if "sku_key" in vault.columns else vault.withColumn("sku_key", clean_text(F.col("sku")))
-    j = keyed.join(sold, "sku_key", "left")
+    j = keyed.join(sold, "sku_key", how)
     cur = stock_value("stock_text", bad_as_zero=False)
     changed = F.col("sold_qty").isNotNull() & cur.isNotNull()
     new = F.greatest(F.lit(0).cast("bigint"), cur - F.col("sold_qty"))
@@ -61,17 +61,18 @@ def deduct_sold(vault: DataFrame, sold: DataFrame) -> DataFrame:
                     new_text.alias("new_stock_text"))
 
 
-def next_catalogue(vault: DataFrame, sold: DataFrame) -> DataFrame:
+def next_catalogue(vault: DataFrame, sold: DataFrame, how: str = "left") -> DataFrame:
     """K1 as the next catalogue: all columns, stock text replaced, one join.
     ``sold``: ``sold_per_sku``."""
-    j, new_text = _deducted(vault, sold)
+    j, new_text = _deducted(vault, sold, how)
     return j.select(*[new_text.alias(c) if c == "stock_text" else F.col(c) for c in vault.columns])
 
 
 def changed_by_sales(vault: DataFrame, sold: DataFrame) -> DataFrame:
-    """K1 as a change: all rows of the sold SKUs with their new stock, and no others."""
-    mine = vault.join(sold.select("sku_key"), clean_text(F.col("sku")) == F.col("sku_key"), "left_semi")
-    return next_catalogue(mine, sold)
+    """K1 as a change: all rows of the sold SKUs with their new stock, and no others.
+    ``sold`` has one row per SKU, so one join both picks the rows and gives their quantities,
+    and the lines behind ``sold`` are summed once."""
+    return next_catalogue(vault, sold, "inner")
 
 
 def sku_key() -> Column:

@@ -245,3 +245,13 @@ def test_pii_key_is_in_no_plan(spark):
             pii_key(spark)
     finally:
         spark.conf.set("spark.shopfloor.pii.secret", old)
+
+
+def test_sales_are_summed_once_for_a_commit(spark):
+    """One join picks the sold rows and gives their quantities; rows of the same SKU all change."""
+    from shopfloor.operators import inventory
+    vault = spark.createDataFrame([(1, "A", "9"), (2, " A ", "4"), (3, "B", "2"), (4, None, "1")], "row_pos bigint, sku string, stock_text string")
+    sold = inventory.sold_per_sku(spark.createDataFrame([("A", 2.0), ("A", 3.0), ("no", 1.0)], "sku string, quantity double"))
+    out = inventory.changed_by_sales(vault, sold)
+    assert sorted(map(tuple, out.collect())) == [(1, "A", "4"), (2, " A ", "0")]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
