@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shopfloor.functions.text import clean_text
 from shopfloor.operators.cleaning import stock_value
-from shopfloor.sources.tables import stage
+from shopfloor.sources.tables import stage_parts
 
 
 def sellable_lines(lines: DataFrame) -> DataFrame:
@@ -135,33 +135,39 @@ def floor_ledger(moves: DataFrame, key: str, order: list[str], buckets: list[Col
 
     ``s_n = max(0, s_{n-1} + d_n)`` equals ``x_n - min(0, min_{j<=n} x_j)``
     with ``x`` the unfloored running total from a non-negative opening stock
-    (Q19 clamps it).  Running sums and minima compose across chunks, so the
-    scan runs in three levels and no single key has to sit in one task:
-
-    1. rows are cut into buckets -- ``buckets`` must be a coarsening of a
-       prefix of ``order`` (e.g. the day, a block of order keys) -- and each
-       (key, bucket) computes its local running total and running minimum;
-    2. one summary row per (key, bucket) (total, minimum) is scanned per
-       (key, ``coarse``), a coarsening of the buckets (e.g. the month);
-    3. one row per (key, coarse) is scanned per key, and offsets and minima
-       are joined back, by (key, coarse) and then by (key, bucket).
-
-    The rows with their local totals are written once, so that the input is
-    computed once and the summaries read what they need of it.
+    (Q19 clamps it).  Running sums and minima compose across chunks, so no
+    single key has to sit in one task:
+
+    1. rows are dealt by ranges of (key, ``buckets``) -- which must be a
+       coarsening of a prefix of ``order`` (e.g. the day, a block of order keys)
+       -- and written once in these parts.  A hot key spans several parts, and
+       a bucket lies in one;
+    2. each (key, part) is scanned in ``order``, without moving its rows again;
+    3. one summary row per (key, part) (total, minimum) is scanned per key.  What
+       is carried into a part is joined back for keys in several parts only:
+       at most two rows a part, whatever the size of the input.
+
+    Rows whose ``coarse`` (e.g. the month) is null, those without a time, count
+    before all others and get no row themselves.  A movement without ``delta`` has
+    no stock until its bucket has seen one.
     """
-    b = moves.withColumns({"_bucket": F.struct(*buckets), "_coarse": coarse})
-    w1 = (Window.partitionBy(key, "_bucket").orderBy(*order)
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = stage(b.withColumn("_loc", F.sum(delta).over(w1))
-                  .withColumn("_locmin", F.min("_loc").over(w1)), "ledger")
-    summary = local.groupBy(key, "_bucket").agg(F.first("_coarse").alias("_coarse"), F.sum(delta).alias("_tot"),
-                                                F.min("_loc").alias("_low"), F.max(opening).alias("_s0"))
-    carried = chunk_carry(summary, key, "_bucket", "_coarse").select(key, "_bucket", "_off", "_carry")
-    j = local.drop("_coarse").join(carried, [key, "_bucket"])
-    x = F.col("_off") + F.col("_loc")
-    run_min = F.least("_carry", F.col("_off") + F.col("_locmin"))
-    stock = x - F.least(F.lit(0).cast("bigint"), run_min)
-    return j.select(*[c for c in moves.columns], stock.alias("stock"))
+    parts = moves.withColumn("_kept", coarse.isNotNull()).repartitionByRange(F.col(key), *buckets)
+    rows = stage_parts(parts.withColumn("_part", F.spark_partition_id()), "ledger", "_part", [key, *order])
+    bucket = F.struct(*buckets)
+    whole = Window.partitionBy(key, "_part")
+    w = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.lit(0).cast("bigint")
+    loc = rows.withColumn("_loc", F.sum(delta).over(w)).withColumn("_locmin", F.min("_loc").over(w))
+    summary = loc.groupBy(key, "_part").agg(F.sum(delta).alias("_tot"), F.min("_loc").alias("_low"), F.max(opening).alias("_s0"))
+    several = (chunk_carry(summary, key, "_part").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(key)))
+               .where(F.col("_n") > 1).select(F.col(key).alias("_key"), F.col("_part").alias("_in"), "_off", "_carry"))
+    seen = F.max(F.when(F.col(delta).isNotNull(), bucket)).over(w).eqNullSafe(bucket)
+    j = (loc.withColumns({"_seen": seen, "_start": F.greatest(F.max(opening).over(whole), zero)})
+         .where(F.col("_kept") & F.col(key).isNotNull())
+         .join(F.broadcast(several), (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_in")), "left"))
+    off = F.coalesce("_off", "_start")
+    stock = off + F.col("_loc") - F.least(zero, "_carry", off + F.col("_locmin"))
+    return j.select(*[c for c in moves.columns], F.when(F.col("_seen"), stock).alias("stock"))
 
 
 def chunk_summary(moves: DataFrame, keys: list[str], order: list[str], delta: str = "delta", opening: str = "s0") -> DataFrame:
@@ -172,35 +178,36 @@ def chunk_summary(moves: DataFrame, keys: list[str], order: list[str], delta: st
             .agg(F.sum(delta).alias("_tot"), F.min("_loc").alias("_low"), F.count(F.lit(1)).alias("_n"), F.max(opening).alias("_s0")))
 
 
-def chunk_carry(summary: DataFrame, key: str, bucket: str, coarse: str) -> DataFrame:
+def chunk_carry(summary: DataFrame, key: str, chunk: str) -> DataFrame:
     """Running total (``_off``, from the opening stock) and running minimum
     (``_carry``, null at first) before every chunk.
 
-    ``summary``: one row per (key, bucket) with ``_tot`` (total of the
-    chunk), ``_low`` (its least running total), ``_s0`` (opening stock) and
-    ``coarse``.  Scanned per (key, coarse) and then per key."""
+    ``summary``: one row per (key, chunk) with ``_tot`` (total of the chunk),
+    ``_low`` (its least running total) and ``_s0`` (opening stock), in the order of
+    ``chunk``, of which a key must have few (parts, months)."""
     zero = F.lit(0).cast("bigint")
-    before = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    w2 = before(key, coarse, bucket)
-    inner = (summary.withColumn("_in", F.coalesce(F.sum("_tot").over(w2), zero))
-             .withColumn("_inlow", F.min(F.col("_in") + F.col("_low")).over(w2)))
-    outer = inner.groupBy(key, coarse).agg(F.sum("_tot").alias("_ctot"), F.min(F.col("_in") + F.col("_low")).alias("_clow"),
-                                           F.max("_s0").alias("_cs0"))
-    w3 = before(key, coarse)
-    start = F.greatest(F.max("_cs0").over(Window.partitionBy(key)), zero)
-    outer = (outer.withColumn("_coff", start + F.coalesce(F.sum("_ctot").over(w3), zero))
-             .withColumn("_ccarry", F.min(F.col("_coff") + F.col("_clow")).over(w3))
-             .select(key, coarse, "_coff", "_ccarry"))
-    return (inner.join(outer, [key, coarse])
-            .withColumn("_off", F.col("_coff") + F.col("_in"))
-            .withColumn("_carry", F.least("_ccarry", F.col("_coff") + F.col("_inlow"))))
+    before = Window.partitionBy(key).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest(F.max("_s0").over(Window.partitionBy(key)), zero)
+    return (summary.withColumn("_off", start + F.coalesce(F.sum("_tot").over(before), zero))
+            .withColumn("_carry", F.min(F.col("_off") + F.col("_low")).over(before)))
 
 
 def closing_stock(summary: DataFrame, key: str) -> DataFrame:
-    """Last stock of every key from its chunks (as ``chunk_carry``, with
-    ``_n``, the number of movements)."""
-    c = chunk_carry(summary, key, "_bucket", "_coarse")
-    low = F.least("_carry", F.col("_off") + F.col("_low"))
+    """Last stock and number of movements of every key from its chunks (``chunk_summary``
+    with ``_bucket`` and ``_coarse``, a coarsening of the buckets, e.g. the month).
+
+    Chunks are merged to one row per (key, ``_coarse``) and those to one per key; only
+    the last stock is asked for, so nothing is joined back to the chunks.  Chunks without
+    ``_coarse`` count before all others but aren't a key's last and aren't counted."""
+    zero = F.lit(0).cast("bigint")
+    before = Window.partitionBy(key, "_coarse").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    inner = summary.withColumn("_in", F.coalesce(F.sum("_tot").over(before), zero))
+    outer = inner.groupBy(key, "_coarse").agg(
+        F.sum("_tot").alias("_tot"), F.min(F.col("_in") + F.col("_low")).alias("_low"), F.max("_s0").alias("_s0"),
+        F.sum("_n").alias("_n"), F.max_by(F.col("_tot").isNotNull(), "_bucket").alias("_known"))
+    c = chunk_carry(outer, key, "_coarse").where(F.col(key).isNotNull() & F.col("_coarse").isNotNull())
+    end = F.when(F.col("_known"), F.col("_off") + F.col("_tot"))
     return (c.groupBy(key)
-            .agg(F.max_by(F.col("_off") + F.col("_tot"), "_bucket").alias("_end"), F.min(low).alias("_min"), F.sum("_n").alias("movements"))
-            .select(key, (F.col("_end") - F.least(F.lit(0).cast("bigint"), "_min")).alias("closing_stock"), "movements"))
+            .agg(F.max_by(end, "_coarse").alias("_end"), F.min(F.least("_carry", F.col("_off") + F.col("_low"))).alias("_min"),
+                 F.sum("_n").alias("movements"))
+            .select(key, (F.col("_end") - F.least(zero, "_min")).alias("closing_stock"), "movements"))

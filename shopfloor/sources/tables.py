@@ -8,6 +8,8 @@ A path that is being read is never overwritten.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -48,6 +50,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_parts(df: DataFrame, name: str, part: str, order: list[str]) -> DataFrame:
+    """As ``stage``, in buckets of ``part``, an integer that each task of ``df`` has one value
+    of: a task writes one file, sorted by ``order``, and readers that group by ``part`` and
+    other columns move no rows."""
+    spark = df.sparkSession
+    path, table = shared_dir(spark, name) + "/data", f"{name}_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, part).sortBy(*order).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def append(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Append rows (S4/S5).  Partitioning by month keeps date filters pruned."""
     w = df.write.mode("append").format(fmt)

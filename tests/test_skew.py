@@ -33,6 +33,32 @@ def test_ledger_with_a_hot_sku(spark):
             assert got[(sku, r[2])] == s
 
 
+def test_ledger_of_a_hot_sku_over_several_parts(spark):
+    """A SKU whose rows lie in several tasks; rows are moved when they are dealt, and not again."""
+    rnd, keys = _rows(3000)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(k, t0 + dt.timedelta(minutes=rnd.randint(0, 60 * 24 * 20)), i, rnd.choice([-9, -4, -1, 3, 6]), 5)
+            for i, k in enumerate(keys)]
+    moves = spark.createDataFrame(rows, "sku string, ts timestamp, seq int, delta bigint, s0 bigint")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = inventory.floor_ledger(moves, "sku", ["ts", "seq"], [F.date_trunc("hour", F.col("ts"))], F.date_trunc("week", F.col("ts")))
+        got = {(r["sku"], r["seq"]): r["stock"] for r in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(got) == len(rows)
+    for sku in set(keys):
+        s = 5
+        for r in sorted((r for r in rows if r[0] == sku), key=lambda r: (r[1], r[2])):
+            s = max(0, s + r[3])
+            assert got[(sku, r[2])] == s
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Relation") == 0 and plan.count("FileScan") == 2  # the written rows: once for the summary, once for the result
+    assert all("Bucketed: true" in x for x in plan.splitlines() if "FileScan" in x)
+    moved = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("- Exchange hashpartitioning")
+    assert moved == 1  # a row a SKU and part
+
+
 def test_sessions_with_a_hot_user(spark):
     rnd, keys = _rows(3000)
     t0 = dt.datetime(2024, 1, 1)
