@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,12 +103,34 @@ def run_rebuilt(spark: SparkSession, stream: DataFrame, name: str, month: str, t
         log = f"{out}/log"
         # rebalanced: a file a month, more for a month with many rows
         b.hint("rebalance", month).write.mode("overwrite").partitionBy(month).parquet(f"{log}/v={bid:012d}")
-        groups = read_table(spark, f"{log}/v={bid:012d}", schema).select(month, *touched).distinct()
-        months = [r[0] for r in groups.select(month).distinct().collect()]  # calendar months, not rows
-        # only batches up to this one: a batch that is tried again sees the same log
-        upto = [f"{log}/v={v:012d}" for v in range(bid + 1)]
-        rows = (spark.read.schema(schema).option("basePath", log).parquet(*upto).drop("v")
-                .where(F.col(month).isin(months)).join(groups, [month, *touched], "left_semi"))
+        own = read_table(spark, f"{log}/v={bid:012d}", schema)
+        for c in (month, *touched):  # rows without a group belong to none
+            own = own.where(F.col(c).isNotNull())
+        rows = own  # every group of the batch is touched, so only older rows are picked by a join
+        if bid:
+            months = [r[0] for r in own.select(month).distinct().collect()]  # calendar months, not rows
+            # only batches up to this one: a batch that is tried again sees the same log
+            older = spark.read.schema(schema).option("basePath", log).parquet(*[f"{log}/v={v:012d}" for v in range(bid)]).drop("v")
+            groups = own.select(month, *touched).distinct()
+            rows = own.unionByName(older.where(F.col(month).isin(months)).join(groups, [month, *touched], "left_semi"))
         merge_update(spark, rebuild(rows), bid, out, keys)
 
     return run_batches(spark, stream, name, write, trigger, checkpoint, output)
+
+
+def read_rebuilt(spark: SparkSession, out: str, schema: T.StructType, keys: list[str], coarse: dict[str, Column],
+                 by: list[str]) -> DataFrame:
+    """Newest row of each of ``keys`` that ``run_rebuilt`` has written so far, with the columns
+    ``coarse`` (functions of the keys), dealt by those and ``by`` (some of the keys), so that what
+    groups by them next moves no rows.  Each batch has one row a key: one batch is read as it is."""
+    full = T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])
+    folders = since_snapshot(spark, out)
+    if not folders:
+        return empty(spark, schema).withColumns(coarse)
+    rows = spark.read.schema(full).parquet(*folders).withColumns(coarse)
+    if len(folders) == 1:
+        return rows.drop("_batch")
+    values = [f.name for f in schema.fields if f.name not in keys]
+    newest = (rows.repartition(*by, *coarse).groupBy(*by, *coarse, *[k for k in keys if k not in by])
+              .agg(F.max_by(F.struct(*values), "_batch").alias("_v")))
+    return newest.select(*keys, *coarse, *[F.col("_v")[c].alias(c) for c in values])

@@ -24,8 +24,8 @@ from shopfloor.operators.inventory import chunk_summary, closing_stock
 from shopfloor.operators.sessions import GAP_SECONDS, merge_stretches, stitch, stretches
 from shopfloor.plans import fixtures as fx
 from shopfloor.sources.tables import empty
-from shopfloor.streaming.partials import Mergeable, run_rebuilt
-from shopfloor.streaming.runner import read_output, read_stream_table
+from shopfloor.streaming.partials import Mergeable, read_rebuilt, run_rebuilt
+from shopfloor.streaming.runner import read_stream_table
 
 
 def sales_stream(spark: SparkSession, sf_dir: str, with_items: bool = False, max_files: int | None = None) -> DataFrame:
@@ -138,11 +138,11 @@ def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None)
 STOCK_KEYS = ["sku", "_bucket"]
 
 
-def movement_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None) -> DataFrame:
+def movement_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None, lineitem: DataFrame | None = None) -> DataFrame:
     """Stock movements as new lineitem files arrive, with their chunk (day and block of
-    order keys) and its month."""
-    moves = fx.fx_movements(spark, sf_dir, lineitem=read_stream_table(spark, sf_dir, "lineitem", max_files=max_files))
-    return chunked(moves, fx.order_block())
+    order keys) and its month.  ``lineitem``: another stream of that table."""
+    li = lineitem if lineitem is not None else read_stream_table(spark, sf_dir, "lineitem", max_files=max_files)
+    return chunked(fx.fx_movements(spark, sf_dir, lineitem=li), fx.order_block())
 
 
 def chunked(moves: DataFrame, block: Column) -> DataFrame:
@@ -167,12 +167,12 @@ def run_stock(spark: SparkSession, moves: DataFrame, name: str = "stock", **opti
 def read_stock(spark: SparkSession, out: str, moves: DataFrame) -> DataFrame:
     """Closing stock and number of movements of every SKU so far (``moves``: the stream)."""
     schema = _chunks(empty(spark, moves.schema)).schema
-    return stock_now(read_output(spark, out, "update", schema, STOCK_KEYS))
+    return stock_now(read_rebuilt(spark, out, schema, STOCK_KEYS, {"_coarse": F.date_trunc("month", F.col("_bucket.day"))}, ["sku"]))
 
 
 def stock_now(chunks: DataFrame) -> DataFrame:
-    """Closing stock and number of movements of every SKU."""
-    return closing_stock(chunks.withColumn("_coarse", F.date_trunc("month", F.col("_bucket.day"))), "sku")
+    """Closing stock and number of movements of every SKU out of chunks and their months."""
+    return closing_stock(chunks, "sku")
 
 
 # ------------------------------------------------------------------ T6

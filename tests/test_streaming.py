@@ -262,3 +262,25 @@ def test_ingest_sink_is_partitioned_by_month(spark):
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(sale_month" in plan
     assert q.count() == spark.read.parquet(out).where("sale_date >= '2001-01-01'").count() > 0
+
+
+def test_stock_of_one_batch_is_read_with_two_exchanges(spark, tmp_path):
+    """A row a chunk goes to its SKU and month, a row a month to its SKU; nothing is joined back."""
+    from conftest import SMALL
+    from shopfloor.streaming import queries as q
+    moves = q.movement_stream(spark, SMALL)
+    out = q.run_stock(spark, moves, "two_exchanges")
+    df = q.read_stock(spark, out, moves)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("- Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_stock_of_rows_without_a_time_or_quantity(spark, tmp_path):
+    """A movement without a time is in no chunk; a SKU whose last movement has no quantity has no stock to tell."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [("A", None, 1, 1, 1, 1.0, 50, 3), ("A", t, 2, 1, 1, 1.0, -5, 3), ("A", t + dt.timedelta(days=40), 3, 1, 1, 1.0, 4, 3),
+            ("B", t, 4, 1, 1, 1.0, 9, 0), ("B", t + dt.timedelta(days=1), 5, 1, 1, 1.0, None, 0), (None, t, 6, 1, 1, 1.0, 1, 1)]
+    want = {"A": (4, 2), "B": (None, 2)}
+    assert _stock_stream(spark, tmp_path / "one", [rows]) == want
+    assert _stock_stream(spark, tmp_path / "two", [rows[::2], rows[1::2]]) == want
