@@ -7,6 +7,8 @@ are pruned to the columns each fixture needs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +38,9 @@ def category_of(k: Column) -> Column:
     return F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (k % 7 + 1).cast("int"))
 
 
-def fx_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fx_lines(spark: SparkSession, sf_dir: str, lineitem: DataFrame | None = None) -> DataFrame:
     """Cart lines: one per lineitem row, keyed by its order (= sale)."""
-    li = table(spark, sf_dir, "lineitem").select(
+    li = (lineitem if lineitem is not None else table(spark, sf_dir, "lineitem")).select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
     s = F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("bigint")
@@ -91,11 +93,12 @@ def lines_json(lines: DataFrame) -> DataFrame:
 
 
 def fx_sales(spark: SparkSession, sf_dir: str, with_items: bool = False,
-             orders: DataFrame | None = None) -> DataFrame:
+             orders: DataFrame | None = None, lineitem: DataFrame | None = None) -> DataFrame:
     """Raw (text) sales: orders joined to customers, injected blanks/junk.
 
     ``orders`` may be a streaming read of the orders table; the customer
-    side and the line-item JSON are then static (stream-static joins)."""
+    side and the line-item JSON are then static (stream-static joins).
+    ``lineitem``: all lines of these orders, by default the whole table."""
     o = (orders if orders is not None else table(spark, sf_dir, "orders")).select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
@@ -130,7 +133,7 @@ def fx_sales(spark: SparkSession, sf_dir: str, with_items: bool = False,
     if not with_items:
         return base.select(*cols)
     sales = base.select(*cols)
-    items = lines_json(fx_lines(spark, sf_dir))
+    items = lines_json(fx_lines(spark, sf_dir, lineitem))
     j = F.col("items_json")
     return (sales.join(items, "row_pos", "left")
             .withColumn("line_items_json",
@@ -240,17 +243,22 @@ def order_block() -> Column:
     return F.floor(F.col("l_orderkey") / (1 << 14))
 
 
-def fx_arrivals(spark: SparkSession, sf_dir: str, name: str, key: str, target: str, files: int = 4) -> None:
-    """Table ``name`` as a folder of ``files`` files under ``target``, dealt by a hash of
-    ``key``: every file has rows of all dates, so most rows after the first are late.
-    The other tables a stream joins are written next to it as they are."""
-    part = F.pmod(F.xxhash64(key), F.lit(files)).cast("int")
-    rows = table(spark, sf_dir, name).withColumn("_file", part).persist()
-    try:
-        for i in range(files):
-            rows.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(f"{target}/{name}.parquet")
-    finally:
-        rows.unpersist()
+ARRIVALS = 4
+
+
+def arrival(key: str) -> Column:
+    """Number of the delivery, from 0, with which rows of ``key`` arrive."""
+    return F.pmod(F.xxhash64(F.col(key).cast("bigint")), F.lit(ARRIVALS)).cast("int")
+
+
+def fx_arrivals(spark: SparkSession, sf_dir: str, name: str, key: str, target: str) -> Iterator[int]:
+    """Table ``name`` as a folder under ``target`` that grows by ``ARRIVALS`` deliveries, dealt
+    by a hash of ``key``: every delivery has rows of all dates, so most rows after the first are
+    late.  Gives the number of each delivery when its files are there; they are written by as
+    many tasks as read the table."""
+    for i in range(ARRIVALS):
+        table(spark, sf_dir, name).where(arrival(key) == i).write.mode("append").parquet(f"{target}/{name}.parquet")
+        yield i
 
 
 MOVEMENT_ORDER = ["ts", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "delta"]

@@ -510,6 +510,11 @@ def _merge_stream(spark: SparkSession, stream: DataFrame, name: str, agg: partia
     return partials.read_mergeable(spark, partials.run_mergeable(spark, stream, name, agg), stream, agg)
 
 
+def _resumed(spark: SparkSession, name: str) -> dict[str, str]:
+    """Folders with which a stream goes on from one delivery to the next."""
+    return {"checkpoint": shared_dir(spark, "ckpt", name), "output": shared_dir(spark, "out", name)}
+
+
 @query("stream_daily_trend")
 def q_stream_daily_trend(spark, d):
     return _merge_stream(spark, stream_q.sales_stream(spark, d), "stream_daily_trend", stream_q.TREND)
@@ -534,35 +539,36 @@ def q_stream_stock(spark, d):
 
 @query("stream_late")
 def q_stream_late(spark, d):
-    """The daily trend of orders that arrive in four files, each with orders of all
+    """The daily trend of orders that arrive in four deliveries, each with orders of all
     dates; equals the recount of everything."""
-    tables = shared_dir(spark, "late")
-    fx.fx_arrivals(spark, d, "orders", "o_orderkey", tables)
-    orders = runner.read_stream_table(spark, tables, "orders", max_files=1)
-    stream = normalize_sales(fx.fx_sales(spark, d, orders=orders))
-    return _merge_stream(spark, stream, "stream_late", stream_q.TREND)
+    tables, again = shared_dir(spark, "late"), _resumed(spark, "stream_late")
+    for _ in fx.fx_arrivals(spark, d, "orders", "o_orderkey", tables):
+        stream = normalize_sales(fx.fx_sales(spark, d, orders=runner.read_stream_table(spark, tables, "orders")))
+        out = partials.run_mergeable(spark, stream, "stream_late", stream_q.TREND, **again)
+    return partials.read_mergeable(spark, out, stream, stream_q.TREND)
 
 
 @query("stream_dashboard")
 def q_stream_dashboard(spark, d):
-    """The dashboard out of facts kept up to date, orders arriving in four files."""
-    tables = shared_dir(spark, "facts")
-    fx.fx_arrivals(spark, d, "orders", "o_orderkey", tables)
-    orders = runner.read_stream_table(spark, tables, "orders", max_files=1)
-    stream = normalize_sales(fx.fx_sales(spark, d, with_items=True, orders=orders))
-    kept = stage(_merge_stream(spark, stream, "stream_dashboard", stream_q.FACTS), "facts")
+    """The dashboard out of facts kept up to date, orders arriving in four deliveries."""
+    tables, again = shared_dir(spark, "facts"), _resumed(spark, "stream_dashboard")
+    for _ in fx.fx_arrivals(spark, d, "orders", "o_orderkey", tables):
+        orders = runner.read_stream_table(spark, tables, "orders")
+        stream = normalize_sales(fx.fx_sales(spark, d, with_items=True, orders=orders))
+        out = partials.run_mergeable(spark, stream, "stream_dashboard", stream_q.FACTS, **again)
+    kept = stage(partials.read_mergeable(spark, out, stream, stream_q.FACTS), "facts")
     return facts.stacked(facts.frames(kept, purchases(spark, d), fx.as_of_col(), fx.WEEKLY_SPEND))
 
 
 @query("stream_late_stock")
 def q_stream_late_stock(spark, d):
-    """Stock out of movements that arrive in four files, each with movements of all
+    """Stock out of movements that arrive in four deliveries, each with movements of all
     dates; equals the ledger (W3) in event order."""
-    tables = shared_dir(spark, "late_stock")
-    fx.fx_arrivals(spark, d, "lineitem", "l_orderkey", tables)
-    li = runner.read_stream_table(spark, tables, "lineitem", max_files=1)
-    moves = stream_q.chunked(fx.fx_movements(spark, d, lineitem=li), fx.order_block())
-    return stream_q.read_stock(spark, stream_q.run_stock(spark, moves, "stream_late_stock"), moves)
+    tables, again = shared_dir(spark, "late_stock"), _resumed(spark, "stream_late_stock")
+    for _ in fx.fx_arrivals(spark, d, "lineitem", "l_orderkey", tables):
+        moves = stream_q.movement_stream(spark, d, lineitem=runner.read_stream_table(spark, tables, "lineitem"))
+        out = stream_q.run_stock(spark, moves, "stream_late_stock", **again)
+    return stream_q.read_stock(spark, out, moves)
 
 
 @query("stream_upsert")

@@ -264,6 +264,20 @@ def test_ingest_sink_is_partitioned_by_month(spark):
     assert q.count() == spark.read.parquet(out).where("sale_date >= '2001-01-01'").count() > 0
 
 
+def test_a_delivery_is_written_by_as_many_tasks_as_read_the_table(spark, tmp_path):
+    """Four deliveries of all rows, none of them through one task; each has rows of all parts of the table."""
+    from shopfloor.plans import fixtures as fx
+    d, to = str(tmp_path / "tables"), str(tmp_path / "arrived")
+    spark.range(4000).selectExpr("id as l_orderkey", "id % 7 as v").repartition(3).write.parquet(f"{d}/lineitem.parquet")
+    files, rows = [0], [0]
+    for i in fx.fx_arrivals(spark, d, "lineitem", "l_orderkey", to):
+        assert i == len(files) - 1
+        files.append(sum(f.endswith(".parquet") for f in os.listdir(f"{to}/lineitem.parquet")))
+        rows.append(spark.read.parquet(f"{to}/lineitem.parquet").count())
+    assert [b - a for a, b in zip(files, files[1:])] == [3] * 4
+    assert all(b - a > 500 for a, b in zip(rows, rows[1:])) and rows[-1] == 4000
+
+
 def test_stock_of_one_batch_is_read_with_two_exchanges(spark, tmp_path):
     """A row a chunk goes to its SKU and month, a row a month to its SKU; nothing is joined back."""
     from conftest import SMALL
