@@ -550,11 +550,13 @@ def q_stream_late(spark, d):
 
 @query("stream_dashboard")
 def q_stream_dashboard(spark, d):
-    """The dashboard out of facts kept up to date, orders arriving in four deliveries."""
+    """The dashboard out of facts kept up to date, orders arriving in four deliveries;
+    a delivery is joined with the lines of its own orders."""
     tables, again = shared_dir(spark, "facts"), _resumed(spark, "stream_dashboard")
-    for _ in fx.fx_arrivals(spark, d, "orders", "o_orderkey", tables):
+    for i in fx.fx_arrivals(spark, d, "orders", "o_orderkey", tables):
         orders = runner.read_stream_table(spark, tables, "orders")
-        stream = normalize_sales(fx.fx_sales(spark, d, with_items=True, orders=orders))
+        lines = fx.table(spark, d, "lineitem").where(fx.arrival("l_orderkey") == i)
+        stream = normalize_sales(fx.fx_sales(spark, d, with_items=True, orders=orders, lineitem=lines))
         out = partials.run_mergeable(spark, stream, "stream_dashboard", stream_q.FACTS, **again)
     kept = stage(partials.read_mergeable(spark, out, stream, stream_q.FACTS), "facts")
     return facts.stacked(facts.frames(kept, purchases(spark, d), fx.as_of_col(), fx.WEEKLY_SPEND))

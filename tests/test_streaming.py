@@ -298,3 +298,18 @@ def test_stock_of_rows_without_a_time_or_quantity(spark, tmp_path):
     want = {"A": (4, 2), "B": (None, 2)}
     assert _stock_stream(spark, tmp_path / "one", [rows]) == want
     assert _stock_stream(spark, tmp_path / "two", [rows[::2], rows[1::2]]) == want
+
+
+def test_dashboard_builds_the_lines_of_each_delivery_once(spark, monkeypatch):
+    from conftest import SMALL
+    from shopfloor.plans import fixtures as fx
+    from shopfloor.plans.registry import REGISTRY
+    built, fx_lines = [], fx.fx_lines
+
+    def counted(spark, sf_dir, lineitem=None):
+        built.append((lineitem if lineitem is not None else fx.table(spark, sf_dir, "lineitem")).count())
+        return fx_lines(spark, sf_dir, lineitem) if lineitem is not None else fx_lines(spark, sf_dir)
+
+    monkeypatch.setattr(fx, "fx_lines", counted)
+    assert REGISTRY["stream_dashboard"](spark, SMALL).count() > 0
+    assert len(built) == fx.ARRIVALS and sum(built) == fx.table(spark, SMALL, "lineitem").count()
